@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import langid, media, pieces, quality, tokencount
+from leafmill.llm import langid, media, pieces, probminhash, quality, tokencount
 from leafmill.llm._batches import crc32_mod
 
 
@@ -41,6 +41,10 @@ def op5_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return probminhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -50,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_language_id": op2_language_id,
     "op3_media_columns": op3_media_columns,
     "op5_piece_segmentation": op5_piece_segmentation,
+    "op6_near_duplicates": op6_near_duplicates,
     "op9_token_counts": op9_token_counts,
 }
 
