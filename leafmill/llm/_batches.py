@@ -57,3 +57,14 @@ def with_checkpoints(spark: SparkSession) -> None:
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+
+
+def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:
+    """The rows whose ``column``, as UTF-8 bytes, is accepted; all columns are kept as they are."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accept = make()
+        for part in steps(batches, column):
+            yield part.filter(pa.array(accept(part.column(column).cast(pa.binary()).to_pylist()), pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

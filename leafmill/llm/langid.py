@@ -12,6 +12,7 @@ the best language and 0 where the runner-up fits as well. Other columns play no
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
@@ -139,6 +140,12 @@ def fit(documents: DataFrame, params: LanguageParams = LanguageParams()) -> Lang
     return fit_rows(training_rows(documents, params=params), params)
 
 
+def accepter(model: LanguageModel) -> Callable[[list[bytes | None]], list[bool]]:
+    """A function that tells of texts whether they have a language."""
+    ranker = Ranker(model)
+    return lambda texts: [t is not None and ranker.predict(t.decode("utf-8", "replace"))[0] != UNKNOWN for t in texts]
+
+
 def identify(documents: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score for each row of ``documents``; one pass, no shuffle."""
 

@@ -14,6 +14,7 @@ Other columns of the input play no part.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -152,6 +153,12 @@ def score_texts(model: QualityModel, texts: list[bytes | None], scorer: Scorer |
     return [1 / (1 + math.exp(-max(-30.0, min(30.0, w[-1] + sum(a * b for a, b in zip(w, scorer.features(t or b""))))))) for t in texts]
 
 
+def accepter(model: QualityModel) -> Callable[[list[bytes | None]], list[bool]]:
+    """A function that tells of texts whether they are predicted good."""
+    scorer = Scorer(model.good, model.bad, model.params)
+    return lambda texts: [s >= model.params.threshold for s in score_texts(model, texts, scorer)]
+
+
 def classify(documents: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id, score, predicted for each row of ``documents``; one pass, no shuffle."""
 

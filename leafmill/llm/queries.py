@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import langid, media, pieces, probminhash, quality, tokencount
+from leafmill.llm import langid, media, mixing, pieces, probminhash, quality, tokencount
 from leafmill.llm._batches import crc32_mod
 
 
@@ -49,6 +49,10 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_piece_segmentation": op5_piece_segmentation,
     "op6_near_duplicates": op6_near_duplicates,
     "op9_token_counts": op9_token_counts,
+    "op10_source_mixture": op10_source_mixture,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_source_mixture": mixing.oracle()}
