@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import langid, media, mixing, pieces, probminhash, quality, tokencount
+from leafmill.llm import langid, media, mixing, pieces, probminhash, quality, sketch, tokencount, urlfilter
 from leafmill.llm._batches import crc32_mod
 
 
@@ -45,6 +45,24 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probminhash.near_classes(table(spark, sf_dir, "documents"))
 
 
+def op7_threshold_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sketch.fingerprints(table(spark, sf_dir, "documents"))
+
+
+#: The rules of the contract.
+RULES = [
+    urlfilter.Rule("org", "/", "allow"),
+    urlfilter.Rule("example.org", "/es/", "block"),
+    urlfilter.Rule("example.org", "/en/1", "block"),
+    urlfilter.Rule("com", "/fr/", "allow"),
+    urlfilter.Rule("com", "/de/", "block"),
+]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -59,6 +77,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_media_columns": op3_media_columns,
     "op5_piece_segmentation": op5_piece_segmentation,
     "op6_near_duplicates": op6_near_duplicates,
+    "op7_threshold_sketch": op7_threshold_sketch,
+    "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixture": op10_source_mixture,
 }
