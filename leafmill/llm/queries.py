@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import langid, media, mixing, pieces, probminhash, quality, sketch, tokencount, urlfilter
+from leafmill.llm import langid, licenses, media, mixing, pieces, probminhash, quality, sketch, tokencount, urlfilter
 from leafmill.llm._batches import crc32_mod
 
 
@@ -37,6 +37,10 @@ def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), with_spans=False)
+
+
 def op5_piece_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -75,6 +79,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_language_id": op2_language_id,
     "op3_media_columns": op3_media_columns,
+    "op4_license_scan": op4_license_scan,
     "op5_piece_segmentation": op5_piece_segmentation,
     "op6_near_duplicates": op6_near_duplicates,
     "op7_threshold_sketch": op7_threshold_sketch,
