@@ -192,13 +192,13 @@ def furniture_signature(c: str | Column) -> Column:
 
 def sentence_split(c: str | Column) -> Column:
     """Sentences: after . ! ? and a closing mark, before a blank and a capital or an opening quote."""
-    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?\x{2026}]|[.!?\x{2026}][\x{201D}\x{2019})])\s+(?=[\p{Lu}\x{201C}\x{2018}\"'(])"), F.trim), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), r"(?<=[.!?\x{2026}]|[.!?\x{2026}][\x{201D}\x{2019})])\s+(?=[\p{Lu}\x{201C}\x{2018}\"'(])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def join_wrapped(lines: str | Column) -> Column:
     """Lines joined by blanks; a hyphen between a letter and a small letter is a word break and goes."""
     return F.aggregate(
-        F.transform(col(lines), F.trim),
+        F.transform(col(lines), lambda s: F.trim(s)),
         F.lit(""),
         lambda out, x: F.when(out == "", x).when(out.rlike(r"\p{L}-\z") & x.rlike(r"^\p{Ll}"), F.concat(F.substring(out, F.lit(1), F.length(out) - 1), x)).otherwise(F.concat(out, F.lit(" "), x)),
     )
@@ -249,6 +249,6 @@ def image_caption(c: str | Column) -> Column:
 
 def srcset_best(c: str | Column) -> Column:
     """The candidate of the largest descriptor; the first of equals."""
-    parts = F.filter(F.transform(F.split(col(c), ","), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(col(c), ","), lambda s: F.trim(s)), lambda x: x != "")
     weighed = F.transform(parts, lambda x, i: F.struct(-F.coalesce(F.nullif(F.regexp_extract(x, r"\s([0-9.]+)[wx]\z", 1), F.lit("")).try_cast("double"), F.lit(1.0)), i, F.split(x, r"\s+")[0].alias("url")))
     return F.get(F.array_sort(weighed), F.lit(0))["url"]

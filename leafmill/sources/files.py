@@ -76,7 +76,7 @@ def folder_tree(files: DataFrame) -> DataFrame:
 def csv_catalog(spark: SparkSession, path: str) -> DataFrame:
     """Texts in English of a quoted catalog file with embedded line ends."""
     df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    return df.where((F.col("Type") == "Text") & F.array_contains(F.transform(F.split("Language", ";"), F.trim), "en"))
+    return df.where((F.col("Type") == "Text") & F.array_contains(F.transform(F.split("Language", ";"), lambda s: F.trim(s)), "en"))
 
 
 MANIFEST = "id STRING, format STRING, source STRING, url STRING, title STRING, authors ARRAY<STRING>, status STRING, reason STRING, path STRING, sha256 STRING, bytes BIGINT"
