@@ -4,10 +4,11 @@
   random registers; a register keeps the shingle that arrives first. Two documents agree in a register with
   probability J_P, the probability Jaccard similarity of their weights. A document's process ends as soon as the next
   arrivals come later than everything its registers hold.
-* Bands of registers make candidates: each document is paired with the least document of its bucket.
+* Bands of registers make candidates: each document is paired with the leader of its bucket, the member that sits in the
+  largest buckets all told.
 * Verification computes the exact J_P from both texts; 0.8 or more links them. Linked texts form classes.
-* Buckets that still hold several classes are settled exactly: their members' registers are compared in blocks,
-  and pairs of different classes that may reach the threshold are verified as well.
+* Buckets that still hold several classes are settled exactly: their members are compared in blocks, and pairs of different
+  classes that may reach the threshold are verified as well.
 
 Equal texts are one node throughout and cost one signature comparison.
 
@@ -43,7 +44,7 @@ class NearParams:
     rows: int = 5
     threshold: float = 0.8
     #: Members of one bucket that are compared in one block.
-    block: int = 2048
+    block: int = 1024
 
     @property
     def registers(self) -> int:
@@ -139,13 +140,14 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFra
 
 
 def _across(members: DataFrame, params: NearParams) -> DataFrame:
-    """Pairs of different classes in one bucket whose registers may reach the threshold.
-
-    ``members``: key, node, class, registers. A bucket's largest class is dealt over blocks of at most ``block``
-    members or so, and so are all its other members; groups are one block of the others with one of the
-    largest class, or two blocks of the others. Members of one class are never compared, so a large class costs no more than
-    its size times the number of blocks of others. Only pairs that pass the comparison are emitted, and it lets
-    through what lies up to four standard deviations below the threshold.
+    """Links between texts of different classes in one bucket, by exact verification; enough of them to join what belongs together.
+
+    ``members``: key, band, node, class, registers, text. A bucket's largest class is dealt over blocks of at most
+    ``block`` members or so, and so are all its other members; groups are one block of the others with one of the
+    largest class, or two blocks of the others. Members of one class are never compared, so a large class costs no
+    more than its size times the number of blocks of others. A pair is looked at in the first bucket that it shares, and only if its registers
+    let it reach the threshold within four standard deviations. A group emits a spanning forest of its links, fewer
+    rows than it has members, however many pairs are alike.
     """
     sizes = members.groupBy("key", "class").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("main"), F.sum("size").alias("all"))
@@ -153,30 +155,85 @@ def _across(members: DataFrame, params: NearParams) -> DataFrame:
     dealt = members.join(main, "key").withColumn("in_main", F.col("class") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("p")).otherwise(F.col("q"))).cast("int"))
     to_others = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.when(F.col("in_main"), F.struct(F.lit(True).alias("with_main"), k.alias("i"), F.col("own").alias("j"))).otherwise(F.struct(F.lit(False).alias("with_main"), F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))))
     to_main = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda k: F.struct(F.lit(True).alias("with_main"), F.col("own").alias("i"), k.alias("j")))
-    meets = dealt.select("key", "own", "node", "class", "registers", F.explode(F.when(F.col("in_main"), to_others).otherwise(F.concat(to_others, to_main))).alias("at")).select("key", "at.*", "own", "node", "class", "registers")
+    meets = dealt.withColumn("at", F.explode(F.when(F.col("in_main"), to_others).otherwise(F.concat(to_others, to_main)))).select("key", "at.*", "band", "own", "node", "class", "registers", "text")
     m, t = params.registers, params.threshold
     least = int(m * (t - 4 * (t * (1 - t) / m) ** 0.5))
 
-    def pairs(batch: pa.Table) -> pa.Table:
-        own, node, kind = (batch.column(c).to_numpy() for c in ("own", "node", "class"))
-        order = np.lexsort((node, kind))
-        own, node, kind = own[order], node[order], kind[order]
-        sign = np.frombuffer(b"".join(batch.column("registers").to_pylist()), "<u2").reshape(len(node), m)[order]
-        apart = not batch.column("with_main")[0].as_py() and batch.column("i")[0].as_py() != batch.column("j")[0].as_py()
-        out_a, out_b = [], []
-        ends = np.searchsorted(kind, kind, side="right")
+    def links(group: pa.Table) -> pa.Table:
+        own, node, kind = (group.column(c).to_numpy() for c in ("own", "node", "class"))
+        sign = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(len(node), m)
+        band = group.column("band")[0].as_py()
+        apart = not group.column("with_main")[0].as_py() and group.column("i")[0].as_py() != group.column("j")[0].as_py()
+        root = {k: k for k in kind.tolist()}
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        bags, out = None, []
+        now = kind.copy()  # the class each member belongs to by now
         for k in range(len(node)):
-            e = ends[k]  # sorted by class: what follows belongs to other classes
-            if e == len(node):
-                break
-            hit = np.flatnonzero((sign[e:] == sign[k]).sum(1) >= least) + e
+            near = (now != now[k]) & (np.arange(len(node)) > k)
             if apart:
-                hit = hit[own[hit] != own[k]]
-            out_a += [node[k]] * len(hit)
-            out_b += node[hit].tolist()
-        return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
-
-    return meets.groupBy("key", "with_main", "i", "j").applyInArrow(pairs, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+                near &= own != own[k]
+            at = np.flatnonzero(near)
+            if not len(at):
+                continue
+            same = sign[at] == sign[k]
+            good = same.sum(1) >= least
+            at, same = at[good], same[good]
+            earlier = same[:, : band * params.rows].reshape(len(at), band, params.rows).all(2).any(1) if band else np.zeros(len(at), bool)
+            at = at[~earlier]
+            if not len(at):
+                continue
+            bags = bags or Bags(group.column("text").cast(pa.binary()).to_pylist())
+            for j in bags.alike(k, at, t):
+                a, b = top(kind[k]), top(kind[j])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((max(node[k], node[j]), min(node[k], node[j])))
+            now = np.array([top(x) for x in kind.tolist()]) if out else now
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
+
+    return meets.groupBy("key", "with_main", "i", "j").applyInArrow(links, "a long, b long").distinct()
+
+
+class Bags:
+    """The weighted shingles of some texts, and one text's similarity to many at once."""
+
+    def __init__(self, texts: list[bytes | None]):
+        owner, value, self.weight = shingles([t or b"" for t in texts])
+        self.at = np.searchsorted(owner, np.arange(len(texts) + 1))
+        self.value = value
+        _, self.index = np.unique(value, return_inverse=True)
+        self.n = np.diff(self.at)
+        self.flat = np.array([self.weight[a:b].max(initial=1) == 1 for a, b in zip(self.at[:-1], self.at[1:])])
+        self.mark = np.zeros(len(value) + 1, bool)
+
+    def bag(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.value[self.at[k] : self.at[k + 1]], self.weight[self.at[k] : self.at[k + 1]]
+
+    def alike(self, k: int, others: np.ndarray, threshold: float) -> list[int]:
+        """Those of ``others`` whose similarity to k reaches the threshold.
+
+        Where no shingle repeats, it is the Jaccard similarity and follows from the number of shared shingles. Else that
+        number bounds what pairs can reach: no similarity exceeds the weight of the shared shingles on either side.
+        """
+        own = self.index[self.at[k] : self.at[k + 1]]
+        self.mark[own] = True
+        out = []
+        for j in others.tolist():
+            shared = int(self.mark[self.index[self.at[j] : self.at[j + 1]]].sum())
+            if self.flat[k] and self.flat[j]:
+                good = shared >= (threshold - 1e-9) * (len(own) + self.n[j] - shared)
+            else:
+                good = shared > 0 and similarity(self.bag(k), self.bag(j)) >= threshold - 1e-9
+            if good:
+                out.append(j)
+        self.mark[own] = False
+        return out
 
 
 def stand_in(digest: Column) -> Column:
@@ -189,7 +246,8 @@ def key_of(documents: DataFrame) -> Column:
 
 
 def near_classes(documents: DataFrame, params: NearParams = NearParams()) -> DataFrame:
-    """doc_id, class_id, n_copies (rows of the same text), n_links (verified links of the text to other texts), kept.
+    """doc_id, class_id, n_copies (rows of the same text), n_links (links of the text to other texts that
+    the search for classes verified; pairs inside a class already found are not all tried), kept.
 
     One row for each row of ``documents``; class_id is the least doc_id of the class; kept marks that document.
     """
@@ -198,19 +256,19 @@ def near_classes(documents: DataFrame, params: NearParams = NearParams()) -> Dat
     signed = _signed(source, params).checkpoint()
     by_text = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), stand_in(F.col("digest"))).alias("node"), F.count("*").alias("n_copies"), F.first("keys").alias("keys"), F.first("registers").alias("registers"))
     by_text = by_text.checkpoint()
-    member = by_text.where("keys IS NOT NULL").select("node", F.explode("keys").alias("key"))
-    leaders = member.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("most")).where("leader <> most").select("key", "leader")
-    shared = member.join(leaders, "key").checkpoint()
+    member = by_text.where("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
+    sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = _with_leaders(member.join(sizes, "key").checkpoint()).checkpoint()
     texts = _texts(source, by_text, shared)
-    first = shared.where("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct()
+    first = shared.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     links = _verified(first, texts, params).distinct().checkpoint()
     labels = components(links)
 
-    classed = shared.join(labels.withColumnRenamed("class", "label"), "node", "left").select("key", "node", F.coalesce("label", "node").alias("class"))
+    classed = shared.join(labels.withColumnRenamed("class", "label"), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("class"))
     open_keys = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    rest = classed.join(open_keys, "key", "left_semi").join(by_text.select("node", "registers"), "node")
-    more = _across(rest.select("key", "node", "class", "registers"), params).join(first, ["a", "b"], "left_anti")
-    extra = _verified(more, texts, params).distinct().checkpoint()
+    rest = classed.join(open_keys, "key", "left_semi").checkpoint()
+    once = texts.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    extra = _across(rest.join(by_text.select("node", "registers"), "node").join(once, "node"), params).checkpoint()
     if not extra.isEmpty():
         links = links.unionAll(extra)
         labels = components(links)
@@ -220,6 +278,18 @@ def near_classes(documents: DataFrame, params: NearParams = NearParams()) -> Dat
     return signed.select("doc_id", "digest").join(facts, "digest").select("doc_id", "class_id", "n_copies", "n_links", (F.coalesce("doc_id", stand_in(F.col("digest"))) == F.col("class_id")).alias("kept"))
 
 
+def _with_leaders(shared: DataFrame) -> DataFrame:
+    """key, band, node and the bucket's leader. ``shared``: key, band, node, size.
+
+    The leader is the member that sits in the largest buckets all told: in a group of copies made from one text that is
+    the text itself or what is next to it, to which most members are alike.
+    """
+    weight = shared.groupBy("node").agg(F.sum("size").alias("weight"))
+    scored = shared.select("key", "node").join(weight, "node")
+    leaders = scored.groupBy("key").agg(F.max(F.struct("weight", (-F.col("node")).alias("rank"))).alias("l")).select("key", (-F.col("l.rank")).alias("leader"))
+    return shared.drop("size").join(leaders, "key")
+
+
 def _texts(source: DataFrame, by_text: DataFrame, shared: DataFrame) -> DataFrame:
     """node, text of the nodes that share a bucket with another one; the rest of the texts is not moved."""
     wanted = shared.select("node").distinct()
