@@ -38,7 +38,7 @@ class MixParams:
     cap: int = 2
     seed: str = "mix"
     grid: int = 4096
-    block: int = 50_000
+    block: int = 2_000
 
 
 def size_of(text: Column) -> Column:
