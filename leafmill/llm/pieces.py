@@ -158,9 +158,12 @@ class PieceModel:
         return Best(self.written(unit, path[::-1]), top, INFINITE if through is None else top - through)
 
     def search(self, unit: str, n: int) -> list[tuple[float, bytes]]:
-        """Up to ``n`` segmentations as (score, ids), best first: A* from the end, guided by forward Viterbi scores."""
+        """Up to ``n`` segmentations as (score, ids), best first: A* from the end, guided by forward Viterbi scores.
+
+        Of equal promise the newest hypothesis goes first, so that many ties cost depth and not breadth.
+        """
         ends, forward, _ = self.lattice(unit)
-        tie = count()
+        tie = count(0, -1)
         heap = [(-forward[-1], next(tie), len(unit), 0, None)]
         out = []
         while heap and len(out) < n:
