@@ -64,7 +64,7 @@ def shingles(texts: list[bytes], words: int = WORDS) -> tuple[np.ndarray, np.nda
     left = counts[owner] - place  # words from here to the text's end
     for k in range(words):
         shifted = np.zeros(len(word), np.uint64)
-        shifted[: len(word) - k] = word[k:]
+        shifted[: max(0, len(word) - k)] = word[k:]
         total = np.where(left > k, total * _ODD + shifted, total)
     keep = (left >= words) | (place == 0)
     owner, value = owner[keep], mix(total[keep])
