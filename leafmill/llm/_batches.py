@@ -12,7 +12,9 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
 #: Bytes of text that one step of a Python operator takes at most, unless a single text is longer.
-STEP_BYTES = 4 << 20
+STEP_BYTES = 2 << 20
+#: Bytes of an Arrow batch that Spark sends to Python at most, unless a single row is longer.
+BATCH_BYTES = 8 << 20
 
 
 def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
@@ -29,6 +31,13 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTE
             yield batch.slice(start)
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Make Spark send batches of ``BATCH_BYTES`` at most; a smaller setting of the session's own stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int("".join(c for c in spark.conf.get(key, "0") if c.isdigit()) or 0) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_rows(df: DataFrame, column: str, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Map ``df`` by Arrow batches of bounded size.
 
@@ -44,6 +53,7 @@ def map_rows(df: DataFrame, column: str, schema: str | StructType, make: Callabl
             got = work(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, kind)
 
 
@@ -67,4 +77,5 @@ def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list[by
         for part in steps(batches, column):
             yield part.filter(pa.array(accept(part.column(column).cast(pa.binary()).to_pylist()), pa.bool_()))
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)

@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from leafmill.llm._batches import map_rows
 
 #: Units that a worker remembers in each of two generations.
-REMEMBERED = 150_000
-#: Units up to this length go through numpy together; longer ones one at a time.
-TOGETHER_CHARS, TOGETHER_UNITS = 48, 20_000
+REMEMBERED = 100_000
+#: Units up to this length go through numpy together, as many as keep its arrays at so many cells; longer ones one at a time.
+TOGETHER_CHARS, TOGETHER_CELLS = 48, 400_000
 #: Odd multiplier of the rolling hash by which numpy finds pieces.
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -186,8 +186,9 @@ class PieceModel:
         for k, u in enumerate(units):
             by_length.setdefault(len(u), []).append(k)
         for n, places in by_length.items():
-            for i in range(0, len(places), TOGETHER_UNITS):
-                some = places[i : i + TOGETHER_UNITS]
+            together = max(16, TOGETHER_CELLS // (n * (n + 1)))
+            for i in range(0, len(places), together):
+                some = places[i : i + together]
                 found = self._best_of_length(n, [units[k] for k in some]) if n <= TOGETHER_CHARS and len(some) > 3 else [None] * len(some)
                 for k, b in zip(some, found):
                     out[k] = b or self.best(units[k])
@@ -277,7 +278,7 @@ class PieceModel:
         close = [x for x in heapq.nsmallest(n - 1, zip([b[2] for b in bests], range(len(bests)))) if x[0] < INFINITE]
         sums: list[tuple[float, tuple]] = [(0, ())]
         for _, k in close:
-            ways = self.ways(units[k], n)
+            ways = [(bests[k].score, bests[k].ids)] + [w for w in self.ways(units[k], n) if w[1] != bests[k].ids][: n - 1]
             sums = sorted(((lost + bests[k].score - score, chosen + (((k, w),) if j else ())) for lost, chosen in sums for j, (score, w) in enumerate(ways)), key=lambda x: x[0])[:n]
         starts = np.concatenate([[0], np.cumsum([len(b.ids) // 4 for b in bests])]).tolist() if len(sums) > 1 else []
         out = []
