@@ -34,7 +34,7 @@ def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTE
 def bounded_batches(spark: SparkSession) -> None:
     """Make Spark send batches of ``BATCH_BYTES`` at most; a smaller setting of the session's own stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int("".join(c for c in spark.conf.get(key, "0") if c.isdigit()) or 0) not in range(1, BATCH_BYTES + 1):
+    if int("".join(c for c in spark.conf.get(key) if c.isdigit())) not in range(1, BATCH_BYTES + 1):
         spark.conf.set(key, str(BATCH_BYTES))
 
 
