@@ -8,12 +8,13 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 PRIMARY = ("letter", "chapter", "numbered")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def norm_dedup(s: pd.Series) -> pd.Series:
     """Decomposed, without combining marks, white space collapsed, lower case; Spark has no normalisation of its own."""
     import re
