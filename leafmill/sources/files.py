@@ -38,7 +38,7 @@ def flat_map(df: DataFrame, schema: str, rows: Callable[[dict], Iterable[dict]],
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = 1000) -> DataFrame:
-    """Files under a folder, recursively, in order of path: path, name, length, content. ``limit`` is the reference's folder cap; None reads all."""
+    """Files under a folder, recursively, in order of path: path, name, length, content. ``limit`` is a cap on one folder; None reads all."""
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     df = df.withColumn("name", T.path_basename("path")).where(supported(F.lit(None).cast("string"), F.col("name")))
     return df.orderBy("path").limit(limit) if limit else df
