@@ -34,16 +34,30 @@ def speech_words(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "d
     return paras.select(key, "paragraph_id", F.posexplode(packed(T.tokenize("text"), limit)).alias("word_index", "r")).select(key, "paragraph_id", "word_index", "r.chunk", "r.start", "r.end", "r.word")
 
 
+def chunk_texts(tokens: Column, limit: int = S.UTTERANCE_CHARS) -> Column:
+    """The chunks of greedy packing as array<struct<text, n_words>>.
+
+    Tokens that fit one chunk are joined at once; else a fold keeps the open chunk's text and the finished ones, so its cost
+    grows with the words, not with their square.
+    """
+    kind = "struct<text:string,n:int,done:array<struct<text:string,n_words:int>>>"
+    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.array().cast("array<struct<text:string,n_words:int>>").alias("done")).cast(kind)
+    row = lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n_words"))
+
+    def add(s: Column, w: Column) -> Column:
+        full = (s["n"] > 0) & (F.length(s["text"]) + 1 + F.length(w) > limit)
+        text = F.when(full | (s["n"] == 0), w).otherwise(F.concat(s["text"], F.lit(" "), w))
+        return F.struct(text.alias("text"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, F.concat(s["done"], F.array(row(s)))).otherwise(s["done"]).alias("done")).cast(kind)
+
+    joined = F.array_join(tokens, " ")
+    whole = F.array(F.struct(joined.alias("text"), F.size(tokens).alias("n_words")))
+    return F.when(F.length(joined) <= limit, whole).otherwise(F.aggregate(tokens, zero, add, lambda s: F.concat(s["done"], F.array(row(s)))))
+
+
 def speech_chunks(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "doc_id") -> DataFrame:
     """(key, paragraph_id, chunk, text, n_words); built inside each paragraph's array, no shuffle."""
-    rows = paras.select(key, "paragraph_id", packed(T.tokenize("text"), limit).alias("rows")).where(F.size("rows") > 0)
-    count = F.element_at("rows", -1)["chunk"] + 1
-    made = F.transform(
-        F.sequence(F.lit(0), count - 1),
-        lambda c: F.struct(c.alias("chunk"), F.filter("rows", lambda r: r["chunk"] == c).alias("own")),
-    )
-    out = rows.select(key, "paragraph_id", F.inline(made))
-    return out.select(key, "paragraph_id", "chunk", F.array_join(F.transform("own", lambda r: r["word"]), " ").alias("text"), F.size("own").alias("n_words"))
+    made = paras.select(key, "paragraph_id", T.tokenize("text").alias("tokens")).where(F.size("tokens") > 0).select(key, "paragraph_id", chunk_texts(F.col("tokens"), limit).alias("made"))
+    return made.select(key, "paragraph_id", F.posexplode("made").alias("chunk", "c")).select(key, "paragraph_id", "chunk", "c.text", "c.n_words")
 
 
 def char_to_word(ranges: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
