@@ -1,8 +1,8 @@
 """Licence signatures, written by hand for operator 4.
 
-A line is ``keyword | pattern``; patterns see UTF-8 text with A-Z lower-cased and are bytes regular expressions in verbose-free
-form, with two abbreviations: ``_`` stands for any run of blanks, line ends and comment marks, ``<lic>`` for licence or license.
-The keyword occurs in whatever its pattern matches; a text without it is never searched for that pattern.
+Patterns see UTF-8 text with A-Z lower-cased and are bytes regular expressions in verbose-free form, with two abbreviations:
+``_`` stands for any run of blanks, line ends and comment marks, ``<lic>`` for licence or license.
+A keyword is derived for each alternative of a pattern; a text with none of them is never searched for that pattern.
 A block's label and priority head it: a larger number wins where detections overlap.
 """
 
@@ -171,79 +171,79 @@ zlib | zlib(?:/libpng)?_<lic> | opensource\.org/licenses?/zlib|zlib\.net/zlib_li
 zpl-2.1 | zope_public_<lic> | opensource\.org/licenses?/zpl-2\.1
 """
 
-#: Notices and texts that name no licence in a regular way: label, priority, then keyword | pattern lines.
+#: Notices and texts that name no licence in a regular way: label, priority, then a pattern a line.
 NOTICES = r"""
 = mit 40
-free of charge | permission_is_hereby_granted,?_free_of_charge,?_to_any_person_obtaining_a_copy
-merge, publish | to_use,_copy,_modify,_merge,_publish,_distribute,_sublicense
-substantial portions | shall_be_included_in_all_copies_or_substantial_portions_of_the_software
+permission_is_hereby_granted,?_free_of_charge,?_to_any_person_obtaining_a_copy
+to_use,_copy,_modify,_merge,_publish,_distribute,_sublicense
+shall_be_included_in_all_copies_or_substantial_portions_of_the_software
 = isc 40
-permission to use | permission_to_use,_copy,_modify,_and(?:/or)?_distribute_this_software_for_any_purpose
+permission_to_use,_copy,_modify,_and(?:/or)?_distribute_this_software_for_any_purpose
 = bsd-3-clause 40
-endorse or promote | neither_the_name_of_.{1,120}?_may_be_used_to_endorse_or_promote
+neither_the_name_of_.{1,120}?_may_be_used_to_endorse_or_promote
 = bsd-2-clause 35
-redistribution and use | redistribution_and_use_in_source_and_binary_forms
-binary form must reproduce | redistributions_in_binary_form_must_reproduce_the_above_copyright
-source code must retain | redistributions_of_source_code_must_retain_the_above_copyright
+redistribution_and_use_in_source_and_binary_forms
+redistributions_in_binary_form_must_reproduce_the_above_copyright
+redistributions_of_source_code_must_retain_the_above_copyright
 = bsd-4-clause 42
-advertising materials | all_advertising_materials_mentioning_features
+all_advertising_materials_mentioning_features
 = apache-2.0 40
-licensed under the apache | licensed_under_the_apache_<lic>,?_version_2\.0
-without warranties | distributed_on_an_"?as_is"?_basis,_without_warranties_or_conditions_of_any_kind
-contributor license agreements | licensed_to_the_apache_software_foundation_\(asf\)_under_one_or_more_contributor_license_agreements
+licensed_under_the_apache_<lic>,?_version_2\.0
+distributed_on_an_"?as_is"?_basis,_without_warranties_or_conditions_of_any_kind
+licensed_to_the_apache_software_foundation_\(asf\)_under_one_or_more_contributor_license_agreements
 = gpl-2.0-or-later 45
-version 2 of the | version_2_of_the_<lic>,_or_\(?at_your_option\)?_any_later_version
+version_2_of_the_<lic>,_or_\(?at_your_option\)?_any_later_version
 = gpl-3.0-or-later 45
-version 3 of the | version_3_of_the_<lic>,_or_\(?at_your_option\)?_any_later_version
+version_3_of_the_<lic>,_or_\(?at_your_option\)?_any_later_version
 = gpl 30
-redistribute it and/or modify | you_can_redistribute_it_and/or_modify_it_under_the_terms_of_the_gnu_general_public_<lic>
-fitness for a particular | without_even_the_implied_warranty_of_merchantability_or_fitness_for_a_particular_purpose
-gnu general public | gnu_general_public_<lic>
-gpl | (?<![a-z0-9])gnu_gpl(?![a-z0-9])
+you_can_redistribute_it_and/or_modify_it_under_the_terms_of_the_gnu_general_public_<lic>
+without_even_the_implied_warranty_of_merchantability_or_fitness_for_a_particular_purpose
+gnu_general_public_<lic>
+(?<![a-z0-9])gnu_gpl(?![a-z0-9])
 = lgpl 30
-lesser general public | gnu_lesser_general_public_<lic>
-library general public | gnu_library_general_public_<lic>
+gnu_lesser_general_public_<lic>
+gnu_library_general_public_<lic>
 = agpl-3.0 45
-remote network interaction | remote_network_interaction
+remote_network_interaction
 = mpl-2.0 45
-source code form | this_source_code_form_is_subject_to_the_terms_of_the_mozilla_public_<lic>,_v\._2\.0
+this_source_code_form_is_subject_to_the_terms_of_the_mozilla_public_<lic>,_v\._2\.0
 = epl-2.0 45
-accompanying materials | this_program_and_the_accompanying_materials_are_made_available_under_the_terms_of_the_eclipse_public_<lic>_v?_?2
+this_program_and_the_accompanying_materials_are_made_available_under_the_terms_of_the_eclipse_public_<lic>_v?_?2
 = unlicense 45
-public domain | this_is_free_and_unencumbered_software_released_into_the_public_domain
+this_is_free_and_unencumbered_software_released_into_the_public_domain
 = zlib 40
-as-is | provided_'?as-is'?,_without_any_express_or_implied_warranty
+provided_'?as-is'?,_without_any_express_or_implied_warranty
 = bsl-1.0 40
-machine-executable | machine-executable_object_code_generated_by_a_source_language_processor
+machine-executable_object_code_generated_by_a_source_language_processor
 = wtfpl 40
-you just do | you_just_do_what_the_f[u*]ck_you_want_to
+you_just_do_what_the_f[u*]ck_you_want_to
 = public-domain 25
-public domain | (?:dedicated|released|placed)_(?:in)?to_the_public_domain
-public domain | (?:is|are)_in_the_public_domain
+(?:dedicated|released|placed)_(?:in)?to_the_public_domain
+(?:is|are)_in_the_public_domain
 = proprietary 25
-all rights reserved | all_rights_reserved
-confidential | proprietary_and_confidential
-trade secret | unpublished_proprietary_source_code|contains_trade_secrets?
-permission of | without_(?:the_)?(?:prior_|express_)*written_(?:permission|consent)_of
+all_rights_reserved
+proprietary_and_confidential
+unpublished_proprietary_source_code|contains_trade_secrets?
+without_(?:the_)?(?:prior_|express_)*written_(?:permission|consent)_of
 = copyright 10
-copyright | copyright_(?:\(c\)|\xc2\xa9|&copy;)?_?(?:19|20)[0-9]{2}
+copyright_(?:\(c\)|\xc2\xa9|&copy;)?_?(?:19|20)[0-9]{2}
 = creative-commons 20
-creative commons | creative_commons(?:_attribution)?(?:-[a-z]+)*_<lic>
-creativecommons.org | creativecommons\.org/(?:licenses|publicdomain)/[a-z0-9./-]*
+creative_commons(?:_attribution)?(?:-[a-z]+)*_<lic>
+creativecommons\.org/(?:licenses|publicdomain)/[a-z0-9./-]*
 = generic-license 5
-licensed under | (?:is|are)?_?licensed_under_(?:the_)?(?:terms_of_)?(?:the_)?[a-z0-9.\- ]{2,60}
-license agreement | end[- ]user_<lic>_agreement
-see the license | see_the_<lic>_for_the_specific_language
+(?:is|are)?_?licensed_under_(?:the_)?(?:terms_of_)?(?:the_)?[a-z0-9.\- ]{2,60}
+end[- ]user_<lic>_agreement
+see_the_<lic>_for_the_specific_language
 = dual-license 15
-dual | dual[- ]licensed_under
+dual[- ]licensed_under
 = eula 20
-eula | (?<![a-z])eula(?![a-z])
+(?<![a-z])eula(?![a-z])
 = no-warranty 8
-warranty | (?:no|without)_(?:any_)?warrant(?:y|ies)
-as is | "as_is"
+(?:no|without)_(?:any_)?warrant(?:y|ies)
+"as_is"
 = patent-grant 12
-patent | royalty-free,?_(?:irrevocable,?_)?(?:\(except_as_stated.{0,40}\)_)?patent_<lic>
+royalty-free,?_(?:irrevocable,?_)?(?:\(except_as_stated.{0,40}\)_)?patent_<lic>
 = gpl-exception 50
-classpath exception | classpath_exception
-linking exception | (?:static|gcc_runtime_library|openssl)?_?linking_exception
+classpath_exception
+(?:static|gcc_runtime_library|openssl)?_?linking_exception
 """

@@ -92,9 +92,7 @@ def rules() -> tuple[Rule, ...]:
         if line.startswith("= "):
             _, label, priority = line.split()
         else:
-            keyword, pattern = line.split(" | ", 1)
-            words = keyword.split()
-            out.append(Rule(label, int(priority), (max(words, key=len),), _compiled(pattern)))
+            out.append(Rule(label, int(priority), _keyword(line), _compiled(line)))
     return tuple(out)
 
 

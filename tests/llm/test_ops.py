@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -174,6 +175,45 @@ def test_licenses_prefilter_loses_nothing(texts):
             assert (d in kept) == (not better)
 
 
+def alternatives(tree):
+    """Texts of a parsed bytes pattern that together take every alternative, option and absence of an option; lookaround is left out."""
+    parts = []
+    for op, arg in tree:
+        name = str(op)
+        if name == "LITERAL":
+            parts.append([chr(arg)])
+        elif name == "IN":
+            kind, value = arg[0]
+            parts.append([" " if str(kind) == "CATEGORY" else chr(value if str(kind) == "LITERAL" else value[0])])
+        elif name == "ANY":
+            parts.append(["x"])
+        elif name == "BRANCH":
+            parts.append([t for one in arg[1] for t in alternatives(one)])
+        elif name == "SUBPATTERN":
+            parts.append(alternatives(arg[3]))
+        elif name == "ATOMIC_GROUP":
+            parts.append(alternatives(arg))
+        elif name.endswith("REPEAT"):
+            parts.append(([""] if arg[0] == 0 else []) + [t * max(1, arg[0]) for t in alternatives(arg[2])])
+        else:
+            assert name.startswith("ASSERT"), name
+    first = [p[0] for p in parts]
+    return list(dict.fromkeys("".join(first[:i] + [t] + first[i + 1 :]) for i, p in enumerate(parts) for t in p))
+
+
+def test_license_keywords_of_every_alternative():
+    scanner = licenses.Scanner()
+    for i, r in enumerate(scanner.rules):
+        made = [t.encode("latin-1") for t in alternatives(re._parser.parse(r.find.pattern, re.S))]
+        fit = [t for t in made if r.find.search(t)]
+        assert fit and (r.priority == 60 or len(fit) > len(made) // 2), r
+        for t in fit:
+            assert i in {d.order for d in scanner.detections(t)}, (r.label, t)
+    scan = lambda t: scanner.scan(t)["labels"].split(",")
+    for text, label in ((b"not without the prior written consent of", "proprietary"), (b"without any warranties", "no-warranty"), (b"unpublished proprietary source code", "proprietary"), (b"see the licence for the specific language", "generic-license")):
+        assert label in scan(text)
+
+
 def test_license_base(odd, texts):
     scanner = licenses.Scanner()
     tricky = ["MIT license, mit  LICENSE mit-license", "permit license", "mit licenses", "general public license apache\nlicense", "mit", "ümit license", "", "mit mit license license"]
