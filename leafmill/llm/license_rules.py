@@ -1,7 +1,9 @@
 """Licence signatures, written by hand for operator 4.
 
-Patterns see UTF-8 text with A-Z lower-cased and are bytes regular expressions in verbose-free form, with two abbreviations:
-``_`` stands for any run of blanks, line ends and comment marks, ``<lic>`` for licence or license.
+Patterns see UTF-8 text with A-Z lower-cased and are bytes regular expressions in verbose-free form, with abbreviations:
+``_`` stands for any run of blanks, line ends and comment marks, ``<lic>`` for licence or license. A run is taken whole: no
+hyphen or other mark of it can be asked for next to it. ``<dash>`` is a run with a hyphen inside, ``<long>`` one of three or more,
+``<lead>`` one from its beginning, ``<giving>`` one that may leave marks to a class after it. Addresses have no abbreviations: their ``_`` is itself.
 A keyword is derived for each alternative of a pattern; a text with none of them is never searched for that pattern.
 A block's label and priority head it: a larger number wins where detections overlap.
 """
@@ -31,7 +33,7 @@ bsd-1-clause | (?:1|one)[- ]clause_bsd_<lic> | opensource\.org/licenses?/bsd-1-c
 bsd-2-clause | (?:2|two)[- ]clause_bsd_<lic>|simplified_bsd_<lic>|freebsd_<lic> | opensource\.org/licenses?/bsd-2-clause
 bsd-3-clause | (?:3|three)[- ]clause_bsd_<lic>|(?:new|modified|revised)_bsd_<lic> | opensource\.org/licenses?/bsd-3-clause
 bsd-4-clause | (?:4|four)[- ]clause_bsd_<lic>|original_bsd_<lic> | -
-bsl-1.0 | boost_software_<lic>(?:_-)?(?:,?_v(?:ersion|\.)?_?1\.0)? | boost\.org/license_1_0\.txt
+bsl-1.0 | boost_software_<lic>(?:(?:_?,)?_v(?:ersion|\.)?_?1\.0)? | boost\.org/license_1_0\.txt
 busl-1.1 | business_source_<lic>(?:,?_(?:v(?:ersion|\.)?_?)?1\.1)? | mariadb\.com/bsl11
 cal-1.0 | cryptographic_autonomy_<lic> | opensource\.org/licenses?/cal-1\.0
 catosl-1.1 | computer_associates_trusted_open_source_<lic> | -
@@ -58,9 +60,9 @@ cecill-1.0 | cecill_free_software_<lic>(?:_agreement)?_v?1\.0 | cecill\.info/lic
 cecill-2.1 | cecill_free_software_<lic>(?:_agreement)?(?:_v?2\.1)? | cecill\.info/licences/licence_cecill_v2\.1
 cecill-b | cecill-b_(?:free_software_)?<lic> | cecill\.info/licences/licence_cecill-b
 cecill-c | cecill-c_(?:free_software_)?<lic> | cecill\.info/licences/licence_cecill-c
-cern-ohl-p-2.0 | cern_open_hardware_licence_version_2_-_permissive | -
-cern-ohl-s-2.0 | cern_open_hardware_licence_version_2_-_strongly_reciprocal | -
-cern-ohl-w-2.0 | cern_open_hardware_licence_version_2_-_weakly_reciprocal | -
+cern-ohl-p-2.0 | cern_open_hardware_licence_version_2<dash>permissive | -
+cern-ohl-s-2.0 | cern_open_hardware_licence_version_2<dash>strongly_reciprocal | -
+cern-ohl-w-2.0 | cern_open_hardware_licence_version_2<dash>weakly_reciprocal | -
 clartistic | clarified_artistic_<lic> | -
 cpal-1.0 | common_public_attribution_<lic> | opensource\.org/licenses?/cpal-1\.0
 cpl-1.0 | common_public_<lic>(?:,?_v(?:ersion|\.)?_?1\.0)? | opensource\.org/licenses?/cpl1\.0
@@ -68,8 +70,8 @@ cpol-1.02 | code_project_open_<lic> | codeproject\.com/info/cpol10
 ecl-2.0 | educational_community_<lic>(?:,?_v(?:ersion|\.)?_?2\.0)? | opensource\.org/licenses?/ecl-2\.0
 efl-2.0 | eiffel_forum_<lic>(?:,?_v(?:ersion|\.)?_?2)? | opensource\.org/licenses?/efl-2\.0
 elastic-2.0 | elastic_<lic>_2\.0 | elastic\.co/licensing/elastic-license
-epl-1.0 | eclipse_public_<lic>,?_(?:-_)?v(?:ersion|\.)?_?1\.0 | eclipse\.org/legal/epl-v10
-epl-2.0 | eclipse_public_<lic>,?_(?:-_)?v(?:ersion|\.)?_?2\.0 | eclipse\.org/legal/epl-(?:v20|2\.0)
+epl-1.0 | eclipse_public_<lic>,?_v(?:ersion|\.)?_?1\.0 | eclipse\.org/legal/epl-v10
+epl-2.0 | eclipse_public_<lic>,?_v(?:ersion|\.)?_?2\.0 | eclipse\.org/legal/epl-(?:v20|2\.0)
 erlpl-1.1 | erlang_public_<lic> | erlang\.org/eplicense
 eudatagrid | eu_datagrid_software_<lic> | -
 eupl-1.1 | european_union_public_licence,?_v(?:ersion|\.)?_?1\.1 | -
@@ -85,7 +87,7 @@ gpl-2.0 | (?:gnu_)?general_public_<lic>,?_\(?v(?:ersion|\.)?_?2(?:\.0)?(?!\.?[0-
 gpl-3.0 | (?:gnu_)?general_public_<lic>,?_\(?v(?:ersion|\.)?_?3(?:\.0)?(?!\.?[0-9]) | gnu\.org/licenses/gpl-3\.0
 hpnd | historical_permission_notice_and_disclaimer | opensource\.org/licenses?/hpnd
 ibm-pibs | ibm_powerpc_initialization_and_boot_software | -
-icu | icu_<lic>(?:_-_icu)? | -
+icu | icu_<lic>(?:<dash>icu)? | -
 ijg | independent_jpeg_group(?:'s)?_<lic> | -
 imlib2 | imlib2_<lic> | -
 intel | intel_open_source_<lic> | opensource\.org/licenses?/intel
@@ -100,7 +102,7 @@ lgpl-2.1 | (?:gnu_)?(?:library|lesser)_general_public_<lic>,?_\(?v(?:ersion|\.)?
 lgpl-3.0 | (?:gnu_)?lesser_general_public_<lic>,?_\(?v(?:ersion|\.)?_?3(?:\.0)?(?!\.?[0-9]) | gnu\.org/licenses/lgpl-3\.0
 libpng | libpng_<lic> | libpng\.org/pub/png/src/libpng-license
 libtiff | libtiff_<lic> | -
-liliq-p-1.1 | licence_libre_du_qu.{1,2}bec_-_permissive | -
+liliq-p-1.1 | licence_libre_du_qu.{1,2}bec<dash>permissive | -
 lpl-1.02 | lucent_public_<lic> | opensource\.org/licenses?/lpl-1\.02
 lppl-1.3c | latex_project_public_<lic>(?:,?_v(?:ersion|\.)?_?1\.3c?)? | latex-project\.org/lppl
 miros | miros_licen[cs]e | opensource\.org/licenses?/miros
@@ -180,7 +182,7 @@ shall_be_included_in_all_copies_or_substantial_portions_of_the_software
 = isc 40
 permission_to_use,_copy,_modify,_and(?:/or)?_distribute_this_software_for_any_purpose
 = bsd-3-clause 40
-neither_the_name_of_.{1,120}?_may_be_used_to_endorse_or_promote
+neither_the_name_of(?:<long>|_.{1,120}?_)may_be_used_to_endorse_or_promote
 = bsd-2-clause 35
 redistribution_and_use_in_source_and_binary_forms
 redistributions_in_binary_form_must_reproduce_the_above_copyright
@@ -231,7 +233,7 @@ copyright_(?:\(c\)|\xc2\xa9|&copy;)?_?(?:19|20)[0-9]{2}
 creative_commons(?:_attribution)?(?:-[a-z]+)*_<lic>
 creativecommons\.org/(?:licenses|publicdomain)/[a-z0-9./-]*
 = generic-license 5
-(?:is|are)?_?licensed_under_(?:the_)?(?:terms_of_)?(?:the_)?[a-z0-9.\- ]{2,60}
+(?:(?:is|are)_?|<lead>)?licensed_under<giving>(?:the_)?(?:terms_of_)?(?:the_)?[a-z0-9.\- ]{2,60}
 end[- ]user_<lic>_agreement
 see_the_<lic>_for_the_specific_language
 = dual-license 15
@@ -245,5 +247,5 @@ dual[- ]licensed_under
 royalty-free,?_(?:irrevocable,?_)?(?:\(except_as_stated.{0,40}\)_)?patent_<lic>
 = gpl-exception 50
 classpath_exception
-(?:static|gcc_runtime_library|openssl)?_?linking_exception
+(?:(?:static|gcc_runtime_library|openssl)_?|<lead>)?linking_exception
 """

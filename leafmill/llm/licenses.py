@@ -28,7 +28,15 @@ from leafmill.llm.license_rules import FAMILIES, NOTICES
 #: Base phrases and their labels.
 BASE = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-_GAP = rb"(?:[\s*#/;>-]{1,24})"
+#: A run of any length, taken whole: shorter ones are not retried, so time stays linear in the text.
+_GAP = rb"(?:[\s*#/;>-]++)"
+#: Such a run with a hyphen inside, and one of three or more.
+_DASHED = rb"(?:[\s*#/;>-][\s*#/;>]*+-[\s*#/;>-]++)"
+_LONG = rb"(?:[\s*#/;>-]{3,}+)"
+#: One that may give marks back to a class after it that holds them too.
+_GIVING = rb"(?:[\s*#/;>-]+)"
+#: One that begins where the run does, so that a search tries it once.
+_LEAD = rb"(?:(?<![\s*#/;>-])[\s*#/;>-]++)"
 _IN = rb"[0-9a-z\x80-\xff]"
 _WORD = np.zeros(256, bool)
 _WORD[48:58] = _WORD[65:91] = _WORD[97:123] = True
@@ -51,14 +59,17 @@ class Detection(NamedTuple):
 
 
 def _compiled(pattern: str) -> re.Pattern[bytes]:
-    return re.compile(pattern.encode("latin-1").replace(b"_", _GAP).replace(b"<lic>", rb"licen[cs]e"), re.S)
+    out = pattern.encode("latin-1")
+    for short, full in ((b"_", _GAP), (b"<lic>", rb"licen[cs]e"), (b"<dash>", _DASHED), (b"<long>", _LONG), (b"<lead>", _LEAD), (b"<giving>", _GIVING)):
+        out = out.replace(short, full)
+    return re.compile(out, re.S)
 
 
 def _keyword(pattern: str) -> tuple[str, ...]:
     """A fixed run of letters in each alternative of a pattern, the longest: one of them occurs wherever it matches."""
     out = []
     for one in _alternatives(pattern):
-        runs = re.findall(r"[a-z]{3,}", re.sub(r"<lic>|\((?:[^()]|\([^()]*\))*\)[?*]?|\[[^\]]*\][?*+]?(?:\{[^}]*\})?|\\.|.[?*]", "_", one))
+        runs = re.findall(r"[a-z]{3,}", re.sub(r"<[a-z]+>|\((?:[^()]|\([^()]*\))*\)[?*]?|\[[^\]]*\][?*+]?(?:\{[^}]*\})?|\\.|.[?*]", "_", one))
         if not runs and "<lic>" in one:
             runs = ["licen"]
         out.append(max(runs or re.findall("[a-z]{2}", one), key=len))
@@ -86,7 +97,7 @@ def rules() -> tuple[Rule, ...]:
         out.append(Rule(label, 60, ("spdx-license-identifier",), _compiled(r"spdx-license-identifier:[ \t]*\(?(?:[a-z0-9.+-]+[ \t]+(?:or|and)[ \t]+)*" + "(?P<at>" + re.escape(name) + r")(?:-only|-or-later|\+)?(?![a-z0-9.-])")))
         out.append(Rule(label, 50, _keyword(title), _compiled(rf"(?<![a-z0-9])(?:{title})(?![a-z0-9])")))
         if address != "-":
-            out.append(Rule(label, 48, _keyword(address), _compiled(address)))
+            out.append(Rule(label, 48, _keyword(address), re.compile(address.encode("latin-1"), re.S)))
     label, priority = "", 0
     for line in NOTICES.strip().splitlines():
         if line.startswith("= "):

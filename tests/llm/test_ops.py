@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from leafmill.llm import langid, licenses, media, mixing, pieces, probminhash, quality, shingles, sketch, tokencount, urlfilter
+from leafmill.llm import langid, license_rules, licenses, media, mixing, pieces, probminhash, quality, shingles, sketch, tokencount, urlfilter
 from leafmill.llm import queries as Q
 from leafmill.llm.components import components
 
@@ -214,6 +214,32 @@ def test_license_keywords_of_every_alternative():
         assert label in scan(text)
 
 
+def test_license_gaps_of_any_length():
+    scanner = licenses.Scanner()
+    scan = lambda t: scanner.scan(t.encode())["labels"].split(",")
+    assert "apache-2.0" in scan(" " * 33 + "Apache License\n" + " " * 27 + "Version 2.0, January 2004\n" + " " * 24 + "http://www.apache.org/licenses/")
+    assert "gpl-3.0" in scan(" " * 20 + "GNU GENERAL PUBLIC LICENSE\n" + " " * 28 + "Version 3, 29 June 2007")
+    box = "\n" + "/*" + "*" * 70 + "*/\n" + "#" * 40 + "\n"
+    notices = [line for line in license_rules.NOTICES.strip().splitlines() if line.startswith("permission_is_hereby") or line.startswith("redistribution_and_use")]
+    for gap in (" " * 60, "\n" + " " * 60 + "* ", box):
+        assert {"mit", "bsd-2-clause"} <= set(scan("\n\n".join(n.replace(",?", "").replace("_", gap) for n in notices)))
+        for text, label in (("ICU License{}-{}ICU", "icu"), ("CERN Open Hardware Licence Version 2{}-{}Permissive", "cern-ohl-p-2.0"), ("Eclipse Public License{}-{}v 2.0", "epl-2.0"), ("Boost Software License{}-{}Version 1.0", "bsl-1.0"), ("{}{}licensed under{}the terms of x", "generic-license")):
+            assert label in scan(text.format(*[gap] * text.count("{}"))), (text, gap)
+    found = lambda t: {d.label: t[d.start : d.end] for d in scanner.detections(t)}
+    assert found(b"icu license - icu")["icu"] == b"icu license - icu" and "cern-ohl-p-2.0" not in found(b"cern open hardware licence version 2 permissive")
+    assert scanner.detections(b"boost software license" + b" - " * 50_000 + b"gnu gpl is copyright" + b"\n" * 200_000 + b"linking licensed under" + b"*" * 200_000)
+
+
+def test_license_addresses():
+    scanner = licenses.Scanner()
+    for line in license_rules.FAMILIES.strip().splitlines():
+        label, _, address = line.split(" | ")
+        for url in alternatives(re._parser.parse(address)) if address != "-" else []:
+            assert any(d.label == label and d.priority == 48 for d in scanner.detections(f"see https://{url} here".encode())), url
+    for url, label in (("http://www.boost.org/LICENSE_1_0.txt", "bsl-1.0"), ("http://www.php.net/license/3_01.txt", "php-3.01"), ("http://www.cecill.info/licences/Licence_CeCILL_V2.1-en.html", "cecill-2.1"), ("http://zlib.net/zlib_license.html", "zlib")):
+        assert label in scanner.scan(url.encode())["labels"].split(","), url
+
+
 def test_license_base(odd, texts):
     scanner = licenses.Scanner()
     tricky = ["MIT license, mit  LICENSE mit-license", "permit license", "mit licenses", "general public license apache\nlicense", "mit", "ümit license", "", "mit mit license license"]
