@@ -518,6 +518,24 @@ def test_url_cases(spark):
     assert {r["verdict"] for r in urlfilter.judge(one, []).collect()} == {"allow"}
 
 
+def test_url_statistics_cover_all_rows(spark):
+    rules = [urlfilter.Rule("org", "/a/", "allow"), urlfilter.Rule("org", "/b/", "block")]
+    bad = lambda i: zlib.crc32(b"%d" % i) % 2
+    rows = [(f"x://n{i:04d}.org/{'ab'[bad(i)]}/{k}",) for i in range(1500) for k in range(4)] + [(f"x://n{i:04d}.org/c/1",) for i in range(1500)]
+    pages = spark.createDataFrame(rows, "url string").withColumn("page_id", F.monotonically_increasing_id())
+    got = {}
+    for name, params in (("broadcast", urlfilter.UrlParams()), ("joined", urlfilter.UrlParams(broadcast_bytes=0)), ("sampled", urlfilter.UrlParams(sample=400))):
+        got[name] = sorted((r["page_id"], r["host"], r["verdict"], round(r["score"], 9)) for r in urlfilter.judge(pages, rules, params).where("rule IS NULL").collect())
+        assert sum((v == "block") == bad(int(h[1:5])) for _, h, v, _ in got[name]) > 1490
+    assert got["broadcast"] == got["joined"] and len(got["joined"]) == 1500
+    # a rare verdict beside a hot URL that a sample of rows would hold alone
+    hot = spark.range(500).select(F.concat(F.lit("x://hot.org/a/"), "id").alias("url")).orderBy(F.xxhash64("url")).first()["url"]
+    rare = [(hot,)] * 3000 + [(f"x://bad.org/b/{k}",) for k in range(8)] + [("x://bad.org/c/1",), ("x://hot.org/c/1",), (None,)]
+    few = spark.createDataFrame(rare, "url string").withColumn("page_id", F.monotonically_increasing_id())
+    scores = {r["host"]: r["score"] for r in urlfilter.judge(few, rules, urlfilter.UrlParams(sample=6)).where("rule IS NULL").collect()}
+    assert scores["bad.org"] > 0.5
+
+
 # 9 tokens
 
 
