@@ -79,3 +79,11 @@ def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list[by
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
+
+
+def excerpt(text: Column, most: int) -> Column:
+    """The text, or of one longer than ``most`` characters four parts spread evenly from its start to its end, as many in all."""
+    part = most // 4
+    step = (F.length(text) - part) / 3
+    parts = [F.substring(text, F.floor(step * k).cast("int") + 1, F.lit(part)) for k in range(4)]
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *parts))

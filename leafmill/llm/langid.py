@@ -21,14 +21,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._batches import crc32_mod, map_rows
+from leafmill.llm._batches import crc32_mod, excerpt, map_rows
 
 UNKNOWN = "und"
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``sample_docs`` and ``sample_chars`` bound the labelled rows that the fit reads for each language; prediction has no bound."""
+    """``sample_docs`` and ``sample_chars`` bound the labelled rows that the fit reads for each language: so many documents, and of a
+    longer text so many characters, in four parts spread over it. Only the ``max_languages`` languages of most documents are
+    learned; rarer ones are never predicted. Prediction has no bound."""
 
     profile: int = 400
     top: int = 300
@@ -117,14 +119,14 @@ def training_rows(documents: DataFrame, fold: int = 3, held: int = 1, params: La
     The draw is made on (hash, id) alone, by a per-language sketch of the least hashes: one range of the hash
     is kept whose expected count is twice the bound, so no language is gathered whole in one task.
     """
-    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod("doc_id", fold) != held) & (F.length("text") <= params.sample_chars))
+    usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod("doc_id", fold) != held))
     usable = usable.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
     if not counts:
         return []
     spark = documents.sparkSession
     limits = spark.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, (2 * params.sample_docs + 50) / r["count"]))) for r in counts], "lang string, most long")
-    drawn = usable.join(F.broadcast(limits), "lang").where("draw < most").select("lang", "draw", "doc_id", "text")
+    drawn = usable.join(F.broadcast(limits), "lang").where("draw < most").select("lang", "draw", "doc_id", excerpt(F.col("text"), params.sample_chars).alias("text"))
     got = drawn.toArrow().to_pylist()
     got.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
     taken: dict[str, int] = {}

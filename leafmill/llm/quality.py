@@ -23,13 +23,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm._batches import crc32_mod, map_rows
+from leafmill.llm._batches import crc32_mod, excerpt, map_rows
 
 
 @dataclass(frozen=True)
 class QualityParams:
     """``sample_docs`` and ``sample_chars`` bound the labelled rows that the fit reads on the driver: at most so
-    many documents of each label, of texts no longer than so many characters. Scoring has no bound."""
+    many documents of each label, and of a longer text so many characters, in four parts spread over it. Of the rows of a
+    label, those after the first ``sample_bytes`` characters are left out. Scoring has no bound."""
 
     block: int = 256
     dictionary_bytes: int = 64 << 10
@@ -125,15 +126,16 @@ def fit_rows(rows: list[tuple[str, int]], params: QualityParams = QualityParams(
 def training_rows(documents: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, params: QualityParams = QualityParams()) -> list[tuple[str, int]]:
     """A bounded, repeatable sample of labelled texts whose crc32(doc_id) mod ``fold`` is not ``held``.
 
-    Ids are drawn from the narrow label table (a top-k by hash for each label value), so that at most
-    2 * ``sample_docs`` ids are broadcast and as many texts come to the driver.
+    Ids are drawn from the labels of documents that have a text (a top-k by hash for each label value), so that at most
+    2 * ``sample_docs`` ids are broadcast and as many texts come to the driver; a label value that any of them bears is drawn.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & (crc32_mod("doc_id", fold) != held)).select("doc_id", "quality")
     ranked = usable.groupBy("doc_id").agg(F.max("quality").alias("quality"), F.min("quality").alias("least")).where("quality = least").select("doc_id", "quality", F.xxhash64("doc_id").alias("draw"))
+    texts = documents.where(F.col("text").isNotNull()).select("doc_id", "text")
+    ranked = ranked.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     drawn = [ranked.where(F.col("quality") == q).orderBy("draw", "doc_id").limit(params.sample_docs) for q in (0, 1)]
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
-    texts = documents.where(F.col("text").isNotNull() & (F.length("text") <= params.sample_chars)).select("doc_id", "text")
-    got = texts.join(chosen, "doc_id").select("draw", "doc_id", "text", "quality").toArrow().to_pylist()
+    got = texts.join(chosen, "doc_id").select("draw", "doc_id", excerpt(F.col("text"), params.sample_chars).alias("text"), "quality").toArrow().to_pylist()
     got.sort(key=lambda r: (r["draw"], r["doc_id"], r["text"]))
     rows, held_bytes = [], [0, 0]
     for r in got:

@@ -57,6 +57,18 @@ def test_quality_cases(spark, odd):
     assert quality.classify(empty, quality.fit(empty, labels)).count() == 0
 
 
+def test_long_labelled_texts_are_learned(spark):
+    good, bad = "good plain words in a row of many more. ", "%%% ### $$$ &&& ***"
+    rows = [(i, good * 10, "en") for i in range(60)] + [(i, bad * 2000, "zz") for i in range(60, 120)] + [(i, "ждущий текст длинной книги " * 1500, "ru") for i in range(120, 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(120)] + [(i, 0) for i in range(1000, 1400)], "doc_id long, quality int")
+    model = quality.fit(docs, labels, quality.QualityParams(sample_docs=40))
+    assert model.good and model.bad
+    assert quality.score_texts(model, [good.encode() * 9])[0] > 0.5 > quality.score_texts(model, [bad.encode() * 9])[0]
+    assert max(len(t) for t, _ in quality.training_rows(docs, labels)) <= 20_003
+    assert langid.Ranker(langid.fit(docs)).predict("длинный текст")[0] == "ru"
+
+
 # 2 language
 
 
