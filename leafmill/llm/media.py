@@ -49,16 +49,16 @@ def _fields(data: bytes, start: int, n: int) -> tuple[list[int], int]:
     return out, start
 
 
-def _samples(data: bytes, start: int, shape: tuple[int, ...], top: int) -> np.ndarray:
+def _samples(data: bytes, start: int, shape: tuple[int, ...], top: int, most: int) -> np.ndarray:
     kind, n = (np.dtype(">u2") if top > 255 else np.dtype("u1")), int(np.prod(shape, dtype=object))
-    if n > MAX_PIXELS:
+    if n > most:
         raise MediaError("image too large")
     if len(data) - start < n * kind.itemsize:
         raise MediaError("image data cut short")
     return np.frombuffer(data, kind, n, start).reshape(shape)
 
 
-def _netpbm(data: bytes) -> np.ndarray:
+def _netpbm(data: bytes, most: int) -> np.ndarray:
     kind = data[1] - 48
     if kind == 7:
         end = data.find(b"ENDHDR\n")
@@ -69,22 +69,22 @@ def _netpbm(data: bytes) -> np.ndarray:
             raise MediaError("bad PAM header") from e
         if min(w, h, d) < 1 or not 0 < top < 65536:
             raise MediaError("bad PAM header")
-        image = _samples(data, end + 7, (h, w, d), top)
+        image = _samples(data, end + 7, (h, w, d), top, most)
         return image[:, :, 0] if d == 1 else image
     values, at = _fields(data, 2, 2 if kind in (1, 4) else 3)
     w, h = values[:2]
     top = 1 if kind in (1, 4) else values[2]
     if min(w, h) < 1 or not 0 < top < 65536:
         raise MediaError("bad Netpbm header")
-    if w * h > MAX_PIXELS:
+    if w * h > most:
         raise MediaError("image too large")
     deep = 3 if kind in (3, 6) else 1
     shape = (h, w, 3) if deep == 3 else (h, w)
     if kind == 4:
-        rows = _samples(data, at + 1, (h, (w + 7) // 8), 255)
+        rows = _samples(data, at + 1, (h, (w + 7) // 8), 255, most)
         return 1 - np.unpackbits(rows, axis=1)[:, :w]
     if kind in (5, 6):
-        return _samples(data, at + 1, shape, top)
+        return _samples(data, at + 1, shape, top, most)
     body = re.sub(rb"#[^\n\r]*", b" ", data[at:])
     parts = [bytes([c]) for c in body if c in b"01"] if kind == 1 else body.split()
     if len(parts) < w * h * deep:
@@ -120,10 +120,10 @@ def _bmp(data: bytes) -> np.ndarray:
     return palette[index]
 
 
-def decode(data: bytes) -> np.ndarray:
-    """Height x width, or height x width x channels, of a Netpbm or BMP file."""
+def decode(data: bytes, most: int | None = None) -> np.ndarray:
+    """Height x width, or height x width x channels, of a Netpbm or BMP file; a Netpbm of up to ``most`` samples, else ``MAX_PIXELS``."""
     if len(data) >= 3 and data[:1] == b"P" and 49 <= data[1] <= 55 and data[2:3].isspace():
-        return _netpbm(data)
+        return _netpbm(data, MAX_PIXELS if most is None else most)
     if data[:2] == b"BM":
         return _bmp(data)
     raise MediaError("neither Netpbm nor BMP")
@@ -179,6 +179,22 @@ def tiles(image: np.ndarray, size: int = 256) -> Iterator[tuple[int, int, bytes]
             yield y // size, x // size, out.getvalue()
 
 
+def from_tiles(parts: Iterator[tuple[int, int, bytes]]) -> np.ndarray:
+    """The image that was cut to tiles."""
+    rows: dict[int, list[np.ndarray]] = {}
+    for y, _, npy in parts:
+        rows.setdefault(y, []).append(np.load(io.BytesIO(npy), allow_pickle=False))
+    return np.concatenate([r[0] if len(r) == 1 else np.concatenate(r, axis=1) for r in rows.values()])
+
+
+def text_row(data: bytes, unit: int) -> tuple:
+    """The features of one text: its PGM is decoded whatever its length, cut to NPY tiles and put together from them."""
+    stored = encode_pgm(data + bytes(-len(data) % unit or (0 if data else unit)), unit)
+    image = from_tiles(tiles(decode(stored, len(stored))))
+    payload = image.tobytes()
+    return len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{image.shape[1]}x{image.shape[0]}:{difference_hash(image)}"
+
+
 def decode_media(media: DataFrame, column: str = "content", tile: int | None = None) -> DataFrame:
     """Adds width, height, channels, dhash and error; with ``tile``, one row for each tile (tile_row, tile_column, npy) instead."""
     one = "width int, height int, channels int, dhash string, error string"
@@ -210,17 +226,13 @@ def decode_media(media: DataFrame, column: str = "content", tile: int | None = N
 
 
 def text_media(documents: DataFrame, unit: int = 64) -> DataFrame:
-    """Each text's UTF-8 bytes, padded by zeros to whole rows, stored as a PGM image and read back."""
+    """Each text's UTF-8 bytes, padded by zeros to whole rows, stored as a PGM image and read back through NPY tiles."""
 
     def make():
         def work(part: pa.RecordBatch) -> dict:
             out: dict[str, list] = {k: [] for k in ("n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")}
             for data in part.column("text").cast(pa.binary()).to_pylist():
-                data = data or b""
-                stored = encode_pgm(data + bytes(-len(data) % unit or (0 if data else unit)), unit)
-                image = decode(stored)
-                payload = image.tobytes()
-                for k, v in zip(out, (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest(), f"{image.shape[1]}x{image.shape[0]}:{difference_hash(image)}")):
+                for k, v in zip(out, text_row(data or b"", unit)):
                     out[k].append(v)
             return {"doc_id": part.column("doc_id")} | out
 

@@ -161,6 +161,18 @@ def test_area_resize():
         assert np.allclose(media.area_resize(a, 8, 9), want)
 
 
+def test_text_media_tiles_and_long_texts(monkeypatch):
+    image = np.arange(600 * 300, dtype=np.uint32).reshape(600, 300)
+    assert (media.from_tiles(media.tiles(image)) == image).all()
+    monkeypatch.setattr(media, "MAX_PIXELS", 1000)
+    cut = []
+    monkeypatch.setattr(media, "tiles", lambda image, size=256, real=media.tiles: cut.append(image.shape) or real(image, size))
+    data = b"a longer text than the bound " * 1000
+    assert media.text_row(data, 64)[:2] == (29_000, 29_056) and cut == [(454, 64)]
+    with pytest.raises(media.MediaError):
+        media.decode(media.encode_pgm(bytes(1024), 64))
+
+
 def test_media_table(spark):
     df = spark.createDataFrame([(1, bytearray(media.encode_pgm(bytes(range(64)) * 3, 64)), "w"), (2, None, "w"), (3, bytearray(b"junk"), "w")], "id int, content binary, width string")
     got = {r["id"]: r for r in media.decode_media(df).collect()}
