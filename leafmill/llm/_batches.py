@@ -17,10 +17,11 @@ STEP_BYTES = 2 << 20
 BATCH_BYTES = 8 << 20
 
 
-def steps(batches: Iterable[pa.RecordBatch], column: str, limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches, in order, each of one row or of at most ``limit`` bytes in ``column``."""
+def steps(batches: Iterable[pa.RecordBatch], columns: str | tuple[str, ...], limit: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches, in order, each of one row or of at most ``limit`` bytes in ``columns`` together."""
+    names = (columns,) if isinstance(columns, str) else columns
     for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+        sizes = [sum(x) for x in zip(*[pc.fill_null(pc.binary_length(batch.column(c)), 0).to_pylist() for c in names])]
         start = held = 0
         for i, n in enumerate(sizes):
             if i > start and held + n > limit:
@@ -38,7 +39,7 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
-def map_rows(df: DataFrame, column: str, schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def map_rows(df: DataFrame, column: str | tuple[str, ...], schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Map ``df`` by Arrow batches of bounded size.
 
     ``make`` runs once in each task and returns the function that turns a slice into columns
@@ -63,10 +64,19 @@ def crc32_mod(column: str | Column, n: int) -> Column:
 
 
 def with_checkpoints(spark: SparkSession) -> None:
-    """Make checkpoint() usable: the cluster's spark.checkpoint.dir rules; a folder of ours only where none is set."""
+    """Make checkpoint() usable: the cluster's spark.checkpoint.dir rules. A folder of ours serves where none is set and
+    driver and executors are one process; on a cluster it would be another folder on each machine, so that is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        context.setCheckpointDir(folder or "/tmp/checkpoints")
+
+
+def small_enough(table: DataFrame, rows: int) -> bool:
+    """Whether the table has at most so many rows; reads no more than are needed to tell."""
+    return table.limit(rows + 1).count() <= rows
 
 
 def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list[bytes | None]], list[bool]]]) -> DataFrame:

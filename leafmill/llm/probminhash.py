@@ -6,8 +6,9 @@
   arrivals come later than everything its registers hold.
 * Bands of registers make candidates: each document is paired with the leader of its bucket, the member that sits in the
   largest buckets all told.
-* Verification computes the exact J_P from both texts; 0.8 or more links them. Linked texts form classes.
-* Buckets that still hold several classes are settled exactly: their members are compared in blocks, and pairs of different
+* Pairs whose registers put them more than four standard deviations below the threshold are dropped. Of the others the texts
+  are fetched and the exact J_P computed; 0.8 or more links them. Linked texts form classes.
+* Buckets that still hold several classes are settled exactly: their members' registers are compared in blocks, and pairs of different
   classes that may reach the threshold are verified as well.
 
 Equal texts are one node throughout and cost one signature comparison.
@@ -15,13 +16,15 @@ Equal texts are one node throughout and cost one signature comparison.
 Defined results: null and wordless texts are near-duplicates only of the same bytes (null counts as empty). Texts under five words are
 one shingle of all their words. A document without near-duplicates is its own class. Rows that share a doc_id count as one
 document. A null doc_id counts as a
-negative id made of the text's hash. Ties go to the least id. An empty
-table gives an empty result. Other columns play no part.
+negative id made of the text's hash; other ids must be integers or cast to them. Ties go to the least id. An empty
+table gives an empty result. Other columns play no part. A very long text is held whole by one task, at about 64 bytes a
+byte while it is cut to shingles; blocks of a bucket are bounded in rows and in bytes of text.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm._batches import map_rows, with_checkpoints
+from leafmill.llm._batches import map_rows, small_enough, steps, with_checkpoints
 from leafmill.llm.components import components
 from leafmill.llm.shingles import mix, shingles
 
@@ -43,13 +46,22 @@ class NearParams:
     bands: int = 25
     rows: int = 5
     threshold: float = 0.8
-    #: Members of one bucket that are compared in one block.
+    #: Members of one bucket that are compared in one block, and bytes of their texts.
     block: int = 1024
+    block_bytes: int = 8 << 20
+    #: Nodes up to which a list of them is broadcast to pick their rows; beyond, the rows are shuffled.
+    broadcast_nodes: int = 1_000_000
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least(self) -> int:
+        """Equal registers without which a pair is more than four standard deviations below the threshold."""
+        m, t = self.registers, self.threshold
+        return int(m * (t - 4 * (t * (1 - t) / m) ** 0.5))
+
 
 def signatures(owner: np.ndarray, value: np.ndarray, weight: np.ndarray, n: int, m: int) -> np.ndarray:
     """n x m registers, each the hash of the shingle that arrived first; 0 for texts without shingles.
@@ -95,7 +107,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _signed(text: DataFrame, params: NearParams) -> DataFrame:
-    """doc_id, digest, keys (one for each band), registers (16 bits of each); keys are null where there is no shingle."""
+    """doc_id, digest, n_bytes, registers (16 bits of each); registers are null where there is no shingle."""
 
     def make():
         def work(part: pa.RecordBatch) -> dict:
@@ -103,23 +115,42 @@ def _signed(text: DataFrame, params: NearParams) -> DataFrame:
             owner, value, weight = shingles(texts)
             who = signatures(owner, value, weight, len(texts), params.registers)
             some = np.bincount(owner, minlength=len(texts)) > 0
-            key = np.full((len(texts), params.bands), 0, np.uint64) + mix(np.arange(1, params.bands + 1, dtype=np.uint64) * _STEP)
-            for r in range(params.rows):
-                key = mix(key + who[:, r :: params.rows])
             return {
                 "doc_id": part.column("doc_id"),
                 "digest": [hashlib.md5(t).digest() for t in texts],
-                "keys": [k if ok else None for k, ok in zip(key.view(np.int64).tolist(), some.tolist())],
-                "registers": [r.tobytes() for r in (who & np.uint64(0xFFFF)).astype("<u2")],
+                "n_bytes": [len(t) for t in texts],
+                "registers": [r.tobytes() if ok else None for r, ok in zip((who & np.uint64(0xFFFF)).astype("<u2"), some.tolist())],
             }
 
         return work
 
-    return map_rows(text, "text", "doc_id long, digest binary, keys array<long>, registers binary", make)
+    return map_rows(text, "text", "doc_id long, digest binary, n_bytes long, registers binary", make)
+
+
+def _members(by_text: DataFrame, params: NearParams) -> DataFrame:
+    """band, key and node, one row for each band of a text's registers; a key is the hash of the band and its registers."""
+    bands = F.transform(F.sequence(F.lit(0), F.lit(params.bands - 1)), lambda b: F.struct(b.cast("byte").alias("band"), F.xxhash64(F.substring("registers", b * 2 * params.rows + 1, F.lit(2 * params.rows)), b).alias("key")))
+    return by_text.where("registers IS NOT NULL").select("node", F.inline(bands))
+
+
+def _plausible(pairs: DataFrame, by_text: DataFrame, params: NearParams) -> DataFrame:
+    """The pairs (a, b) whose registers let them reach the threshold within four standard deviations; no text is read."""
+    sign = by_text.where("registers IS NOT NULL")
+    joined = pairs.join(sign.select(F.col("node").alias("a"), F.col("registers").alias("sign_a")), "a").join(sign.select(F.col("node").alias("b"), F.col("registers").alias("sign_b")), "b")
+
+    def make():
+        def work(part: pa.RecordBatch) -> dict:
+            one, other = (np.frombuffer(b"".join(part.column(c).to_pylist()), "<u2").reshape(-1, params.registers) for c in ("sign_a", "sign_b"))
+            keep = pa.array(np.flatnonzero((one == other).sum(1) >= params.least), pa.int64())
+            return {c: part.column(c).take(keep) for c in ("a", "b")}
+
+        return work
+
+    return map_rows(joined.select("a", "b", "sign_a", "sign_b"), ("sign_a", "sign_b"), "a long, b long", make)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
-    """The pairs (a, b) whose texts reach the threshold. ``texts``: node, text. Only nodes in pairs are shuffled."""
+    """The pairs (a, b) whose texts reach the threshold. ``texts``: node, text."""
     joined = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
 
     def make():
@@ -136,35 +167,78 @@ def _verified(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFra
 
         return work
 
-    return map_rows(joined.select("a", "b", "text_a", "text_b"), "text_b", "a long, b long", make)
+    return map_rows(joined.select("a", "b", "text_a", "text_b"), ("text_a", "text_b"), "a long, b long", make)
 
 
-def _across(members: DataFrame, params: NearParams) -> DataFrame:
-    """Links between texts of different classes in one bucket, by exact verification; enough of them to join what belongs together.
+def _meetings(members: DataFrame, params: NearParams) -> DataFrame:
+    """The members of open buckets dealt to groups that are compared: key, with_main, i, j, and the members' own columns.
 
-    ``members``: key, band, node, class, registers, text. A bucket's largest class is dealt over blocks of at most
-    ``block`` members or so, and so are all its other members; groups are one block of the others with one of the
-    largest class, or two blocks of the others. Members of one class are never compared, so a large class costs no
-    more than its size times the number of blocks of others. A pair is looked at in the first bucket that it shares, and only if its registers
-    let it reach the threshold within four standard deviations. A group emits a spanning forest of its links, fewer
-    rows than it has members, however many pairs are alike.
+    ``members``: key, band, node, class, registers, n_bytes. A bucket's largest class is dealt over blocks of at most
+    ``block`` members and ``block_bytes`` of text or so, and so are all its other members; a group is one block of the
+    others with one of the largest class, or two blocks of the others. Members of one class are never compared, so a
+    large class costs no more than its size times the number of blocks of others. No text is dealt.
     """
-    sizes = members.groupBy("key", "class").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "class")).alias("main"), F.sum("size").alias("all"))
-    main = main.select("key", F.col("main.class").alias("main"), F.ceil(F.col("main.size") / params.block).cast("int").alias("p"), F.ceil((F.col("all") - F.col("main.size")) / params.block).cast("int").alias("q"))
+    sizes = members.groupBy("key", "class").agg(F.count("*").alias("size"), F.sum("n_bytes").alias("bytes"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "class", "bytes")).alias("main"), F.sum("size").alias("size"), F.sum("bytes").alias("bytes"))
+    blocks = lambda size, held: F.ceil(F.greatest(size / params.block, held / params.block_bytes, F.lit(1))).cast("int")
+    main = main.select("key", F.col("main.class").alias("main"), blocks(F.col("main.size"), F.col("main.bytes")).alias("p"), blocks(F.col("size") - F.col("main.size"), F.col("bytes") - F.col("main.bytes")).alias("q"))
     dealt = members.join(main, "key").withColumn("in_main", F.col("class") == F.col("main")).withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("in_main"), F.col("p")).otherwise(F.col("q"))).cast("int"))
     to_others = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda k: F.when(F.col("in_main"), F.struct(F.lit(True).alias("with_main"), k.alias("i"), F.col("own").alias("j"))).otherwise(F.struct(F.lit(False).alias("with_main"), F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))))
     to_main = F.transform(F.sequence(F.lit(0), F.col("p") - 1), lambda k: F.struct(F.lit(True).alias("with_main"), F.col("own").alias("i"), k.alias("j")))
-    meets = dealt.withColumn("at", F.explode(F.when(F.col("in_main"), to_others).otherwise(F.concat(to_others, to_main)))).select("key", "at.*", "band", "own", "node", "class", "registers", "text")
-    m, t = params.registers, params.threshold
-    least = int(m * (t - 4 * (t * (1 - t) / m) ** 0.5))
+    return dealt.withColumn("at", F.explode(F.when(F.col("in_main"), to_others).otherwise(F.concat(to_others, to_main)))).select("key", "at.*", "band", "own", "node", "class", "registers")
+
+
+#: What names a group of members that are compared.
+GROUP = ("key", "with_main", "i", "j")
+
+
+class Group:
+    """One group: its members' columns, and which of them may be alike by their registers."""
 
-    def links(group: pa.Table) -> pa.Table:
-        own, node, kind = (group.column(c).to_numpy() for c in ("own", "node", "class"))
-        sign = np.frombuffer(b"".join(group.column("registers").to_pylist()), "<u2").reshape(len(node), m)
-        band = group.column("band")[0].as_py()
-        apart = not group.column("with_main")[0].as_py() and group.column("i")[0].as_py() != group.column("j")[0].as_py()
-        root = {k: k for k in kind.tolist()}
+    def __init__(self, table: pa.Table, params: NearParams):
+        self.own, self.node, self.kind = (table.column(c).to_numpy() for c in ("own", "node", "class"))
+        self.sign = np.frombuffer(b"".join(table.column("registers").to_pylist()), "<u2").reshape(len(self.node), params.registers)
+        self.band, self.params = table.column("band")[0].as_py(), params
+        self.apart = not table.column("with_main")[0].as_py() and table.column("i")[0].as_py() != table.column("j")[0].as_py()
+        self.later = np.arange(len(self.node))
+
+    def partners(self, k: int, now: np.ndarray) -> np.ndarray:
+        """The members after k of another class than k's in ``now`` that may reach the threshold, unless an earlier bucket has both."""
+        near = (now != now[k]) & (self.later > k)
+        if self.apart:
+            near &= self.own != self.own[k]
+        at = np.flatnonzero(near)
+        same = self.sign[at] == self.sign[k]
+        good = same.sum(1) >= self.params.least
+        at, same = at[good], same[good]
+        if self.band and len(at):
+            at = at[~same[:, : self.band * self.params.rows].reshape(len(at), self.band, self.params.rows).all(2).any(1)]
+        return at
+
+
+def _across(members: DataFrame, texts_of: Callable[[DataFrame], DataFrame], params: NearParams) -> DataFrame:
+    """Links between texts of different classes in one bucket, by exact verification; enough of them to join what belongs together.
+
+    First the groups of ``_meetings`` are screened by registers alone; only members with a partner that may be alike go
+    on. Their texts (``texts_of``: node, text of some nodes) are fetched and the pairs verified. A pair is looked at in
+    the first bucket that it shares. A group emits a spanning forest of its links, fewer rows than it has members,
+    however many pairs are alike.
+    """
+    meets = _meetings(members, params)
+    kind = meets.schema
+
+    def screened(table: pa.Table) -> pa.Table:
+        group = Group(table, params)
+        on = np.zeros(len(group.node), bool)
+        for k in range(len(group.node)):
+            at = group.partners(k, group.kind)
+            on[at] = True
+            on[k] |= len(at) > 0
+        return table.filter(pa.array(on))
+
+    def links(table: pa.Table) -> pa.Table:
+        group = Group(table, params)
+        root = {k: k for k in group.kind.tolist()}
 
         def top(k: int) -> int:
             while root[k] != k:
@@ -172,46 +246,46 @@ def _across(members: DataFrame, params: NearParams) -> DataFrame:
                 k = root[k]
             return k
 
-        bags, out = None, []
-        now = kind.copy()  # the class each member belongs to by now
-        for k in range(len(node)):
-            near = (now != now[k]) & (np.arange(len(node)) > k)
-            if apart:
-                near &= own != own[k]
-            at = np.flatnonzero(near)
-            if not len(at):
-                continue
-            same = sign[at] == sign[k]
-            good = same.sum(1) >= least
-            at, same = at[good], same[good]
-            earlier = same[:, : band * params.rows].reshape(len(at), band, params.rows).all(2).any(1) if band else np.zeros(len(at), bool)
-            at = at[~earlier]
-            if not len(at):
-                continue
-            bags = bags or Bags(group.column("text").cast(pa.binary()).to_pylist())
-            for j in bags.alike(k, at, t):
-                a, b = top(kind[k]), top(kind[j])
+        bags, out = Bags(table.column("text")), []
+        now = group.kind.copy()  # the class each member belongs to by now
+        for k in range(len(group.node)):
+            at = group.partners(k, now)
+            joined = False
+            for j in bags.alike(k, at, params.threshold) if len(at) else ():
+                a, b = top(group.kind[k]), top(group.kind[j])
                 if a != b:
                     root[max(a, b)] = min(a, b)
-                    out.append((max(node[k], node[j]), min(node[k], node[j])))
-            now = np.array([top(x) for x in kind.tolist()]) if out else now
+                    out.append((max(group.node[k], group.node[j]), min(group.node[k], group.node[j])))
+                    joined = True
+            if joined:
+                now = np.array([top(x) for x in group.kind.tolist()])
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
-    return meets.groupBy("key", "with_main", "i", "j").applyInArrow(links, "a long, b long").distinct()
+    held = meets.groupBy(*GROUP).applyInArrow(screened, kind).checkpoint()
+    return held.join(texts_of(held.select("node").distinct()), "node").groupBy(*GROUP).applyInArrow(links, "a long, b long").distinct()
 
 
 class Bags:
     """The weighted shingles of some texts, and one text's similarity to many at once."""
 
-    def __init__(self, texts: list[bytes | None]):
-        owner, value, self.weight = shingles([t or b"" for t in texts])
-        self.at = np.searchsorted(owner, np.arange(len(texts) + 1))
-        self.value = value
-        _, self.index = np.unique(value, return_inverse=True)
-        self.n = np.diff(self.at)
+    def __init__(self, texts: pa.ChunkedArray):
+        """Texts are cut to shingles a few megabytes at a time, so the working memory is that of one step and 20 bytes a shingle."""
+        found = [(k, v, w) for part in steps(pa.table({"text": texts}).to_batches(), "text") for k, v, w in [self.cut(part)]]
+        self.n = np.concatenate([k for k, _, _ in found])
+        self.at = np.concatenate([[0], np.cumsum(self.n)])
+        self.value, self.weight = (np.concatenate([f[i] for f in found]) for i in (1, 2))
+        _, self.index = np.unique(self.value, return_inverse=True)
+        self.index = self.index.astype(np.int32)
+        value = self.value
         self.flat = np.array([self.weight[a:b].max(initial=1) == 1 for a, b in zip(self.at[:-1], self.at[1:])])
         self.mark = np.zeros(len(value) + 1, bool)
 
+    @staticmethod
+    def cut(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        texts = [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+        owner, value, weight = shingles(texts)
+        return np.bincount(owner, minlength=len(texts)), value, weight.astype(np.int32)
+
     def bag(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         return self.value[self.at[k] : self.at[k + 1]], self.weight[self.at[k] : self.at[k + 1]]
 
@@ -251,31 +325,50 @@ def near_classes(documents: DataFrame, params: NearParams = NearParams()) -> Dat
 
     One row for each row of ``documents``; class_id is the least doc_id of the class; kept marks that document.
     """
+    return _classes(documents, params).drop("digest")
+
+
+def _classes(documents: DataFrame, params: NearParams) -> DataFrame:
     with_checkpoints(documents.sparkSession)
     source = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed = _signed(source, params).checkpoint()
-    by_text = signed.groupBy("digest").agg(F.coalesce(F.min("doc_id"), stand_in(F.col("digest"))).alias("node"), F.count("*").alias("n_copies"), F.first("keys").alias("keys"), F.first("registers").alias("registers"))
-    by_text = by_text.checkpoint()
-    member = by_text.where("keys IS NOT NULL").select("node", F.posexplode("keys").alias("band", "key"))
+    node = F.coalesce(F.min("doc_id"), stand_in(F.col("digest"))).alias("node")
+    by_text = _signed(source, params).groupBy("digest").agg(node, F.count("*").alias("n_copies"), F.first("n_bytes").alias("n_bytes"), F.first("registers").alias("registers")).checkpoint()
+    member = _members(by_text, params)
     sizes = member.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = _with_leaders(member.join(sizes, "key").checkpoint()).checkpoint()
-    texts = _texts(source, by_text, shared)
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node, text (one) of the wanted nodes."""
+        picked = _picked(source.select(key_of(source).alias("node"), "text"), wanted.checkpoint(), "left_semi", params)
+        return picked.groupBy("node").agg(F.min("text").alias("text"))
+
     first = shared.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
+    first = _plausible(first, by_text, params).distinct().checkpoint()
+    texts = texts_of(first.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     links = _verified(first, texts, params).distinct().checkpoint()
     labels = components(links)
 
     classed = shared.join(labels.withColumnRenamed("class", "label"), "node", "left").select("key", "band", "node", F.coalesce("label", "node").alias("class"))
     open_keys = classed.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("key")
-    rest = classed.join(open_keys, "key", "left_semi").checkpoint()
-    once = texts.join(rest.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
-    extra = _across(rest.join(by_text.select("node", "registers"), "node").join(once, "node"), params).checkpoint()
+    rest = classed.join(open_keys, "key", "left_semi")
+    extra = _across(rest.join(by_text.where("registers IS NOT NULL").select("node", "registers", "n_bytes"), "node").checkpoint(), texts_of, params).checkpoint()
     if not extra.isEmpty():
         links = links.unionAll(extra)
         labels = components(links)
     ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     facts = by_text.select("digest", "node", "n_copies").join(labels, "node", "left").join(ends, "node", "left")
     facts = facts.select("digest", F.coalesce("class", "node").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return signed.select("doc_id", "digest").join(facts, "digest").select("doc_id", "class_id", "n_copies", "n_links", (F.coalesce("doc_id", stand_in(F.col("digest"))) == F.col("class_id")).alias("kept"))
+    rows = source.select("doc_id", digest_of(source).alias("digest"))
+    return rows.join(facts, "digest").select("doc_id", "class_id", "n_copies", "n_links", (F.coalesce("doc_id", stand_in(F.col("digest"))) == F.col("class_id")).alias("kept"), "digest")
+
+
+def digest_of(documents: DataFrame) -> Column:
+    return F.unhex(F.md5(F.coalesce(documents["text"], F.lit(""))))
+
+
+def _picked(rows: DataFrame, nodes: DataFrame, how: str, params: NearParams) -> DataFrame:
+    """Join texts with a table of nodes that is broadcast only after its rows were counted; a larger one costs a shuffle of the texts."""
+    return rows.join(F.broadcast(nodes) if small_enough(nodes, params.broadcast_nodes) else nodes, nodes.columns, how)
 
 
 def _with_leaders(shared: DataFrame) -> DataFrame:
@@ -290,17 +383,13 @@ def _with_leaders(shared: DataFrame) -> DataFrame:
     return shared.drop("size").join(leaders, "key")
 
 
-def _texts(source: DataFrame, by_text: DataFrame, shared: DataFrame) -> DataFrame:
-    """node, text of the nodes that share a bucket with another one; the rest of the texts is not moved."""
-    wanted = shared.select("node").distinct()
-    return source.select(key_of(source).alias("node"), "text").join(wanted, "node", "left_semi")
-
-
 def keep_one(documents: DataFrame, params: NearParams = NearParams()) -> DataFrame:
     """The rows of ``documents`` that stay: of each class the document of the least id, once."""
-    classes = near_classes(documents, params)
-    kept = classes.where("kept").groupBy(F.col("class_id").alias("__node")).agg(F.count("*").alias("__times"))
-    keyed = documents.withColumn("__node", key_of(documents)).join(kept, "__node")
-    first = Window.partitionBy("__node").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
-    repeated = keyed.where("__times > 1").withColumn("__n", F.row_number().over(first)).where("__n = 1")
-    return keyed.where("__times = 1").select(documents.columns).unionByName(repeated.select(documents.columns))
+    node, digest = "__near_node", "__near_digest"
+    keyed = documents.withColumns({node: key_of(documents), digest: digest_of(documents)})
+    classes = _classes(documents, params).select(F.coalesce("doc_id", stand_in(F.col("digest"))).alias(node), F.col("digest").alias(digest), "kept").checkpoint()
+    left = _picked(keyed, classes.where("NOT kept").select(node, digest).distinct().checkpoint(), "left_anti", params)
+    repeated = classes.where("kept").groupBy(node).count().where("count > 1").select(node).checkpoint()
+    first = Window.partitionBy(node).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in documents.columns]))
+    again = _picked(left, repeated, "left_semi", params).withColumn("__near_n", F.row_number().over(first)).where("__near_n = 1")
+    return _picked(left, repeated, "left_anti", params).select(documents.columns).unionByName(again.select(documents.columns))
