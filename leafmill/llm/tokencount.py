@@ -1,21 +1,24 @@
 """Operator 9, token counts: exact counts by a tokenizer library, huge texts by overlap resynchronisation.
 
-A text up to ``chunk`` code points is encoded whole. A longer one is cut into chunks that overlap; each is
-encoded with offsets. Two neighbours are spliced at a boundary inside their overlap that both encodings have and that is
-proven stable: what stands left of it cannot change the tokens right of it, nor the other way round.
+A text up to ``chunk`` units (UTF-8 bytes for a .model, code points for a .json) is encoded whole. A longer one is covered by windows of ``chunk``
+units that overlap; each is encoded once, with offsets. Two neighbours are spliced at a boundary inside their overlap
+that both encodings have and that is proven stable: what stands left of it cannot change the tokens right of it, nor the
+other way round. Between the first and the last such boundary of an overlap both encodings must agree.
 
 * SentencePiece BPE: no piece of the vocabulary holds a blank after another character, so no merge crosses a place
-  where a blank follows another character. Such a place is a token boundary in any text around it.
+  where a blank follows another character. Such a place is a token boundary in any text around it. Offsets follow from the pieces' lengths,
+  whose sum must be the window's. A model whose normaliser changes texts, or without byte pieces, is not proven: its texts are encoded whole.
 * Byte-level BPE (.json): words are cut off from left to right without looking back, so once two encodings both start a
-  word at a place, they agree from there on. The left chunk's last word can still depend on what follows, so the place
-  must lie before its last word start.
+  word at a place, they agree from there on. The left window's last word can still depend on what follows, so the place
+  must lie before its last token.
 
-If an overlap holds no such boundary, or the encodings disagree after it, the overlap is widened, at last to the
-whole rest of the text.
+If an overlap holds no such boundary, or the encodings disagree, the overlap is doubled; once it would reach back to the
+last splice, the left window is doubled instead, at last to the whole rest of the text.
 
 Defined results: a null text counts as empty and has 0 tokens; special strings inside texts are handled as the
-library's default; repeated rows get the same count each; an empty table gives an empty result; other
-columns play no part.
+library's default; repeated rows and null ids get the same count each; an empty table gives an empty result; other
+columns play no part. A text is held whole by one task; what the windows need besides is bounded unless the text lacks
+stable boundaries.
 """
 
 from __future__ import annotations
@@ -32,83 +35,125 @@ from leafmill.llm._batches import map_rows
 
 @dataclass(frozen=True)
 class TokenParams:
-    chunk: int = 50_000
-    overlap: int = 512
+    chunk: int = 4_000
+    overlap: int = 256
     limit: int = 4096
 
 
 class SentencePieceCounter:
-    """Counts and offsets of a SentencePiece BPE model without normalisation."""
+    """Counts and offsets of a SentencePiece BPE model; texts are UTF-8 bytes."""
+
+    #: What a normaliser may change: runs of blanks, blanks at the ends, compatibility forms, case, composition.
+    PROBE = "  A  b\u00a0\ufb01\u2460\uff21e\u0301\u00e9\u3000\tx\n y  "
 
     def __init__(self, path: str):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
-        self.provable = not any("▁" in p.lstrip("▁") for p in pieces)
-
-    def count(self, text: str, begin: int = 0) -> int:
-        """Tokens from ``begin`` on, which is 0 or a stable boundary: there the library's own blank stands for the text's."""
-        return len(self.model.encode(text[begin + (begin > 0) :] if begin else text, num_threads=1))
-
-    def starts(self, text: str, begin: int, end: int) -> list[int]:
-        """Where each token of text[begin:end] starts, in code points of ``text``."""
-        skip = int(begin > 0 and text[begin] in " ▁")
-        part = text[begin + skip : end]
-        points = np.cumsum((np.frombuffer(part.encode() + b"\0", np.uint8) & 0xC0) != 0x80) - 1 + begin + skip  # the library counts bytes
-        found = points[[p.begin for p in self.model.encode(part, return_type="proto").pieces]].tolist() if part else []
-        return [begin, *found[1:]] if found else []
-
-    def stable(self, text: str, place: int, last: int) -> bool:
-        return self.provable and 0 < place < len(text) and text[place] in " ▁" and text[place - 1] not in " ▁"
+        ids = range(self.model.get_piece_size())
+        pieces = [self.model.id_to_piece(i) for i in ids]
+        self.length = np.array([1 if self.model.is_byte(i) else len(p.replace("▁", " ").encode()) for i, p in zip(ids, pieces)])
+        plain = sentencepiece.SentencePieceNormalizer(model_file=path).normalize(self.PROBE) in ("▁" + self.PROBE.replace(" ", "▁"), " " + self.PROBE)
+        self.provable = plain and sum(map(self.model.is_byte, ids)) == 256 and not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def units(self, text: str) -> bytes:
+        """The model's own blank mark stands for a blank."""
+        return text.replace("▁", " ").encode()
+
+    def count(self, data: bytes) -> int:
+        return len(self.model.encode(data.decode(), num_threads=1))
+
+    def aligned(self, data: bytes, place: int) -> int:
+        """The start of the character at a place."""
+        while 0 < place < len(data) and data[place] & 0xC0 == 0x80:
+            place -= 1
+        return place
+
+    def starts(self, data: bytes, begin: int, end: int) -> np.ndarray | None:
+        """Where each token of a window starts; None if the pieces' lengths don't add up to it. The library's own blank
+        stands for the window's first one."""
+        part = data[begin + (begin > 0 and data[begin] == 32) : end]
+        ends = np.cumsum(self.length[self.model.encode(part.decode(), num_threads=1)])
+        if not len(ends) or ends[-1] != len(part) + 1:
+            return None
+        return np.concatenate([[begin], ends[:-1] + end - len(part) - 1])
+
+    def stable(self, data: bytes, places: np.ndarray, last: int) -> np.ndarray:
+        around = np.frombuffer(data, np.uint8)
+        return places[(around[places] == 32) & (around[places - 1] != 32)]
 
 
 class WordBpeCounter:
-    """Counts and offsets of a byte-level BPE in a tokenizers .json file."""
+    """Counts and offsets of a byte-level BPE in a tokenizers .json file; texts are code points."""
+
+    provable = True
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.words = self.model.pre_tokenizer
 
-    def count(self, text: str, begin: int = 0) -> int:
-        return len(self.model.encode(text[begin:], add_special_tokens=False).ids)
+    def units(self, text: str) -> str:
+        return text
 
-    def starts(self, text: str, begin: int, end: int) -> list[int]:
+    def count(self, text: str) -> int:
+        return len(self.model.encode(text, add_special_tokens=False).ids)
+
+    def aligned(self, text: str, place: int) -> int:
+        return place
+
+    def starts(self, text: str, begin: int, end: int) -> np.ndarray | None:
         """A blank that the library leaves out of a token's span belongs to that token."""
         found, before = [], 0
         for a, b in self.model.encode(text[begin:end], add_special_tokens=False).offsets:
             found.append(begin + min(a, before if before < a else a))
             before = max(before, b)
-        return found
+        return np.array(found, np.int64) if found else None
 
-    def stable(self, text: str, place: int, last: int) -> bool:
-        """A blank between letters, where a word surely starts, with another word start after it and no special string near."""
-        return 0 < place < min(last, len(text) - 1) and text[place] == " " and text[place - 1].isalpha() and text[place + 1].isalpha() and "<|" not in text[max(0, place - 40) : place + 40]
+    def stable(self, text: str, places: np.ndarray, last: int) -> np.ndarray:
+        """Blanks between letters, where a word surely starts, with another token after it and no special string near."""
+        sure = lambda p: p < min(last, len(text) - 1) and text[p] == " " and text[p - 1].isalpha() and text[p + 1].isalpha() and "<|" not in text[max(0, p - 40) : p + 40]
+        return np.array([p for p in places.tolist() if sure(p)], np.int64)
 
 
 def load(path: str) -> SentencePieceCounter | WordBpeCounter:
     return WordBpeCounter(path) if path.endswith(".json") else SentencePieceCounter(path)
 
 
+def splice(data, counter, left: np.ndarray, right: np.ndarray, begin: int, end: int) -> int | None:
+    """The last stable boundary of two windows that overlap in [begin, end); None if there is none or they disagree."""
+    both = np.intersect1d(left[(left > begin) & (left < end)], right)
+    sure = counter.stable(data, both, int(left[-1]))
+    if not len(sure):
+        return None
+    one, other = (x[(x >= sure[0]) & (x <= sure[-1])] for x in (left, right))
+    return int(sure[-1]) if np.array_equal(one, other) else None
+
+
 def count_spliced(text: str, counter, params: TokenParams) -> int:
-    """The token count of a text, by chunks that are spliced at stable boundaries."""
-    total, begin = 0, 0  # tokens left of ``begin``, which is a stable boundary or 0
-    while len(text) - begin > params.chunk:
-        overlap, end, cut = params.overlap, begin + params.chunk, None
-        while cut is None:
-            if end + overlap >= len(text) or end - overlap <= begin:
-                return total + counter.count(text, begin)
-            left = counter.starts(text, begin, end + overlap)
-            right = set(counter.starts(text, end - overlap, min(len(text), end + 3 * overlap)))
-            shared = [s for s in left if end - overlap < s < end + overlap // 2]
-            at = next((i for i, s in enumerate(shared) if s in right and counter.stable(text, s, left[-1])), None)
-            if at is not None and right.issuperset(shared[at:]):
-                cut = shared[at]
+    """The token count of a text, by windows that are spliced at stable boundaries."""
+    data = counter.units(text)
+    n, cut, total = len(data), 0, 0  # ``total`` tokens left of ``cut``
+    begin, end = 0, counter.aligned(data, min(n, params.chunk))
+    if end == n or not counter.provable:
+        return counter.count(data)
+    left, overlap = counter.starts(data, begin, end), params.overlap
+    while left is not None and end < n:
+        start = counter.aligned(data, end - overlap)
+        if start <= max(cut, begin):  # no room for more overlap: the left window grows
+            end, overlap = counter.aligned(data, min(n, 2 * end - begin)), params.overlap
+            left = counter.starts(data, begin, end)
+            continue
+        stop = counter.aligned(data, min(n, max(start + params.chunk, end + params.overlap)))
+        right = counter.starts(data, start, stop)
+        if right is None:
+            break
+        if (at := splice(data, counter, left, right, max(cut, start), end)) is None:
             overlap *= 2
-        total, begin = total + sum(s < cut for s in left), cut
-    return total + counter.count(text, begin)
+            continue
+        total, cut = total + int(((left >= cut) & (left < at)).sum()), at
+        left, begin, end, overlap = right, start, stop, params.overlap
+    return counter.count(data) if left is None or end < n else total + int((left >= cut).sum())
 
 
 def count_tokens(documents: DataFrame, path: str, params: TokenParams = TokenParams(), make_counter: Callable = load) -> DataFrame:
