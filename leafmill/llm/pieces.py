@@ -12,7 +12,8 @@ pieces across blanks makes the whole text one unit, which changes speed and noth
 
 A character without a piece costs 10 more than the least piece score and is written as byte pieces (or as
 the unknown piece where the model has no byte pieces), as the library does. Among equal
-scores the longer last piece wins; the result is the same on every run.
+scores the longer last piece wins; the result is the same on every run. A unit of any length is held at under 80 bytes a character:
+scores and best nodes by place, and as many hypotheses as segmentations are wanted.
 
 Defined results: a null text counts as empty and has no pieces; repeated rows get the same result; an empty table gives
 an empty result. ``round_trip`` tells whether decoding gives the text back; it is false for texts that hold
@@ -23,8 +24,10 @@ from __future__ import annotations
 
 import heapq
 import re
+from array import array
+from bisect import insort
 from functools import cache
-from itertools import count
+from operator import itemgetter
 from typing import NamedTuple
 
 import numpy as np
@@ -75,6 +78,9 @@ class PieceModel:
                 self.pieces[piece.replace("▁", " ")] = i, whole(library.get_score(i))
                 self.surface.append(piece.replace("▁", " ").encode())
         self.longest = max(map(len, self.pieces), default=1)
+        self.reach: dict[str, int] = {}  # of each character the longest piece that starts with it
+        for p in self.pieces:
+            self.reach[p[0]] = max(self.reach.get(p[0], 1), len(p))
         self.unknown_score = min((s for _, s in self.pieces.values()), default=0) - 10
         apart = not any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces)
         self.units = re.compile(r" *[^ \n]+|\n| +" if apart else r"(?s).+").findall
@@ -102,81 +108,107 @@ class PieceModel:
     def prepared(self, text: str) -> str:
         return " " + text.replace("▁", " ") if text else ""
 
-    def lattice(self, unit: str) -> tuple[list[list[tuple[int, int, float]]], list[float], list[tuple[int, int]]]:
-        """Nodes (start, id, score) by end; forward Viterbi scores; the best node's (start, id) by end. Id -1: no piece."""
-        n, get, longest = len(unit), self.pieces.get, self.longest
-        ends: list[list] = [[] for _ in range(n + 1)]
-        forward: list = [0] + [None] * n
-        back: list = [None] * (n + 1)
+    def forward(self, unit: str) -> tuple[array, array, array]:
+        """Forward Viterbi scores, and the best node's start and id, by end. Id -1: a character without a piece."""
+        n, get, reach, unknown = len(unit), self.pieces.get, self.reach.get, self.unknown_score
+        score, start, ids = array("d", [0.0]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
         for s in range(n):
-            here = forward[s]
-            for e in range(s + 1, min(n, s + longest) + 1):
+            here = score[s]
+            for e in range(s + 1, min(n, s + reach(unit[s], 1)) + 1):
                 if found := get(unit[s:e]):
-                    ends[e].append((s, *found))
-                    total = here + found[1]
-                    if forward[e] is None or total > forward[e]:
-                        forward[e], back[e] = total, (s, found[0])
+                    i, gain = found
                 elif e == s + 1:
-                    ends[e].append((s, -1, self.unknown_score))
-                    total = here + self.unknown_score
-                    if forward[e] is None or total > forward[e]:
-                        forward[e], back[e] = total, (s, -1)
-        return ends, forward, back
-
-    def written(self, unit: str, path: list[tuple[int, int]]) -> bytes:
-        """Ids of (start, id) nodes as int32 bytes; a character without a piece becomes byte pieces."""
-        out: list[int] = []
-        for s, i in path:
-            if i >= 0:
+                    i, gain = -1, unknown
+                else:
+                    continue
+                if start[e] < 0 or here + gain > score[e]:
+                    score[e], start[e], ids[e] = here + gain, s, i
+        return score, start, ids
+
+    def written(self, unit: str, starts: array, ids: array) -> bytes:
+        """Ids of nodes, last node first, as int32 bytes in order; a character without a piece becomes byte pieces."""
+        out = np.frombuffer(ids, "<i4")[::-1] if len(ids) else np.zeros(0, "<i4")
+        if len(out) and out.min() < 0:
+            fill = lambda c: [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
+            out = np.array([x for s, i in zip(reversed(starts), out.tolist()) for x in ([i] if i >= 0 else fill(unit[s]))], "<i4")
+        return out.tobytes()
+
+    def path(self, unit: str, start: array, ids: array, turns: list[tuple[int, int, int]]) -> bytes:
+        """The segmentation that follows the best nodes back from the end but for its ``turns`` (end, start, id)."""
+        at, starts, out = len(unit), array("i"), array("i")
+        for e, s, i in [*turns, (0, 0, 0)]:
+            while at > e:
+                starts.append(start[at])
+                out.append(ids[at])
+                at = start[at]
+            if e:
+                starts.append(s)
                 out.append(i)
-            else:
-                out += [self.bytes[b] for b in unit[s].encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
-        return np.array(out, "<i4").tobytes()
+                at = s
+        return self.written(unit, starts, out)
 
     def best(self, unit: str) -> Best:
         """The best segmentation, and how far the second best falls behind."""
-        ends, forward, back = self.lattice(unit)
-        n, path, on = len(unit), [], set()
-        e = n
-        while e:
-            s, i = back[e]
-            path.append((s, i))
-            on.add((s, e))
-            e = s
-        behind: list = [None] * n + [0]
-        top, through = forward[n], None
-        for e in range(n, 0, -1):
-            b = behind[e]
-            if b is None:
-                continue
-            for s, _, score in ends[e]:
-                rest = b + score
-                if behind[s] is None or rest > behind[s]:
-                    behind[s] = rest
-                if (s, e) not in on and (through is None or forward[s] + rest > through):
-                    through = forward[s] + rest
-        return Best(self.written(unit, path[::-1]), top, INFINITE if through is None else top - through)
+        score, start, ids = self.forward(unit)
+        n, get, reach = len(unit), self.pieces.get, self.reach.get
+        on, at = array("i", [0]) * (n + 1), n  # where the best path's node from here ends
+        while at:
+            on[start[at]], at = at, start[at]
+        behind, through = array("d", [0.0]) * (n + 1), -INFINITE
+        for s in range(n - 1, -1, -1):
+            most, here, path = -INFINITE, score[s], on[s]
+            for e in range(s + 1, min(n, s + reach(unit[s], 1)) + 1):
+                if found := get(unit[s:e]):
+                    rest = found[1] + behind[e]
+                elif e == s + 1:
+                    rest = self.unknown_score + behind[e]
+                else:
+                    continue
+                if rest > most:
+                    most = rest
+                if e != path and here + rest > through:
+                    through = here + rest
+            behind[s] = most
+        return Best(self.path(unit, start, ids, []), score[n], score[n] - through)
 
     def search(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         """Up to ``n`` segmentations as (score, ids), best first: A* from the end, guided by forward Viterbi scores.
 
-        Of equal promise the newest hypothesis goes first, so that many ties cost depth and not breadth.
+        The heuristic is exact: a hypothesis promises the score of its best completion, and no two share a segmentation. So only
+        as many hypotheses are kept as segmentations are wanted, and the one that is taken is completed at once by the
+        best nodes, each other node that ends on this way being a hypothesis of its own. Of equal promise the first found goes first.
         """
-        ends, forward, _ = self.lattice(unit)
-        tie = count(0, -1)
-        heap = [(-forward[-1], next(tie), len(unit), 0, None)]
-        out = []
-        while heap and len(out) < n:
-            _, _, at, done, path = heapq.heappop(heap)
-            if not at:
-                nodes = []
-                while path:
-                    nodes.append(path[0])
-                    path = path[1]
-                out.append((done, self.written(unit, nodes)))
-                continue
-            for s, i, score in ends[at]:
-                heapq.heappush(heap, (-(done + score + forward[s]), next(tie), s, done + score, ((s, i), path)))
+        score, start, ids = self.forward(unit)
+        get, reach = self.pieces.get, self.longest
+        kept = [(-score[-1], 0, len(unit), 0.0, None)]
+        out, order = [], 0
+        while kept and len(out) < n:
+            promise, _, at, done, turns = kept.pop(0)
+            back, t = [], turns
+            while t:
+                back.append(t[0])
+                t = t[1]
+            out.append((-promise, self.path(unit, start, ids, back[::-1])))
+            room = n - len(out)
+            del kept[room:]
+            while at and room:
+                gain = 0.0
+                for s in range(at - 1, max(0, at - reach) - 1, -1):
+                    if found := get(unit[s:at]):
+                        i, g = found
+                    elif s == at - 1:
+                        i, g = -1, self.unknown_score
+                    else:
+                        continue
+                    if s == start[at]:
+                        gain = g
+                        continue
+                    mark = -(done + g + score[s])
+                    if len(kept) < room or mark < kept[-1][0]:
+                        order += 1
+                        insort(kept, (mark, order, s, done + g, ((at, s, i), turns)), key=itemgetter(0, 1))
+                        del kept[room:]
+                done, at = done + gain, start[at]
         return out
 
     def best_many(self, units: list[str]) -> list[Best]:
@@ -283,7 +315,7 @@ class PieceModel:
         starts = np.concatenate([[0], np.cumsum([len(b.ids) // 4 for b in bests])]).tolist() if len(sums) > 1 else []
         out = []
         for lost, chosen in sums:
-            changes = [(starts[k], len(bests[k].ids) // 4, np.frombuffer(w, "<i4").tolist()) for k, w in sorted(chosen)]
+            changes = [difference(starts[k], bests[k].ids, w) for k, w in sorted(chosen)]
             out.append((float(total - lost), len(ids) // 4 + sum(len(w) - old for _, old, w in changes), changes))
         return ids, out
 
@@ -293,6 +325,20 @@ class PieceModel:
         return out[1:] if out[:1] == b" " else out
 
 
+def difference(first: int, old: bytes, new: bytes) -> tuple[int, int, list[int]]:
+    """(first piece, pieces replaced, ids instead) without what the two unit's segmentations share at their ends."""
+    a, b = np.frombuffer(old, "<i4"), np.frombuffer(new, "<i4")
+
+    def shared(x: np.ndarray, y: np.ndarray) -> int:
+        n = min(len(x), len(y))
+        unlike = x[:n] != y[:n]
+        return int(unlike.argmax()) if unlike.any() else n
+
+    head = shared(a, b)
+    tail = shared(a[head:][::-1], b[head:][::-1])
+    return first + head, len(a) - head - tail, b[head : len(b) - tail].tolist()
+
+
 @cache
 def load(path: str) -> PieceModel:
     return PieceModel(path)
