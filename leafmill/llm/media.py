@@ -1,13 +1,14 @@
 """Operator 3, media columns: Netpbm and BMP decoded to numpy arrays, area-resized by integral images, NPY tiles, difference hashes.
 
-``decode`` reads PBM, PGM, PPM (P1 to P6, 8 and 16 bit) and PAM, and uncompressed BMP of 1, 4, 8, 24 and 32 bit. ``area_resize``
-averages over exact (fractional) areas with one integral image. ``difference_hash`` compares neighbours of the
+``decode`` reads PBM, PGM, PPM (P1 to P6, 8 and 16 bit) and PAM, and uncompressed BMP of 1, 4, 8, 24 and 32 bit, and of 16 and 32 bit with masks. ``area_resize``
+averages over exact (fractional) areas with one integral image, built in strips. ``difference_hash`` compares neighbours of the
 9 x 8 reduction. ``tiles`` cuts an image to NPY files of bounded size.
 
 Defined results: null bytes give null columns from ``decode_media``; bytes that are no known image, are cut short or
 claim more than ``MAX_PIXELS`` samples give an ``error`` text and null features, never a failed job; repeated rows get the same
 results; an empty table gives an empty result. Extra input columns are kept by ``decode_media`` unless they bear the name
-of an output, which then replaces them. ``text_media`` takes a null text as empty.
+of an output, which then replaces them. ``text_media`` takes a null text as empty, keeps null ids and holds one text about eight times
+over (stored form, decoded image, tiles and payload), whatever its length.
 """
 
 from __future__ import annotations
@@ -96,11 +97,27 @@ def _netpbm(data: bytes, most: int) -> np.ndarray:
     return 1 - plain if kind == 1 else plain
 
 
+def _masked(data: bytes, raw: np.ndarray, head: int, bits: int) -> np.ndarray:
+    """Red, green and blue of a BMP with bit masks, which stand after the 40 bytes of the plain header; each is scaled to 0 to 255."""
+    if len(data) < 66:
+        raise MediaError("image data cut short")
+    pixels = np.ascontiguousarray(raw[:, : raw.shape[1] // (bits // 8) * (bits // 8)]).view("<u2" if bits == 16 else "<u4").astype(np.int64)
+    w = struct.unpack_from("<i", data, 18)[0]
+    out = np.empty((len(raw), w, 3), np.uint8)
+    for k, mask in enumerate(struct.unpack_from("<III", data, 54)):
+        low = (mask & -mask).bit_length() - 1
+        top = mask >> low if mask else 0
+        if not mask or top & (top + 1) or mask >> bits:
+            raise MediaError("bad BMP masks")
+        out[:, :, k] = (((pixels[:, :w] & mask) >> low) * 255 + top // 2) // top
+    return out
+
+
 def _bmp(data: bytes) -> np.ndarray:
     if len(data) < 54:
         raise MediaError("image data cut short")
     offset, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
-    if head < 40 or packed not in (0, 3) or bits not in (1, 4, 8, 24, 32) or w < 1 or h == 0:
+    if head < 40 or packed not in (0, 3) or bits not in ((16, 32) if packed else (1, 4, 8, 24, 32)) or w < 1 or h == 0:
         raise MediaError("unsupported BMP")
     rows, stride = abs(h), (w * bits + 31) // 32 * 4
     if w * rows > MAX_PIXELS:
@@ -110,6 +127,8 @@ def _bmp(data: bytes) -> np.ndarray:
     raw = np.frombuffer(data, np.uint8, stride * rows, offset).reshape(rows, stride)
     if h > 0:
         raw = raw[::-1]
+    if packed == 3:
+        return _masked(data, raw, head, bits)
     if bits >= 24:
         return raw[:, : w * bits // 8].reshape(rows, w, bits // 8)[:, :, 2::-1]
     index = np.unpackbits(raw, axis=1)[:, :w] if bits == 1 else np.stack([raw >> 4, raw & 15], 2).reshape(rows, -1)[:, :w] if bits == 4 else raw[:, :w]
@@ -146,11 +165,13 @@ def grey(image: np.ndarray) -> np.ndarray:
     return (299 * r + 587 * g + 114 * b) // 1000
 
 
-def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Mean over each target cell's exact area, from one integral image whose edges are interpolated."""
+def area_resize(image: np.ndarray, height: int, width: int, strip: int = 1 << 18) -> np.ndarray:
+    """Mean over each target cell's exact area, from an integral image whose edges are interpolated.
+
+    Rows are integrated along x in strips of about ``strip`` samples, and only the columns at cell edges are kept and
+    integrated along y, so that the integral takes 8 * (width + 1) bytes a row whatever the image's width.
+    """
     h, w = image.shape
-    total = np.zeros((h + 1, w + 1))
-    np.cumsum(np.cumsum(image, axis=0, dtype=np.int64), axis=1, out=total[1:, 1:])
 
     def edges(n: int, cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         at = np.arange(cells + 1) * n / cells
@@ -159,8 +180,14 @@ def area_resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
     y0, y1, fy = edges(h, height)
     x0, x1, fx = edges(w, width)
-    rows = total[y0] * (1 - fy)[:, None] + total[y1] * fy[:, None]
-    corner = rows[:, x0] * (1 - fx) + rows[:, x1] * fx
+    total = np.zeros((h + 1, width + 1))
+    some = max(1, strip // w)
+    for y in range(0, h, some):
+        row = np.zeros((len(image[y : y + some]), w + 1), np.int64)
+        np.cumsum(image[y : y + some], axis=1, dtype=np.int64, out=row[:, 1:])
+        total[y + 1 : y + 1 + some] = row[:, x0] * (1 - fx) + row[:, x1] * fx
+    np.cumsum(total, axis=0, out=total)
+    corner = total[y0] * (1 - fy)[:, None] + total[y1] * fy[:, None]
     return np.diff(np.diff(corner, axis=0), axis=1) / (h / height * w / width)
 
 
