@@ -7,7 +7,8 @@ how far each is out of its place in the language's profile; an n-gram that the p
 Defined results: null texts and texts without any letter give ``und`` with score 0; ties of counts go by the
 n-gram's code points, ties of distances by the language's name; repeated rows get the same result each; an empty table
 gives an empty result; without any training row everything is ``und``. The score is 1 for a perfect fit of
-the best language and 0 where the runner-up fits as well. Other columns play no part.
+the best language and 0 where the runner-up fits as well. A null doc_id belongs to no fold: it teaches nothing and its ``held_out`` is
+null. A very long text is held whole by one task, at about 60 bytes a character. Other columns play no part.
 """
 
 from __future__ import annotations
@@ -18,25 +19,26 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm._batches import crc32_mod, excerpt, map_rows
+from leafmill.llm._batches import crc32_mod, excerpt, map_rows, small_enough, with_checkpoints
 
 UNKNOWN = "und"
+#: Languages beyond which their counts are not broadcast.
+BROADCAST_LANGUAGES = 100_000
 
 
 @dataclass(frozen=True)
 class LanguageParams:
-    """``sample_docs`` and ``sample_chars`` bound the labelled rows that the fit reads for each language: so many documents, and of a
-    longer text so many characters, in four parts spread over it. Only the ``max_languages`` languages of most documents are
-    learned; rarer ones are never predicted. Prediction has no bound."""
+    """``sample_docs`` and ``sample_chars`` bound the labelled rows that the fit reads for each language: about so many documents, and
+    of a longer text so many characters, in four parts spread over it. Every language with a labelled document is learned.
+    Prediction has no bound."""
 
     profile: int = 400
     top: int = 300
-    sample_docs: int = 1000
+    sample_docs: int = 2000
     sample_chars: int = 20_000
-    max_languages: int = 500
 
 
 @cache
@@ -69,7 +71,7 @@ def ranked(keys: np.ndarray, top: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class LanguageModel:
-    """For each language its ranked profile; at most ``max_languages`` * ``profile`` keys."""
+    """For each language its ranked profile of at most ``profile`` keys, 3.2 kB; the only thing the driver gathers."""
 
     languages: tuple[str, ...]
     profiles: tuple[tuple[int, ...], ...]
@@ -77,24 +79,27 @@ class LanguageModel:
 
 
 class Ranker:
-    """Profiles merged to one sorted table of keys with a rank for each language."""
+    """Profiles merged to one table sorted by key, a row for each key of each language."""
 
     def __init__(self, model: LanguageModel):
         self.model, self.missing = model, model.params.profile
-        self.keys = np.unique(np.array([k for p in model.profiles for k in p], np.int64))
-        self.places = np.full((len(self.keys) + 1, len(model.languages)), self.missing, np.int32)
-        for j, p in enumerate(model.profiles):
-            self.places[np.searchsorted(self.keys, np.array(p, np.int64)), j] = np.arange(len(p))
+        keys = np.array([k for p in model.profiles for k in p], np.int64)
+        order = np.argsort(keys, kind="stable")
+        self.keys = keys[order]
+        self.language = np.repeat(np.arange(len(model.profiles)), [len(p) for p in model.profiles])[order]
+        self.place = np.array([i for p in model.profiles for i in range(len(p))], np.int64)[order]
 
     def distances(self, text: str) -> np.ndarray | None:
         """Out-of-place distance to each language as a share of the largest possible; None without any letter."""
         own = ranked(grams(text), self.model.params.top)
         if not len(own):
             return None
-        at = np.searchsorted(self.keys, own)
-        at[(at == len(self.keys)) | (self.keys[np.minimum(at, len(self.keys) - 1)] != own)] = len(self.keys)
-        place = self.places[at]
-        return np.where(place == self.missing, self.missing, np.abs(place - np.arange(len(own))[:, None])).sum(0) / (self.missing * len(own))
+        low, high = np.searchsorted(self.keys, own, "left"), np.searchsorted(self.keys, own, "right")
+        n = high - low
+        place = np.repeat(np.arange(len(own)), n)
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+        gain = np.bincount(self.language[at], self.missing - np.minimum(self.missing, np.abs(self.place[at] - place)), len(self.model.languages))
+        return 1 - gain / (self.missing * len(own))
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not text or not self.model.languages or (d := self.distances(text)) is None:
@@ -113,33 +118,36 @@ def fit_rows(rows: list[tuple[str, str]], params: LanguageParams = LanguageParam
     return LanguageModel(names, tuple(tuple(ranked(np.concatenate([grams(t) for t in by[n]]), params.profile).tolist()) for n in names), params)
 
 
-def training_rows(documents: DataFrame, fold: int = 3, held: int = 1, params: LanguageParams = LanguageParams()) -> list[tuple[str, str]]:
-    """A bounded, repeatable sample: for each language the ``sample_docs`` usable documents of least hash.
-
-    The draw is made on (hash, id) alone, by a per-language sketch of the least hashes: one range of the hash
-    is kept whose expected count is twice the bound, so no language is gathered whole in one task.
-    """
+def training_rows(documents: DataFrame, fold: int = 3, held: int = 1, params: LanguageParams = LanguageParams()) -> DataFrame:
+    """lang and (an excerpt of) text of a repeatable sample: of each language the usable documents whose hash is in a range that
+    about ``sample_docs`` of them fall into; a language of no more documents is taken whole. Nothing is gathered but a count a language."""
     usable = documents.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc32_mod("doc_id", fold) != held))
-    usable = usable.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(params.max_languages).collect()
-    if not counts:
-        return []
-    spark = documents.sparkSession
-    limits = spark.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, (2 * params.sample_docs + 50) / r["count"]))) for r in counts], "lang string, most long")
-    drawn = usable.join(F.broadcast(limits), "lang").where("draw < most").select("lang", "draw", "doc_id", excerpt(F.col("text"), params.sample_chars).alias("text"))
-    got = drawn.toArrow().to_pylist()
-    got.sort(key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"]))
-    taken: dict[str, int] = {}
-    rows = []
-    for r in got:
-        taken[r["lang"]] = taken.get(r["lang"], 0) + 1
-        if taken[r["lang"]] <= params.sample_docs:
-            rows.append((r["text"], r["lang"]))
-    return rows
+    with_checkpoints(documents.sparkSession)
+    counts = usable.groupBy("lang").agg(F.count("*").alias("__count")).checkpoint()
+    counts = F.broadcast(counts) if small_enough(counts, BROADCAST_LANGUAGES) else counts
+    share = F.least(F.lit(1.0), F.lit(float(params.sample_docs)) / F.col("__count"))
+    drawn = usable.select("lang", "text", (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)).alias("__draw")).join(counts, "lang")
+    return drawn.where(F.col("__draw") < share).select("lang", excerpt(F.col("text"), params.sample_chars).alias("text"))
 
 
 def fit(documents: DataFrame, params: LanguageParams = LanguageParams()) -> LanguageModel:
-    return fit_rows(training_rows(documents, params=params), params)
+    """Profiles from the sample's n-gram counts, which executors make and add up; ``profile`` keys a language reach the driver."""
+
+    def make():
+        def work(part: pa.RecordBatch) -> dict:
+            by: dict[str, list[np.ndarray]] = {}
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
+                by.setdefault(lang, []).append(grams(text))
+            found = [(lang, *np.unique(np.concatenate(g), return_counts=True)) for lang, g in by.items()]
+            return {"lang": [lang for lang, keys, _ in found for _ in range(len(keys))], "key": np.concatenate([k for _, k, _ in found]), "n": np.concatenate([n for _, _, n in found])}
+
+        return work
+
+    counted = map_rows(training_rows(documents, params=params), "text", "lang string, key long, n long", make).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
+    top = counted.withColumn("place", place).where(F.col("place") <= params.profile).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("profile"))
+    by = {r["lang"]: tuple(x["key"] for x in r["profile"]) for r in sorted(top.collect(), key=lambda r: r["lang"])}
+    return LanguageModel(tuple(by), tuple(by.values()), params)
 
 
 def accepter(model: LanguageModel) -> Callable[[list[bytes | None]], list[bool]]:
