@@ -3,7 +3,9 @@
 A rule (host, path, verdict) fits its host and all subdomains of it if the URL's path starts with the rule's; the longest rule
 wins. The trees learn from the URLs that rules cover and judge the others. The shares of blocked URLs of suffixes and domains,
 their prior and whether there are two verdicts at all come from every covered row; the trees are grown on about ``sample``
-distinct covered URLs, the least by hash of each verdict, weighted back to the verdicts' numbers of distinct URLs. Everything, training included, is DataFrame functions and Spark's own ML in the JVM.
+distinct covered URLs, the least by hash of each verdict, weighted back to the verdicts' numbers of distinct URLs. While the trees
+learn, a URL's rates come from the four fifths of the covered URLs that it is not in (folds by the URL's hash, so that all its copies
+are left out). Everything, training included, is DataFrame functions and Spark's own ML in the JVM.
 
 Host: after the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z lower-cased. Path: then up to ``?``, ``#`` or the end. Defined
 results: a null URL or one without ``://`` has an empty host and path and fits no rule that names a host; its verdict is the
@@ -66,8 +68,9 @@ FEATURES = ("length", "host_length", "path_length", "depth", "labels", "digit_ra
 
 
 def named(df: DataFrame) -> DataFrame:
-    """Adds the two suffixes of the host; the shorter is one of the longer's too."""
-    return df.withColumns({"suffix": F.substring_index("host", ".", -1), "domain": F.substring_index("host", ".", -2)})
+    """Adds the two suffixes of the host, without a port or a user's name; the shorter is one of the longer's too."""
+    name = F.regexp_replace(F.substring_index("host", "@", -1), r":\d*$", "")
+    return df.withColumns({"suffix": F.substring_index(name, ".", -1), "domain": F.substring_index(name, ".", -2)})
 
 
 def lexical(df: DataFrame) -> DataFrame:
@@ -92,6 +95,8 @@ def lexical(df: DataFrame) -> DataFrame:
     )
 
 
+#: Folds of the covered URLs; the trees learn from rates of the folds that a URL is not in.
+FOLDS = 5
 #: A suffix or domain of at least one row in so many is frequent; there are at most so many of them.
 FREQUENT = 1000
 
@@ -127,6 +132,22 @@ def rates_of(counted: DataFrame, kind: str, name: str, rows: int, prior: float,
     return Rates(kind, name, None, table.where(often).select(kind, F.col(name).alias("__share")), table.where(~often & (F.col("n") > 0)).select(F.col(kind).alias("__key"), name))
 
 
+def other_folds(counted: DataFrame, sample: DataFrame, kind: str, name: str, prior: float, params: UrlParams) -> DataFrame:
+    """Adds to the sample the share of its suffix among the URLs of other folds than its own, so that no URL's verdict is
+    in what the trees learn from. The sample is bounded; the counts are joined by suffix, not broadcast."""
+    folds = counted.groupBy(kind, "fold").agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked"))
+    every = folds.groupBy(kind).agg(F.sum("n").alias("__n"), F.sum("blocked").alias("__blocked"))
+    own = folds.select(kind, "fold", F.col("n").alias("__own_n"), F.col("blocked").alias("__own_blocked"))
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    joined = sample.join(every, kind, "left").join(own, [kind, "fold"], "left")
+    n, blocked = zero("__n") - zero("__own_n"), zero("__blocked") - zero("__own_blocked")
+    return joined.withColumn(name, (blocked + params.smoothing * prior) / (n + params.smoothing)).drop("__n", "__blocked", "__own_n", "__own_blocked")
+
+
+def fold_of(url: Column) -> Column:
+    return F.pmod(F.xxhash64(url, F.lit("fold")), F.lit(FOLDS)).cast("int")
+
+
 def tree_sample(labelled: DataFrame, params: UrlParams) -> tuple[DataFrame, Column]:
     """About ``sample`` distinct URLs of ``labelled``, half of each verdict or what it has, persisted; and their weights."""
     one = labelled.agg(*[F.approx_count_distinct(F.when(F.col("label") == v, F.col("url"))) for v in (0, 1)]).first()
@@ -156,7 +177,7 @@ def judge(pages: DataFrame, rules: list[Rule], params: UrlParams = UrlParams())
     ruled = split.withColumn("by", rule_of(F.col("host"), F.col("path"), rules))
     verdict, rule = F.col("by.verdict"), F.col("by.rule")
     label = (verdict == "block").cast("double").alias("label")
-    counted = named(ruled.select("host", label)).groupBy("suffix", "domain").agg(F.count("*").alias("n_rows"), F.count("label").alias("n"), F.sum("label").alias("blocked")).checkpoint()
+    counted = named(ruled.select("host", label, fold_of(F.coalesce("url", F.lit(""))).alias("fold"))).groupBy("suffix", "domain", "fold").agg(F.count("*").alias("n_rows"), F.count("label").alias("n"), F.sum("label").alias("blocked")).checkpoint()
     seen = counted.agg(F.sum("n_rows").alias("rows"), F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
     prior = (seen["blocked"] or 0.0) / (seen["n"] or 1)
     if prior in (0.0, 1.0):
@@ -172,7 +193,10 @@ def judge(pages: DataFrame, rules: list[Rule], params: UrlParams = UrlParams())
     sample, weight = tree_sample(ruled.where("by IS NOT NULL").select(F.coalesce("url", F.lit("")).alias("url"), "host", "path", label), params)
     gather = VectorAssembler(inputCols=list(FEATURES), outputCol="features")
     learner = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, seed=1, featuresCol="features", labelCol="label", weightCol="weight")
-    trees = learner.fit(gather.transform(rated(sample.withColumn("weight", weight), F.xxhash64("url"))))
+    taught = sample.withColumns({"weight": weight, "fold": fold_of(F.col("url"))})
+    for kind, name in (("suffix", "suffix_rate"), ("domain", "domain_rate")):
+        taught = other_folds(counted, taught, kind, name, prior, params)
+    trees = learner.fit(gather.transform(taught))
     sample.unpersist()
     judged = trees.transform(gather.transform(rated(lexical(ruled), F.xxhash64("page_id", "url"))))
     score = vector_to_array("probability")[1]
