@@ -46,6 +46,20 @@ def test_quality_held_out(spark):
     assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.9
 
 
+def test_quality_difference_carries_the_score():
+    """Held-out area under the curve by the normalised size difference alone, without the compressibility that sharpens it."""
+    import pyarrow.parquet as pq
+
+    sf = "/root/testdata/sf0.01"
+    text = {r["doc_id"]: r["text"] for r in pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()}
+    rows = [(r["doc_id"], text[r["doc_id"]], r["quality"]) for r in pq.read_table(f"{sf}/labels.parquet").to_pylist()]
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    model = quality.fit_rows([(t, q) for i, t, q in rows if not held(i)])
+    scorer = quality.Scorer(model.good, model.bad, model.params)
+    good, bad = [[scorer.features(t.encode())[0] for i, t, q in rows if held(i) and q == k] for k in (1, 0)]
+    assert sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad)) > 0.93
+
+
 def test_quality_cases(spark, odd):
     model = quality.fit_rows([("good plain words in a row. " * 8, 1), ("%%% ### $$$ &&& ***" * 9, 0)] * 12)
     rows = quality.classify(odd.withColumn("score", F.lit(9)), model).collect()
@@ -152,6 +166,42 @@ def test_decoders():
             media.decode(bad)
 
 
+def masked(bits, masks, pixels):
+    body = b"".join(p.to_bytes(bits // 8, "little") for p in pixels)
+    body += bytes(-len(body) % 4)
+    head = struct.pack("<IiiHHIIiiII", 40, len(pixels), 1, 1, bits, 3, len(body), 0, 0, 0, 0)
+    return b"BM" + struct.pack("<IHHI", 66 + len(body), 0, 0, 66) + head + struct.pack("<III", *masks) + body
+
+
+def test_bmp_masks():
+    assert media.decode(masked(16, (0xF800, 0x07E0, 0x001F), [0xF800, 0x07E0, 0x001F, 0x8410])).tolist() == [[[255, 0, 0], [0, 255, 0], [0, 0, 255], [132, 130, 132]]]
+    assert media.decode(masked(32, (0x0000FF, 0x00FF00, 0xFF0000), [0x030201])).tolist() == [[[1, 2, 3]]]
+    for masks in ((0, 0x07E0, 0x1F), (0xF0F0, 0x07E0, 0x1F), (0x1F0000, 0x07E0, 0x1F)):
+        with pytest.raises(media.MediaError):
+            media.decode(masked(16, masks, [0]))
+
+
+def test_text_features_brute_force(docs, odd):
+    """Every column of the query from the bytes alone; one text of 5 MB."""
+    rows = [(1000 + r["doc_id"], r["text"]) for r in docs.limit(40).collect()] + [(d[0], d[1]) for d in ODD] + [(99, "a longer text. " * 340_000)]
+    got = media.text_media(odd.sparkSession.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    for (doc_id, text), r in zip(sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], len((r[1] or "").encode()), r[1] or "")), sorted(got, key=lambda r: (-1 if r["doc_id"] is None else r["doc_id"], r["n_bytes"], r["payload_sha256"]))):
+        data = (text or "").encode()
+        payload = data + bytes(-len(data) % 64 or (0 if data else 64))
+        stored = b"P5\n64 %d\n255\n" % (len(payload) // 64) + payload
+        a = np.frombuffer(payload, np.uint8).reshape(-1, 64).astype(float)
+        h = len(a)
+        weigh = lambda n, cells: np.array([[max(0.0, min(i + 1, (c + 1) * n / cells) - max(i, c * n / cells)) for i in range(n)] for c in range(cells)])
+        want = (doc_id, len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(stored), hashlib.sha256(stored).hexdigest())
+        assert tuple(r)[:7] == want
+        if h < 3000:
+            small = weigh(h, 8) @ a @ weigh(64, 9).T * (8 * 9 / h / 64)
+            near = np.abs(np.diff(small)) < 1e-5
+            bits = np.unpackbits(np.frombuffer(bytes.fromhex(r["feature"].split(":")[1]), np.uint8)).reshape(8, 8)
+            assert r["feature"].split(":")[0] == f"64x{h}" and ((bits == (np.diff(small) > 0)) | near).all()
+
+
 def test_area_resize():
     rng = np.random.default_rng(1)
     for h, w in ((1, 1), (3, 64), (17, 23), (64, 64)):
@@ -347,6 +397,36 @@ def test_whole_text_equals_one_lattice(model):
             seen.add(tuple(out))
 
 
+def test_n_best_by_enumeration(model):
+    """The N best of short units against all their segmentations, and long units without a blank in bounded memory."""
+
+    def every(unit):
+        if not unit:
+            yield 0.0, ()
+        for k in range(1, len(unit) + 1):
+            found = model.pieces.get(unit[:k]) or ((-1, model.unknown_score) if k == 1 else None)
+            if found:
+                for score, rest in every(unit[k:]):
+                    yield found[1] + score, (found[0], *rest)
+
+    for unit in (" there", "aaaaaaaa", "  a", "日本x", "e", "== ==", "=========", " intern"):
+        want = sorted((s for s, _ in every(unit)), reverse=True)
+        got = model.search(unit, 7)
+        assert [s for s, _ in got] == want[:7] and len({b for _, b in got}) == len(got)
+        best = model.best(unit)
+        assert best.score == want[0] and best.gap == (want[0] - want[1] if len(want) > 1 else math.inf)
+    import tracemalloc
+
+    rng = random.Random(4)
+    for text in ("a" * 16_000, "".join(rng.choices("ABCDEFGHabcdefgh0123456789+/", k=16_000)), "日本語" * 5_000):
+        model.young, model.old, model.searched = {}, {}, {}
+        tracemalloc.start()
+        ids, nbest = model.encode(text, 4)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 80 * len(text) + 50_000 and model.decode(as_ids(ids)) == text.encode() and nbest[0][0] >= nbest[-1][0]
+
+
 def test_pieces_round_trip(model, odd, texts):
     rows = pieces.encode_pieces(odd, Q.tokenizer_path("piece_bpe_32k.model")).collect()
     assert len(rows) == len(ODD) and all(r["round_trip"] and r["n_pieces"] == len(r["ids"]) for r in rows)
@@ -534,6 +614,23 @@ def test_urls(spark, sf):
     assert sum((r["score"] >= 0.5) == (r["verdict"] == "block") for r in ruled) / len(ruled) > 0.85
 
 
+def test_url_rates_out_of_fold(spark):
+    """A URL's own verdict, and its copies', are not in the rates that the trees learn from."""
+    rng = random.Random(8)
+    urls = [f"x://h{rng.randrange(6)}.{rng.choice(['a', 'b', 'c'])}:80/{k}" for k in range(200)]
+    rows = [(u, float(rng.random() < 0.4)) for u in urls for _ in range(rng.randrange(1, 3))]
+    rows = [(u, dict(rows)[u]) for u, _ in rows]
+    covered = spark.createDataFrame(rows, "url string, label double").withColumns({"host": urlfilter.parts(F.col("url"))[0], "fold": urlfilter.fold_of(F.col("url"))})
+    counted = urlfilter.named(covered).groupBy("suffix", "domain", "fold").agg(F.count("label").alias("n"), F.sum("label").alias("blocked"))
+    params = urlfilter.UrlParams()
+    got = urlfilter.other_folds(counted, urlfilter.named(covered).dropDuplicates(["url"]), "domain", "rate", 0.25, params).collect()
+    fold = {r["url"]: r["fold"] for r in got}
+    assert len(got) == len(set(urls)) and len(set(fold.values())) == urlfilter.FOLDS and {r["suffix"] for r in got} == {"a", "b", "c"}
+    for r in got:
+        others = [y for u, y in rows if u.split("/")[2].split(":")[0] == r["domain"] and fold[u] != r["fold"]]
+        assert math.isclose(r["rate"], (sum(others) + 4 * 0.25) / (len(others) + 4))
+
+
 def test_url_cases(spark):
     empty = spark.createDataFrame([], "page_id long, url string")
     assert urlfilter.judge(empty, Q.RULES).count() == 0
@@ -567,9 +664,37 @@ def test_url_statistics_cover_all_rows(spark):
 def test_spliced_counts(name, texts):
     counter = tokencount.load(Q.tokenizer_path(name))
     long = sorted(texts.values(), key=len)[-12:] + ["a" * 3000 + " b" * 20 + "é" * 2000 + "   " * 900, " " * 5000, "日本" * 2500, "x\n" * 3000, "", "<s> </s> <unk> ▁▁ <|endoftext|> " * 60]
-    for chunk, overlap in ((300, 16), (1000, 64), (5000, 512)):
+    whole = (lambda t: len(counter.model.encode(t))) if name.endswith(".model") else (lambda t: len(counter.model.encode(t, add_special_tokens=False).ids))
+    for chunk, overlap in ((300, 16), (1000, 64), (4000, 256)):
         for t in long:
-            assert tokencount.count_spliced(t, counter, tokencount.TokenParams(chunk=chunk, overlap=overlap)) == counter.count(t)
+            assert tokencount.count_spliced(t, counter, tokencount.TokenParams(chunk=chunk, overlap=overlap)) == whole(t)
+
+
+def test_production_windows_are_spliced(texts):
+    counter = tokencount.load(Q.tokenizer_path("piece_bpe_32k.model"))
+    params, made = tokencount.TokenParams(), []
+    real = counter.starts
+    counter.starts = lambda data, begin, end: made.append((begin, end)) or real(data, begin, end)
+    long = [t for t in texts.values() if len(t.encode()) > params.chunk]
+    assert long and all(tokencount.count_spliced(t, counter, params) == len(counter.model.encode(t)) for t in long)
+    assert len(made) > len(long) and max(b - a for a, b in made) <= params.chunk
+    huge = " ".join(texts.values()) * 4
+    huge = (huge * (5_000_000 // len(huge) + 1))[:5_000_000]
+    assert tokencount.count_spliced(huge, counter, params) == len(counter.model.encode(huge))
+
+
+def test_unproven_models_are_not_spliced():
+    """A normaliser that changes lengths: windows are given up and the text is encoded whole."""
+
+    class Folding(tokencount.SentencePieceCounter):
+        def starts(self, data, begin, end):
+            return super().starts(data, begin, end) if b"  " not in data[begin:end] else None
+
+    counter = Folding(Q.tokenizer_path("piece_bpe_32k.model"))
+    text = "some words of text " * 500 + "  " + "more words here " * 500
+    assert tokencount.count_spliced(text, counter, tokencount.TokenParams()) == len(counter.model.encode(text))
+    counter.provable = False
+    assert tokencount.count_spliced(text, counter, tokencount.TokenParams()) == len(counter.model.encode(text))
 
 
 def test_token_table(odd):
