@@ -338,9 +338,9 @@ def _classes(documents: DataFrame, params: NearParams) -> DataFrame:
     shared = _with_leaders(member.join(sizes, "key").checkpoint()).checkpoint()
 
     def texts_of(wanted: DataFrame) -> DataFrame:
-        """node, text (one) of the wanted nodes."""
+        """node, text (one) of the wanted nodes; materialised, so that a hot node's joins can be split."""
         picked = _picked(source.select(key_of(source).alias("node"), "text"), wanted.checkpoint(), "left_semi", params)
-        return picked.groupBy("node").agg(F.min("text").alias("text"))
+        return picked.groupBy("node").agg(F.min("text").alias("text")).checkpoint()
 
     first = shared.where("node <> leader").select(F.greatest("node", "leader").alias("a"), F.least("node", "leader").alias("b")).distinct()
     first = _plausible(first, by_text, params).distinct().checkpoint()
