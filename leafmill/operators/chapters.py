@@ -61,7 +61,7 @@ def chapter_kind(title: Column, book_title: Column) -> Column:
         .when(word("chapter"), "chapter")
         .when(word("book"), "book")
         .when(word("part"), "part")
-        .when(word("volume"), "volume")
+        .when(word(r"volume|vol\."), "volume")
         .when(word("(?:first|second|third|fourth|fifth) act|act"), "act")
         .when(word("scene"), "scene")
         .when(t.startswith("dramatis person"), "dramatis")

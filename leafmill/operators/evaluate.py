@@ -30,13 +30,17 @@ def nearest_rank(c: str | Column, p: float) -> Column:
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, *by: str, empty: float = 12.0) -> DataFrame:
-    """The first value at which the weights up to it reach half of all."""
+    """The first value at which the weights up to it reach half of all; weights of 0 or less don't count, and a group that has
+    no other gets ``empty``."""
     from pyspark.sql import Window
 
-    merged = df.groupBy(*by, value).agg(F.sum(weight).alias("w"))
+    merged = df.where(F.col(weight) > 0).groupBy(*by, value).agg(F.sum(weight).alias("w"))
     up = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     reached = merged.withColumns({"upto": F.sum("w").over(up), "all": F.sum("w").over(Window.partitionBy(*by))}).where("upto >= all / 2")
-    return reached.groupBy(*by).agg(F.coalesce(F.min(value).cast("double"), F.lit(empty)).alias("weighted_median"))
+    found = reached.groupBy(*by).agg(F.min(value).cast("double").alias("weighted_median"))
+    if by:
+        found = df.select(*by).distinct().join(found, list(by), "left")
+    return found.withColumn("weighted_median", F.coalesce("weighted_median", F.lit(empty)))
 
 
 def pdf_scope(words: Column, chars: Column, text_pages: Column, pages: Column) -> Column:

@@ -1,7 +1,6 @@
 """Library layout: folder trees, placements, moods, selections.
 
-Trees are small beside the books in them; recursion is by levels of the tree (``WITH RECURSIVE``), placements join once with the
-finished closure.
+Recursion is by pointer doubling over the folders; placements join once with the finished closure.
 """
 
 from __future__ import annotations
@@ -9,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.session import with_checkpoints
+
 LAST = 9007199254740991
 
 
@@ -41,16 +42,27 @@ def renumbered_placements(placements: DataFrame) -> DataFrame:
     return placements.withColumn("ord", F.row_number().over(w) - 1)
 
 
-def ancestors(folders: DataFrame, limit: int = 100) -> DataFrame:
-    """(id, ancestor, distance) of every folder, itself at distance 0; a cycle ends where it meets itself."""
-    folders.createOrReplaceTempView("__folders")
-    return folders.sparkSession.sql(
-        f"""WITH RECURSIVE up(id, ancestor, distance, seen) MAX RECURSION LEVEL {limit} AS (
-          SELECT id, id, 0, array(id) FROM __folders
-          UNION ALL SELECT u.id, f.parent_id, u.distance + 1, array_append(u.seen, f.parent_id) FROM up u JOIN __folders f ON u.ancestor = f.id
-            WHERE f.parent_id IS NOT NULL AND NOT array_contains(u.seen, f.parent_id))
-        SELECT id, ancestor, distance FROM up"""
-    )
+def ancestors(folders: DataFrame) -> DataFrame:
+    """(id, ancestor, distance) of every folder, itself at distance 0; a cycle ends where it meets itself.
+
+    Pointer doubling: after k rounds all ancestors nearer than 2**k are known, so a chain of any length takes as many
+    rounds as its length has bits, and no number of folders is too large. A round's rows are cut off by a checkpoint.
+    """
+    with_checkpoints(folders.sparkSession)
+    near = folders.select("id", F.col("id").alias("ancestor"), F.lit(0).alias("distance")).distinct()
+    leap = folders.where("parent_id IS NOT NULL").select("id", F.col("parent_id").alias("via")).distinct()
+    step, known = 1, -1
+    while True:
+        near, leap = near.checkpoint(), leap.checkpoint()
+        now = near.count()
+        if now == known or leap.isEmpty():
+            return near
+        known = now
+        there = near.select(F.col("id").alias("via"), F.col("ancestor").alias("above"), F.col("distance").alias("more"))
+        # a parent that is no folder has no row of its own, and is an ancestor itself
+        beyond = leap.join(there, "via", "left").select("id", F.coalesce("above", "via").alias("ancestor"), (F.coalesce("more", F.lit(0)) + step).alias("distance"))
+        near = near.unionByName(beyond).groupBy("id", "ancestor").agg(F.min("distance").alias("distance"))
+        leap, step = leap.join(leap.select(F.col("id").alias("via"), F.col("via").alias("next")), "via").select("id", F.col("next").alias("via")), 2 * step
 
 
 def cyclic(folders: DataFrame) -> DataFrame:
@@ -133,6 +145,26 @@ def unassigned(books: DataFrame, moods: DataFrame, key: str = "book_id") -> Data
     return books.join(moods.select(F.explode("book_ids").alias(key)).distinct(), key, "left_anti")
 
 
+def listed(moods: DataFrame, *columns: str) -> DataFrame:
+    """A row for each book of a mood's list; a library too large for lists keeps its moods in this form."""
+    return moods.select(*columns, F.posexplode("book_ids").alias("pos", "book_id"))
+
+
+def unassigned_rows(books: DataFrame, rows: DataFrame, key: str = "book_id") -> DataFrame:
+    """Books in no mood; ``rows`` as ``listed`` gives them."""
+    return books.join(rows.select(F.col("book_id").alias(key)).distinct(), key, "left_anti")
+
+
+def color_rows(rows: DataFrame) -> DataFrame:
+    """(book_id, color) of the first mood, in order; ``rows``: mood_order, color, book_id."""
+    return rows.groupBy("book_id").agg(F.min_by(F.coalesce("color", F.lit("violet")), "mood_order").alias("color"))
+
+
+def mood_book_rows(rows: DataFrame, books: DataFrame) -> DataFrame:
+    """mood_id, book_id and its place in the mood's list; ids that are no book vanish."""
+    return rows.join(books, "book_id", "left_semi").select("mood_id", "pos", "book_id")
+
+
 def mood_colors(moods: DataFrame) -> DataFrame:
     """(book_id, color) of the first mood, in order, that lists the book; violet where it has none."""
     listed = moods.select("mood_order", F.coalesce("color", F.lit("violet")).alias("color"), F.explode("book_ids").alias("book_id"))

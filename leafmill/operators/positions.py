@@ -50,13 +50,17 @@ def deepest_per_start(chapters: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def chapter_bounds(chapters: DataFrame, prefixed: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Right-open intervals of paragraphs and their words: (key, chapter_index, start, end_exclusive, words)."""
+    """Right-open intervals of paragraphs and their words: (key, chapter_index, start, end_exclusive, words_before, words).
+
+    One chapter that starts at no paragraph makes all chapters of its book unusable: it has no intervals.
+    """
     starts = deepest_per_start(chapters, key)
     last = prefixed.groupBy(key).agg(F.max("paragraph_id").alias("n"), F.max("total_words").alias("total_words"))
-    following = F.lead("start_paragraph_id").over(Window.partitionBy(key).orderBy("start_paragraph_id"))
-    at = starts.join(prefixed.select(key, F.col("paragraph_id").alias("start_paragraph_id"), "words_before"), [key, "start_paragraph_id"]).join(last, key)
-    following_words = F.lead("words_before").over(Window.partitionBy(key).orderBy("start_paragraph_id"))
-    return at.select(key, "chapter_index", F.col("start_paragraph_id").alias("start"), F.coalesce(following, F.col("n") + 1).alias("end_exclusive"), "words_before", (F.coalesce(following_words, F.col("total_words")) - F.col("words_before")).alias("words"))
+    at = starts.join(prefixed.select(key, F.col("paragraph_id").alias("start_paragraph_id"), "words_before"), [key, "start_paragraph_id"], "left").join(last, key)
+    order = Window.partitionBy(key).orderBy("start_paragraph_id")
+    every = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    at = at.withColumns({"next_start": F.lead("start_paragraph_id").over(order), "next_words": F.lead("words_before").over(order), "lost": F.count_if(F.col("words_before").isNull()).over(every)})
+    return at.where("lost = 0").select(key, "chapter_index", F.col("start_paragraph_id").alias("start"), F.coalesce("next_start", F.col("n") + 1).alias("end_exclusive"), "words_before", (F.coalesce("next_words", "total_words") - F.col("words_before")).alias("words"))
 
 
 def chapter_percent(prefixed: DataFrame, bounds: DataFrame, word_index: Column, key: str = "doc_id") -> DataFrame:

@@ -6,10 +6,11 @@ through a staging folder. All of it is aggregates on keys: nothing is sorted who
 
 from __future__ import annotations
 
+import json
 import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafmill import schemas as S
@@ -30,12 +31,127 @@ def upserted(log: DataFrame, keys: list[str], order: list[str], immutable: list[
     return best.select(*keys, *[F.col(f"{'f' if c in immutable else 'r'}.{c}").alias(c) for c in rest]).select(*log.columns)
 
 
-def patched(rows: DataFrame, patch: DataFrame, keys: list[str], immutable: list[str] = ()) -> DataFrame:
-    """Each row with the patch's non-null columns; ``patch`` has one row a key at most. Patches of missing keys do nothing."""
-    change = [c for c in patch.columns if c not in keys and c not in immutable and c in rows.columns]
-    p = patch.select(*keys, *[F.col(c).alias(f"__p_{c}") for c in change])
+def patched(rows: DataFrame, patch: DataFrame, keys: list[str], immutable: list[str] = (), given: str | None = None) -> DataFrame:
+    """Each row with the patch's columns; ``patch`` has one row a key at most. Patches of missing keys do nothing (see ``missing_patches``).
+
+    ``given`` names a column of the patch that lists the columns it sets, to null too; without it a patch sets its non-null
+    columns. A patch that lists an immutable column fails the job.
+    """
+    change = [c for c in patch.columns if c not in keys and c not in immutable and c != given and c in rows.columns]
+    listed = F.col(given) if given else F.lit(None).cast("array<string>")
+    if given and immutable:
+        bad = F.arrays_overlap(listed, F.array(*[F.lit(c) for c in immutable]))
+        listed = F.when(bad, F.raise_error(F.lit(f"a patch may not set {', '.join(immutable)}")).cast("array<string>")).otherwise(listed)
+    p = patch.select(*keys, listed.alias("__given"), *[F.col(c).alias(f"__p_{c}") for c in change])
     joined = rows.join(p, keys, "left")
-    return joined.select([F.coalesce(f"__p_{c}", c).alias(c) if c in change else F.col(c) for c in rows.columns])
+    if given:
+        new = lambda c: F.when(F.array_contains("__given", c), F.col(f"__p_{c}")).otherwise(F.col(c))
+    else:
+        new = lambda c: F.coalesce(f"__p_{c}", c)
+    return joined.select([new(c).alias(c) if c in change else F.col(c) for c in rows.columns])
+
+
+def get_book(books: DataFrame, book_id: object) -> DataFrame:
+    """The book's row; none if it does not exist."""
+    return books.where(F.col("id") == F.lit(book_id))
+
+
+def set_status(books: DataFrame, changes: DataFrame) -> DataFrame:
+    """Status, error (null clears it) and time of books; ``changes``: id, processing_status, processing_error, updated_at."""
+    given = F.array(*[F.lit(c) for c in ("processing_status", "processing_error", "updated_at")])
+    return patched(books, changes.withColumn("given", given), ["id"], ["created_at"], "given")
+
+
+def set_book_and_job_status(books: DataFrame, jobs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(books, jobs, refused changes): a change applies to its book and its job together, or, where either is missing, to neither.
+
+    ``changes``: book_id, attempt, status, error, updated_at, has_finished, finished_at; a job keeps its finished_at unless has_finished.
+    """
+    both = changes.join(books.select(F.col("id").alias("book_id")), "book_id", "left_semi").join(jobs.select("book_id", "attempt"), ["book_id", "attempt"], "left_semi")
+    on_books = both.select(F.col("book_id").alias("id"), F.col("status").alias("processing_status"), F.col("error").alias("processing_error"), "updated_at")
+    given = F.when(F.col("has_finished"), F.array(F.lit("status"), F.lit("error"), F.lit("finished_at"))).otherwise(F.array(F.lit("status"), F.lit("error")))
+    on_jobs = both.select("book_id", "attempt", "status", "error", "finished_at", given.alias("given"))
+    return set_status(books, on_books), patched(jobs, on_jobs, ["book_id", "attempt"], given="given"), changes.join(both, ["book_id", "attempt"], "left_anti")
+
+
+def job_list(jobs: DataFrame, book_id: object) -> DataFrame:
+    """A book's jobs by attempt."""
+    return jobs.where(F.col("book_id") == F.lit(book_id)).orderBy("attempt")
+
+
+#: Tables that hold a book's content.
+CONTENT = ("book_chunks", "book_chapters", "book_images")
+
+
+def clear_all_books(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """All tables empty but the settings."""
+    return {name: df if name == "app_settings" else df.limit(0) for name, df in tables.items()}
+
+
+def clear_content(tables: dict[str, DataFrame], cleared: DataFrame) -> dict[str, DataFrame]:
+    """Books without chunks, chapters and images, their totals 0; ``cleared``: book_id, updated_at."""
+    zero = cleared.select(F.col("book_id").alias("id"), "updated_at", *[F.lit(0).alias(c) for c in ("total_chunks", "total_paragraphs", "total_words")])
+    out = {name: df.join(cleared.select("book_id"), "book_id", "left_anti") if name in CONTENT else df for name, df in tables.items()}
+    return out | {"books": patched(tables["books"], zero, ["id"])}
+
+
+def replace_content(tables: dict[str, DataFrame], content: dict[str, DataFrame], totals: DataFrame) -> dict[str, DataFrame]:
+    """The books of ``totals`` with new content; other books as they are.
+
+    ``content`` has the new rows of the three content tables in order of ``pos``: they are numbered from 0; chapters without a
+    kind or a level get those of their title. ``totals``: book_id, total_chunks, total_paragraphs, total_words, updated_at.
+    Rows of books that don't exist are left out, as the whole write would be.
+    """
+    real = totals.join(tables["books"].select(F.col("id").alias("book_id")), "book_id", "left_semi")
+    out = clear_content(tables, real.select("book_id", "updated_at"))
+    number = F.row_number().over(Window.partitionBy("book_id").orderBy("pos")) - 1
+    for name, index in zip(CONTENT, ("chunk_index", "chapter_index", "image_index")):
+        if name not in content:
+            continue
+        rows = content[name].join(real.select("book_id"), "book_id", "left_semi").withColumn(index, number)
+        if name == "book_chapters":
+            rows = rows.withColumn("kind", F.coalesce("kind", T.nav_kind("title"))).withColumn("level", F.coalesce("level", T.nav_level(F.col("kind"))))
+        out[name] = out[name].unionByName(rows.select(tables[name].columns))
+    return out | {"books": patched(tables["books"], real.withColumnRenamed("book_id", "id"), ["id"])}
+
+
+def book_aggregate(tables: dict[str, DataFrame], book_id: object) -> dict[str, DataFrame]:
+    """A book's row, and its chapters, chunks and images in order."""
+    own = lambda name, order: tables[name].where(F.col("book_id") == F.lit(book_id)).orderBy(order)
+    return {"book": get_book(tables["books"], book_id), "chapters": own("book_chapters", "chapter_index"), "chunks": own("book_chunks", "chunk_index"), "images": own("book_images", "image_index")}
+
+
+def settings(log: DataFrame) -> DataFrame:
+    """The last value put for each key, by key; ``log``: key, value_json, pos."""
+    return latest(log, ["key"], ["pos"]).select("key", "value_json").orderBy("key")
+
+
+def put_setting(log: DataFrame, key: str, value: object) -> DataFrame:
+    """The log with one more value, written as JSON."""
+    after = log.agg(F.lit(key).alias("key"), F.lit(json.dumps(value, separators=(",", ":"))).alias("value_json"), (F.coalesce(F.max("pos"), F.lit(-1)) + 1).alias("pos"))
+    return log.unionByName(after.select(log.columns))
+
+
+def delete_progress(progress: DataFrame, gone: DataFrame) -> DataFrame:
+    return progress.join(gone.select("book_id"), "book_id", "left_anti")
+
+
+def resumed(progress: DataFrame, paras: DataFrame, books: DataFrame) -> DataFrame:
+    """book_id, mode, paragraph_id, word_index at which reading goes on.
+
+    A saved paragraph that the book lacks, or none, gives its first paragraph and word 0; a book without paragraphs gives
+    mode ``normal`` and paragraph 1; the mode is the saved one where the book has paragraphs. ``paras``: book_id, paragraph_id.
+    """
+    first = paras.groupBy("book_id").agg(F.min("paragraph_id").alias("first"))
+    real = progress.join(paras, ["book_id", "paragraph_id"], "left_semi").select("book_id", F.lit(True).alias("real"))
+    out = books.select("book_id").join(first, "book_id", "left").join(progress, "book_id", "left").join(real, "book_id", "left")
+    some, good = F.col("first").isNotNull(), F.coalesce("real", F.lit(False))
+    return out.select(
+        "book_id",
+        F.when(some, F.coalesce("mode", F.lit("normal"))).otherwise("normal").alias("mode"),
+        F.when(good, F.col("paragraph_id")).otherwise(F.coalesce("first", F.lit(1))).alias("paragraph_id"),
+        F.when(good, F.greatest(F.lit(0), F.col("word_index"))).otherwise(0).alias("word_index"),
+    )
 
 
 def missing_patches(rows: DataFrame, patch: DataFrame, keys: list[str]) -> DataFrame:

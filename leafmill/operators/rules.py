@@ -9,11 +9,13 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafmill import schemas as S
 from leafmill.functions import text as T
+from leafmill.operators.model import paragraph_array
 
 
 @dataclass(frozen=True)
@@ -26,7 +28,7 @@ class Rule:
     case_insensitive: bool = True
 
 
-#: Shapes that may backtrack without end: a quantified group with a quantifier or an alternation inside, a back reference.
+#: Shapes that may backtrack without end: a quantified group with a quantifier or an alternation inside, a back reference.
 UNSAFE = (r"\((?:[^()\\]|\\.)*[+*{](?:[^()\\]|\\.)*\)\s*[+*{]", r"\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)\s*[+*{]", r"\\[1-9]")
 
 
@@ -54,10 +56,18 @@ def rule_error(rule: Rule) -> str | None:
         return f"Replacement is too long (max {S.RULE_REPLACEMENT_CHARS} chars)"
     if any(re.search(u, pattern) for u in UNSAFE):
         return "Regex looks potentially unsafe for live playback. Try a simpler pattern."
+    if why := syntax_error(java(pattern)):
+        return f"Invalid regex: {why}"
+    return None
+
+
+def syntax_error(pattern: str) -> str | None:
+    """What the engine that will run the pattern, the JVM's, says against it."""
+    spark = SparkSession.active()
     try:
-        re.compile(pattern)
-    except re.error as e:
-        return f"Invalid regex: {e}"
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:
+        return str(e).split(" near index")[0].split("\n")[0]
     return None
 
 
@@ -88,29 +98,46 @@ def apply_token(word: Column, rules: list[Rule], preview: bool = False) -> Colum
     return F.struct((spoken.otherwise(word) if rules else word).alias("spoken"), (matched.otherwise(False) if rules else F.lit(False)).alias("matched"))
 
 
-def apply_chunk(text: Column, rules: list[Rule]) -> tuple[Column, Column]:
-    """(text, matches): every rule in turn on what the one before left; replacements are taken literally."""
-    count = F.lit(0)
-    for r in rules:
-        pattern = _flags(r) + java(r.pattern)
-        count = count + F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, r.replacement.replace("\\", "\\\\").replace("$", "\\$"))
-    return text, count
-
-
-def preview_impact(words: DataFrame, rules: list[Rule], totals: DataFrame, key: str = "doc_id", examples: int = 20) -> DataFrame:
-    """Matches, affected paragraphs, distinct words, the first examples and the share of the book's words for each book."""
-    hit = words.withColumn("m", apply_token(F.col("word"), rules, True)).where("m.matched")
-    own = hit.groupBy(key).agg(F.count("*").alias("total_matches"), F.count_distinct("paragraph_id").alias("affected_paragraphs"), F.count_distinct(F.lower("word")).alias("unique_words"))
-    share = F.col("total_matches") / F.greatest(F.lit(1), F.col("total_words")) * 100
-    out = totals.join(own, key, "left").na.fill(0, ["total_matches", "affected_paragraphs", "unique_words"])
-    return out.select(key, "total_matches", "affected_paragraphs", "unique_words", share.alias("percent"), ((F.col("total_matches") > 500) | (share > 5)).alias("high_impact"))
-
-
-def preview_examples(words: DataFrame, rules: list[Rule], key: str = "doc_id", n: int = 20) -> DataFrame:
-    """The first ``n`` (before, after) of each book, in reading order: a bounded top-k, which Spark limits before its shuffle."""
-    from pyspark.sql import Window
-
-    hit = words.withColumn("m", apply_token(F.col("word"), rules, True)).where("m.matched")
-    rank = F.row_number().over(Window.partitionBy(key).orderBy("paragraph_id", "word_index"))
-    return hit.withColumn("n", rank).where(F.col("n") <= n).select(key, (F.col("n") - 1).alias("example"), F.col("word").alias("before"), F.col("m.spoken").alias("after"))
+def apply_chunk(text: Column, rules: list[Rule]) -> Column:
+    """struct<spoken, matches>: every rule in turn on what the one before left; replacements are taken literally.
+
+    A fold over the rules' numbers: each step picks its rule from one list of cases, so the expression grows with the number
+    of rules and not with its power, and every pattern is compiled once.
+    """
+    start = F.struct(text.alias("spoken"), F.lit(0).alias("matches"))
+    if not rules:
+        return start
+
+    def step(now: Column, number: Column) -> Column:
+        out = F
+        for i, r in enumerate(rules):
+            pattern = _flags(r) + java(r.pattern)
+            done = F.regexp_replace(now["spoken"], pattern, r.replacement.replace("\\", "\\\\").replace("$", "\\$"))
+            found = F.coalesce(F.regexp_count(now["spoken"], F.lit(pattern)), F.lit(0))
+            out = out.when(number == i, F.struct(done.alias("spoken"), (now["matches"] + found).alias("matches")))
+        return out.otherwise(now)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(len(rules) - 1)), start, step)
+
+
+def preview(documents: DataFrame, rules: list[Rule], key: str = "doc_id", examples: int = 20) -> DataFrame:
+    """key, total_matches, affected_paragraphs, unique_words, percent (of the book's words), high_impact and examples: the
+    first ``examples`` rewritten words as (before, after), in reading order.
+
+    Counted inside each document's own arrays: one scan, no shuffle.
+    """
+    tokens = F.transform(paragraph_array("text"), T.tokenize)
+    own = documents.select(key, tokens.alias("tokens"))
+    tried = F.flatten(F.transform("tokens", lambda words, p: F.filter(F.transform(words, lambda w: F.struct(p.alias("paragraph"), w.alias("before"), apply_token(w, rules, True).alias("m"))), lambda h: h["m"]["matched"])))
+    hits = own.select(key, F.aggregate("tokens", F.lit(0), lambda n, words: n + F.size(words)).alias("total_words"), tried.alias("hits"))
+    n = F.size("hits").cast("long")
+    share = n / F.greatest(F.lit(1), F.col("total_words")) * 100
+    return hits.select(
+        key,
+        n.alias("total_matches"),
+        F.size(F.array_distinct(F.transform("hits", lambda h: h["paragraph"]))).cast("long").alias("affected_paragraphs"),
+        F.size(F.array_distinct(F.transform("hits", lambda h: F.lower(h["before"])))).cast("long").alias("unique_words"),
+        share.alias("percent"),
+        ((n > 500) | (share > 5)).alias("high_impact"),
+        F.transform(F.slice("hits", 1, examples), lambda h: F.struct(h["before"].alias("before"), h["m"]["spoken"].alias("after"))).alias("examples"),
+    )

@@ -27,7 +27,7 @@ def say(*parts: str | Column) -> Column:
 
 def text_facts(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Facts about a book's paragraphs: words, letters, characters, bad characters, the largest paragraph, ornaments."""
-    own = documents.select(key, paragraph_array("text").alias("paras"), F.coalesce("text", F.lit("")).alias("raw"))
+    own = documents.select(key, paragraph_array("text").alias("paras"))
     own = own.withColumns({"counts": F.transform("paras", T.count_words), "joined": F.array_join("paras", "\n")})
     return own.select(
         key,
@@ -35,7 +35,7 @@ def text_facts(documents: DataFrame, key: str = "doc_id") -> DataFrame:
         F.aggregate("counts", F.lit(0), lambda a, x: a + x).alias("words"),
         T.letters("joined").alias("letters"),
         F.length("joined").alias("chars"),
-        F.regexp_count("raw", F.lit(r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]")).alias("bad_chars"),
+        F.regexp_count("joined", F.lit(r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]")).alias("bad_chars"),
         F.coalesce(F.array_max("counts"), F.lit(0)).alias("largest"),
         F.size(F.filter("paras", T.raw_ornament)).alias("ornaments"),
     )

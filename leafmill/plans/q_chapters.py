@@ -28,7 +28,7 @@ def drop_prelude(spark, sf_dir):
 
 
 @query(f"""WITH {_LIST}, a AS (SELECT *, norm LIKE '%song%' OR norm LIKE '%chant%' AS song FROM ls), b AS (SELECT *, start - lag(start) OVER w AS pg, lag(song) OVER w AS ps, lead(start) OVER w - start AS ng, lead(song) OVER w AS ns FROM a WINDOW w AS (PARTITION BY book_id ORDER BY start, pos))
-SELECT book_id, pos, start, kind FROM b WHERE NOT (song AND (coalesce(ng <= 30 AND NOT ns, false) OR coalesce(pg <= 30 AND NOT ps, false)))""".replace("<= 30", "<= 2"))
+SELECT book_id, pos, start, kind FROM b WHERE NOT (song AND (coalesce(ng <= 2 AND NOT ns, false) OR coalesce(pg <= 2 AND NOT ps, false)))""")
 def drop_songs(spark, sf_dir):
     return C.drop_songs(_chapters(spark, sf_dir)).select(_OUT)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from leafmill import schemas as S
 from leafmill.functions import text as T
 from leafmill.operators import evaluate as E
+from leafmill.operators import geometry as G
 from leafmill.operators import model as M
 from leafmill.operators import validate as V
 from leafmill.plans import sql as Q
@@ -15,8 +16,8 @@ from leafmill.plans.registry import query, table
 
 _BAD = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"
 FACTS = f"""{Q.PARAGRAPHS}, pc AS (SELECT *, len({Q.tokens('text')}) AS n, NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AND {Q.ornaments('text')} >= 3 AS orn FROM p),
-fg AS (SELECT doc_id, count(*) AS paragraphs, sum(n) AS words, sum({Q.letters('text')}) AS letters, sum(length(text)) + count(*) - 1 AS chars, max(n) AS largest, count(*) FILTER (orn) AS ornaments FROM pc GROUP BY doc_id),
-facts AS (SELECT d.doc_id, coalesce(paragraphs, 0) AS paragraphs, coalesce(words, 0) AS words, coalesce(letters, 0) AS letters, coalesce(chars, 0) AS chars, length(regexp_replace(d.text, '{_BAD.replace('[', '[^', 1)}', '', 'g')) AS bad_chars, coalesce(largest, 0) AS largest, coalesce(ornaments, 0) AS ornaments FROM documents d LEFT JOIN fg USING (doc_id)),
+fg AS (SELECT doc_id, count(*) AS paragraphs, sum(n) AS words, sum({Q.letters('text')}) AS letters, sum(length(text)) + count(*) - 1 AS chars, max(n) AS largest, sum(length(regexp_replace(text, '{_BAD.replace('[', '[^', 1)}', '', 'g')))::BIGINT AS bad_chars, count(*) FILTER (orn) AS ornaments FROM pc GROUP BY doc_id),
+facts AS (SELECT d.doc_id, coalesce(paragraphs, 0) AS paragraphs, coalesce(words, 0) AS words, coalesce(letters, 0) AS letters, coalesce(chars, 0) AS chars, coalesce(bad_chars, 0) AS bad_chars, coalesce(largest, 0) AS largest, coalesce(ornaments, 0) AS ornaments FROM documents d LEFT JOIN fg USING (doc_id)),
 dx AS (SELECT doc_id, 0 AS pos, 'No / unusable text' AS bucket, 'failure' AS severity, 'unusable_text' AS code, 'Only ' || words || ' words of usable text were extracted.' AS message FROM facts WHERE NOT (words >= 50 AND letters >= 150)
   UNION ALL SELECT doc_id, 1, 'No / unusable text', 'failure', 'garbled_text', 'Extracted text contains too many decoding/control characters.' FROM facts WHERE chars > 0 AND bad_chars / greatest(chars, 1) > 0.002
   UNION ALL SELECT doc_id, 2, 'No / unusable text', 'failure', 'collapsed_paragraphs', 'Paragraph boundaries collapsed: largest paragraph has ' || largest || ' of ' || words || ' words.' FROM facts WHERE words >= 1000 AND (paragraphs = 1 OR largest > 5000 OR largest / words > 0.9)
@@ -159,9 +160,21 @@ def status_sequences(spark, sf_dir):
     return log.select("o_custkey", E.ordered_subsequence(F.col("s"), ["F", "O", "F"]).alias("in_order"))
 
 
-@query(f"""WITH {Q.PARAGRAPHS}, s AS (SELECT doc_id, paragraph_id, regexp_replace(lower(text), '[0-9]+', '#', 'g') AS sig FROM p WHERE paragraph_id <= 6), g AS (SELECT sig, count(DISTINCT doc_id) AS pages FROM s GROUP BY sig), n AS (SELECT count(DISTINCT doc_id) AS n FROM s)
-SELECT sig AS signature, pages FROM g, n WHERE pages >= 3""")
+
+_LEGAL, _LEADER = "^(?:©|copyright\\b|doi\\b)", "…+\\s*[0-9]{1,4}$"
+
+
+@query(rf"""WITH {Q.PARAGRAPHS}, ln AS (SELECT doc_id, (paragraph_id - 1) // 10 + 1 AS page, paragraph_id AS line_order, text, (paragraph_id - 1) % 10 * 10 + 5 AS baseline FROM p),
+ed AS (SELECT *, CASE WHEN baseline <= 15 THEN 'header' WHEN baseline >= 85 THEN 'footer' END AS edge FROM ln),
+ft AS (SELECT doc_id, page, min(baseline) AS cut FROM ed WHERE edge = 'footer' AND regexp_matches(text, '{_LEGAL}', 'i') GROUP BY ALL),
+cl AS (SELECT ed.* FROM ed LEFT JOIN ft USING (doc_id, page) WHERE (cut IS NULL OR baseline < cut - 1) AND NOT (coalesce(edge, '') = 'footer' AND regexp_matches(text, '{_LEGAL}', 'i')) AND NOT (coalesce(edge, '') = 'header' AND regexp_matches(text, '{_LEADER}'))),
+sg AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:[0-9]+|[ivxlcdm]+)$') THEN '<page-number>' WHEN regexp_matches(t, '^(?:chapter|part|book|section)(?:[^a-z0-9_]|$)') THEN t WHEN len(string_split(t, ' ')) >= 3 THEN regexp_replace(t, '[0-9]+', '#', 'g') ELSE t END AS sig FROM (SELECT *, lower(text) AS t FROM cl)),
+pg AS (SELECT doc_id, count(DISTINCT page) AS n, count(DISTINCT page) FILTER (page % 2 = 1) AS odd FROM ln GROUP BY doc_id),
+oc AS (SELECT doc_id, edge, sig, count(DISTINCT page) AS n, count(DISTINCT page) FILTER (page % 2 = 1) AS odd FROM sg WHERE edge IS NOT NULL AND length(text) <= 180 GROUP BY ALL),
+rp AS (SELECT oc.doc_id, edge, sig FROM oc JOIN pg USING (doc_id) WHERE oc.n >= 3 AND (oc.n / pg.n >= 0.35 OR (pg.odd >= 3 AND oc.odd / pg.odd >= 0.6) OR (pg.n - pg.odd >= 3 AND (oc.n - oc.odd) / (pg.n - pg.odd) >= 0.6)))
+SELECT doc_id, page, line_order FROM sg WHERE NOT EXISTS (SELECT 1 FROM rp WHERE rp.doc_id = sg.doc_id AND rp.edge = sg.edge AND rp.sig = sg.sig)""")
 def repeated_furniture(spark, sf_dir):
-    """Edge lines whose signature recurs on three pages or more; documents stand in for pages."""
-    s = paras(spark, sf_dir).where("paragraph_id <= 6").select("doc_id", F.regexp_replace(F.lower("text"), "[0-9]+", "#").alias("signature"))
-    return s.groupBy("signature").agg(F.count_distinct("doc_id").alias("pages")).where("pages >= 3")
+    """Lines that stay when page furniture is gone; ten paragraphs of a document stand in for a page of ten lines."""
+    at = F.col("paragraph_id") - 1
+    lines = paras(spark, sf_dir).select("doc_id", (F.floor(at / 10) + 1).cast("int").alias("page"), F.col("paragraph_id").alias("line_order"), "text", (at % 10 * 10 + 5).alias("baseline"), F.lit(100).alias("height"))
+    return G.without_furniture(lines, "doc_id").select("doc_id", "page", "line_order")

@@ -128,13 +128,12 @@ def rules_token_rewrite(spark, sf_dir):
     return done.select("conv_id", "turn", F.array_join(F.transform("r", lambda x: x["spoken"]), " ").alias("spoken"), F.size(F.filter("r", lambda x: x["matched"])).alias("matches"))
 
 
-@query(r"""WITH a AS (SELECT conv_id, turn, text, regexp_replace(text, 'the', 'z$1\', 'gi') AS t1 FROM conversations), b AS (SELECT *, regexp_replace(t1, '\band\b', 'und', 'gi') AS t2 FROM a)
-SELECT conv_id, turn, regexp_replace(t2, '[a-z]*ing', '<ing>', 'g') AS spoken, (len(regexp_extract_all(text, 'the', 0, 'i')) + len(regexp_extract_all(t1, '\band\b', 0, 'i')) + len(regexp_extract_all(t2, '[a-z]*ing')))::INTEGER AS matches FROM b""".replace(r"'z$1\'", r"'z$1'"))
+@query(r"""WITH a AS (SELECT conv_id, turn, text, regexp_replace(text, 'the', 'z$1', 'gi') AS t1 FROM conversations), b AS (SELECT *, regexp_replace(t1, '\band\b', 'und', 'gi') AS t2 FROM a)
+SELECT conv_id, turn, regexp_replace(t2, '[a-z]*ing', '<ing>', 'g') AS spoken, (len(regexp_extract_all(text, 'the', 0, 'i')) + len(regexp_extract_all(t1, '\band\b', 0, 'i')) + len(regexp_extract_all(t2, '[a-z]*ing')))::INTEGER AS matches FROM b""")
 def rules_chunk_rewrite(spark, sf_dir):
     """Every rule over the whole text, replacements literal."""
     active = R.active([R.Rule("r1", "the", "z$1"), R.Rule("r2", r"\band\b", "und", "simple"), R.Rule("r3", "[a-z]*ing", "<ing>", case_insensitive=False)], [])
-    spoken, matches = R.apply_chunk(F.col("text"), active)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", spoken.alias("spoken"), matches.alias("matches"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", R.apply_chunk(F.col("text"), active).alias("r")).select("conv_id", "turn", "r.*")
 
 
 _HIT = r"(regexp_matches(word, '^(?:the)$', 'i') OR regexp_matches(word, '^(?:\band\b)$', 'i') OR regexp_matches(word, '^(?:[a-z]*ing)$'))"
@@ -145,14 +144,14 @@ SELECT d.doc_id, coalesce(m, 0) AS total_matches, coalesce(ap, 0) AS affected_pa
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)""")
 def rule_preview_impact(spark, sf_dir):
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    totals = M.book_totals(documents).select("doc_id", F.col("words").alias("total_words"))
-    return R.preview_impact(M.words(M.paragraphs(documents)), R.active(RULES, []), totals)
+    return R.preview(documents, R.active(RULES, [])).drop("examples")
 
 
 @query(f"""WITH {Q.WORDS}, h AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id, word_index) - 1 AS example FROM wd WHERE {_HIT})
 SELECT doc_id, example::INTEGER AS example, word AS "before", CASE WHEN lower(word) = 'the' THEN 'ze' WHEN lower(word) = 'and' THEN 'und' ELSE '-' || word || '-' END AS "after" FROM h WHERE example < 20""")
 def rule_preview_examples(spark, sf_dir):
-    return R.preview_examples(M.words(paras(spark, sf_dir)), R.active(RULES, []))
+    shown = R.preview(table(spark, sf_dir, "documents").select("doc_id", "text"), R.active(RULES, []))
+    return shown.select("doc_id", F.posexplode("examples").alias("example", "e")).select("doc_id", "example", "e.before", "e.after")
 
 
 @query(rf"""SELECT p_partkey, regexp_matches(pat, '\((?:[^()\\]|\\.)*[+*{{](?:[^()\\]|\\.)*\)\s*[+*{{]') OR regexp_matches(pat, '\((?:[^()\\]|\\.)*\|(?:[^()\\]|\\.)*\)\s*[+*{{]') OR regexp_matches(pat, '\\[1-9]') AS unsafe, pat AS pattern

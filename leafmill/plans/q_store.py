@@ -78,14 +78,123 @@ def book_search(spark, sf_dir):
     return both.select("p_partkey", F.col("title").alias("p_name"))
 
 
-@query("SELECT count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 5 > 0) AS with_issues, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus IS NULL) AS canceled, sum(c_custkey)::BIGINT AS bytes FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey % 10 = 0 AND o_orderstatus <> 'P') o ON c_custkey = o_custkey")
+@query("SELECT count(*) FILTER (o_orderstatus = 'O') AS ok, count(*) FILTER (o_orderstatus = 'O' AND o_orderkey % 5 > 0) AS with_issues, count(*) FILTER (o_orderstatus = 'F') AS failed, count(*) FILTER (o_orderstatus IS NULL OR o_orderstatus = 'P') AS canceled, sum(c_custkey)::BIGINT AS bytes FROM customer LEFT JOIN orders ON c_custkey = o_custkey")
 def batch_summary(spark, sf_dir):
+    """Customers stand in for books; orders are their outcomes, pending ones without a status."""
     tracked = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id"), F.col("c_custkey").alias("size_bytes"))
-    o = table(spark, sf_dir, "orders").where("o_orderkey % 10 = 0 AND o_orderstatus <> 'P'")
-    outcomes = o.select(F.col("o_custkey").alias("book_id"), F.when(F.col("o_orderstatus") == "O", "completed").otherwise("failed").alias("status"), (F.col("o_orderkey") % 5).alias("issues"))
+    status = F.when(F.col("o_orderstatus") == "O", "completed").when(F.col("o_orderstatus") == "F", "failed")
+    outcomes = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), status.alias("status"), (F.col("o_orderkey") % 5).alias("issues"))
     return R.batch_summary(tracked, outcomes)
 
 
+def _books(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.lit("queued").alias("processing_status"), F.col("c_name").alias("processing_error"), F.col("c_nationkey").cast("long").alias("updated_at"), F.col("c_mktsegment").alias("created_at"))
+
+
+def _jobs(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("book_id"), F.col("o_orderkey").alias("attempt"), F.col("o_orderstatus").alias("status"), F.col("o_orderpriority").alias("error"), F.when(F.col("o_orderstatus") == "F", F.col("o_orderdate")).alias("finished_at"))
+
+
+@query("SELECT c_custkey AS id, 'queued' AS processing_status, c_name AS processing_error, c_nationkey::BIGINT AS updated_at, c_mktsegment AS created_at FROM customer WHERE c_custkey = 7")
+def get_book(spark, sf_dir):
+    return R.get_book(_books(spark, sf_dir), 7)
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_nationkey < 10 THEN 'failed' ELSE 'queued' END AS processing_status, CASE WHEN c_nationkey < 10 THEN CASE WHEN c_custkey % 2 = 0 THEN 'broken' END ELSE c_name END AS processing_error,
+  CASE WHEN c_nationkey < 10 THEN 99 ELSE c_nationkey::BIGINT END AS updated_at, c_mktsegment AS created_at FROM customer""")
+def set_status(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    changes = books.where("updated_at < 10").select("id", F.lit("failed").alias("processing_status"), F.when(F.col("id") % 2 == 0, "broken").alias("processing_error"), F.lit(99).cast("long").alias("updated_at"))
+    return R.set_status(books, changes)
+
+
+def _changes(spark, sf_dir):
+    """One change a customer, to the first order or, for some, to one that does not exist."""
+    first = _jobs(spark, sf_dir).groupBy("book_id").agg(F.min("attempt").alias("attempt"))
+    missing = F.col("book_id") % 5 == 0
+    return first.select("book_id", F.when(missing, -1).otherwise(F.col("attempt")).alias("attempt"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(5).cast("long").alias("updated_at"), (F.col("book_id") % 2 == 0).alias("has_finished"), F.lit(None).cast("timestamp").alias("finished_at"))
+
+
+_FIRST = "f AS (SELECT o_custkey AS book_id, CASE WHEN o_custkey % 5 = 0 THEN -1 ELSE min(o_orderkey) END AS attempt FROM orders GROUP BY o_custkey)"
+
+
+@query(f"""WITH {_FIRST} SELECT o_custkey AS book_id, o_orderkey AS attempt, CASE WHEN f.attempt IS NULL THEN o_orderstatus ELSE 'completed' END AS status, CASE WHEN f.attempt IS NULL THEN o_orderpriority END AS error,
+  CASE WHEN o_orderstatus = 'F' AND NOT (f.attempt IS NOT NULL AND o_custkey % 2 = 0) THEN o_orderdate END AS finished_at FROM orders LEFT JOIN f ON f.book_id = o_custkey AND f.attempt = o_orderkey""")
+def set_job_status(spark, sf_dir):
+    """The jobs after a change of books and jobs together; a job keeps its end unless the change names one."""
+    return R.set_book_and_job_status(_books(spark, sf_dir), _jobs(spark, sf_dir), _changes(spark, sf_dir))[1]
+
+
+@query(f"""WITH {_FIRST} SELECT c_custkey AS id, CASE WHEN book_id IS NULL THEN 'queued' ELSE 'completed' END AS processing_status, CASE WHEN book_id IS NULL THEN c_name END AS processing_error, CASE WHEN book_id IS NULL THEN c_nationkey::BIGINT ELSE 5 END AS updated_at, c_mktsegment AS created_at
+FROM customer LEFT JOIN f ON c_custkey = book_id AND attempt >= 0""")
+def set_book_status(spark, sf_dir):
+    return R.set_book_and_job_status(_books(spark, sf_dir), _jobs(spark, sf_dir), _changes(spark, sf_dir))[0]
+
+
+@query(f"WITH {_FIRST} SELECT book_id, attempt FROM f WHERE attempt < 0")
+def refused_status_changes(spark, sf_dir):
+    return R.set_book_and_job_status(_books(spark, sf_dir), _jobs(spark, sf_dir), _changes(spark, sf_dir))[2].select("book_id", "attempt")
+
+
+@query("SELECT o_custkey AS book_id, o_orderkey AS attempt, o_orderstatus AS status FROM orders WHERE o_custkey = 7 ORDER BY o_orderkey")
+def job_list(spark, sf_dir):
+    return R.job_list(_jobs(spark, sf_dir), 7).select("book_id", "attempt", "status")
+
+
+def _content(spark, sf_dir):
+    """Orders as books, their lines as chapters; an order's new chapters are its lines backwards, titled anew."""
+    o, line = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    books = o.select(F.col("o_orderkey").alias("id"), F.lit(1).alias("total_chunks"), F.lit(2).alias("total_paragraphs"), F.lit(3).alias("total_words"), F.col("o_custkey").alias("updated_at"))
+    chapters = line.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("chapter_index"), F.col("l_returnflag").alias("title"), F.col("l_suppkey").alias("start_paragraph_id"), F.lit("old").alias("kind"), F.lit(9).alias("level"))
+    empty = chapters.where("false")
+    tables = {"books": books, "book_chapters": chapters, "book_chunks": empty, "book_images": empty, "app_settings": empty}
+    done = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("book_id"), F.lit(7).alias("total_chunks"), F.lit(8).alias("total_paragraphs"), F.lit(9).alias("total_words"), F.lit(-1).cast("long").alias("updated_at"))
+    title = F.when(F.col("l_linenumber") % 3 == 0, "Part One").when(F.col("l_linenumber") % 3 == 1, "Contents").otherwise("It begins")
+    new = line.select(F.col("l_orderkey").alias("book_id"), (-F.col("l_linenumber")).alias("pos"), title.alias("title"), F.col("l_suppkey").alias("start_paragraph_id"), F.when(F.col("l_linenumber") == 2, "scene").alias("kind"), F.lit(None).cast("int").alias("level"))
+    return tables, {"book_chapters": new}, done
+
+
+@query("""WITH n AS (SELECT l_orderkey AS book_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_linenumber) - 1)::INTEGER AS chapter_index, CASE l_linenumber % 3 WHEN 0 THEN 'Part One' WHEN 1 THEN 'Contents' ELSE 'It begins' END AS title, l_suppkey AS start_paragraph_id,
+  CASE WHEN l_linenumber = 2 THEN 'scene' WHEN l_linenumber % 3 = 0 THEN 'part' WHEN l_linenumber % 3 = 1 THEN 'frontmatter' ELSE 'chapter' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')
+SELECT *, (CASE kind WHEN 'scene' THEN 4 WHEN 'chapter' THEN 2 ELSE 1 END)::INTEGER AS level FROM n
+UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey, 'old', 9 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
+def replace_content(spark, sf_dir):
+    return R.replace_content(*_content(spark, sf_dir))["book_chapters"]
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 7 ELSE 1 END AS total_chunks, CASE WHEN o_orderstatus = 'F' THEN 8 ELSE 2 END AS total_paragraphs, CASE WHEN o_orderstatus = 'F' THEN 9 ELSE 3 END AS total_words, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE o_custkey END AS updated_at FROM orders""")
+def replace_content_totals(spark, sf_dir):
+    return R.replace_content(*_content(spark, sf_dir))["books"]
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END AS total_chunks, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 2 END AS total_paragraphs, CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 3 END AS total_words, CASE WHEN o_orderstatus = 'F' THEN -1 ELSE o_custkey END AS updated_at,
+  (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey AND o_orderstatus <> 'F') AS chapters FROM orders""")
+def clear_content(spark, sf_dir):
+    tables, _, done = _content(spark, sf_dir)
+    out = R.clear_content(tables, done.select("book_id", "updated_at"))
+    held = out["book_chapters"].groupBy(F.col("book_id").alias("id")).agg(F.count("*").alias("chapters"))
+    return out["books"].join(held, "id", "left").na.fill(0, ["chapters"])
+
+
+@query("SELECT l_orderkey AS book_id, l_linenumber AS chapter_index, l_returnflag AS title FROM lineitem WHERE l_orderkey = 1 ORDER BY l_linenumber")
+def book_aggregate(spark, sf_dir):
+    return R.book_aggregate(_content(spark, sf_dir)[0], 1)["chapters"].select("book_id", "chapter_index", "title")
+
+
+@query("SELECT event_type AS key, arg_max(props, event_id) AS value_json FROM events GROUP BY event_type UNION ALL SELECT 'theme', '{\"dark\":true}'")
+def settings(spark, sf_dir):
+    log = table(spark, sf_dir, "events").select(F.col("event_type").alias("key"), F.col("props").alias("value_json"), F.col("event_id").alias("pos"))
+    return R.settings(R.put_setting(log, "theme", {"dark": True}))
+
+
+@query(f"""WITH {Q.PARAGRAPHS}, f AS (SELECT doc_id, min(paragraph_id) AS first FROM p GROUP BY doc_id), g AS (SELECT doc_id, 'rsvp' AS mode, (doc_id % 40)::INTEGER AS paragraph_id, quality - 1 AS word_index FROM labels)
+SELECT d.doc_id AS book_id, CASE WHEN first IS NOT NULL THEN coalesce(mode, 'normal') ELSE 'normal' END AS mode, CASE WHEN p.paragraph_id IS NOT NULL THEN p.paragraph_id ELSE coalesce(first, 1) END AS paragraph_id, CASE WHEN p.paragraph_id IS NOT NULL THEN greatest(0, word_index) ELSE 0 END AS word_index
+FROM documents d LEFT JOIN f USING (doc_id) LEFT JOIN g USING (doc_id) LEFT JOIN p ON p.doc_id = g.doc_id AND p.paragraph_id = g.paragraph_id""")
+def resumed_positions(spark, sf_dir):
+    progress = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("book_id"), F.lit("rsvp").alias("mode"), (F.col("doc_id") % 40).cast("int").alias("paragraph_id"), (F.col("quality") - 1).alias("word_index"))
+    return R.resumed(progress, paras(spark, sf_dir).select(F.col("doc_id").alias("book_id"), "paragraph_id"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id")))
+
+
 @query("""WITH f AS (SELECT p_partkey AS id, 'new' AS status, p_size AS v FROM part WHERE p_partkey % 2 = 0), k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'downloaded' ELSE 'old' END AS status, p_size + 1 AS v FROM part WHERE p_partkey % 5 < 3)
 SELECT coalesce(f.id, k.id) AS id, CASE WHEN k.status = 'downloaded' THEN k.status ELSE coalesce(f.status, k.status) END AS status, CASE WHEN k.status = 'downloaded' THEN k.v ELSE coalesce(f.v, k.v) END AS v FROM f FULL JOIN k ON f.id = k.id""")
 def manifest_merge(spark, sf_dir):
@@ -164,22 +273,20 @@ def delete_folder_contents(spark, sf_dir):
 
 @query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def unassigned_books(spark, sf_dir):
-    moods = table(spark, sf_dir, "labels").groupBy("quality").agg(F.collect_list("doc_id").alias("book_ids"))
-    return L.unassigned(table(spark, sf_dir, "documents").select("doc_id"), moods, "doc_id")
+    rows = table(spark, sf_dir, "labels").select(F.col("quality").alias("mood_id"), F.col("doc_id").alias("book_id"))
+    return L.unassigned_rows(table(spark, sf_dir, "documents").select("doc_id"), rows, "doc_id")
 
 
 @query("SELECT o_custkey AS book_id, coalesce(CASE min(o_orderpriority) WHEN '1-URGENT' THEN 'red' WHEN '2-HIGH' THEN 'blue' END, 'violet') AS color FROM orders GROUP BY o_custkey")
 def mood_colors(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
     color = F.when(F.col("o_orderpriority") == "1-URGENT", "red").when(F.col("o_orderpriority") == "2-HIGH", "blue")
-    moods = o.groupBy(F.col("o_orderpriority").alias("mood_order"), color.alias("color")).agg(F.collect_set("o_custkey").alias("book_ids"))
-    return L.mood_colors(moods)
+    return L.color_rows(table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("mood_order"), color.alias("color"), F.col("o_custkey").alias("book_id")))
 
 
-@query("SELECT DISTINCT o_orderpriority AS mood_id, c_custkey AS book_id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_custkey % 2 = 0")
+@query("SELECT o_orderpriority AS mood_id, o_orderkey AS pos, o_custkey AS book_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)")
 def mood_books(spark, sf_dir):
-    moods = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("mood_id")).agg(F.collect_set("o_custkey").alias("book_ids"))
-    return L.mood_books(moods, table(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("book_id"))).drop("pos")
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("mood_id"), F.col("o_orderkey").alias("pos"), F.col("o_custkey").alias("book_id"))
+    return L.mood_book_rows(rows, table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("book_id")))
 
 
 @query("SELECT p_partkey, CASE WHEN a + b = 0 THEN '0 selected' ELSE concat_ws(' · ', CASE WHEN a > 0 THEN a || ' folder' || CASE WHEN a = 1 THEN '' ELSE 's' END END, CASE WHEN b > 0 THEN b || ' book' || CASE WHEN b = 1 THEN '' ELSE 's' END END) END AS label FROM (SELECT p_partkey, p_size % 3 AS a, p_partkey % 3 AS b FROM part)")

@@ -70,7 +70,7 @@ def chapter_percent(spark, sf_dir):
 
 
 @query(f"""WITH {Q.WORDS} SELECT doc_id, paragraph_id, word_index, lead(paragraph_id) OVER x AS next_paragraph_id, lead(word_index) OVER x AS next_word_index, lead(word) OVER x AS next_word, word
-FROM wd WHERE doc_id < 300 WINDOW x AS (PARTITION BY doc_id ORDER BY paragraph_id, word_index)""".replace(" WHERE doc_id < 300", ""))
+FROM wd WINDOW x AS (PARTITION BY doc_id ORDER BY paragraph_id, word_index)""")
 def next_position(spark, sf_dir):
     return P.next_positions(M.words(paras(spark, sf_dir)))
 
@@ -122,7 +122,7 @@ def furniture_signatures(spark, sf_dir):
     return paras(spark, sf_dir).select("doc_id", "paragraph_id", T.furniture_signature("text").alias("signature"))
 
 
-@query(f"""WITH RECURSIVE {Q.PARAGRAPHS} SELECT doc_id, paragraph_id, (len(list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '{Q.SPACE}+'), lambda w: w <> ''))))::INTEGER AS distinct_words FROM p""".replace("WITH RECURSIVE", "WITH"))
+@query(f"""WITH {Q.PARAGRAPHS} SELECT doc_id, paragraph_id, (len(list_distinct(list_filter(regexp_split_to_array(lower(trim(text)), '{Q.SPACE}+'), lambda w: w <> ''))))::INTEGER AS distinct_words FROM p""")
 def token_sets(spark, sf_dir):
     return paras(spark, sf_dir).select("doc_id", "paragraph_id", F.size(T.token_set("text")).alias("distinct_words"))
 

@@ -90,11 +90,31 @@ def test_rules(spark):
     assert token(spark, "xarqon", [R.Rule("r", "xarqon", "zar-kon"), R.Rule("s", "x.*", "no")]) == ("zar-kon", True)
     assert token(spark, "cafés", [R.Rule("r", r"\bcaf\b", "X", "simple")]) == ("Xés", True)
     df = spark.createDataFrame([("a b a",)], "t string")
-    text, n = R.apply_chunk(F.col("t"), R.active([R.Rule("r", "a", "$&\\1")], []))
-    assert tuple(df.select(text, n).first()) == ("$&\\1 b $&\\1", 2)
-
-
-def test_rule_errors():
+    done = R.apply_chunk(F.col("t"), R.active([R.Rule("r", "a", "$&\\1")], []))
+    assert tuple(df.select(done.alias("r")).select("r.*").first()) == ("$&\\1 b $&\\1", 2)
+
+
+def test_three_hundred_rules(spark):
+    """Rules that feed one another, over whole texts, against a plain loop."""
+    import re
+
+    rules = [R.Rule(f"r{i}", rf"w{i}\b" if i % 3 else f"(?:w{i})", f"w{i + 1}" if i % 7 else "<$1>") for i in range(300)]
+    texts = [" ".join(f"w{(k * 37 + j) % 320}" for j in range(400)) for k in range(20)] + ["", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    got = {r["t"]: (r["spoken"], r["matches"]) for r in df.select("t", R.apply_chunk(F.col("t"), R.active(rules, [])).alias("r")).select("t", "r.*").collect()}
+    for t in texts:
+        text, n = t, 0
+        for r in rules if t is not None else ():
+            text, k = re.subn(r.pattern, lambda m, r=r: r.replacement, text, flags=re.I | re.A)
+            n += k
+        assert got[t] == (text, n)
+
+
+def test_rule_errors(spark):
+    """The engine that runs a pattern judges it: a bad one is an error text and never a failed job."""
+    assert R.rule_error(R.Rule("r", "(?P<x>a)", "x")).startswith("Invalid regex") and R.rule_error(R.Rule("r", "(?<x>a)", "x")) is None
+    mixed = R.active([R.Rule("bad", "(?P<x>a)", "x"), R.Rule("good", "(?<x>a)", "y")], [])
+    assert [r.id for r in mixed] == ["good"] and token(spark, "a", mixed) == ("y", True)
     assert R.rule_error(R.Rule("r", " ", "x")) == "Pattern is required"
     assert "too long" in R.rule_error(R.Rule("r", "a" * 201, "x")) and "too long" in R.rule_error(R.Rule("r", "a", "x" * 121))
     assert all("unsafe" in R.rule_error(R.Rule("r", p, "x")) for p in ("(a+)+", "(a|b)*", r"(a)\1"))
@@ -102,7 +122,17 @@ def test_rule_errors():
 
 
 def test_preview(spark):
-    paras = spark.createDataFrame([(1, 1, "xarqon hello"), (1, 2, "xarqon world")], "doc_id int, paragraph_id int, text string")
-    totals = spark.createDataFrame([(1, 30)], "doc_id int, total_words int")
-    got = R.preview_impact(M.words(paras), [R.Rule("r", "xarqon", "z")], totals).first()
-    assert (got["total_matches"], got["affected_paragraphs"], got["unique_words"], got["high_impact"]) == (2, 2, 1, True)
+    books = spark.createDataFrame([(1, "xarqon hello\nxarqon world\n" + "word " * 26), (2, None), (3, "Xarqon\n" * 600)], "doc_id int, text string")
+    got = {r["doc_id"]: r for r in R.preview(books, [R.Rule("r", "xarqon", "z")]).collect()}
+    row = lambda k: tuple(got[k][c] for c in ("total_matches", "affected_paragraphs", "unique_words", "high_impact"))
+    assert row(1) == (2, 2, 1, True) and row(2) == (0, 0, 0, False) and row(3) == (600, 600, 1, True)
+    assert [tuple(e) for e in got[1]["examples"]] == [("xarqon", "z")] * 2 and len(got[3]["examples"]) == 20 and abs(got[1]["percent"] - 2 / 30 * 100) < 1e-9
+
+
+def test_unknown_chapter_start_falls_back_to_the_book(spark):
+    book = spark.createDataFrame([(1, 1, "One two three"), (1, 2, "Four five")], "doc_id int, paragraph_id int, text string")
+    chapters = spark.createDataFrame([(1, 0, "A", 1, "chapter"), (1, 1, "B", 7, "chapter")], "doc_id int, chapter_index int, title string, start_paragraph_id int, kind string")
+    p = P.word_prefix(M.counted(book))
+    bounds = P.chapter_bounds(chapters, p)
+    assert bounds.isEmpty()
+    assert [r["chapter_percent"] for r in P.chapter_percent(p, bounds, F.lit(1)).orderBy("paragraph_id").collect()] == [20, 80]

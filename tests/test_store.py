@@ -186,3 +186,37 @@ def test_toc_choice(spark):
     e = spark.createDataFrame([("b", "nav", i, f"t{i}", 1) for i in range(5)] + [("b", "ncx", i, f"t{i}", i + 1) for i in range(3)], "book string, source string, ord int, title string, start_paragraph_id int")
     books = spark.createDataFrame([("b",), ("none",)], "book string")
     assert {r["book"]: r["source"] for r in epub.choose_source(e, books).collect()} == {"b": "ncx", "none": "single"}
+
+
+def test_deep_and_wide_trees(spark):
+    """A chain of 500 folders and 1.2 million folders at once; no limit of rows or levels."""
+    chain = spark.range(500).select(F.concat(F.lit("c"), "id").alias("id"), F.when(F.col("id") > 0, F.concat(F.lit("c"), F.col("id") - 1)).alias("parent_id"))
+    wide = spark.range(1_200_000).select(F.concat(F.lit("w"), "id").alias("id"), F.when(F.col("id") >= 1000, F.concat(F.lit("w"), F.col("id") % 1000)).alias("parent_id"))
+    up = L.ancestors(chain.unionByName(wide)).groupBy(F.substring("id", 1, 1).alias("kind")).agg(F.count("*").alias("n"), F.max("distance").alias("far"), F.count_distinct("id").alias("ids"))
+    assert {r["kind"]: (r["n"], r["far"], r["ids"]) for r in up.collect()} == {"c": (500 * 501 // 2, 499, 500), "w": (1_200_000 + 1_199_000, 1, 1_200_000)}
+
+
+def test_patches_set_null_and_refuse(spark):
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2), (3, "c", 3)], "id int, error string, created_at int")
+    patch = spark.createDataFrame([(1, None, ["error"]), (2, None, []), (9, "x", ["error"])], "id int, error string, given array<string>")
+    got = R.patched(rows, patch, ["id"], ["created_at"], "given")
+    assert sorted(map(tuple, got.collect())) == [(1, None, 1), (2, "b", 2), (3, "c", 3)]
+    assert [r["id"] for r in R.missing_patches(rows, patch, ["id"]).collect()] == [9]
+    bad = spark.createDataFrame([(1, None, ["created_at"])], "id int, error string, given array<string>")
+    with pytest.raises(Exception, match="may not set created_at"):
+        R.patched(rows, bad, ["id"], ["created_at"], "given").collect()
+
+
+def test_clear_all_keeps_settings(spark):
+    df = spark.createDataFrame([(1,)], "book_id int")
+    out = R.clear_all_books({"books": df, "book_images": df, "app_settings": df})
+    assert [out[n].count() for n in ("books", "book_images", "app_settings")] == [0, 0, 1]
+
+
+def test_furniture(spark):
+    """Headers on 35 % of the pages, or on 60 % of the odd ones, go; body lines and rare headers stay; legal footers take what is below."""
+    lines = [(1, p, "The Book 12" if p % 2 else f"Chapter {p}", 5.0) for p in range(1, 9)] + [(1, p, "body text", 50.0) for p in range(1, 9)] + [(1, p, f"{p}", 95.0) for p in range(1, 9)]
+    lines += [(1, 1, "© 2001 someone", 90.0), (1, 1, "below", 97.0), (1, 2, "Contents ….. 7", 12.0), (2, 1, "short book", 5.0), (2, 2, "short book", 5.0)]
+    df = spark.createDataFrame(lines, "book_id int, page int, text string, baseline double").withColumn("height", F.lit(100.0))
+    left = sorted((r["book_id"], r["page"], r["text"]) for r in G.without_furniture(df).collect())
+    assert left == sorted([(1, p, "body text") for p in range(1, 9)] + [(1, p, f"Chapter {p}") for p in (2, 4, 6, 8)] + [(1, 2, "Contents ….. 7")] + [(2, 1, "short book"), (2, 2, "short book")])
