@@ -110,9 +110,10 @@ def set_status(spark, sf_dir):
 
 def _changes(spark, sf_dir):
     """One change a customer, to the first order or, for some, to one that does not exist."""
-    first = _jobs(spark, sf_dir).groupBy("book_id").agg(F.min("attempt").alias("attempt"))
+    jobs = _jobs(spark, sf_dir)
+    first = jobs.groupBy("book_id").agg(F.min("attempt").alias("attempt"))
     missing = F.col("book_id") % 5 == 0
-    return first.select("book_id", F.when(missing, -1).otherwise(F.col("attempt")).alias("attempt"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(5).cast("long").alias("updated_at"), (F.col("book_id") % 2 == 0).alias("has_finished"), F.lit(None).cast("timestamp").alias("finished_at"))
+    return first.select("book_id", F.when(missing, -1).otherwise(F.col("attempt")).alias("attempt"), F.lit("completed").alias("status"), F.lit(None).cast("string").alias("error"), F.lit(5).cast("long").alias("updated_at"), (F.col("book_id") % 2 == 0).alias("has_finished"), F.lit(None).cast(jobs.schema["finished_at"].dataType).alias("finished_at"))
 
 
 _FIRST = "f AS (SELECT o_custkey AS book_id, CASE WHEN o_custkey % 5 = 0 THEN -1 ELSE min(o_orderkey) END AS attempt FROM orders GROUP BY o_custkey)"
@@ -147,14 +148,14 @@ def _content(spark, sf_dir):
     books = o.select(F.col("o_orderkey").alias("id"), F.lit(1).alias("total_chunks"), F.lit(2).alias("total_paragraphs"), F.lit(3).alias("total_words"), F.col("o_custkey").alias("updated_at"))
     chapters = line.select(F.col("l_orderkey").alias("book_id"), F.col("l_linenumber").alias("chapter_index"), F.col("l_returnflag").alias("title"), F.col("l_suppkey").alias("start_paragraph_id"), F.lit("old").alias("kind"), F.lit(9).alias("level"))
     empty = chapters.where("false")
-    tables = {"books": books, "book_chapters": chapters, "book_chunks": empty, "book_images": empty, "app_settings": empty}
+    tables = {"books": books, "book_chapters": chapters, "book_chunks": empty.withColumnRenamed("chapter_index", "chunk_index"), "book_images": empty.withColumnRenamed("chapter_index", "image_index"), "app_settings": empty}
     done = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("book_id"), F.lit(7).alias("total_chunks"), F.lit(8).alias("total_paragraphs"), F.lit(9).alias("total_words"), F.lit(-1).cast("long").alias("updated_at"))
     title = F.when(F.col("l_linenumber") % 3 == 0, "Part One").when(F.col("l_linenumber") % 3 == 1, "Contents").otherwise("It begins")
-    new = line.select(F.col("l_orderkey").alias("book_id"), (-F.col("l_linenumber")).alias("pos"), title.alias("title"), F.col("l_suppkey").alias("start_paragraph_id"), F.when(F.col("l_linenumber") == 2, "scene").alias("kind"), F.lit(None).cast("int").alias("level"))
+    new = line.select(F.col("l_orderkey").alias("book_id"), F.struct((-F.col("l_linenumber")).alias("n"), "l_partkey", "l_suppkey", "l_extendedprice").alias("pos"), title.alias("title"), F.col("l_suppkey").alias("start_paragraph_id"), F.when(F.col("l_linenumber") == 2, "scene").alias("kind"), F.lit(None).cast("int").alias("level"))
     return tables, {"book_chapters": new}, done
 
 
-@query("""WITH n AS (SELECT l_orderkey AS book_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_linenumber) - 1)::INTEGER AS chapter_index, CASE l_linenumber % 3 WHEN 0 THEN 'Part One' WHEN 1 THEN 'Contents' ELSE 'It begins' END AS title, l_suppkey AS start_paragraph_id,
+@query("""WITH n AS (SELECT l_orderkey AS book_id, (row_number() OVER (PARTITION BY l_orderkey ORDER BY -l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1)::INTEGER AS chapter_index, CASE l_linenumber % 3 WHEN 0 THEN 'Part One' WHEN 1 THEN 'Contents' ELSE 'It begins' END AS title, l_suppkey AS start_paragraph_id,
   CASE WHEN l_linenumber = 2 THEN 'scene' WHEN l_linenumber % 3 = 0 THEN 'part' WHEN l_linenumber % 3 = 1 THEN 'frontmatter' ELSE 'chapter' END AS kind FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F')
 SELECT *, (CASE kind WHEN 'scene' THEN 4 WHEN 'chapter' THEN 2 ELSE 1 END)::INTEGER AS level FROM n
 UNION ALL SELECT l_orderkey, l_linenumber, l_returnflag, l_suppkey, 'old', 9 FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')""")
