@@ -111,7 +111,7 @@ class PieceModel:
     def forward(self, unit: str) -> tuple[array, array, array]:
         """Forward Viterbi scores, and the best node's start and id, by end. Id -1: a character without a piece."""
         n, get, reach, unknown = len(unit), self.pieces.get, self.reach.get, self.unknown_score
-        score, start, ids = array("d", [0.0]) * (n + 1), array("i", [-1]) * (n + 1), array("i", [0]) * (n + 1)
+        score, start, ids = row("d", 0.0, n), row("i", -1, n), row("i", 0, n)
         for s in range(n):
             here = score[s]
             for e in range(s + 1, min(n, s + reach(unit[s], 1)) + 1):
@@ -127,11 +127,10 @@ class PieceModel:
 
     def written(self, unit: str, starts: array, ids: array) -> bytes:
         """Ids of nodes, last node first, as int32 bytes in order; a character without a piece becomes byte pieces."""
-        out = np.frombuffer(ids, "<i4")[::-1] if len(ids) else np.zeros(0, "<i4")
-        if len(out) and out.min() < 0:
+        if -1 in ids:
             fill = lambda c: [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")] if len(self.bytes) == 256 else [self.unknown]
-            out = np.array([x for s, i in zip(reversed(starts), out.tolist()) for x in ([i] if i >= 0 else fill(unit[s]))], "<i4")
-        return out.tobytes()
+            return array("i", [x for s, i in zip(reversed(starts), reversed(ids)) for x in ([i] if i >= 0 else fill(unit[s]))]).tobytes()
+        return ids[::-1].tobytes()
 
     def path(self, unit: str, start: array, ids: array, turns: list[tuple[int, int, int]]) -> bytes:
         """The segmentation that follows the best nodes back from the end but for its ``turns`` (end, start, id)."""
@@ -151,10 +150,10 @@ class PieceModel:
         """The best segmentation, and how far the second best falls behind."""
         score, start, ids = self.forward(unit)
         n, get, reach = len(unit), self.pieces.get, self.reach.get
-        on, at = array("i", [0]) * (n + 1), n  # where the best path's node from here ends
+        on, at = row("i", 0, n), n  # where the best path's node from here ends
         while at:
             on[start[at]], at = at, start[at]
-        behind, through = array("d", [0.0]) * (n + 1), -INFINITE
+        behind, through = row("d", 0.0, n), -INFINITE
         for s in range(n - 1, -1, -1):
             most, here, path = -INFINITE, score[s], on[s]
             for e in range(s + 1, min(n, s + reach(unit[s], 1)) + 1):
@@ -315,7 +314,7 @@ class PieceModel:
         starts = np.concatenate([[0], np.cumsum([len(b.ids) // 4 for b in bests])]).tolist() if len(sums) > 1 else []
         out = []
         for lost, chosen in sums:
-            changes = [difference(starts[k], bests[k].ids, w) for k, w in sorted(chosen)]
+            changes = [difference(starts[k], bests[k].ids, w) if len(units[k]) > TOGETHER_CHARS else (starts[k], len(bests[k].ids) // 4, array("i", w).tolist()) for k, w in sorted(chosen)]
             out.append((float(total - lost), len(ids) // 4 + sum(len(w) - old for _, old, w in changes), changes))
         return ids, out
 
@@ -325,6 +324,11 @@ class PieceModel:
         return out[1:] if out[:1] == b" " else out
 
 
+def row(kind: str, value: float, n: int) -> list | array:
+    """n + 1 numbers: a list, which is faster, for a short unit, an array, which is smaller, for a long one."""
+    return [value] * (n + 1) if n <= TOGETHER_CHARS else array(kind, [value]) * (n + 1)
+
+
 def difference(first: int, old: bytes, new: bytes) -> tuple[int, int, list[int]]:
     """(first piece, pieces replaced, ids instead) without what the two unit's segmentations share at their ends."""
     a, b = np.frombuffer(old, "<i4"), np.frombuffer(new, "<i4")
