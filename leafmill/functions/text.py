@@ -171,6 +171,7 @@ def raw_ornament(c: str | Column) -> Column:
     return ~t.rlike(r"[\p{L}\p{N}]") & (F.regexp_count(t, F.lit(ORNAMENT)) >= 3)
 
 
+#: Numbers in words, one to twenty.
 NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen", "eighteen", "nineteen", "twenty")
 
 
