@@ -27,6 +27,7 @@ import re
 from array import array
 from bisect import insort
 from functools import cache
+from itertools import groupby, islice
 from operator import itemgetter
 from typing import NamedTuple
 
@@ -36,10 +37,12 @@ from pyspark.sql import DataFrame
 
 from leafmill.llm._batches import map_rows
 
-#: Units that a worker remembers in each of two generations.
-REMEMBERED = 100_000
+#: Units that a worker remembers in each of two generations, beside those of one step; fewer of many characters.
+REMEMBERED = 200_000
+#: Searched units that a worker remembers.
+SEARCHED = 12_500
 #: Units up to this length go through numpy together, as many as keep its arrays at so many cells; longer ones one at a time.
-TOGETHER_CHARS, TOGETHER_CELLS = 48, 400_000
+TOGETHER_CHARS, TOGETHER_CELLS = 48, 150_000
 #: Odd multiplier of the rolling hash by which numpy finds pieces.
 MULTIPLIER = 0x9E3779B97F4A7C15
 
@@ -85,25 +88,31 @@ class PieceModel:
         apart = not any(" " in p.lstrip(" ") or "\n" in p for p in self.pieces)
         self.units = re.compile(r" *[^ \n]+|\n| +" if apart else r"(?s).+").findall
         self._index()
-        self.young: dict[str, Best] = {}
-        self.old: dict[str, Best] = {}
+        self.young: dict[str, tuple] = {}  # fields as of ``Best``
+        self.young_chars = 0
+        self.old: dict[str, tuple] = {}
         self.searched: dict[tuple[str, int], list[tuple[float, bytes]]] = {}
 
     def _index(self) -> None:
-        """The pieces by rolling hash, sorted, for ``best_many``."""
+        """The pieces by rolling hash, sorted, for ``best_many``; ``slots`` tells where each value of the leading bits begins."""
         keyed = sorted((self._hash(p), i, s) for p, (i, s) in self.pieces.items())
-        self.hashes = np.array([k for k, _, _ in keyed], np.uint64)
-        if len(np.unique(self.hashes)) < len(keyed):
+        self.hashes = np.array([k for k, _, _ in keyed] + [0xFFFFFFFFFFFFFFFF], np.uint64)
+        if len(np.unique(self.hashes)) <= len(keyed):
             raise ValueError("two pieces share a hash")
-        self.hash_ids = np.array([i for _, i, _ in keyed], np.int32)
-        self.hash_scores = np.array([s for _, _, s in keyed], float)
+        self.hash_ids = np.array([i for _, i, _ in keyed] + [-1], np.int32)
+        self.hash_scores = np.array([s for _, _, s in keyed] + [-np.inf], float)
+        bits = len(keyed).bit_length() + 3
+        self.slot_shift = np.uint64(64 - bits)
+        slot = (self.hashes[:-1] >> self.slot_shift).astype(np.int64)
+        self.slots = np.searchsorted(slot, np.arange(1 << bits)).astype(np.int32)
+        self.crowd = int(np.bincount(slot, minlength=1).max())
 
     @staticmethod
     def _hash(piece: str) -> int:
         h = 0
         for c in piece:
             h = (h * MULTIPLIER + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h ^ (h >> 29)
+        return (h ^ (h >> 29)) * MULTIPLIER & 0xFFFFFFFFFFFFFFFF
 
     def prepared(self, text: str) -> str:
         return " " + text.replace("▁", " ") if text else ""
@@ -211,80 +220,91 @@ class PieceModel:
         return out
 
     def best_many(self, units: list[str]) -> list[Best]:
-        """``best`` of many units: those of one length are searched together by numpy."""
-        out: list[Best | None] = [None] * len(units)
-        by_length: dict[int, list[int]] = {}
-        for k, u in enumerate(units):
-            by_length.setdefault(len(u), []).append(k)
-        for n, places in by_length.items():
+        """``best`` of many units."""
+        return list(map(Best._make, self._bests(units)))
+
+    def _bests(self, units: list[str]) -> list[tuple]:
+        """``best_many`` as plain tuples, which the garbage collector leaves alone; units of one length are searched together by numpy."""
+        out: list[tuple | None] = [None] * len(units)
+        for n, places in groupby(sorted(range(len(units)), key=list(map(len, units)).__getitem__), lambda k: len(units[k])):
             together = max(16, TOGETHER_CELLS // (n * (n + 1)))
-            for i in range(0, len(places), together):
-                some = places[i : i + together]
+            while some := list(islice(places, together)):
                 found = self._best_of_length(n, [units[k] for k in some]) if n <= TOGETHER_CHARS and len(some) > 3 else [None] * len(some)
                 for k, b in zip(some, found):
-                    out[k] = b or self.best(units[k])
+                    out[k] = b or tuple(self.best(units[k]))
         return out
 
-    def _best_of_length(self, n: int, units: list[str]) -> list[Best | None]:
-        """None for a unit with a character that has no piece."""
-        m = len(units)
+    def _best_of_length(self, n: int, units: list[str]) -> list[tuple | None]:
+        """None for a unit with a character that has no piece.
+
+        Nodes lie by length, the longest first, and by end: ``score[longest - length, end]``.
+        """
+        m, longest = len(units), min(n, self.longest)
         points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").reshape(m, n).T.astype(np.uint64) + np.uint64(1)
-        score = np.full((n, n + 1, m), -np.inf)
-        ids = np.full((n, n + 1, m), -1, np.int32)
-        times, last = np.uint64(MULTIPLIER), len(self.hashes) - 1
-        for s in range(n):
-            h = np.zeros(m, np.uint64)
-            for e in range(s + 1, min(n, s + self.longest) + 1):
-                h = h * times + points[e - 1]
-                key = h ^ (h >> np.uint64(29))
-                at = np.minimum(np.searchsorted(self.hashes, key), last)
-                hit = self.hashes[at] == key
-                score[s, e] = np.where(hit, self.hash_scores[at], -np.inf)
-                ids[s, e] = np.where(hit, self.hash_ids[at], -1)
-        whole = np.all([ids[s, s + 1] >= 0 for s in range(n)], axis=0)
-        forward, back = np.full((n + 1, m), -np.inf), np.zeros((n + 1, m), np.int32)
+        score = np.full((longest, n + 1, m), -np.inf)
+        place = np.empty((longest, n + 1, m), np.int32)
+        h = np.zeros((n, m), np.uint64)
+        for length in range(1, longest + 1):
+            h = h[: n - length + 1] * np.uint64(MULTIPLIER) + points[length - 1 :]
+            at, hit = self._find((h ^ (h >> np.uint64(29))) * np.uint64(MULTIPLIER))
+            place[longest - length, length:] = at
+            np.copyto(score[longest - length, length:], self.hash_scores[at], where=hit)
+        whole = np.isfinite(score[longest - 1, 1:]).all(0)
+        forward, back = np.full((n + 1, m), -np.inf), np.zeros((n + 1, m), np.int64)
         forward[0] = 0
         for e in range(1, n + 1):
-            first = max(0, e - self.longest)
-            totals = forward[first:e] + score[first:e, e]
-            back[e] = first + np.argmax(totals, axis=0)
+            first = max(0, e - longest)
+            totals = forward[first:e] + score[longest - e + first :, e]
+            back[e] = first + totals.argmax(0)
             forward[e] = totals.max(0)
         behind = np.full((n + 1, m), -np.inf)
         behind[n] = 0
         for s in range(n - 1, -1, -1):
-            stop = min(n, s + self.longest) + 1
-            behind[s] = (behind[s + 1 : stop] + score[s, s + 1 : stop]).max(0)
+            ends = np.arange(s + 1, min(n, s + longest) + 1)
+            behind[s] = (behind[ends] + score[longest - (ends - s), ends]).max(0)
         behind[:, ~whole] = -np.inf
-        row, at, length = np.arange(m), np.full(m, n), np.zeros(m, np.int32)
-        path = np.full((m, n), -1, "<i4")
-        through = forward[:n, None] + score + behind[None]
+        path, length, rows, at = np.full((m, n), -1, "<i4"), np.zeros(m, np.int64), np.arange(m), np.full(m, n)
         for step in range(1, n + 1):
-            on = at > 0
-            s = back[at, row]
-            path[row[on], n - step] = ids[s, at, row][on]
-            through[s[on], at[on], row[on]] = -np.inf
-            length += on
-            at = np.where(on, s, 0)
-            if not at.any():
+            s = back[at, rows]
+            node = longest - (at - s), at, rows
+            path[rows, n - step] = self.hash_ids[place[node]]
+            score[node] = -np.inf
+            length[rows] = step
+            rows, at = rows[s > 0], s[s > 0]
+            if not len(rows):
                 break
-        gap = np.where(whole, forward[n], 0) - through.reshape(-1, m).max(0)
-        return [Best(p[n - k :].tobytes(), t, g) if ok else None for p, k, t, g, ok in zip(path, length.tolist(), forward[n].tolist(), gap.tolist(), whole.tolist())]
+        through = np.full(m, -np.inf)
+        for k in range(1, longest + 1):
+            np.maximum(through, (forward[: n - k + 1] + score[longest - k, k:] + behind[k:]).max(0), out=through)
+        gap = np.where(whole, forward[n], 0) - through
+        raw, size = path.tobytes(), 4 * n
+        ids = [raw[stop - 4 * k : stop] for stop, k in zip(range(size, size * m + 1, size), length.tolist())]
+        out: list[tuple | None] = list(zip(ids, forward[n].tolist(), gap.tolist()))
+        for k in np.flatnonzero(~whole).tolist():
+            out[k] = None
+        return out
+
+    def _find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where in ``hashes`` each key would stand, and whether it does."""
+        at = self.slots[keys >> self.slot_shift]
+        for _ in range(self.crowd - 1):
+            at += self.hashes[at] < keys
+        return at, self.hashes[at] == keys
 
     def remember(self, lists: list[list[str]]) -> None:
         """Make the bests of all these units known."""
-        if len(self.young) >= REMEMBERED:
-            self.old, self.young = self.young, {}
-        todo = []
-        for unit in set().union(*lists) - self.young.keys():
-            if found := self.old.get(unit):
-                self.young[unit] = found
-            else:
-                todo.append(unit)
-        self.young.update(zip(todo, self.best_many(todo)))
+        if len(self.young) >= REMEMBERED or self.young_chars >= REMEMBERED * TOGETHER_CHARS:
+            self.old, self.young, self.young_chars = self.young, {}, 0
+        new = set().union(*lists) - self.young.keys()
+        again = new & self.old.keys()
+        todo = list(new - again)
+        self.young.update(zip(again, map(self.old.__getitem__, again)))
+        self.young.update(zip(todo, self._bests(todo)))
+        self.young_chars += sum(map(len, new))
 
     def ways(self, unit: str, n: int) -> list[tuple[float, bytes]]:
         if (found := self.searched.get((unit, n))) is None:
-            if len(self.searched) >= REMEMBERED // 8:
+            if len(self.searched) >= SEARCHED:
                 self.searched.clear()
             found = self.search(unit, n)
             if len(unit) <= TOGETHER_CHARS:
@@ -303,18 +323,18 @@ class PieceModel:
             return b"", []
         if not known:
             self.remember([units])
-        bests = list(map(self.young.__getitem__, units))
-        ids = b"".join([b[0] for b in bests])
-        total = sum([b[1] for b in bests])
-        close = [x for x in heapq.nsmallest(n - 1, zip([b[2] for b in bests], range(len(bests)))) if x[0] < INFINITE]
+        every, scores, gaps = zip(*map(self.young.__getitem__, units))
+        ids = b"".join(every)
+        total = sum(scores)
+        close = [x for x in heapq.nsmallest(n - 1, zip(gaps, range(len(units)))) if x[0] < INFINITE]
         sums: list[tuple[float, tuple]] = [(0, ())]
         for _, k in close:
-            ways = [(bests[k].score, bests[k].ids)] + [w for w in self.ways(units[k], n) if w[1] != bests[k].ids][: n - 1]
-            sums = sorted(((lost + bests[k].score - score, chosen + (((k, w),) if j else ())) for lost, chosen in sums for j, (score, w) in enumerate(ways)), key=lambda x: x[0])[:n]
-        starts = np.concatenate([[0], np.cumsum([len(b.ids) // 4 for b in bests])]).tolist() if len(sums) > 1 else []
+            ways = [(scores[k], every[k])] + [w for w in self.ways(units[k], n) if w[1] != every[k]][: n - 1]
+            sums = sorted(((lost + scores[k] - score, chosen + (((k, w),) if j else ())) for lost, chosen in sums for j, (score, w) in enumerate(ways)), key=lambda x: x[0])[:n]
+        starts = {k: sum(map(len, every[:k])) // 4 for k in {k for _, chosen in sums for k, _ in chosen}}
         out = []
         for lost, chosen in sums:
-            changes = [difference(starts[k], bests[k].ids, w) if len(units[k]) > TOGETHER_CHARS else (starts[k], len(bests[k].ids) // 4, array("i", w).tolist()) for k, w in sorted(chosen)]
+            changes = [difference(starts[k], every[k], w) if len(units[k]) > TOGETHER_CHARS else (starts[k], len(every[k]) // 4, array("i", w).tolist()) for k, w in sorted(chosen)]
             out.append((float(total - lost), len(ids) // 4 + sum(len(w) - old for _, old, w in changes), changes))
         return ids, out
 
@@ -371,7 +391,7 @@ def encode_pieces(documents: DataFrame, path: str, n_best: int = 4) -> DataFrame
                 "n_pieces": np.diff(ends),
                 "score": [g[1][0][0] if g[1] else 0.0 for g in got],
                 "ids": pa.ListArray.from_arrays(ends, pa.array(flat, pa.int32())),
-                "nbest": [[{"score": s, "n_pieces": k, "changes": [{"first": a, "replaced": b, "ids": c} for a, b, c in w]} for s, k, w in g[1]] for g in got],
+                "nbest": [g[1] for g in got],
                 "round_trip": [model.decode(flat[a:b].tolist()) == r for a, b, r in zip(ends[:-1], ends[1:], raw)],
             }
 
