@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import collocations, langid, licenses, media, mixing, pieces, probminhash, quality, sketch, tokencount, urlfilter
+from leafmill.llm import collocations, langid, licenses, media, mixing, pieces, probminhash, quality, sketch, tokencount, trie, urlfilter
 from leafmill.llm._batches import crc32_mod
 
 
@@ -75,6 +75,10 @@ def op10_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
@@ -90,7 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_token_counts": op9_token_counts,
     "op10_source_mixture": op10_source_mixture,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_source_mixture": mixing.oracle(), "op13_collocations": collocations.oracle()}
+ORACLE_SQL: dict[str, str] = {"op10_source_mixture": mixing.oracle(), "op11_prefix_trie": trie.oracle(), "op13_collocations": collocations.oracle()}
