@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from leafmill.llm import collocations, langid, licenses, media, mixing, pieces, probminhash, quality, sketch, tokencount, trie, urlfilter
+from leafmill.llm import collocations, langid, licenses, media, mixing, pieces, pii, probminhash, quality, sketch, tokencount, trie, urlfilter
 from leafmill.llm._batches import crc32_mod
 
 
@@ -79,6 +79,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.trie(table(spark, sf_dir, "conversations"))
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(table(spark, sf_dir, "documents"))
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.phrases(table(spark, sf_dir, "documents"))
 
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_source_mixture": op10_source_mixture,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_personal_data": op12_personal_data,
     "op13_collocations": op13_collocations,
 }
 

@@ -190,11 +190,11 @@ def trie(conversations: DataFrame, params: TrieParams = TrieParams()) -> DataFra
     """The nodes: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     with_checkpoints(conversations.sparkSession)
     bounded_batches(conversations.sparkSession)
-    sequences = distinct_sequences(rebuilt(conversations), params.chunk).checkpoint()
-    seen = sequences.agg(F.count("*").alias("rows"), F.sum(F.octet_length("seq")).alias("size")).first()
+    # above: the large bucket that a row is in; code: its turn after the turns that all of that bucket share
+    root = [F.lit("").alias("above"), F.lit(b"").alias("code"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array().cast("array<string>").alias("path")]
+    pending = distinct_sequences(rebuilt(conversations), params.chunk).select(*root, "*").checkpoint()
+    seen = pending.agg(F.count("*").alias("rows"), F.sum(F.octet_length("seq")).alias("size")).first()
     rows, size = max(params.rows, seen["rows"] // params.buckets), max(params.size, (seen["size"] or 0) // params.buckets)
-    # bucket: the large one that a row is in; code: its turn after that bucket's common turns
-    pending = sequences.select(F.lit("").alias("above"), F.lit(b"").alias("code"), F.lit(0).alias("depth"), F.lit(None).cast("long").alias("parent"), F.array().cast("array<string>").alias("path"), "*")
     small, large, ended = [], [], []
     while True:
         key = ["above", "code"]
