@@ -37,8 +37,8 @@ from pyspark.sql import DataFrame
 
 from leafmill.llm._batches import map_rows
 
-#: Units that a worker remembers in each of two generations, beside those of one step; fewer of many characters.
-REMEMBERED = 200_000
+#: Units that a worker remembers in each of two generations, about 25 MB each, beside those of one step; fewer of many characters.
+REMEMBERED = 80_000
 #: Searched units that a worker remembers.
 SEARCHED = 12_500
 #: Units up to this length go through numpy together, as many as keep its arrays at so many cells; longer ones one at a time.
@@ -331,7 +331,10 @@ class PieceModel:
         for _, k in close:
             ways = [(scores[k], every[k])] + [w for w in self.ways(units[k], n) if w[1] != every[k]][: n - 1]
             sums = sorted(((lost + scores[k] - score, chosen + (((k, w),) if j else ())) for lost, chosen in sums for j, (score, w) in enumerate(ways)), key=lambda x: x[0])[:n]
-        starts = {k: sum(map(len, every[:k])) // 4 for k in {k for _, chosen in sums for k, _ in chosen}}
+        starts, done, length = {}, 0, 0
+        for k in sorted({k for _, chosen in sums for k, _ in chosen}):
+            length += sum(map(len, every[done:k]))
+            starts[k], done = length // 4, k
         out = []
         for lost, chosen in sums:
             changes = [difference(starts[k], every[k], w) if len(units[k]) > TOGETHER_CHARS else (starts[k], len(every[k]) // 4, array("i", w).tolist()) for k, w in sorted(chosen)]
