@@ -76,7 +76,7 @@ def chapter_sources(spark, sf_dir):
     nav = p.select("book", F.lit("nav").alias("source"), "ord", F.floor(F.col("ord") / 3).alias("start_paragraph_id"))
     ncx = p.where("ord % 5 = 0").select("book", F.lit("ncx").alias("source"), "ord", F.col("ord").cast("long").alias("start_paragraph_id"))
     heads = p.where("ord = 1").select("book", F.lit("headings").alias("source"), "ord", F.col("ord").cast("long").alias("start_paragraph_id"))
-    return epub.choose_source(nav.unionByName(ncx).unionByName(heads), p.select("book").distinct())
+    return epub.choose_source(nav.unionByName(ncx).unionByName(heads), p.select("book").distinct()).select("book", "source")
 
 
 _LINES = """ln AS (SELECT l_orderkey AS book_id, (l_linenumber % 2)::BIGINT AS page, (l_partkey * 100000 + l_suppkey) * 10 + l_linenumber AS line_id, l_quantity * 10 AS x_min, l_quantity * 10 + l_discount * 3000 AS x_max, l_extendedprice AS baseline FROM lineitem)"""

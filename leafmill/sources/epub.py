@@ -42,6 +42,7 @@ class Archive:
         self.names = {i.filename: i for i in self.zip.infolist() if not i.is_dir()}
         self.lower = {n.lower(): n for n in reversed(list(self.names))}
         self.read_bytes = 0
+        self.counted: set[str] = set()
 
     def resolve(self, path: str) -> str | None:
         for name in (path, urllib.parse.unquote(path)):
@@ -56,7 +57,8 @@ class Archive:
         if name is None:
             return None
         size = self.names[name].file_size
-        self.read_bytes += size
+        self.read_bytes += 0 if name in self.counted else size
+        self.counted.add(name)
         if size > ENTRY_BYTES or self.read_bytes > TOTAL_BYTES:
             raise EpubError("Other", f"{name} exceeds the archive limits")
         return self.zip.read(name)
@@ -186,44 +188,68 @@ def ncx_entries(root: ElementTree.Element) -> Iterator[tuple[str, str, int]]:
         yield from walk(m, 1)
 
 
-def epub_rows(content: bytes) -> Iterator[dict]:
-    """Tagged rows of a book: metadata, paragraph, heading, image, anchor, file, nav, ncx, cover, diagnostic."""
-    row = lambda kind, seq, text=None, extra=None, paragraph_id=None, path=None: {"kind": kind, "seq": seq, "paragraph_id": paragraph_id, "text": text, "extra": extra, "path": path}
-    archive = Archive(content)
-    opf = container(archive)
-    book = package(archive, opf)
-    for k in ("title", "language", "identifier"):
-        if book[k]:
-            yield row("metadata", 0, book[k], k)
-    for i, a in enumerate(book["authors"]):
-        yield row("metadata", i, a, "author")
-    yield row("metadata", 0, str(book["images"]), "declared_images")
-    for i, ref in enumerate(book["missing"]):
-        yield row("diagnostic", i, f"Spine idref is absent from the manifest: {ref or '(empty)'}", "Other")
-    if book["duplicates"]:
-        yield row("diagnostic", 0, f"{book['duplicates']} duplicate manifest ids", "Other")
-    flow, files = Flow(), []
-    linear = [i for i, on in book["spine"] if on]
-    for item in linear or [i for i, _ in book["spine"]]:
+def _row(kind: str, seq: int, text: str | None = None, extra: str | None = None, paragraph_id: int | None = None, path: str | None = None) -> dict:
+    return {"kind": kind, "seq": seq, "paragraph_id": paragraph_id, "text": text, "extra": extra, "path": path}
+
+
+def viable(flow: Flow) -> bool:
+    """Whether the paragraphs make a readable text: 50 words and 150 letters."""
+    text = " ".join(p for p, _ in flow.paragraphs)
+    return len(text.split()) >= 50 and sum(map(str.isalpha, text)) >= 150
+
+
+def flowed(archive: Archive, items: list[dict]) -> tuple[Flow, list[tuple[str, int]], list[dict]]:
+    """The documents of a reading order as one flow, where each file with text starts, and rows of their anchors, images, files and faults."""
+    flow, files, rows = Flow(), [], []
+    for item in items:
         data = archive.read(item["path"]) if item["path"] else None
         if data is None:
-            yield row("diagnostic", 0, f"missing spine document: {item['path']}", "Other")
+            rows.append(_row("diagnostic", 0, f"missing spine document: {item['path']}", "Other"))
             continue
         n, heads, anchors, images = len(flow.paragraphs), len(flow.headings), len(flow.anchors), len(flow.images)
         flow.begin()
         flow.feed(decode_markup(data))
         flow.finish()
         for i in range(anchors, len(flow.anchors)):
-            yield row("anchor", i, flow.anchors[i][0], None, flow.anchors[i][1], item["path"])
+            rows.append(_row("anchor", i, flow.anchors[i][0], None, flow.anchors[i][1], item["path"]))
         for i in range(images, len(flow.images)):
             after, src, alt = flow.images[i]
             target = src if src.startswith("data:") else resolve_reference(item["path"], src)[0]
             if target:
-                yield row("image", i, alt, target, after, item["path"])
+                rows.append(_row("image", i, alt, target, after, item["path"]))
         if len(flow.paragraphs) > n:
             title = flow.headings[heads][0] if len(flow.headings) > heads else posixpath.splitext(posixpath.basename(item["path"]))[0]
             files.append((item["path"], n + 1))
-            yield row("file", len(files) - 1, title, None, n + 1, item["path"])
+            rows.append(_row("file", len(files) - 1, title, None, n + 1, item["path"]))
+    return flow, files, rows
+
+
+def epub_rows(content: bytes) -> Iterator[dict]:
+    """Tagged rows of a book: metadata, paragraph, heading, image, anchor, file, nav, ncx, cover, diagnostic."""
+    row = _row
+    archive = Archive(content)
+    opf = container(archive)
+    book = package(archive, opf)
+    for k in ("title", "language", "identifier"):
+        if book[k]:
+            yield row("metadata", 0, book[k], k)
+    for i, a in enumerate(book["authors"]):
+        yield row("metadata", i, a, "author")
+    yield row("metadata", 0, str(book["images"]), "declared_images")
+    for i, ref in enumerate(book["missing"]):
+        yield row("diagnostic", i, f"Spine idref is absent from the manifest: {ref or '(empty)'}", "Other")
+    if book["duplicates"]:
+        yield row("diagnostic", 0, f"{book['duplicates']} duplicate manifest ids", "Other")
+    # a navigation document in the spine would repeat its labels as text
+    spine = [(i, on) for i, on in book["spine"] if i is not book["nav"]]
+    every, linear = [i for i, _ in spine], [i for i, on in spine if on]
+    flow, files, found = flowed(archive, linear or every)
+    if linear and len(linear) < len(every) and not viable(flow):
+        # a cover alone may be linear while the text is not; a short linear story takes in no auxiliary text that is not viable itself
+        whole = flowed(archive, every)
+        if viable(whole[0]):
+            flow, files, found = whole
+    yield from found
     for i, (text, scene) in enumerate(flow.paragraphs):
         yield row("paragraph", i, text, scene, i + 1)
     for i, (title, start, level) in enumerate(flow.headings):
@@ -274,7 +300,7 @@ def cleaned(entries: DataFrame, counts: DataFrame, key: str = "book") -> DataFra
 
 
 def choose_source(entries: DataFrame, books: DataFrame, key: str = "book") -> DataFrame:
-    """(key, source): nav, ncx, headings, files or single, by how far each list's starts are spread.
+    """(key, source, collapsed): nav, ncx, headings, files or single, by how far each list's starts are spread; and whether a table of contents had too few.
 
     ``entries`` as ``cleaned`` gives them; ``books``: key. One aggregate a book, then one expression.
     """
@@ -283,4 +309,5 @@ def choose_source(entries: DataFrame, books: DataFrame, key: str = "book") -> Da
     flat = lambda x: (F.col(f"{x}_n") >= 4) & (F.col(f"{x}_s") / F.greatest(F.col(f"{x}_n"), F.lit(1)) < 0.4)
     nav = ~flat("nav") & (F.col("nav_n") > 0) & (flat("ncx") | (F.col("ncx_s") <= 1) | (F.col("nav_s") >= F.ceil(F.col("ncx_s") / 2)))
     ncx = ~flat("ncx") & (F.col("ncx_n") > 0) & (~flat("nav") | (F.col("ncx_s") >= 2) | (F.col("headings_n") == 0))
-    return f.select(key, F.when(nav, "nav").when(ncx, "ncx").when(F.col("headings_n") > 0, "headings").when(F.col("files_n") > 0, "files").otherwise("single").alias("source"))
+    source = F.when(nav, "nav").when(ncx, "ncx").when(F.col("headings_n") > 0, "headings").when(F.col("files_n") > 0, "files").otherwise("single")
+    return f.select(key, source.alias("source"), (flat("nav") | flat("ncx")).alias("collapsed"))
