@@ -129,9 +129,9 @@ def recurring_edge_images(spark, sf_dir):
 
 
 _KEY = r"trim(regexp_replace(regexp_replace(lower({c}), '^(?:chapter|section)\s+', ''), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
-_OUTLINE = f"""{Q.PARAGRAPHS}, h AS (SELECT doc_id AS book_id, (paragraph_id - 1) // 5 AS page, paragraph_id AS id, {_KEY.format(c='substring(text, 1, 40)')} AS k FROM p WHERE paragraph_id % 2 = 1),
+_OUTLINE = f"""{Q.PARAGRAPHS}, h AS (SELECT doc_id AS book_id, (paragraph_id - 1) // 5 AS page, paragraph_id AS id, {_KEY.format(c='text')} AS k FROM p),
 ln AS (SELECT doc_id AS book_id, (paragraph_id - 1) // 5 AS page, paragraph_id AS id, (paragraph_id - 1) % 5 * 20.0 + unnest([0, 9]) AS ay FROM p),
-o AS (SELECT doc_id AS book_id, paragraph_id AS ord, (paragraph_id - 1) // 5 AS page, CASE WHEN paragraph_id % 6 = 3 THEN substring(text, 1, 40) ELSE 'No ' || paragraph_id END AS title, CASE WHEN paragraph_id % 4 > 0 THEN paragraph_id * 37 % 110 - 5.5 END AS y FROM p WHERE paragraph_id % 3 = 0
+o AS (SELECT doc_id AS book_id, paragraph_id AS ord, (paragraph_id - 1) // 5 AS page, CASE WHEN paragraph_id % 3 = 0 THEN text || '!' WHEN paragraph_id % 3 = 1 THEN 'No ' || text ELSE 'No ' || paragraph_id END AS title, CASE WHEN paragraph_id % 4 > 0 THEN paragraph_id * 37 % 110 - 5.5 END AS y FROM p
   UNION ALL SELECT doc_id, 1000000 + paragraph_id, 100000, 'Beyond', 1.0 FROM p WHERE paragraph_id = 1)"""
 
 
@@ -144,9 +144,9 @@ SELECT o.book_id, o.ord::BIGINT AS ord, title, coalesce(m.id, CASE WHEN y IS NOT
 def outline_starts(spark, sf_dir):
     k = F.col("paragraph_id")
     p = paras(spark, sf_dir).withColumnRenamed("doc_id", "book_id").withColumn("page", F.floor((k - 1) / 5))
-    headings = p.where(k % 2 == 1).select("book_id", "page", "paragraph_id", F.substring("text", 1, 40).alias("title"))
+    headings = p.select("book_id", "page", "paragraph_id", F.col("text").alias("title"))
     lines = p.select("book_id", "page", "paragraph_id", F.explode(F.array(F.lit(0), F.lit(9))).alias("d")).select("book_id", "page", "paragraph_id", ((k - 1) % 5 * 20.0 + F.col("d")).alias("baseline"))
-    items = p.where(k % 3 == 0).select("book_id", k.cast("long").alias("ord"), "page", F.when(k % 6 == 3, F.substring("text", 1, 40)).otherwise(F.concat(F.lit("No "), k.cast("string"))).alias("title"), F.when(k % 4 > 0, k * 37 % 110 - 5.5).cast("double").alias("y"))
+    items = p.select("book_id", k.cast("long").alias("ord"), "page", F.when(k % 3 == 0, F.concat("text", F.lit("!"))).when(k % 3 == 1, F.concat(F.lit("No "), "text")).otherwise(F.concat(F.lit("No "), k.cast("string"))).alias("title"), F.when(k % 4 > 0, k * 37 % 110 - 5.5).cast("double").alias("y"))
     beyond = p.where(k == 1).select("book_id", (k + 1_000_000).cast("long").alias("ord"), F.lit(100_000).cast("long").alias("page"), F.lit("Beyond").alias("title"), F.lit(1.0).alias("y"))
     return D.outline_starts(items.unionByName(beyond), headings, lines)
 
