@@ -42,38 +42,47 @@ def title_match(para: Column, title: Column) -> Column:
 FRONT = ("cover", "title page", "half title", "contents", "table of contents", "illustrations", "copyright", "copyright page", "dedication", "preface", "foreword", "introduction")
 
 
+_END, _ON = "(?![a-z0-9_])", "(?=[a-z0-9_])"  # a word ends here; a word begins here
+#: Beginnings of normalised titles and their kinds, the first that fits.
+KINDS = (
+    (f"letter{_END}", "letter"),
+    (f"chapter{_END}", "chapter"),
+    (f"book{_END}", "book"),
+    (f"part{_END}", "part"),
+    (rf"volume{_END}|vol\.{_ON}", "volume"),
+    (rf"(?:first|second|third|fourth|fifth)\s+act{_END}", "act"),
+    (f"act{_END}", "act"),
+    (f"scene{_END}", "scene"),
+    ("dramatis person", "dramatis"),
+    (f"(?:prologue|epilogue|induction){_END}", "play-section"),
+)
+#: A title that begins with a number of its own.
+NUMBERED = r"(?i)^(?:[ivxlcdm]+|[0-9]+)(?![A-Za-z0-9_])[.\-\x{2014}: ]+\S"
+
+
 def chapter_kind(title: Column, book_title: Column) -> Column:
     """One of 13 kinds by the title and the book's title; both plain."""
     t, b = norm_dedup(title), norm_dedup(book_title)
     bare = F.regexp_replace(t, r"[:.;,]+\z", "")
     lt, lb = norm_loose(t), norm_loose(b)
-    composite = book_title.rlike(r"[;:/]") | book_title.rlike(r"(?i)(?<![a-z])and other(?![a-z])")
+    composite = book_title.rlike(r"[;:/]") | book_title.rlike(r"(?i)(?<![a-z0-9_])and other(?![a-z0-9_])")
     trimmed = F.trim(title)
     caps = (trimmed == F.upper(trimmed)) & trimmed.rlike("[A-Z]")
     front = bare.isin(*FRONT) | bare.rlike(rf"^(?:{'|'.join(FRONT)}) ") | t.rlike(r"^(?:illustrated by |translated from |translated by |bibliographical note|original short stories)") | t.contains("short stories") | t.isin("prologue", "the prologue", "epilogue", "or")
     own = ~caps & ~composite & (F.length(t) >= 5) & (F.contains(b, t) | F.contains(t, b) | F.contains(lb, lt) | F.contains(lt, lb))
-    word = lambda pattern: t.rlike(rf"^(?:{pattern})(?![a-z0-9_])")
-    return (
-        F.when(trimmed.rlike(r"^\[\s*[A-Z]\s*\]\z"), "front")
-        .when(t.contains("project gutenberg") | t.contains("full license") | t.contains("copyright") | t.isin("the end", "finis"), "back")
-        .when(front | own, "front")
-        .when(word("letter"), "letter")
-        .when(word("chapter"), "chapter")
-        .when(word("book"), "book")
-        .when(word("part"), "part")
-        .when(word(r"volume|vol\."), "volume")
-        .when(word("(?:first|second|third|fourth|fifth) act|act"), "act")
-        .when(word("scene"), "scene")
-        .when(t.startswith("dramatis person"), "dramatis")
-        .when(word("prologue|epilogue|induction"), "play-section")
-        .when(title.rlike(r"(?i)^(?:[ivxlcdm]+|[0-9]+)(?![A-Za-z0-9_])[.\-—: ]+\S"), "numbered")
-        .otherwise("other")
-    )
+    out = F.when(trimmed.rlike(r"^\[\s*[A-Z]\s*\]\z"), "front").when(t.contains("project gutenberg") | t.contains("full license") | t.contains("copyright") | t.isin("the end", "finis"), "back").when(front | own, "front")
+    for pattern, kind in KINDS:
+        out = out.when(t.rlike(f"^(?:{pattern})"), kind)
+    return out.when(title.rlike(NUMBERED), "numbered").otherwise("other")
+
+
+#: How fit a kind is to stand for a start that several share.
+FITNESS = {"chapter": 90, "letter": 85, "numbered": 75, "other": 60, "book": 45, "act": 40, "part": 35, "volume": 25, "dramatis": 15, "play-section": 15, "scene": 5}
 
 
 def shared_start_score(kind: Column, norm: Column) -> Column:
     """How fit a title is to stand for a start that several share."""
-    value = F.when(kind == "chapter", 90).when(kind == "letter", 85).when(kind == "numbered", 75).when(kind == "other", 60).when(kind == "book", 45).when(kind == "act", 40).when(kind == "part", 35).when(kind == "volume", 25).when(kind == "scene", 5).when(kind.isin("dramatis", "play-section"), 15).otherwise(-50)
+    value = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FITNESS.items() for x in kv]), kind), F.lit(-50))
     return value - F.when(norm.startswith("by ") | norm.startswith("or, "), 10).otherwise(0) - F.when(F.length(norm) < 4, 10).otherwise(0)
 
 

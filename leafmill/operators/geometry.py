@@ -165,36 +165,88 @@ def numbered_ok(headings: DataFrame, counts: DataFrame) -> DataFrame:
     return counts.join(facts, "book_id", "left").select("book_id", F.coalesce((F.col("n") >= 3) & ~F.col("falls") & (F.col("span") >= F.greatest(F.lit(20.0), F.col("paragraphs") * 0.2)), F.lit(False)).alias("reliable"))
 
 
+def telling(tokens: Column, share: float = 0.8) -> Column:
+    """The tokens of a set of which two sets share one at least if their Jaccard similarity reaches ``share``: all but the last ``share`` of each in one order, longer (rarer) ones first."""
+    ordered = F.array_sort(F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t"))))
+    return F.transform(F.slice(ordered, F.lit(1), F.size(tokens) - F.ceil(F.size(tokens) * share).cast("int") + 1), lambda x: x["t"])
+
+
+def alike(left: DataFrame, right: DataFrame, by: list[str], a: str, b: str, share: float = 0.8) -> DataFrame:
+    """Pairs of rows of one ``by`` whose token sets ``a`` and ``b`` have a Jaccard similarity of ``share`` or more, with it as ``score``. Pairs come from an equi-join
+    on telling tokens of sets of like sizes, not from all pairs that share some word."""
+    x = left.withColumn("token", F.explode(telling(F.col(a), share)))
+    y = right.withColumn("token", F.explode(telling(F.col(b), share)))
+    near = (F.size(a) >= F.size(b) * share) & (F.size(b) >= F.size(a) * share)
+    pairs = x.join(y, [*by, "token"]).where(near).drop("token").distinct()
+    return pairs.withColumn("score", F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))).where(F.col("score") >= share)
+
+
 def outline_match(outline: DataFrame, headings: DataFrame) -> DataFrame:
     """The heading of each outline title: the same key, else token Jaccard of 0.8 or more, the best and then the first.
 
-    ``outline``: book_id, ord, title; ``headings``: book_id, paragraph_id, title. A pair of 0.8 shares a token, so candidates come from an
-    equi-join on (book, token), not from all pairs.
+    ``outline``: book_id, ord, title; ``headings``: book_id, paragraph_id, title.
     """
-    o = outline.withColumns({"okey": T.comparable_heading("title"), "otok": T.token_set(T.comparable_heading("title"))})
-    h = headings.withColumns({"hkey": T.comparable_heading("title"), "htok": T.token_set(T.comparable_heading("title"))})
-    left = o.select("book_id", "ord", "okey", "otok", F.explode("otok").alias("token"))
-    right = h.select("book_id", "paragraph_id", "hkey", "htok", F.explode("htok").alias("token"))
-    pairs = left.join(right, ["book_id", "token"]).drop("token").distinct()
-    score = F.when(F.col("okey") == F.col("hkey"), 2.0).otherwise(F.size(F.array_intersect("otok", "htok")) / F.size(F.array_union("otok", "htok")))
-    best = pairs.withColumn("score", score).where("score >= 0.8").groupBy("book_id", "ord").agg(F.max(F.struct("score", (-F.col("paragraph_id")).alias("p"))).alias("b"))
+    key = lambda df, name: df.withColumn(name, T.comparable_heading("title"))
+    o = key(outline, "okey").select("book_id", "ord", "okey", T.token_set("okey").alias("otok"))
+    h = key(headings, "hkey").select("book_id", "paragraph_id", "hkey", T.token_set("hkey").alias("htok"))
+    score = F.when(F.col("okey") == F.col("hkey"), 2.0).otherwise(F.col("score"))
+    best = alike(o, h, ["book_id"], "otok", "htok").withColumn("score", score).groupBy("book_id", "ord").agg(F.max(F.struct("score", (-F.col("paragraph_id")).alias("p"))).alias("b"))
     return outline.select("book_id", "ord").join(best, ["book_id", "ord"], "left").select("book_id", "ord", (-F.col("b.p")).alias("paragraph_id"))
 
 
+#: A title within a short paragraph: the paragraph is less than so many characters longer.
+NEAR = 15
+#: Longer titles are no titles (``functions.text.sane_title``).
+TITLE = 240
+_POINTS = {"file": 90, "exact": 55, "begins": 25, "short": 10, "early": -30, "primary": 20, "other": 10, "matter": -60, "later_file": 10}  # fixed values: points of a match
+
+
+def title_keys(norm: Column) -> Column:
+    """What a paragraph must hold to stand for a normalised title: (key, whole), the title as a part, and as the whole text the number, the number behind "chapter" and the rest of a numbered one."""
+    number, rest = F.regexp_extract(norm, r"^([0-9]+)\.\s*(.+)$", 1), F.regexp_extract(norm, r"^([0-9]+)\.\s*(.+)$", 2)
+    entry = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
+    more = F.when(number != "", F.array(entry(number, True), entry(F.concat(F.lit("chapter "), number), True), entry(rest, True))).otherwise(F.array().cast("array<struct<key:string,whole:boolean>>"))
+    return F.concat(F.array(entry(norm, False)), more)
+
+
+def paragraph_keys(norm: Column, lengths: Column) -> Column:
+    """The keys by which titles find a normalised paragraph: its beginnings before a blank, all its parts that are less than ``NEAR`` characters shorter, and the whole.
+
+    Only parts of ``lengths`` (of the book's titles) count, so there are at most ``NEAR`` squared over 2 of them, and the join on a key is exact: it compares no paragraph with a title that
+    it doesn't hold.
+    """
+    n = F.length(norm)
+    entry = lambda key, whole: F.struct(key.alias("key"), F.lit(whole).alias("whole"))
+    begins = F.transform(F.filter(lengths, lambda m: (m < n) & (F.substring(norm, m + 1, F.lit(1)) == " ")), lambda m: F.substring(norm, F.lit(1), m))
+    parts = F.flatten(F.transform(F.filter(lengths, lambda m: (m <= n) & (n < m + NEAR)), lambda m: F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.substring(norm, i, m))))
+    whole = F.when(n <= TITLE, F.array(entry(norm, True))).otherwise(F.array().cast("array<struct<key:string,whole:boolean>>"))
+    return F.concat(F.transform(F.array_distinct(F.concat(begins, parts)), lambda k: entry(k, False)), whole)
+
+
 def toc_scored_match(toc: DataFrame, paras: DataFrame) -> DataFrame:
-    """The paragraph that a table-of-contents entry most likely means: an additive score over paragraphs that begin with its title.
+    """(book_id, ord, score, paragraph_id): the paragraph that an entry of a table of contents most likely means, the first of equals.
 
-    ``toc``: book_id, ord, title, file, kind; ``paras``: book_id, paragraph_id, text, file, total. A paragraph that matches begins with the
-    title's first word, which makes the candidates an equi-join.
+    ``toc``: book_id, ord, title (at most 240 characters), file, kind; ``paras``: book_id, paragraph_id, text, file, spine (place of the file), total. A paragraph stands for a title as ``chapters.title_match`` has it; pairs come from
+    an equi-join on (book, key) of what both hold.
     """
-    t = toc.withColumn("tnorm", T.comparable_heading("title")).withColumn("w", F.split("tnorm", " ")[0])
-    p = paras.withColumn("pnorm", T.comparable_heading(F.substring("text", 1, 400))).withColumn("w", F.split("pnorm", " ")[0]).withColumnRenamed("file", "pfile")
-    exact = F.col("pnorm") == F.col("tnorm")
-    begins = F.startswith(F.col("pnorm"), F.concat("tnorm", F.lit(" ")))
+    from leafmill.operators.chapters import PRIMARY, norm_dedup
+
+    t = toc.withColumn("tnorm", norm_dedup(F.col("title"))).where(F.length("tnorm").between(1, TITLE))
+    lengths = t.groupBy("book_id").agg(F.collect_set(F.length("tnorm")).alias("lengths"))
+    p = paras.withColumnRenamed("file", "pfile").join(lengths, "book_id").withColumn("pnorm", norm_dedup(F.col("text")))
+    keyed = t.select("book_id", "ord", "title", "file", "kind", "tnorm", F.explode(title_keys(F.col("tnorm"))).alias("k"))
+    held = p.select("book_id", "paragraph_id", "pfile", "spine", "total", F.length("text").alias("n"), F.length("pnorm").alias("pn"), F.xxhash64("pnorm").alias("ph"), F.explode(paragraph_keys(F.col("pnorm"), F.col("lengths"))).alias("k"))
+    pairs = keyed.join(held, ["book_id", "k"])
+    # the key is the title's, so its beginning and its length tell all that the points ask
+    starts = p.select("book_id", "paragraph_id", F.explode(F.filter("lengths", lambda m: F.substring("pnorm", m + 1, F.lit(1)) == " ")).alias("m"), "pnorm").select("book_id", "paragraph_id", F.xxhash64(F.substring("pnorm", F.lit(1), F.col("m"))).alias("th"), F.lit(True).alias("begins"))
+    pairs = pairs.withColumn("th", F.xxhash64("tnorm")).join(starts, ["book_id", "paragraph_id", "th"], "left")
     same = F.col("file").eqNullSafe(F.col("pfile"))
-    pts = lambda cond, n: F.when(cond, n).otherwise(0)
-    score = pts(same, 90) + pts(exact, 55) + pts(begins, 25) + pts(F.length("text") <= F.length("title") + 24, 10) + pts(F.col("paragraph_id") <= F.greatest(F.lit(20), F.floor(F.col("total") * 0.05)), -30) + F.when(F.col("kind").isin("front", "back"), -60).when(F.col("kind") == "other", 10).otherwise(20)
-    best = t.join(p, ["book_id", "w"]).where(exact | begins).withColumn("score", score).groupBy("book_id", "ord").agg(F.max(F.struct("score", (-F.col("paragraph_id")).alias("p"))).alias("b"))
+    pts = lambda cond, name: F.when(cond, _POINTS[name]).otherwise(0)
+    kind = F.when(F.col("kind").isin(*PRIMARY), _POINTS["primary"]).when(F.col("kind") == "other", _POINTS["other"]).when(F.col("kind").isin("front", "back"), _POINTS["matter"]).otherwise(0)
+    exact = (F.col("ph") == F.col("th")) & (F.col("pn") == F.length("tnorm"))
+    early = F.col("paragraph_id") <= F.greatest(F.lit(20), F.floor(F.col("total") * 0.05))
+    score = pts(same, "file") + pts(exact, "exact") + pts(F.col("begins"), "begins") + pts(F.col("n") <= F.length("title") + 24, "short") + pts(early, "early") + kind + pts(same & (F.col("spine") > 0), "later_file")
+    best = pairs.withColumn("score", score).groupBy("book_id", "ord").agg(F.max(F.struct("score", (-F.col("paragraph_id")).alias("p"))).alias("b"))
     return best.select("book_id", "ord", F.col("b.score").alias("score"), (-F.col("b.p")).alias("paragraph_id"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.operators.geometry import alike
 
 LINE = "struct<text:string,col:int,baseline:double,font_size:double,x_min:double,x_max:double>"
 #: Ends and beginnings of sentences, ornaments and what may stand between them.
@@ -332,11 +333,9 @@ def outline_starts(outline: DataFrame, headings: DataFrame, lines: DataFrame) ->
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     o = outline.withColumn("okey", key("title"))
     h = headings.withColumn("hkey", key("title"))
-    # of equal keys the first; a share of 0.8 has a common word, so pairs come from (page, word)
     same = o.join(h.groupBy(*page, F.col("hkey").alias("okey")).agg(F.min("paragraph_id").alias("by_key")), [*page, "okey"], "left").select("book_id", "ord", "by_key")
-    pairs = o.select("book_id", "page", "ord", "okey", F.explode(words("okey")).alias("w")).join(h.select(*page, "paragraph_id", "hkey", F.explode(words("hkey")).alias("w")), [*page, "w"]).drop("w").distinct()
-    share = F.size(F.array_intersect(words("okey"), words("hkey"))) / F.size(F.array_union(words("okey"), words("hkey")))
-    like = pairs.withColumn("share", share).where("share >= 0.8").groupBy("book_id", "ord").agg(F.min_by("paragraph_id", F.struct((-F.col("share")).alias("s"), "paragraph_id")).alias("by_words"))
+    like = alike(o.select("book_id", "page", "ord", words("okey").alias("otok")), h.select(*page, "paragraph_id", words("hkey").alias("htok")), page, "otok", "htok")
+    like = like.groupBy("book_id", "ord").agg(F.min_by("paragraph_id", F.struct((-F.col("score")).alias("s"), "paragraph_id")).alias("by_words"))
     first = lines.groupBy(*page).agg(F.min("paragraph_id").alias("page_first"))
     rungs = lines.groupBy(*page, F.col("baseline").alias("y")).agg(F.min("paragraph_id").alias("paragraph_id"))
     none = F.lit(None)

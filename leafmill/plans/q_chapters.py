@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import chapters as C
+from leafmill.plans import sql as Q
 from leafmill.plans.q_text import paras
 from leafmill.plans.registry import query, table
 
@@ -83,13 +84,26 @@ def chapter_audits(spark, sf_dir):
     return C.audit(at, at.select("book_id").distinct().withColumn("paragraphs", F.lit(1400)))
 
 
-@query()
+_NORM = r"lower(trim(regexp_replace(strip_accents(nfc_normalize({c})), '\s+', ' ', 'g')))"
+_FRONT = "cover|title page|half title|contents|table of contents|illustrations|copyright|copyright page|dedication|preface|foreword|introduction"
+#: Beginnings that make titles of all kinds, put before paragraphs by turns.
+_BEFORE = ("", "Chapter ", "letter ", "Vol.2 ", "vol. 2 ", "PART", "Book: ", "Act I. ", "Second  act ", "actor ", "[ A ]", "Scene. ", "Dramatis Personae ", "IV. ", "12: ", "Epilogue, ", "Preface ", "The Copyright of ", "volumes ", "3x ", "Lettera ")
+
+
+@query(rf"""WITH {Q.PARAGRAPHS}, x AS (SELECT doc_id, paragraph_id, ([{', '.join(map(repr, _BEFORE))}])[paragraph_id % {len(_BEFORE)} + 1] || text AS title FROM p), n AS (SELECT *, {_NORM.format(c='title')} AS t FROM x), b AS (SELECT *, regexp_replace(t, '[:.;,]+$', '') AS bare FROM n)
+SELECT doc_id, paragraph_id, title, CASE WHEN regexp_matches(trim(title), '^\[\s*[A-Z]\s*\]$') THEN 'front' WHEN contains(t, 'project gutenberg') OR contains(t, 'full license') OR contains(t, 'copyright') OR t IN ('the end', 'finis') THEN 'back'
+  WHEN regexp_matches(bare, '^({_FRONT})( |$)') OR regexp_matches(t, '^(illustrated by |translated from |translated by |bibliographical note|original short stories)') OR contains(t, 'short stories') OR t IN ('prologue', 'the prologue', 'epilogue', 'or') THEN 'front'
+  WHEN length(t) >= 5 AND NOT (trim(title) = upper(trim(title)) AND regexp_matches(title, '[A-Z]')) AND (contains('the sea', t) OR contains(t, 'the sea') OR contains(trim(regexp_replace(regexp_replace(t, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')), 'the sea') OR contains('the sea', trim(regexp_replace(regexp_replace(t, '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g')))) THEN 'front'
+  WHEN regexp_matches(t, '^letter\b') THEN 'letter' WHEN regexp_matches(t, '^chapter\b') THEN 'chapter' WHEN regexp_matches(t, '^book\b') THEN 'book' WHEN regexp_matches(t, '^part\b') THEN 'part' WHEN regexp_matches(t, '^(volume|vol\.)\b') THEN 'volume'
+  WHEN regexp_matches(t, '^((first|second|third|fourth|fifth)\s+)?act\b') THEN 'act' WHEN regexp_matches(t, '^scene\b') THEN 'scene' WHEN regexp_matches(t, '^dramatis person') THEN 'dramatis' WHEN regexp_matches(t, '^(prologue|epilogue|induction)\b') THEN 'play-section'
+  WHEN regexp_matches(title, '(?i)^([ivxlcdm]+|\d+)\b[.\-\x{{2014}}: ]+\S') THEN 'numbered' ELSE 'other' END AS kind FROM b""")
 def chapter_kinds(spark, sf_dir):
-    """Kinds of first lines as titles; Unicode decomposition has no exact counterpart in the oracle's engine."""
-    t = paras(spark, sf_dir).where("paragraph_id % 3 = 1").select("doc_id", "paragraph_id", F.substring("text", 1, 40).alias("title"))
-    return t.withColumn("kind", C.chapter_kind(F.col("title"), F.lit("A Book")))
+    p = paras(spark, sf_dir)
+    before = F.element_at(F.array(*[F.lit(x) for x in _BEFORE]), (F.col("paragraph_id") % len(_BEFORE) + 1).cast("int"))
+    t = p.select("doc_id", "paragraph_id", F.concat(before, "text").alias("title"))
+    return t.withColumn("kind", C.chapter_kind(F.col("title"), F.lit("The Sea")))
 
 
-@query("""SELECT doc_id, lower(trim(regexp_replace(strip_accents(nfc_normalize(substring(text, 1, 60))), '\\s+', ' ', 'g'))) AS norm FROM documents""")
+@query(f"""SELECT doc_id, {_NORM.format(c='text')} AS norm FROM documents""")
 def normalized_titles(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", C.norm_dedup(F.substring("text", 1, 60)).alias("norm"))
+    return table(spark, sf_dir, "documents").select("doc_id", C.norm_dedup("text").alias("norm"))

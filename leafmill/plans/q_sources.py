@@ -132,29 +132,38 @@ def numbered_sequences(spark, sf_dir):
     return G.numbered_ok(h, h.select("book_id").distinct().withColumn("paragraphs", F.lit(1000)))
 
 
-@query(f"""WITH {Q.PARAGRAPHS}, h AS (SELECT doc_id, paragraph_id, trim(regexp_replace(lower(substring(text, 1, 60)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k FROM p WHERE paragraph_id % 2 = 1),
-o AS (SELECT doc_id, paragraph_id AS ord, trim(regexp_replace(lower(substring(text, 1, CASE WHEN paragraph_id % 4 = 1 THEN 60 ELSE 52 END)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k FROM p WHERE paragraph_id % 2 = 1),
+_HKEY = r"trim(regexp_replace(lower({c}), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))"
+
+
+@query(f"""WITH {Q.PARAGRAPHS}, h AS (SELECT doc_id, paragraph_id, {_HKEY.format(c='text')} AS k FROM p), o AS (SELECT doc_id, paragraph_id AS ord, {_HKEY.format(c="CASE WHEN paragraph_id % 4 = 1 THEN text ELSE text || ' one more' END")} AS k FROM p),
 x AS (SELECT o.doc_id, ord, h.paragraph_id, CASE WHEN o.k = h.k THEN 2.0 ELSE len(list_intersect(string_split(o.k, ' '), string_split(h.k, ' '))) / len(list_distinct(string_split(o.k, ' ') || string_split(h.k, ' '))) END AS s FROM o JOIN h ON o.doc_id = h.doc_id WHERE o.k <> '' AND h.k <> ''),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY s DESC, paragraph_id) AS n FROM x WHERE s >= 0.8)
 SELECT o.doc_id AS book_id, o.ord, r.paragraph_id FROM o LEFT JOIN r ON r.doc_id = o.doc_id AND r.ord = o.ord AND r.n = 1""")
 def outline_headings(spark, sf_dir):
-    p = paras(spark, sf_dir).where("paragraph_id % 2 = 1").withColumnRenamed("doc_id", "book_id")
-    outline = p.select("book_id", F.col("paragraph_id").alias("ord"), F.substring("text", F.lit(1), F.when(F.col("paragraph_id") % 4 == 1, 60).otherwise(52)).alias("title"))
-    return G.outline_match(outline, p.select("book_id", "paragraph_id", F.substring("text", 1, 60).alias("title")))
+    p = paras(spark, sf_dir).withColumnRenamed("doc_id", "book_id")
+    title = F.when(F.col("paragraph_id") % 4 == 1, F.col("text")).otherwise(F.concat("text", F.lit(" one more")))
+    return G.outline_match(p.select("book_id", F.col("paragraph_id").alias("ord"), title.alias("title")), p.select("book_id", "paragraph_id", F.col("text").alias("title")))
+
+
+_NORM = r"lower(trim(regexp_replace(strip_accents(nfc_normalize({c})), '\s+', ' ', 'g')))"
 
 
-@query(f"""WITH {Q.PARAGRAPHS}, t AS (SELECT doc_id, paragraph_id, text, trim(regexp_replace(lower(substring(text, 1, 400)), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k, CASE WHEN paragraph_id % 2 = 0 THEN 'a' ELSE 'b' END AS file, count(*) OVER (PARTITION BY doc_id) AS total FROM p),
-e AS (SELECT doc_id, paragraph_id AS ord, split_part(text, ' ', 1) AS title, CASE WHEN paragraph_id % 3 = 0 THEN 'a' ELSE 'b' END AS file, CASE WHEN paragraph_id % 5 = 0 THEN 'front' WHEN paragraph_id % 5 = 1 THEN 'other' ELSE 'chapter' END AS kind FROM p WHERE paragraph_id % 3 < 2),
-f AS (SELECT *, trim(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS k FROM e),
+@query(rf"""WITH {Q.PARAGRAPHS}, t AS (SELECT doc_id, paragraph_id, text, {_NORM.format(c='text')} AS k, paragraph_id % 2 AS file, count(*) OVER (PARTITION BY doc_id) AS total FROM p),
+e AS (SELECT doc_id, paragraph_id AS ord, CASE paragraph_id % 5 WHEN 0 THEN split_part(text, ' ', 1) WHEN 1 THEN array_to_string(string_split(text, ' ')[1:3], ' ') WHEN 2 THEN (paragraph_id % 9) || '. ' || text WHEN 3 THEN split_part(text, ' ', 2) ELSE text END AS title, paragraph_id // 2 % 3 AS file, CASE WHEN paragraph_id % 7 = 0 THEN 'front' WHEN paragraph_id % 7 = 1 THEN 'other' WHEN paragraph_id % 7 = 2 THEN 'letter' WHEN paragraph_id % 7 = 3 THEN 'part' ELSE 'chapter' END AS kind FROM p),
+f AS (SELECT *, {_NORM.format(c='title')} AS k FROM e),
 s AS (SELECT f.doc_id, f.ord, t.paragraph_id, CASE WHEN f.file = t.file THEN 90 ELSE 0 END + CASE WHEN t.k = f.k THEN 55 ELSE 0 END + CASE WHEN starts_with(t.k, f.k || ' ') THEN 25 ELSE 0 END + CASE WHEN length(t.text) <= length(f.title) + 24 THEN 10 ELSE 0 END
-  + CASE WHEN t.paragraph_id <= greatest(20, floor(t.total * 0.05)) THEN -30 ELSE 0 END + CASE WHEN kind IN ('front', 'back') THEN -60 WHEN kind = 'other' THEN 10 ELSE 20 END AS score FROM f JOIN t ON f.doc_id = t.doc_id AND (t.k = f.k OR starts_with(t.k, f.k || ' ')) AND split_part(t.k, ' ', 1) = split_part(f.k, ' ', 1)),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY score DESC, paragraph_id) AS n FROM s) SELECT doc_id AS book_id, ord, score, paragraph_id FROM r WHERE n = 1""")
+  + CASE WHEN t.paragraph_id <= greatest(20, floor(t.total * 0.05)) THEN -30 ELSE 0 END + CASE WHEN kind IN ('letter', 'chapter') THEN 20 WHEN kind = 'other' THEN 10 WHEN kind = 'front' THEN -60 ELSE 0 END + CASE WHEN f.file = t.file AND t.file > 0 THEN 10 ELSE 0 END AS score
+  FROM f JOIN t ON f.doc_id = t.doc_id AND (t.k = f.k OR starts_with(t.k, f.k || ' ') OR t.k = f.k || '.' OR t.k = f.k || ',' OR (length(t.k) < length(f.k) + 15 AND contains(t.k, f.k)) OR (regexp_matches(f.k, '^\d+\.\s*.+$') AND (t.k = regexp_extract(f.k, '^(\d+)\.', 1) OR t.k = 'chapter ' || regexp_extract(f.k, '^(\d+)\.', 1) OR t.k = regexp_extract(f.k, '^\d+\.\s*(.+)$', 1)))) WHERE length(f.k) BETWEEN 1 AND 240 AND t.k <> ''),
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, ord ORDER BY score DESC, paragraph_id) AS n FROM s) SELECT doc_id AS book_id, ord, score::INTEGER AS score, paragraph_id FROM r WHERE n = 1""")
 def toc_scored_matches(spark, sf_dir):
     p = paras(spark, sf_dir).withColumnRenamed("doc_id", "book_id")
     k = F.col("paragraph_id")
     total = p.groupBy("book_id").agg(F.count("*").alias("total"))
-    paragraphs = p.withColumn("file", F.when(k % 2 == 0, "a").otherwise("b")).join(total, "book_id")
-    toc = p.where("paragraph_id % 3 < 2").select("book_id", k.alias("ord"), F.split("text", " ")[0].alias("title"), F.when(k % 3 == 0, "a").otherwise("b").alias("file"), F.when(k % 5 == 0, "front").when(k % 5 == 1, "other").otherwise("chapter").alias("kind"))
+    paragraphs = p.withColumns({"file": k % 2, "spine": k % 2}).join(total, "book_id")
+    words = F.split("text", " ")
+    title = F.when(k % 5 == 0, words[0]).when(k % 5 == 1, F.array_join(F.slice(words, 1, 3), " ")).when(k % 5 == 2, F.concat((k % 9).cast("string"), F.lit(". "), "text")).when(k % 5 == 3, F.coalesce(F.get(words, F.lit(1)), F.lit(""))).otherwise(F.col("text"))
+    kind = F.when(k % 7 == 0, "front").when(k % 7 == 1, "other").when(k % 7 == 2, "letter").when(k % 7 == 3, "part").otherwise("chapter")
+    toc = p.select("book_id", k.alias("ord"), title.alias("title"), (F.floor(k / 2) % 3).cast("int").alias("file"), kind.alias("kind"))
     return G.toc_scored_match(toc, paragraphs)
 
 
