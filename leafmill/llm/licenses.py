@@ -14,6 +14,7 @@ get the same result each; an empty table gives an empty result; other columns pl
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from functools import cache
 from typing import NamedTuple
 
@@ -172,7 +173,7 @@ def settle(found: list[Detection]) -> list[Detection]:
         starts, reach = [c[0] for c in cover], [c[1] for c in cover]
         most, fresh = -1, []
         for d in sorted((d for d in found if d.priority == priority), key=lambda d: (d.start, -d.end, d.order)):
-            k = int(np.searchsorted(starts, d.start, side="right")) - 1
+            k = bisect_right(starts, d.start) - 1
             if d.end > most and (k < 0 or reach[k] < d.end):
                 fresh.append(d)
                 most = d.end
