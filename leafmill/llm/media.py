@@ -119,6 +119,8 @@ def _bmp(data: bytes) -> np.ndarray:
     offset, head, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if head < 40 or packed not in (0, 3) or bits not in ((16, 32) if packed else (1, 4, 8, 24, 32)) or w < 1 or h == 0:
         raise MediaError("unsupported BMP")
+    if not (66 if packed else 14 + head) <= offset <= len(data):
+        raise MediaError("bad BMP header")
     rows, stride = abs(h), (w * bits + 31) // 32 * 4
     if w * rows > MAX_PIXELS:
         raise MediaError("image too large")
