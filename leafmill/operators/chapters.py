@@ -103,10 +103,11 @@ def drop_prelude(chapters: DataFrame) -> DataFrame:
 
 
 def drop_wrappers(chapters: DataFrame) -> DataFrame:
-    """Leading front, back and collection titles go, as long as they follow each other and one entry remains."""
+    """Leading front, back and collection titles and (where the column ``fragment`` tells) pieces of title pages go, as long as they follow each other and one entry remains."""
     w = _order()
+    piece = F.col("fragment") if "fragment" in chapters.columns else F.lit(False)
     at = chapters.withColumns({"gap": F.lead("start").over(w) - F.col("start"), "next_kind": F.lead("kind").over(w)})
-    wrapper = F.col("kind").isin("front", "back") | ((F.col("gap") <= 12) & (F.col("kind") == "other") & (F.col("next_kind") == "other") & F.col("norm").rlike(r"(?<![a-z])(?:trilogy|poems|plays|stories|essays|works)(?![a-z])"))
+    wrapper = F.col("kind").isin("front", "back") | piece | ((F.col("gap") <= 12) & (F.col("kind") == "other") & (F.col("next_kind") == "other") & F.col("norm").rlike(r"(?<![a-z])(?:trilogy|poems|plays|stories|essays|works)(?![a-z])"))
     goes = F.coalesce(wrapper, F.lit(False)) & F.col("gap").isNotNull()
     stays = F.sum((~goes).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
     return at.withColumn("stays", stays).where("stays > 0").drop("gap", "next_kind", "stays")
@@ -138,15 +139,6 @@ def later_repeats(chapters: DataFrame) -> DataFrame:
     return at.where((F.col("times") == 1) | F.col("first_kind").isin(*PRIMARY, "front", "back") | (F.col("start") == F.col("latest"))).drop("times", "latest", "first_kind")
 
 
-def cleaned(chapters: DataFrame) -> DataFrame:
-    """Best per start, then prelude, wrappers, containers, songs, repeats, wrappers again. ``chapters``: book_id, pos, title, start, kind, norm."""
-    best = F.max_by(F.struct("pos", "title", "kind", "norm"), F.struct(shared_start_score(F.col("kind"), F.col("norm")).alias("s"), F.length("title").alias("n"), (-F.col("pos")).alias("p")))
-    at = chapters.groupBy("book_id", "start").agg(best.alias("b")).select("book_id", "start", "b.*")
-    for step in (drop_prelude, drop_wrappers, drop_containers, drop_songs, later_repeats, drop_wrappers):
-        at = step(at)
-    return at
-
-
 def depth_choice(toc: DataFrame) -> DataFrame:
     """(book_id, depth, n, median_gap) of the depth whose entries make the chapters: most entries, then widest, then shallowest, among depths of two or more whose median gap is 5 or more where there are such. ``toc``: book_id, depth, start."""
     gap = F.col("start") - F.lag("start").over(Window.partitionBy("book_id", "depth").orderBy("start"))
@@ -156,18 +148,39 @@ def depth_choice(toc: DataFrame) -> DataFrame:
     return best.select("book_id", (-F.col("b.d")).alias("depth"), "b.n", "b.median_gap")
 
 
-def audit(chapters: DataFrame, books: DataFrame) -> DataFrame:
-    """(book_id, issues, status): rising starts up to the first fall, starts in range, leaked matter. ``chapters``: book_id, pos, start, norm; ``books``: book_id, paragraphs."""
+def audit(chapters: DataFrame, books: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
+    """(book_id, issues, status) of extracted chapters: rising starts up to the first fall, starts in range, leaked matter, one chapter beside a table of contents, starts at nothing or at a heading.
+
+    ``chapters``: book_id, pos, start, norm; ``books``: book_id, paragraphs, and norm, entries, excluded where these are known; ``paragraphs``: book_id, paragraph_id, text.
+    A chapter's preview is its first paragraph. Books with a reason in ``excluded`` are ``excluded``.
+    """
     w = _book().orderBy("pos")
-    at = chapters.join(books, "book_id").withColumn("prev", F.lag("start", 1, 0).over(w)).withColumn("n", F.count("*").over(_book()))
+    names = set(books.columns)
+    b = books.select("book_id", "paragraphs", *[(F.col(c) if c in names else F.lit(None).cast(k)).alias(f"__{c}") for c, k in (("norm", "string"), ("entries", "long"), ("excluded", "string"))])
+    at = chapters.join(b, "book_id").withColumns({"prev": F.lag("start", 1, 0).over(w), "after": F.lead("start").over(w), "n": F.count("*").over(_book())})
     at = at.withColumn("falls", F.sum((F.col("start") <= F.col("prev")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    if paragraphs is None:
+        at = at.withColumns({"preview": F.lit(None).cast("string"), "behind": F.lit(None).cast("string"), "seen": F.lit(False)})
+    else:
+        here = paragraphs.select("book_id", F.col("paragraph_id").alias("start"), F.col("text").alias("preview"))
+        behind = paragraphs.select("book_id", (F.col("paragraph_id") - 1).alias("start"), F.col("text").alias("behind"))
+        at = at.join(here, ["book_id", "start"], "left").join(behind, ["book_id", "start"], "left").withColumn("seen", F.lit(True))
     scanned, out = F.col("falls") == 0, (F.col("start") < 1) | (F.col("start") > F.col("paragraphs"))
     back = F.col("norm").rlike(r"^(?:appendix|appendices|bibliography|index|notes|endnotes|footnotes|glossary|colophon)(?: |\z)")
     front = F.col("norm").rlike(r"^(?:contents|table of contents|copyright|copyright page|title page|cover|preface|foreword|introduction|dedication)(?: |\z)")
-    facts = at.groupBy("book_id").agg(F.max("falls").alias("f"), F.count_if(scanned & out).alias("o"), F.count_if(scanned & front & (F.col("n") > 1)).alias("fm"), F.count_if(scanned & back & (F.col("n") > 2)).alias("bm"))
-    j = books.join(facts, "book_id", "left")
-    codes = F.array_compact(F.array(F.when(F.col("paragraphs") == 0, "empty-paragraphs"), F.when(F.col("f").isNull(), "empty-chapters"), F.when(F.col("f") > 0, "non-monotonic-starts"), F.when(F.col("o") > 0, "invalid-start-id"), F.when(F.col("fm") > 0, "front-matter-chapter"), F.when(F.col("bm") > 0, "back-matter-chapter")))
-    return j.select("book_id", F.array_join(codes, ",").alias("issues"), F.when(F.size(codes) > 0, "flagged").otherwise("ok").alias("status"))
+    blank = F.col("seen") & (F.trim(F.coalesce("preview", F.lit(""))) == "")
+    same = (F.length(norm_dedup(F.col("preview"))) < 40) & (norm_dedup(F.col("preview")) == F.col("norm")) & (F.col("norm") != "")
+    heading = F.coalesce(~blank & same & (F.length("behind") >= 40) & (F.col("after").isNull() | (F.col("start") + 1 < F.col("after"))), F.lit(False))
+    alone = (F.col("__entries") > 4) & (F.col("n") == 1) & (F.col("norm") != F.col("__norm")) & (F.col("norm") != "full book")
+    facts = at.groupBy("book_id").agg(
+        F.max("falls").alias("f"), F.count_if(scanned & out).alias("o"), F.count_if(scanned & front & (F.col("n") > 1)).alias("fm"), F.count_if(scanned & back & (F.col("n") > 2)).alias("bm"),
+        F.count_if(F.coalesce(alone, F.lit(False))).alias("a"), F.count_if(scanned & blank).alias("p"), F.count_if(scanned & heading).alias("h"),
+    )
+    j = b.join(facts, "book_id", "left")
+    code = lambda cond, name: F.when(cond, name)
+    codes = F.array_compact(F.array(code(F.col("paragraphs") == 0, "empty-paragraphs"), code(F.col("f").isNull(), "empty-chapters"), code(F.col("a") > 0, "single-chapter-with-toc"), code(F.col("f") > 0, "non-monotonic-starts"), code(F.col("o") > 0, "invalid-start-id"), code(F.col("fm") > 0, "front-matter-chapter"), code(F.col("bm") > 0, "back-matter-chapter"), code(F.col("p") > 0, "missing-preview"), code(F.col("h") > 0, "heading-only-start")))
+    status = F.when(F.col("__excluded").isNotNull(), "excluded").when(F.size(codes) > 0, "flagged").otherwise("ok")
+    return j.select("book_id", F.array_join(codes, ",").alias("issues"), status.alias("status"))
 
 
 def cover_error(size: Column, mime: Column, width: Column, height: Column) -> Column:
