@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -256,18 +257,54 @@ def manifest_merge(found: DataFrame, known: DataFrame, key: str = "id") -> DataF
     return f.join(k, key, "full").select(key, pick.alias("r")).select(key, "r.*")
 
 
+#: Schema of the snapshots that are written.
+VERSION = 4
+
+
+def _with_images(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    spark = next(iter(tables.values())).sparkSession
+    return {"book_images": spark.createDataFrame([], S.TABLES["book_images"]), **tables}
+
+
+def _with_column(table: str, column: str, value: str) -> Callable[[dict[str, DataFrame]], dict[str, DataFrame]]:
+    return lambda tables: {**tables, table: tables[table].withColumn(column, F.expr(value)) if column not in tables[table].columns else tables[table]}
+
+
+#: Steps that lift the tables of the version before to this one, in order.
+MIGRATIONS: dict[int, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]] = {
+    2: _with_images,
+    3: _with_column("books", "processing_warnings", "NULL"),
+    4: _with_column("import_jobs", "attempt", "1"),
+}
+
+
+def migrate(tables: dict[str, DataFrame], version: int) -> dict[str, DataFrame]:
+    """Tables of an older version as tables of the newest; those of a newer one are refused. Steps are projections, so nothing is read before it is asked for."""
+    if not 1 <= version <= VERSION:
+        raise ValueError(f"a snapshot of version {version} can't be read; this program reads 1 to {VERSION}")
+    for step in range(version + 1, VERSION + 1):
+        tables = MIGRATIONS[step](tables)
+    return tables
+
+
 def write_snapshot(tables: dict[str, DataFrame], path: str) -> None:
-    """All tables under a fresh folder; the pointer file is written last, so that readers see all of it or the one before."""
+    """All tables under a fresh folder; the pointer file, which names folder and version, is written last, so that readers see all of it or the one before."""
     spark = next(iter(tables.values())).sparkSession
-    version = uuid.uuid4().hex
+    folder = uuid.uuid4().hex
     for name, df in tables.items():
-        df.write.mode("errorifexists").parquet(f"{path}/{version}/{name}")
-    spark.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
+        df.write.mode("errorifexists").parquet(f"{path}/{folder}/{name}")
+    spark.createDataFrame([(folder, VERSION, ",".join(sorted(tables)))], "version string, schema int, tables string").coalesce(1).write.mode("overwrite").parquet(f"{path}/current")
 
 
 def read_snapshot(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    version = spark.read.parquet(f"{path}/current").first()[0]
-    return {name: spark.read.schema(schema).parquet(f"{path}/{version}/{name}") for name, schema in S.TABLES.items()}
+    """The tables of a snapshot, lifted to the newest version. A pointer without a version (of the first ones) counts as version 1."""
+    pointer = spark.read.schema("version string, schema int, tables string").parquet(f"{path}/current").first()
+    version = pointer["schema"] or 1
+    if version > VERSION:
+        migrate({}, version)
+    names = pointer["tables"].split(",") if pointer["tables"] else [n for n in S.TABLES if version > 1 or n != "book_images"]
+    tables = migrate({n: spark.read.parquet(f"{path}/{pointer['version']}/{n}") for n in names}, version)
+    return {n: tables[n].select([F.col(f.name).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], schema).schema]) for n, schema in S.TABLES.items() if n in tables}
 
 
 def required(df: DataFrame, *columns: str) -> DataFrame:

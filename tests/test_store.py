@@ -123,21 +123,11 @@ def test_epub(spark):
     assert {r["book"]: r["extra"] for r in rows if r["book"] != "good"} == {"fixed": "Other", "none": "Crash / parse error", "bad": "Crash / parse error"}
 
 
-def test_import_queue(spark, tmp_path):
-    for name, data in (("a.epub", package()), ("b.epub", b"PK")):
-        (tmp_path / "in").mkdir(exist_ok=True)
-        (tmp_path / "in" / name).write_bytes(data)
-    q = jobs.import_queue(spark, str(tmp_path / "in"), str(tmp_path / "jobs"), str(tmp_path / "content"), str(tmp_path / "cp"), epub.read_epubs, 1)
-    q.awaitTermination(120)
-    got = {r["book_id"].rpartition("/")[2]: r["status"] for r in spark.read.parquet(str(tmp_path / "jobs")).collect()}
-    assert got == {"a.epub": "completed", "b.epub": "failed"}
-
-
 def test_scroll_stream(spark, sf, tmp_path):
     events = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").cast("string").alias("key"), (F.col("event_id") * 37).alias("ms"), F.col("event_id").alias("seq"), F.col("value").alias("top"))
     events.orderBy("ms").coalesce(1).write.parquet(str(tmp_path / "e"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "e"))
-    q = jobs.scroll_intents(stream).writeStream.format("memory").queryName("intents").outputMode("append").trigger(availableNow=True).start()
+    q = jobs.scroll_intents(stream, watermark="1 day").writeStream.format("memory").queryName("intents").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("intents").collect()} == {tuple(r) for r in jobs.scroll_intents_batch(events).collect()}
 
