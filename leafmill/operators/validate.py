@@ -123,6 +123,60 @@ def scalar_diagnostics(books: DataFrame, key: str = "doc_id") -> DataFrame:
     return books.select(key, F.posexplode(F.filter(fired, lambda d: d.isNotNull())).alias("pos", "d")).select(key, (F.col("pos") + 30).alias("pos"), "d.*")
 
 
+def paragraph_facts(paragraphs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Facts about emitted paragraphs: those of ``text_facts``, empty ones, the first wrong number (from 0, and what stands there), scene breaks and those before the first paragraph.
+
+    ``paragraphs``: key, place (order, whole numbers), id, text, scene. Everything is a sum, a maximum or a minimum, so that a book of any size is aggregated in parts.
+    """
+    from leafmill.operators.prefix import running_sum
+
+    at = running_sum(paragraphs, key, "place", [], F.lit(1), "nth")
+    at = at.withColumns({"index": F.col("nth") - 1, "words": T.count_words("text")})
+    wrong = F.when(F.col("id") != F.col("nth"), F.struct("index", "id"))
+    broken = F.col("scene").isNotNull()
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return at.groupBy(key).agg(
+        F.count("*").alias("paragraphs"),
+        total("words").alias("words"),
+        total(T.letters("text")).alias("letters"),
+        (total(F.length("text") + 1) - 1).alias("chars"),
+        total(F.regexp_count("text", F.lit(r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"))).alias("bad_chars"),
+        F.coalesce(F.max("words"), F.lit(0)).alias("largest"),
+        F.count_if(T.raw_ornament("text")).alias("ornaments"),
+        F.count_if(T.normalize_text("text") == "").alias("empty"),
+        F.min(wrong).alias("wrong"),
+        F.count_if(broken).alias("breaks"),
+        F.count_if(broken & (F.col("id") <= 1)).alias("unanchored"),
+    )
+
+
+def paragraph_diagnostics(facts: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Rules over empty paragraphs, numbers and scene breaks, from ``paragraph_facts``."""
+    n, breaks, at = F.col("paragraphs"), F.col("breaks"), F.col("wrong.index")
+    fired = F.array(
+        diagnostic(F.col("empty") > 0, TEXT, "failure", "empty_paragraphs", say(F.col("empty"), " empty paragraphs were emitted.")),
+        diagnostic(F.col("wrong").isNotNull(), IDS, "failure", "bad_paragraph_ids", say("Paragraph index ", at, " has id ", F.coalesce(F.col("wrong.id").cast("string"), F.lit("missing")), "; expected ", at + 1, ".")),
+        diagnostic(F.col("unanchored") > 0, IDS, "failure", "bad_paragraph_ids", say(F.col("unanchored"), " scene breaks are not anchored between real paragraphs.")),
+        diagnostic((breaks > 20) & (breaks / F.greatest(n, F.lit(1)) > 0.35), TEXT, "failure", "scene_break_density", say("Scene-boundary density is implausible: ", breaks, " breaks across ", n, " paragraphs.")),
+    )
+    return facts.select(key, F.posexplode(F.filter(fired, lambda d: d.isNotNull())).alias("pos", "d")).select(key, (F.col("pos") + 4).alias("pos"), "d.*")
+
+
+def validate_books(paragraphs: DataFrame, chapters: DataFrame, images: DataFrame, books: DataFrame, given: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
+    """All rules over whole books, each finding once: (key, pos, bucket, severity, code, message). A book with too many paragraphs gets that finding alone.
+
+    ``books``: key, format, declared (images), cover_src, total_ms, totals_ok; ``given``: findings of the parser (pos below 0 come first). ``chapters`` and ``images`` as their rules take them.
+    """
+    none = {c: 0 for c in ("paragraphs", "words", "letters", "chars", "bad_chars", "largest", "ornaments", "empty", "breaks", "unanchored")}
+    facts = books.select(key).join(paragraph_facts(paragraphs, key), key, "left").na.fill(none)
+    sized = books.join(facts.select(key, "paragraphs"), key)
+    found = [text_diagnostics(facts, key), paragraph_diagnostics(facts, key), chapter_diagnostics(chapters, sized.select(key, "paragraphs"), key), image_diagnostics(images, sized.select(key, "paragraphs", "format", "declared"), key), scalar_diagnostics(sized, key)]
+    every = found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3]).unionByName(found[4])
+    many = facts.where(F.col("paragraphs") > S.MAX_PARAGRAPHS).select(key)
+    every = every.join(many, key, "left_anti").unionByName(every.where("code = 'too_many_paragraphs'").join(many, key, "left_semi"))
+    return distinct_diagnostics(every.unionByName(given) if given is not None else every, key)
+
+
 def distinct_diagnostics(diagnostics: DataFrame, key: str = "doc_id") -> DataFrame:
     """The first of each (code, bucket, severity, message) of a book."""
     w = Window.partitionBy(key, "code", "bucket", "severity", "message").orderBy("pos")

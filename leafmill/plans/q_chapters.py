@@ -11,13 +11,14 @@ from leafmill.plans.registry import query, table
 
 _KINDS = ("chapter", "other", "part", "front", "other", "scene", "volume")
 _TITLES = ("Song of the sea", "Essays", "One", "Works", "Chant", "Two", "By night")
-_LIST = f"""ls AS (SELECT (o_custkey % 40)::BIGINT AS book_id, o_orderkey AS pos, o_orderkey * 3 // 2 AS start, ([{', '.join(map(repr, _KINDS))}])[(o_orderkey % 7 + 1)::INT] AS kind, lower(([{', '.join(map(repr, _TITLES))}])[(o_custkey % 7 + 1)::INT]) AS norm FROM orders)"""
+_LIST = f"""ls AS (SELECT o_custkey AS book_id, o_orderkey AS pos, o_orderkey * 3 // 2 AS start, ([{', '.join(map(repr, _KINDS))}])[(o_orderkey % 7 + 1)::INT] AS kind, lower(([{', '.join(map(repr, _TITLES))}])[(o_orderkey // 7 % 7 + 1)::INT]) AS norm FROM orders)"""
 
 
 def _chapters(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(c) % 7 + 1).cast("int"))
-    return o.select((F.col("o_custkey") % 40).alias("book_id"), F.col("o_orderkey").alias("pos"), F.floor(F.col("o_orderkey") * 3 / 2).alias("start"), pick(_KINDS, "o_orderkey").alias("kind"), F.lower(pick(_TITLES, "o_custkey")).alias("norm"))
+    k = F.col("o_orderkey")
+    pick = lambda values, c: F.element_at(F.array(*[F.lit(v) for v in values]), (c % 7 + 1).cast("int"))
+    return o.select(F.col("o_custkey").alias("book_id"), k.alias("pos"), F.floor(k * 3 / 2).alias("start"), pick(_KINDS, k).alias("kind"), F.lower(pick(_TITLES, F.floor(k / 7))).alias("norm"))
 
 
 _OUT = ["book_id", "pos", "start", "kind"]
@@ -45,11 +46,11 @@ def drop_containers(spark, sf_dir):
     return C.drop_containers(_chapters(spark, sf_dir)).select(_OUT)
 
 
-@query("""WITH t AS (SELECT o_custkey % 40 AS book_id, o_orderkey % 4 AS depth, o_orderkey AS start FROM orders), g AS (SELECT *, start - lag(start) OVER (PARTITION BY book_id, depth ORDER BY start) AS gap FROM t), s AS (SELECT book_id, depth, count(*) AS n, coalesce(median(gap), 0) AS median_gap FROM g GROUP BY ALL HAVING count(*) >= 2),
+@query("""WITH t AS (SELECT o_custkey AS book_id, o_orderkey % 4 AS depth, o_orderkey AS start FROM orders), g AS (SELECT *, start - lag(start) OVER (PARTITION BY book_id, depth ORDER BY start) AS gap FROM t), s AS (SELECT book_id, depth, count(*) AS n, coalesce(median(gap), 0) AS median_gap FROM g GROUP BY ALL HAVING count(*) >= 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY n <= 1000 DESC, median_gap >= 5 DESC, n DESC, median_gap DESC, depth) AS k FROM s) SELECT book_id, depth, n, median_gap FROM r WHERE k = 1""")
 def toc_depths(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    return C.depth_choice(o.select((F.col("o_custkey") % 40).alias("book_id"), (F.col("o_orderkey") % 4).alias("depth"), F.col("o_orderkey").alias("start")))
+    return C.depth_choice(o.select(F.col("o_custkey").alias("book_id"), (F.col("o_orderkey") % 4).alias("depth"), F.col("o_orderkey").alias("start")))
 
 
 @query("""SELECT p_partkey, CASE WHEN size <= 0 THEN 'file_empty' WHEN size > 5242880 THEN 'file_too_large' WHEN mime NOT IN ('image/jpeg', 'image/png', 'image/webp') THEN 'unsupported_format' WHEN w IS NULL THEN 'decode_failed' WHEN w < 120 OR h < 160 THEN 'dimensions_too_small' END AS error
@@ -60,24 +61,24 @@ def cover_errors(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", C.cover_error(F.when(s == 1, 0).otherwise(F.col("p_retailprice") * 4000), mime, F.when(s != 7, s * 20), s * 10).alias("error"))
 
 
-@query("""WITH i AS (SELECT (l_orderkey % 20)::BIGINT AS book_id, 0 AS page, l_quantity AS chars, CASE WHEN l_orderkey % 20 < 7 AND l_linenumber < 7 THEN -pi() / 2 + 0.01 WHEN l_orderkey % 20 < 14 AND l_orderkey % 20 > 6 THEN pi() / 2 - 0.02 ELSE 0.0 END AS angle FROM lineitem),
+@query("""WITH i AS (SELECT l_suppkey AS book_id, 0 AS page, l_quantity AS chars, CASE WHEN l_suppkey % 20 < 7 AND l_linenumber < 7 THEN -pi() / 2 + 0.01 WHEN l_suppkey % 20 < 14 AND l_suppkey % 20 > 6 THEN pi() / 2 - 0.02 ELSE 0.0 END AS angle FROM lineitem),
 t AS (SELECT *, CASE WHEN abs(angle + pi() / 2) <= 0.13962634 THEN 90 WHEN abs(angle - pi() / 2) <= 0.13962634 THEN 270 END AS turn FROM i), s AS (SELECT book_id, page, turn, sum(chars) AS c, count(*) AS n FROM t GROUP BY ALL), p AS (SELECT book_id, page, sum(c) AS a FROM s GROUP BY ALL),
 b AS (SELECT *, row_number() OVER (PARTITION BY book_id, page ORDER BY c DESC, n DESC) AS k FROM s WHERE turn IS NOT NULL) SELECT p.book_id, p.page, CASE WHEN b.n >= 20 AND b.c >= 120 AND b.c / greatest(a, 1) >= 0.8 THEN turn END AS rotation FROM p LEFT JOIN b ON p.book_id = b.book_id AND k = 1""")
 def quarter_turns(spark, sf_dir):
-    k, pi = F.col("l_orderkey") % 20, F.pi()
+    k, pi = F.col("l_suppkey") % 20, F.pi()
     angle = F.when((k < 7) & (F.col("l_linenumber") < 7), -pi / 2 + 0.01).when((k < 14) & (k > 6), pi / 2 - 0.02).otherwise(0.0)
-    return C.quarter_turn(table(spark, sf_dir, "lineitem").select(k.alias("book_id"), F.lit(0).alias("page"), F.col("l_quantity").alias("chars"), angle.alias("angle")))
+    return C.quarter_turn(table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("book_id"), F.lit(0).alias("page"), F.col("l_quantity").alias("chars"), angle.alias("angle")))
 
 
-@query("""WITH v AS (SELECT c_nationkey AS lang, c_custkey AS "index", CASE c_custkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' ELSE 'unknown' END AS gender, (CASE WHEN c_custkey % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END + 1) AS score FROM customer),
+@query("""WITH v AS (SELECT c_custkey // 30 AS lang, c_custkey AS "index", CASE c_custkey % 3 WHEN 0 THEN 'female' WHEN 1 THEN 'male' ELSE 'unknown' END AS gender, (CASE WHEN c_custkey % 5 = 0 THEN 4 ELSE 0 END + CASE WHEN c_custkey % 2 = 0 THEN 2 ELSE 0 END + 1) AS score FROM customer),
 r AS (SELECT *, row_number() OVER (PARTITION BY lang, gender ORDER BY score DESC, "index") AS r FROM v), g AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN gender = 'female' AND r = 1 THEN 0 WHEN gender = 'male' AND r = 1 THEN 1 WHEN gender = 'unknown' THEN 2 WHEN gender = 'female' THEN 3 ELSE 4 END, r) AS n FROM r) SELECT lang, "index", score FROM g WHERE n <= 2""")
 def two_voices(spark, sf_dir):
     c = F.col("c_custkey")
     gender = F.when(c % 3 == 0, "female").when(c % 3 == 1, "male").otherwise("unknown")
-    return C.two_voices(table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("lang"), c.alias("index"), F.col("c_name").alias("name"), gender.alias("gender"), (c % 5 == 0).alias("is_default"), (c % 2 == 0).alias("local")))
+    return C.two_voices(table(spark, sf_dir, "customer").select(F.floor(c / 30).alias("lang"), c.alias("index"), F.col("c_name").alias("name"), gender.alias("gender"), (c % 5 == 0).alias("is_default"), (c % 2 == 0).alias("local")))
 
 
-@query(f"""WITH {_LIST.replace('o_orderkey * 3 // 2 AS start', 'CASE WHEN o_orderkey % 211 = 0 THEN 1 ELSE o_orderkey END AS start').replace("lower(([", "(([").replace("AS norm FROM orders", "AS norm FROM orders")}, a AS (SELECT *, coalesce(lag(start) OVER (PARTITION BY book_id ORDER BY pos), 0) AS prev FROM ls), b AS (SELECT *, sum((start <= prev)::INT) OVER (PARTITION BY book_id ORDER BY pos) AS falls FROM a),
+@query(f"""WITH ls AS (SELECT o_custkey AS book_id, o_orderkey AS pos, CASE WHEN o_orderkey % 211 = 0 THEN 1 ELSE o_orderkey END AS start FROM orders), a AS (SELECT *, coalesce(lag(start) OVER (PARTITION BY book_id ORDER BY pos), 0) AS prev FROM ls), b AS (SELECT *, sum((start <= prev)::INT) OVER (PARTITION BY book_id ORDER BY pos) AS falls FROM a),
 f AS (SELECT book_id, max(falls) AS f, count(*) FILTER (falls = 0 AND (start < 1 OR start > 1400)) AS o FROM b GROUP BY book_id) SELECT book_id, concat_ws(',', CASE WHEN f > 0 THEN 'non-monotonic-starts' END, CASE WHEN o > 0 THEN 'invalid-start-id' END) AS issues, CASE WHEN f > 0 OR o > 0 THEN 'flagged' ELSE 'ok' END AS status FROM f""")
 def chapter_audits(spark, sf_dir):
     at = _chapters(spark, sf_dir).withColumn("start", F.when(F.col("pos") % 211 == 0, 1).otherwise(F.col("pos")))

@@ -41,8 +41,10 @@ def diagnostics_by_bucket(spark, sf_dir):
 
 @query(f"WITH {FACTS}, v AS (SELECT doc_id, NOT EXISTS (SELECT 1 FROM dx WHERE dx.doc_id = d.doc_id AND severity = 'failure') AS pass FROM documents d) SELECT quality, pass, count(*) AS books FROM v JOIN labels USING (doc_id) GROUP BY ALL")
 def quality_vs_label(spark, sf_dir):
-    v = V.verdicts(table(spark, sf_dir, "documents"), diagnostics(spark, sf_dir))
-    return v.join(table(spark, sf_dir, "labels"), "doc_id").groupBy("quality", "pass").agg(F.count("*").alias("books"))
+    labels = table(spark, sf_dir, "labels")
+    labelled = table(spark, sf_dir, "documents").join(labels, "doc_id", "left_semi")  # only these are diagnosed
+    v = V.verdicts(labelled, V.text_diagnostics(V.text_facts(labelled)))
+    return v.join(labels, "doc_id").groupBy("quality", "pass").agg(F.count("*").alias("books"))
 
 
 @query(f"WITH {FACTS}, v AS (SELECT doc_id, lang, NOT EXISTS (SELECT 1 FROM dx WHERE dx.doc_id = d.doc_id AND severity = 'failure') AS pass FROM documents d) SELECT lang, count(*) AS total, count(*) FILTER (pass) AS passed, count(*) FILTER (NOT pass) AS failed, count(*) FILTER (pass) / count(*) * 100 AS pass_rate FROM v GROUP BY lang")
@@ -63,7 +65,7 @@ def eval_percentiles(spark, sf_dir):
     return d.groupBy("lang").agg(E.nearest_rank("n_chars", 0.5).cast("long").alias("p50"), E.nearest_rank("n_chars", 0.95).cast("long").alias("p95"), F.count_if(F.col("n_chars") > 5000).alias("over_target"))
 
 
-@query(f"""WITH {Q.PREFIXED}, ch AS (SELECT doc_id, paragraph_id AS chapter_index, substring(text, 1, 30) AS title, CASE WHEN paragraph_id % 5 = 0 THEN paragraph_id - 4 ELSE paragraph_id END AS s FROM w WHERE paragraph_id % 2 = 1),
+@query(f"""WITH {Q.PREFIXED}, ch AS (SELECT doc_id, paragraph_id AS chapter_index, text AS title, CASE WHEN paragraph_id % 5 = 0 THEN paragraph_id - 4 ELSE paragraph_id END AS s FROM w),
 n AS (SELECT doc_id, count(*) AS paragraphs FROM w GROUP BY doc_id), l AS (SELECT ch.*, paragraphs, coalesce(lag(s) OVER (PARTITION BY ch.doc_id ORDER BY chapter_index), 0) AS prev FROM ch JOIN n USING (doc_id)),
 f AS (SELECT doc_id, count(*) FILTER (NOT (length(trim(title)) BETWEEN 1 AND 240 AND regexp_matches(title, '[\\p{{L}}\\p{{N}}]'))) AS nonsense, count(*) FILTER (s < 1 OR s > paragraphs OR s < prev) AS invalid, count(*) AS n, count(DISTINCT s) AS starts FROM l GROUP BY doc_id)
 SELECT doc_id, 'Chapter list contains ' || nonsense || ' nonsense titles and ' || invalid || ' invalid starts.' AS message FROM f WHERE nonsense > 0 OR invalid > 0
@@ -71,7 +73,7 @@ UNION ALL SELECT doc_id, 'Chapter entries collapse to too few distinct paragraph
 def chapter_diagnostics(spark, sf_dir):
     p = paras(spark, sf_dir)
     start = F.when(F.col("paragraph_id") % 5 == 0, F.col("paragraph_id") - 4).otherwise(F.col("paragraph_id"))
-    chapters = p.where("paragraph_id % 2 = 1").select("doc_id", F.col("paragraph_id").alias("chapter_index"), F.substring("text", 1, 30).alias("title"), start.alias("start_paragraph_id"))
+    chapters = p.select("doc_id", F.col("paragraph_id").alias("chapter_index"), F.col("text").alias("title"), start.alias("start_paragraph_id"))
     return V.chapter_diagnostics(chapters, p.groupBy("doc_id").agg(F.count("*").alias("paragraphs"))).select("doc_id", "message")
 
 
@@ -136,14 +138,14 @@ def error_buckets(spark, sf_dir):
 
 
 @query(f"""WITH {Q.PARAGRAPHS}, {Q.CHAPTERS}, b AS (SELECT doc_id, paragraph_id, text, CASE paragraph_id % 3 WHEN 0 THEN 'text-ornament' ELSE 'css' END AS source, lag(text) OVER (PARTITION BY doc_id ORDER BY paragraph_id) AS before FROM p),
-r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id) AS n FROM b WHERE paragraph_id % 4 = 0)
+r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY paragraph_id) AS n FROM b WHERE length(text) < 200)
 SELECT doc_id, n::INTEGER AS sample, source, substring(before, 1, 180) AS before, substring(text, 1, 180) AS after FROM r WHERE n <= 5""")
 def audit_samples(spark, sf_dir):
     """The first five scene breaks of each book with the text on both sides."""
     from pyspark.sql import Window
 
     w = Window.partitionBy("doc_id").orderBy("paragraph_id")
-    b = paras(spark, sf_dir).withColumn("before", F.lag("text").over(w)).where("paragraph_id % 4 = 0").withColumn("n", F.row_number().over(w)).where("n <= 5")
+    b = paras(spark, sf_dir).withColumn("before", F.lag("text").over(w)).where(F.length("text") < 200).withColumn("n", F.row_number().over(w)).where("n <= 5")
     return b.select("doc_id", F.col("n").alias("sample"), F.when(F.col("paragraph_id") % 3 == 0, "text-ornament").otherwise("css").alias("source"), T.excerpt("before").alias("before"), T.excerpt("text").alias("after"))
 
 
@@ -178,3 +180,31 @@ def repeated_furniture(spark, sf_dir):
     at = F.col("paragraph_id") - 1
     lines = paras(spark, sf_dir).select("doc_id", (F.floor(at / 10) + 1).cast("int").alias("page"), F.col("paragraph_id").alias("line_order"), "text", (at % 10 * 10 + 5).alias("baseline"), F.lit(100).alias("height"))
     return G.without_furniture(lines, "doc_id").select("doc_id", "page", "line_order")
+
+
+_BOOK = f"""l AS (SELECT doc_id, generate_subscripts(s, 1) - 1 AS place, unnest(s) AS raw FROM (SELECT doc_id, string_split(text, chr(10)) AS s FROM documents)),
+t AS (SELECT *, place + 1 + (length(raw) % 97 = 50)::INT AS id, length(raw) % 3 = 0 AS scene, {Q.norm('raw')} AS text FROM l),
+m AS (SELECT doc_id, count(*) AS n, sum(len({Q.tokens('raw')})) AS words, sum({Q.letters('raw')}) AS letters, sum(length(raw) + 1) - 1 AS chars, sum(length(regexp_replace(raw, '[^\\x{{FFFD}}\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'))) AS bad, max(len({Q.tokens('raw')})) AS largest, count(*) FILTER (text = '') AS empty,
+  count(*) FILTER (NOT regexp_matches(text, '[\\p{{L}}\\p{{N}}]') AND {Q.ornaments('text')} >= 3) AS orn, count(*) FILTER (scene) AS breaks, count(*) FILTER (scene AND id <= 1) AS badly, min(place) FILTER (id <> place + 1) AS first, arg_min(id, place) FILTER (id <> place + 1) AS got FROM t GROUP BY doc_id),
+c AS (SELECT doc_id, place, raw AS title, place + 1 AS s FROM t WHERE length(raw) < 90), cl AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY doc_id ORDER BY place), 0) AS prev FROM c),
+cf AS (SELECT m.doc_id, count(s) AS n, count(*) FILTER (s IS NOT NULL AND NOT (length({Q.norm('title')}) BETWEEN 1 AND 240 AND regexp_matches({Q.norm('title')}, '[\\p{{L}}\\p{{N}}]'))) AS nonsense, count(*) FILTER (s < 1 OR s > m.n OR s < prev) AS invalid FROM m LEFT JOIN cl USING (doc_id) GROUP BY m.doc_id),
+dg AS (SELECT doc_id, 'unusable_text' AS code, 'Only ' || words || ' words of usable text were extracted.' AS message FROM m WHERE NOT (words >= 50 AND letters >= 150) UNION ALL SELECT doc_id, 'garbled_text', 'Extracted text contains too many decoding/control characters.' FROM m WHERE chars > 0 AND bad / chars > 0.002
+  UNION ALL SELECT doc_id, 'collapsed_paragraphs', 'Paragraph boundaries collapsed: largest paragraph has ' || largest || ' of ' || words || ' words.' FROM m WHERE words >= 1000 AND (n = 1 OR largest > 5000 OR largest / words > 0.9) UNION ALL SELECT doc_id, 'empty_paragraphs', empty || ' empty paragraphs were emitted.' FROM m WHERE empty > 0
+  UNION ALL SELECT doc_id, 'bad_paragraph_ids', 'Paragraph index ' || first || ' has id ' || got || '; expected ' || (first + 1) || '.' FROM m WHERE first IS NOT NULL UNION ALL SELECT doc_id, 'bad_paragraph_ids', badly || ' scene breaks are not anchored between real paragraphs.' FROM m WHERE badly > 0
+  UNION ALL SELECT doc_id, 'ornament_junk', CASE WHEN orn >= 20 AND orn / n > 0.02 THEN orn || ' isolated scene ornaments leaked into readable paragraphs.' ELSE orn || ' isolated ornament paragraph' || CASE WHEN orn = 1 THEN '' ELSE 's' END || ' should be manually reviewed.' END FROM m WHERE orn > 0
+  UNION ALL SELECT doc_id, 'scene_break_density', 'Scene-boundary density is implausible: ' || breaks || ' breaks across ' || n || ' paragraphs.' FROM m WHERE breaks > 20 AND breaks / n > 0.35
+  UNION ALL SELECT doc_id, 'weak_chapters', 'No chapter/navigation entry was extracted.' FROM cf WHERE n = 0 UNION ALL SELECT doc_id, 'weak_chapters', 'Chapter list contains ' || nonsense || ' nonsense titles and ' || invalid || ' invalid starts.' FROM cf WHERE nonsense > 0 OR invalid > 0
+  UNION ALL SELECT doc_id, 'cover_missing', 'No reasonable library cover was found.' FROM m WHERE n % 2 = 0 UNION ALL SELECT doc_id, 'timeout', 'Parsing took ' || n * 1000 || ' ms, exceeding the 30-second ceiling.' FROM m WHERE n > 30
+  UNION ALL SELECT doc_id, 'images_undeclared', n || ' image resources were declared but no in-book image was anchored.' FROM m WHERE n >= 3)"""
+
+
+@query(f"WITH {_BOOK} SELECT doc_id, code, message FROM dg")
+def validated_books(spark, sf_dir):
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "text"))
+    n = F.length("text")
+    paragraphs = lines.select("doc_id", "place", (F.col("place") + 1 + (n % 97 == 50).cast("int")).alias("id"), "text", F.when(n % 3 == 0, "rule").alias("scene"))
+    count = lines.groupBy("doc_id").agg(F.count("*").alias("n"))
+    books = count.select("doc_id", F.lit("epub").alias("format"), F.col("n").alias("declared"), F.when(F.col("n") % 2 == 1, "c.png").alias("cover_src"), (F.col("n") * 1000).cast("double").alias("total_ms"), F.lit(True).alias("totals_ok"))
+    chapters = lines.where(n < 90).select("doc_id", F.col("place").alias("chapter_index"), F.col("text").alias("title"), (F.col("place") + 1).alias("start_paragraph_id"))
+    images = lines.where(n < 0).select("doc_id", F.col("place").alias("image_index"), F.col("place").alias("after_paragraph_id"), F.col("text").alias("src"))
+    return V.validate_books(paragraphs, chapters, images, books).select("doc_id", "code", "message")

@@ -196,12 +196,12 @@ def resumed_positions(spark, sf_dir):
     return R.resumed(progress, paras(spark, sf_dir).select(F.col("doc_id").alias("book_id"), "paragraph_id"), table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id")))
 
 
-@query("""WITH f AS (SELECT p_partkey AS id, 'new' AS status, p_size AS v FROM part WHERE p_partkey % 2 = 0), k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'downloaded' ELSE 'old' END AS status, p_size + 1 AS v FROM part WHERE p_partkey % 5 < 3)
+@query("""WITH f AS (SELECT p_partkey AS id, 'new' AS status, p_size AS v FROM part WHERE p_size <= 30), k AS (SELECT p_partkey AS id, CASE WHEN p_partkey % 3 = 0 THEN 'downloaded' ELSE 'old' END AS status, p_size + 1 AS v FROM part WHERE p_size >= 10)
 SELECT coalesce(f.id, k.id) AS id, CASE WHEN k.status = 'downloaded' THEN k.status ELSE coalesce(f.status, k.status) END AS status, CASE WHEN k.status = 'downloaded' THEN k.v ELSE coalesce(f.v, k.v) END AS v FROM f FULL JOIN k ON f.id = k.id""")
 def manifest_merge(spark, sf_dir):
     p = table(spark, sf_dir, "part")
-    found = p.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("id"), F.lit("new").alias("status"), F.col("p_size").alias("v"))
-    known = p.where("p_partkey % 5 < 3").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "downloaded").otherwise("old").alias("status"), (F.col("p_size") + 1).alias("v"))
+    found = p.where("p_size <= 30").select(F.col("p_partkey").alias("id"), F.lit("new").alias("status"), F.col("p_size").alias("v"))
+    known = p.where("p_size >= 10").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 3 == 0, "downloaded").otherwise("old").alias("status"), (F.col("p_size") + 1).alias("v"))
     return R.manifest_merge(found, known)
 
 

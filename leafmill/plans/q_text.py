@@ -165,14 +165,14 @@ def duplicate_headings(spark, sf_dir):
     return P.duplicate_headings(p, M.chapters_every(p))
 
 
-@query(f"""WITH {Q.PARAGRAPHS}, n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id), x AS (SELECT doc_id, paragraph_id AS pos, substring(text, 1, 24) AS title, (paragraph_id * 2 - 3)::INTEGER AS s FROM p),
+@query(f"""WITH {Q.PARAGRAPHS}, n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id), x AS (SELECT doc_id, paragraph_id AS pos, text AS title, (paragraph_id * 2 - 3)::INTEGER AS s FROM p),
 k AS (SELECT doc_id, pos, {Q.norm('title')} AS title, greatest(1, least(greatest(n, 1), s))::INTEGER AS start_paragraph_id FROM x JOIN n USING (doc_id)),
 f AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(title), start_paragraph_id ORDER BY pos) AS r FROM k WHERE length(title) BETWEEN 1 AND 240), q AS (SELECT *, {Q.nav_kind('title')} AS kind FROM f WHERE r = 1)
 SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start_paragraph_id, CASE kind WHEN 'frontmatter' THEN 0 WHEN 'part' THEN 1 WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'scene' THEN 4 ELSE 5 END, pos) - 1)::INTEGER AS chapter_index,
   title, start_paragraph_id, kind, (CASE kind WHEN 'chapter' THEN 2 WHEN 'section' THEN 3 WHEN 'scene' THEN 4 ELSE 1 END)::INTEGER AS level FROM q""")
 def dedup_chapters(spark, sf_dir):
     p = paras(spark, sf_dir)
-    chapters = p.select("doc_id", F.col("paragraph_id").alias("pos"), F.substring("text", 1, 24).alias("title"), (F.col("paragraph_id") * 2 - 3).alias("start_paragraph_id"))
+    chapters = p.select("doc_id", F.col("paragraph_id").alias("pos"), F.col("text").alias("title"), (F.col("paragraph_id") * 2 - 3).alias("start_paragraph_id"))
     return M.dedup_chapters(chapters, p.groupBy("doc_id").agg(F.count("*").cast("int").alias("paragraphs")), "doc_id")
 
 
