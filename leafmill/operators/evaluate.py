@@ -23,6 +23,36 @@ def buckets(diagnostics: DataFrame, key: str = "doc_id") -> DataFrame:
     return F.broadcast(every).join(counted, "bucket", "left").na.fill(0)
 
 
+def top_failures(diagnostics: DataFrame, most: int = 3, key: str = "doc_id") -> DataFrame:
+    """(rank, bucket, books, line): the buckets in which most books fail, as lines of a report; a table of a row a bucket is ranked, equal ones in the order of the buckets."""
+    from pyspark.sql import Window
+
+    order = F.array_position(F.array(*[F.lit(b) for b in S.BUCKETS]), F.col("bucket"))
+    failed = buckets(diagnostics, key).where("failures > 0").select("bucket", F.col("failures").alias("books"), order.alias("at"))
+    ranked = failed.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("books"), "at"))).where(F.col("rank") <= most)
+    line = F.concat("bucket", F.lit(": "), F.col("books").cast("string"), F.when(F.col("books") == 1, " failed book.").otherwise(" failed books."))
+    return ranked.select("rank", "bucket", "books", line.alias("line"))
+
+
+#: Why an item is in the corpus, the most telling first.
+REASONS = ("golden-reference", "curated-popular", "harvest-variety")
+
+
+def corpus_selection(items: DataFrame, n: int, baseline: str | None = None) -> DataFrame:
+    """(format, rank, id): of each format the first ``n`` items in the order of the corpus: the baseline, then by reason, then by a hash of the id, so that a selection is varied and stays as it is.
+
+    ``items``: id, remote_id, format, reason. ``n`` up to 1,000 lets tasks drop the rest before rows are exchanged.
+    """
+    from pyspark.sql import Window
+
+    from leafmill.functions import text as T
+
+    first = F.when(F.col("remote_id") == F.lit(baseline), 0).otherwise(1)
+    reason = F.when(F.array_position(F.array(*[F.lit(r) for r in REASONS[:2]]), F.col("reason")) > 0, F.array_position(F.array(*[F.lit(r) for r in REASONS[:2]]), F.col("reason")) - 1).otherwise(2)
+    w = Window.partitionBy("format").orderBy(first, reason, T.fnv1a("id"), "id")
+    return items.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n).select("format", "rank", "id")
+
+
 def nearest_rank(c: str | Column, p: float) -> Column:
     """The element of rank ceil(n * p)."""
     name = c if isinstance(c, str) else c._jc.toString()

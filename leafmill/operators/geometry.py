@@ -265,29 +265,30 @@ def edge_signature(text: Column) -> Column:
     """What repeats from page to page: page numbers as one, structural headings as they are, digits as ``#`` from three words on."""
     t = F.lower(T.normalize_text(text))
     return (
-        F.when(t.rlike(r"^(?:[0-9]+|[ivxlcdm]+)\z"), "<page-number>")
+        F.when(t.rlike(r"^(?:\p{N}+|[ivxlcdm]+)\z"), "<page-number>")
         .when(t.rlike(r"^(?:chapter|part|book|section)(?:[^a-z0-9_]|\z)"), t)
-        .when(F.size(F.split(t, " ")) >= 3, F.regexp_replace(t, "[0-9]+", "#"))
+        .when(F.size(F.split(t, " ")) >= 3, F.regexp_replace(t, r"\p{N}+", "#"))
         .otherwise(t)
     )
 
 
-def without_furniture(lines: DataFrame, key: str = "book_id") -> DataFrame:
+def without_furniture(lines: DataFrame, key: str = "book_id", every_page: DataFrame | None = None) -> DataFrame:
     """The lines of pages without what clearly is furniture, and without what recurs at their edges.
 
     Clear: a footer line of legal matter with all that is below it, and a header line with leaders. Recurring: an edge line
     of at most 180 characters whose signature is at that edge on three pages or more, and on 35 % of the pages, or 60 %
-    of the odd or of the even ones where there are three of these. ``lines``: key, page, text, baseline, height and others.
+    of the odd or of the even ones where there are three of these. ``lines``: key, page, text, baseline, height and others; ``every_page``: key, page, where
+    there are pages without lines, which count among the pages.
     """
     legal = F.col("text").rlike(r"(?i)^(?:©|copyright(?![A-Za-z0-9_])|doi(?![A-Za-z0-9_]))")
     placed = lines.withColumn("__edge", page_edge(F.col("baseline"), F.col("height")))
     footer, header = F.coalesce(F.col("__edge") == "footer", F.lit(False)), F.coalesce(F.col("__edge") == "header", F.lit(False))
     of_page = Window.partitionBy(key, "page")
     cut = F.min(F.when(footer & legal, F.col("baseline"))).over(of_page)
-    clear = placed.withColumn("__cut", cut).where((F.col("__cut").isNull() | (F.col("baseline") < F.col("__cut") - 1)) & ~(footer & legal) & ~(header & F.col("text").rlike(r"…+\s*[0-9]{1,4}\z")))
+    clear = placed.withColumn("__cut", cut).where((F.col("__cut").isNull() | (F.col("baseline") < F.col("__cut") - 1)) & ~(footer & legal) & ~(header & F.col("text").rlike(r"…+\s*\p{N}{1,4}\z")))
     signed = clear.withColumn("__sig", edge_signature(F.col("text")))
     parity = lambda n: F.count_distinct(F.when(F.col("page") % 2 == n, F.col("page")))
-    pages = lines.groupBy(key).agg(parity(1).alias("odd"), parity(0).alias("even"))
+    pages = (lines if every_page is None else every_page).groupBy(key).agg(parity(1).alias("odd"), parity(0).alias("even"))
     seen = signed.where(F.col("__edge").isNotNull() & (F.length("text") <= 180)).groupBy(key, "__edge", "__sig").agg(parity(1).alias("on_odd"), parity(0).alias("on_even"))
     both, all_pages = F.col("on_odd") + F.col("on_even"), F.col("odd") + F.col("even")
     share = lambda part, whole: (F.col(whole) >= 3) & (F.col(part) / F.col(whole) >= 0.6)

@@ -63,6 +63,11 @@ def set_status(books: DataFrame, changes: DataFrame) -> DataFrame:
     return patched(books, changes.withColumn("given", given), ["id"], ["created_at"], "given")
 
 
+def refused_statuses(books: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changes that ``set_status`` cannot apply, as their book does not exist."""
+    return changes.join(books.select("id"), "id", "left_anti")
+
+
 def set_book_and_job_status(books: DataFrame, jobs: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(books, jobs, refused changes): a change applies to its book and its job together, or, where either is missing, to neither.
 
@@ -249,6 +254,15 @@ def batch_summary(tracked: DataFrame, outcomes: DataFrame) -> DataFrame:
     return j.agg(F.count_if(done).alias("ok"), F.count_if(done & F.coalesce(F.col("issues") > 0, F.lit(False))).alias("with_issues"), F.count_if(F.col("state") == "failed").alias("failed"), F.count_if(F.col("state") == "canceled").alias("canceled"), F.sum("size_bytes").alias("bytes"))
 
 
+def import_snapshot(books: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """(book_id, status, error, warnings) of all imports: stored books, and ended ones whose book is gone.
+
+    ``books``: id, processing_status, processing_error, processing_warnings; ``outcomes``: book_id, status, error, warnings.
+    """
+    stored = books.select(F.col("id").alias("book_id"), F.col("processing_status").alias("status"), F.col("processing_error").alias("error"), F.col("processing_warnings").alias("warnings"))
+    return stored.unionByName(outcomes.select("book_id", "status", "error", "warnings").join(stored.select("book_id"), "book_id", "left_anti"))
+
+
 def manifest_merge(found: DataFrame, known: DataFrame, key: str = "id") -> DataFrame:
     """Discovered and known items together; downloaded ones are immutable, others take what was discovered."""
     cols = [c for c in found.columns if c != key]

@@ -60,6 +60,26 @@ def speech_chunks(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "
     return made.select(key, "paragraph_id", F.posexplode("made").alias("chunk", "c")).select(key, "paragraph_id", "chunk", "c.text", "c.n_words")
 
 
+def spoken_plan(paras: DataFrame, starts: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "doc_id") -> DataFrame:
+    """What is spoken from a position on: (key, paragraph_id, chunk, text, start_word, n_words, pause_before_ms, ranges).
+
+    ``paras``: key, paragraph_id, text, pause_ms (before the paragraph); ``starts``: key, paragraph_id, word_index; a paragraph that the book lacks counts as its first. A chunk never crosses paragraphs; the
+    first chunk of each paragraph but the one where speech starts waits for the pause. ``ranges`` holds the characters of each word in its chunk.
+    """
+    where = starts.select(key, F.col("paragraph_id").alias("__at"), F.col("word_index").alias("__word"))
+    found = paras.join(where, key).groupBy(key).agg(F.max(F.when(F.col("paragraph_id") == F.col("__at"), F.col("paragraph_id"))).alias("__known"), F.min("paragraph_id").alias("__first"), F.max("__word").alias("__word"))
+    begin = found.select(key, F.coalesce("__known", "__first").alias("__begin"), F.greatest(F.lit(0), F.col("__word")).cast("int").alias("__word"))
+    ahead = paras.join(begin, key).where("paragraph_id >= __begin").withColumn("__skip", F.when(F.col("paragraph_id") == F.col("__begin"), F.col("__word")).otherwise(0))
+    tokens = ahead.withColumn("__tokens", T.tokenize("text"))
+    tokens = tokens.where(F.size("__tokens") > F.col("__skip")).withColumn("__rows", packed(F.slice("__tokens", F.col("__skip") + 1, F.size("__tokens")), limit))
+    numbered = F.transform("__rows", lambda r, i: F.struct(r["chunk"].alias("chunk"), r["start"].alias("start"), r["end"].alias("end"), r["word"].alias("word"), (i + F.col("__skip")).alias("word_index")))
+    chunks = F.transform(F.sequence(F.lit(0), F.element_at("__rows", -1)["chunk"]), lambda c: F.filter("__numbered", lambda r: r["chunk"] == c))
+    each = tokens.withColumn("__numbered", numbered).select(key, "paragraph_id", "pause_ms", "__begin", F.posexplode(chunks).alias("chunk", "__c"))
+    pause = F.when((F.col("chunk") == 0) & (F.col("paragraph_id") > F.col("__begin")), F.col("pause_ms")).otherwise(0)
+    ranges = F.transform("__c", lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), r["word_index"].alias("word_index")))
+    return each.select(key, "paragraph_id", "chunk", F.array_join(F.transform("__c", lambda r: r["word"]), " ").alias("text"), F.get("__c", F.lit(0))["word_index"].alias("start_word"), F.size("__c").alias("n_words"), pause.alias("pause_before_ms"), ranges.alias("ranges"))
+
+
 def char_to_word(ranges: DataFrame, offsets: DataFrame, keys: list[str]) -> DataFrame:
     """The word at a character, or the last one before it in a gap, or the first one.
 

@@ -163,14 +163,14 @@ def status_sequences(spark, sf_dir):
 
 
 
-_LEGAL, _LEADER = "^(?:©|copyright\\b|doi\\b)", "…+\\s*[0-9]{1,4}$"
+_LEGAL, _LEADER = "^(?:©|copyright\\b|doi\\b)", "…+\\s*\\p{N}{1,4}$"
 
 
 @query(rf"""WITH {Q.PARAGRAPHS}, ln AS (SELECT doc_id, (paragraph_id - 1) // 10 + 1 AS page, paragraph_id AS line_order, text, (paragraph_id - 1) % 10 * 10 + 5 AS baseline FROM p),
 ed AS (SELECT *, CASE WHEN baseline <= 15 THEN 'header' WHEN baseline >= 85 THEN 'footer' END AS edge FROM ln),
 ft AS (SELECT doc_id, page, min(baseline) AS cut FROM ed WHERE edge = 'footer' AND regexp_matches(text, '{_LEGAL}', 'i') GROUP BY ALL),
 cl AS (SELECT ed.* FROM ed LEFT JOIN ft USING (doc_id, page) WHERE (cut IS NULL OR baseline < cut - 1) AND NOT (coalesce(edge, '') = 'footer' AND regexp_matches(text, '{_LEGAL}', 'i')) AND NOT (coalesce(edge, '') = 'header' AND regexp_matches(text, '{_LEADER}'))),
-sg AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:[0-9]+|[ivxlcdm]+)$') THEN '<page-number>' WHEN regexp_matches(t, '^(?:chapter|part|book|section)(?:[^a-z0-9_]|$)') THEN t WHEN len(string_split(t, ' ')) >= 3 THEN regexp_replace(t, '[0-9]+', '#', 'g') ELSE t END AS sig FROM (SELECT *, lower(text) AS t FROM cl)),
+sg AS (SELECT *, CASE WHEN regexp_matches(t, '^(?:\p{{N}}+|[ivxlcdm]+)$') THEN '<page-number>' WHEN regexp_matches(t, '^(?:chapter|part|book|section)(?:[^a-z0-9_]|$)') THEN t WHEN len(string_split(t, ' ')) >= 3 THEN regexp_replace(t, '\p{{N}}+', '#', 'g') ELSE t END AS sig FROM (SELECT *, lower(text) AS t FROM cl)),
 pg AS (SELECT doc_id, count(DISTINCT page) AS n, count(DISTINCT page) FILTER (page % 2 = 1) AS odd FROM ln GROUP BY doc_id),
 oc AS (SELECT doc_id, edge, sig, count(DISTINCT page) AS n, count(DISTINCT page) FILTER (page % 2 = 1) AS odd FROM sg WHERE edge IS NOT NULL AND length(text) <= 180 GROUP BY ALL),
 rp AS (SELECT oc.doc_id, edge, sig FROM oc JOIN pg USING (doc_id) WHERE oc.n >= 3 AND (oc.n / pg.n >= 0.35 OR (pg.odd >= 3 AND oc.odd / pg.odd >= 0.6) OR (pg.n - pg.odd >= 3 AND (oc.n - oc.odd) / (pg.n - pg.odd) >= 0.6)))
@@ -208,3 +208,20 @@ def validated_books(spark, sf_dir):
     chapters = lines.where(n < 90).select("doc_id", F.col("place").alias("chapter_index"), F.col("text").alias("title"), (F.col("place") + 1).alias("start_paragraph_id"))
     images = lines.where(n < 0).select("doc_id", F.col("place").alias("image_index"), F.col("place").alias("after_paragraph_id"), F.col("text").alias("src"))
     return V.validate_books(paragraphs, chapters, images, books).select("doc_id", "code", "message")
+
+
+@query(f"""WITH {FACTS}, b AS (SELECT bucket, count(DISTINCT doc_id) AS books FROM dx WHERE severity = 'failure' GROUP BY bucket), r AS (SELECT *, row_number() OVER (ORDER BY books DESC, list_position([{', '.join(repr(x) for x in S.BUCKETS)}], bucket))::INTEGER AS rank FROM b)
+SELECT rank, bucket, books, bucket || ': ' || books || CASE WHEN books = 1 THEN ' failed book.' ELSE ' failed books.' END AS line FROM r WHERE rank <= 3""")
+def top_failures(spark, sf_dir):
+    return E.top_failures(diagnostics(spark, sf_dir))
+
+
+@query("""WITH i AS (SELECT p_name || p_partkey AS id, p_partkey::VARCHAR AS remote_id, CASE WHEN p_size < 25 THEN 'epub' ELSE 'pdf' END AS format, CASE WHEN p_size % 7 = 0 THEN 'golden-reference' WHEN p_size % 5 = 0 THEN 'curated-popular' ELSE 'harvest-variety' END AS reason FROM part),
+h AS (SELECT *, list_reduce(list_prepend(2166136261::BIGINT, list_transform(range(1, length(id) + 1), lambda k: ascii(substr(id, k::INT, 1))::BIGINT)), lambda a, c: (xor(a, c) * 16777619) % 4294967296) AS h FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY format ORDER BY remote_id <> '77', CASE reason WHEN 'golden-reference' THEN 0 WHEN 'curated-popular' THEN 1 ELSE 2 END, h, id)::INTEGER AS rank FROM h) SELECT format, rank, id FROM r WHERE rank <= 200""")
+def corpus_selection(spark, sf_dir):
+    """The first 200 items of each format: a report of a fixed size."""
+    size = F.col("p_size")
+    reason = F.when(size % 7 == 0, "golden-reference").when(size % 5 == 0, "curated-popular").otherwise("harvest-variety")
+    items = table(spark, sf_dir, "part").select(F.concat("p_name", F.col("p_partkey").cast("string")).alias("id"), F.col("p_partkey").cast("string").alias("remote_id"), F.when(size < 25, "epub").otherwise("pdf").alias("format"), reason.alias("reason"))
+    return E.corpus_selection(items, 200, "77")

@@ -97,6 +97,19 @@ def speech_chunks(spark, sf_dir):
     return chunks.select("doc_id", "paragraph_id", "chunk", "n_words", F.length("text").alias("n_chars"))
 
 
+@query(f"""WITH RECURSIVE {Q.PARAGRAPHS}, n AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id), st AS (SELECT doc_id, CASE WHEN n % 5 = 0 OR n < 2 THEN 1 ELSE 2 END AS b, n % 7 AS w FROM n),
+tk AS (SELECT doc_id, paragraph_id, b, length(text) AS pause, CASE WHEN paragraph_id = b THEN w ELSE 0 END AS skip, ({Q.tokens('text')})[CASE WHEN paragraph_id = b THEN w ELSE 0 END + 1:] AS l FROM p JOIN st USING (doc_id) WHERE paragraph_id >= b),
+g AS (SELECT doc_id, paragraph_id, b, pause, skip, l, 1 AS i, 0 AS chunk, length(l[1]) AS cur FROM tk WHERE len(l) > 0
+  UNION ALL SELECT doc_id, paragraph_id, b, pause, skip, l, i + 1, chunk + (CASE WHEN cur + 1 + length(l[i + 1]) > 1800 THEN 1 ELSE 0 END), CASE WHEN cur + 1 + length(l[i + 1]) > 1800 THEN length(l[i + 1]) ELSE cur + 1 + length(l[i + 1]) END FROM g WHERE i < len(l))
+SELECT doc_id, paragraph_id, chunk::INTEGER AS chunk, string_agg(l[i], ' ' ORDER BY i) AS text, (min(i) - 1 + any_value(skip))::INTEGER AS start_word, count(*)::INTEGER AS n_words, CASE WHEN chunk = 0 AND paragraph_id > any_value(b) THEN any_value(pause) ELSE 0 END::INTEGER AS pause_before_ms, max(cur)::INTEGER AS last_end FROM g GROUP BY doc_id, paragraph_id, chunk""")
+def spoken_plans(spark, sf_dir):
+    p = paras(spark, sf_dir).withColumn("pause_ms", F.length("text"))
+    n = p.groupBy("doc_id").agg(F.count("*").alias("n"))
+    starts = n.select("doc_id", F.when(F.col("n") % 5 == 0, 1_000_000).otherwise(2).alias("paragraph_id"), (F.col("n") % 7).alias("word_index"))
+    plan = speech.spoken_plan(p, starts)
+    return plan.withColumn("last_end", F.element_at("ranges", -1)["end"]).drop("ranges")
+
+
 @query(f"""WITH {Q.PARAGRAPHS}, tk AS (SELECT doc_id, paragraph_id, {Q.tokens('text')} AS l FROM p), r AS (SELECT doc_id, paragraph_id, (generate_subscripts(l, 1) - 1)::INTEGER AS word_index, unnest(l) AS word FROM tk),
 o AS (SELECT *, (sum(length(word) + 1) OVER (PARTITION BY doc_id, paragraph_id ORDER BY word_index ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - length(word) - 1)::INTEGER AS s FROM r),
 q AS (SELECT doc_id, paragraph_id, unnest([0, 10, 37, 100])::INTEGER AS "offset" FROM tk WHERE len(l) > 0)

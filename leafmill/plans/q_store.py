@@ -108,6 +108,22 @@ def set_status(spark, sf_dir):
     return R.set_status(books, changes)
 
 
+@query("""SELECT c_custkey + CASE WHEN c_acctbal < 0 THEN 100000000 ELSE 0 END AS id, 'failed' AS processing_status FROM customer WHERE c_acctbal < 0""")
+def refused_book_statuses(spark, sf_dir):
+    books = _books(spark, sf_dir)
+    c = table(spark, sf_dir, "customer")
+    changes = c.select((F.col("c_custkey") + F.when(F.col("c_acctbal") < 0, 100_000_000).otherwise(0)).alias("id"), F.lit("failed").alias("processing_status"))
+    return R.refused_statuses(books, changes)
+
+
+@query("""SELECT c_custkey AS book_id, 'queued' AS status, c_name AS error, c_mktsegment || '?' AS warnings FROM customer WHERE c_acctbal >= 0 UNION ALL SELECT c_custkey, 'canceled', NULL, c_mktsegment FROM customer WHERE c_acctbal < 0""")
+def import_snapshot(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    books = c.where("c_acctbal >= 0").select(F.col("c_custkey").alias("id"), F.lit("queued").alias("processing_status"), F.col("c_name").alias("processing_error"), F.concat("c_mktsegment", F.lit("?")).alias("processing_warnings"))
+    outcomes = c.select(F.col("c_custkey").alias("book_id"), F.lit("canceled").alias("status"), F.lit(None).cast("string").alias("error"), F.col("c_mktsegment").alias("warnings"))
+    return R.import_snapshot(books, outcomes)
+
+
 def _changes(spark, sf_dir):
     """One change a customer, to the first order or, for some, to one that does not exist."""
     jobs = _jobs(spark, sf_dir)
