@@ -37,21 +37,13 @@ def speech_words(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "d
 def chunk_texts(tokens: Column, limit: int = S.UTTERANCE_CHARS) -> Column:
     """The chunks of greedy packing as array<struct<text, n_words>>.
 
-    Tokens that fit one chunk are joined at once; else a fold keeps the open chunk's text and the finished ones, so its cost
-    grows with the words, not with their square.
+    Tokens that fit one chunk are joined at once; else one pattern walks over the joined text: as many characters as fit and end at a blank, or a longer word alone.
     """
-    kind = "struct<text:string,n:int,done:array<struct<text:string,n_words:int>>>"
-    zero = F.struct(F.lit("").alias("text"), F.lit(0).alias("n"), F.array().cast("array<struct<text:string,n_words:int>>").alias("done")).cast(kind)
-    row = lambda s: F.struct(s["text"].alias("text"), s["n"].alias("n_words"))
-
-    def add(s: Column, w: Column) -> Column:
-        full = (s["n"] > 0) & (F.length(s["text"]) + 1 + F.length(w) > limit)
-        text = F.when(full | (s["n"] == 0), w).otherwise(F.concat(s["text"], F.lit(" "), w))
-        return F.struct(text.alias("text"), F.when(full, 1).otherwise(s["n"] + 1).alias("n"), F.when(full, F.concat(s["done"], F.array(row(s)))).otherwise(s["done"]).alias("done")).cast(kind)
-
     joined = F.array_join(tokens, " ")
     whole = F.array(F.struct(joined.alias("text"), F.size(tokens).alias("n_words")))
-    return F.when(F.length(joined) <= limit, whole).otherwise(F.aggregate(tokens, zero, add, lambda s: F.concat(s["done"], F.array(row(s)))))
+    cut = F.regexp_extract_all(joined, F.lit(rf"(?s).{{1,{limit}}}(?: |\z)|[^ ]+(?: |\z)"), F.lit(0))
+    row = lambda c: F.struct(F.rtrim(c).alias("text"), (F.length(F.rtrim(c)) - F.length(F.replace(F.rtrim(c), F.lit(" "), F.lit(""))) + 1).alias("n_words"))
+    return F.when(F.length(joined) <= limit, whole).otherwise(F.transform(cut, row))
 
 
 def speech_chunks(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "doc_id") -> DataFrame:

@@ -1,4 +1,4 @@
-"""Every query against its DuckDB SQL on the smallest tables; queries without SQL must run."""
+"""Every query against its DuckDB SQL on the smallest tables; those without SQL have tests in test_queries.py."""
 
 import duckdb
 import pytest
@@ -31,11 +31,8 @@ def rows(table):
     return names, sorted(map(repr, zip(*[map(plain, table.column(c).to_pylist()) for c in names])))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query(spark, duck, sf, name):
     got = QUERIES[name](spark, sf).toArrow()
-    if name not in ORACLE_SQL:
-        assert got.num_rows >= 0
-        return
     want = duck.sql(ORACLE_SQL[name]).to_arrow_table()
     assert rows(got) == rows(want)
