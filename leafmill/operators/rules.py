@@ -86,15 +86,33 @@ def _dollars(replacement: str) -> str:
     return re.sub(r"\$(\$|&|[0-9]{1,2})|\$", lambda m: r"\$" if m[1] in (None, "$") else "$0" if m[1] == "&" else f"${m[1]}", out)
 
 
+def _within(r: Rule, preview: bool) -> str:
+    """The pattern of a rule for a token: simple rules look inside it, unless for a preview; others must fit it whole."""
+    return _flags(r) + (java(r.pattern) if r.source == "simple" and not preview else rf"\A(?:{java(r.pattern)})\z")
+
+
+def fitting(word: Column, rules: list[Rule], preview: bool = False) -> Column:
+    """The number of the first rule that fits a token; null for none."""
+    out = F.when(F.lit(False), -1)
+    for i, r in enumerate(rules):
+        out = out.when(word.rlike(_within(r, preview)), i)
+    return out
+
+
+def rewritten(word: Column, number: Column, rules: list[Rule], preview: bool = False) -> Column:
+    """A token rewritten by the rule of that number; as it is without one."""
+    out = F.when(F.lit(False), word)
+    for i, r in enumerate(rules):
+        out = out.when(number == i, F.regexp_replace(word, _within(r, preview), _dollars(r.replacement)))
+    return out.otherwise(word)
+
+
 def apply_token(word: Column, rules: list[Rule], preview: bool = False) -> Column:
-    """struct<spoken, matched>: the first rule that fits a token rewrites it. Simple rules look inside the token, unless for a preview; others must fit it whole."""
+    """struct<spoken, matched>: the first rule that fits a token rewrites it."""
     spoken, matched = F, F
     for r in rules:
-        inside = r.source == "simple" and not preview
-        pattern = _flags(r) + (java(r.pattern) if inside else rf"\A(?:{java(r.pattern)})\z")
-        fits = word.rlike(pattern)
-        once = F.regexp_replace(word, pattern, _dollars(r.replacement))
-        spoken, matched = spoken.when(fits, once), matched.when(fits, True)
+        fits = word.rlike(_within(r, preview))
+        spoken, matched = spoken.when(fits, F.regexp_replace(word, _within(r, preview), _dollars(r.replacement))), matched.when(fits, True)
     return F.struct((spoken.otherwise(word) if rules else word).alias("spoken"), (matched.otherwise(False) if rules else F.lit(False)).alias("matched"))
 
 
@@ -128,7 +146,7 @@ def preview(documents: DataFrame, rules: list[Rule], key: str = "doc_id", exampl
     """
     tokens = F.transform(paragraph_array("text"), T.tokenize)
     own = documents.select(key, tokens.alias("tokens"))
-    tried = F.flatten(F.transform("tokens", lambda words, p: F.filter(F.transform(words, lambda w: F.struct(p.alias("paragraph"), w.alias("before"), apply_token(w, rules, True).alias("m"))), lambda h: h["m"]["matched"])))
+    tried = F.flatten(F.transform("tokens", lambda words, p: F.filter(F.transform(words, lambda w: F.struct(p.alias("paragraph"), w.alias("before"), fitting(w, rules, True).alias("rule"))), lambda h: h["rule"].isNotNull())))
     hits = own.select(key, F.aggregate("tokens", F.lit(0), lambda n, words: n + F.size(words)).alias("total_words"), tried.alias("hits"))
     n = F.size("hits").cast("long")
     share = n / F.greatest(F.lit(1), F.col("total_words")) * 100
@@ -139,5 +157,5 @@ def preview(documents: DataFrame, rules: list[Rule], key: str = "doc_id", exampl
         F.size(F.array_distinct(F.transform("hits", lambda h: F.lower(h["before"])))).cast("long").alias("unique_words"),
         share.alias("percent"),
         ((n > 500) | (share > 5)).alias("high_impact"),
-        F.transform(F.slice("hits", 1, examples), lambda h: F.struct(h["before"].alias("before"), h["m"]["spoken"].alias("after"))).alias("examples"),
+        F.transform(F.slice("hits", 1, examples), lambda h: F.struct(h["before"].alias("before"), rewritten(h["before"], h["rule"], rules, True).alias("after"))).alias("examples"),
     )

@@ -34,22 +34,23 @@ def speech_words(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "d
     return paras.select(key, "paragraph_id", F.posexplode(packed(T.tokenize("text"), limit)).alias("word_index", "r")).select(key, "paragraph_id", "word_index", "r.chunk", "r.start", "r.end", "r.word")
 
 
-def chunk_texts(tokens: Column, limit: int = S.UTTERANCE_CHARS) -> Column:
-    """The chunks of greedy packing as array<struct<text, n_words>>.
+def chunk_texts(joined: Column, n_words: Column, limit: int = S.UTTERANCE_CHARS) -> Column:
+    """The chunks of greedy packing of words joined by blanks, as array<struct<text, n_words>>.
 
-    Tokens that fit one chunk are joined at once; else one pattern walks over the joined text: as many characters as fit and end at a blank, or a longer word alone.
+    What fits one chunk is taken whole; else one pattern walks over the text: as many characters as fit and end at a blank, or a longer word alone.
     """
-    joined = F.array_join(tokens, " ")
-    whole = F.array(F.struct(joined.alias("text"), F.size(tokens).alias("n_words")))
+    whole = F.array(F.struct(joined.alias("text"), n_words.alias("n_words")))
     cut = F.regexp_extract_all(joined, F.lit(rf"(?s).{{1,{limit}}}(?: |\z)|[^ ]+(?: |\z)"), F.lit(0))
     row = lambda c: F.struct(F.rtrim(c).alias("text"), (F.length(F.rtrim(c)) - F.length(F.replace(F.rtrim(c), F.lit(" "), F.lit(""))) + 1).alias("n_words"))
     return F.when(F.length(joined) <= limit, whole).otherwise(F.transform(cut, row))
 
 
 def speech_chunks(paras: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "doc_id") -> DataFrame:
-    """(key, paragraph_id, chunk, text, n_words); built inside each paragraph's array, no shuffle."""
-    made = paras.select(key, "paragraph_id", T.tokenize("text").alias("tokens")).where(F.size("tokens") > 0).select(key, "paragraph_id", chunk_texts(F.col("tokens"), limit).alias("made"))
-    return made.select(key, "paragraph_id", F.posexplode("made").alias("chunk", "c")).select(key, "paragraph_id", "chunk", "c.text", "c.n_words")
+    """(key, paragraph_id, chunk, text, n_words); built inside each paragraph's row, no shuffle. Paragraphs without words go at the end only: a filter before it would cut the words twice."""
+    tokens = paras.select(key, "paragraph_id", T.tokenize("text").alias("tokens"))
+    joined = tokens.select(key, "paragraph_id", F.array_join("tokens", " ").alias("joined"), F.size("tokens").alias("n"))
+    made = joined.select(key, "paragraph_id", F.posexplode(chunk_texts(F.col("joined"), F.col("n"), limit)).alias("chunk", "c"))
+    return made.select(key, "paragraph_id", "chunk", "c.text", "c.n_words").where("n_words > 0")
 
 
 def spoken_plan(paras: DataFrame, starts: DataFrame, limit: int = S.UTTERANCE_CHARS, key: str = "doc_id") -> DataFrame:
