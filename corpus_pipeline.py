@@ -2,6 +2,11 @@
 
 A stage takes (spark, docs, sf_dir); all but the last return the columns of ``documents``. A driver writes each
 result as Parquet and rereads it as the next stage's docs; ``run`` chains them without that.
+
+Defined results: a null or empty text is judged by the quality score of the empty text, has no language and goes in the second stage. Texts of any
+length are judged whole; one task holds a text and a small multiple of it. Repeated rows and texts are one group of copies, of which the row with the least doc_id stays (null ids after all others);
+rows that tie in id and text are one. Source null is a source of its own in the mixture; a document is taken as often as the mixture says, at most twice. An empty table, or one from which
+everything went, gives an empty result at every stage. Extra columns are kept by the first four stages as they are, whatever their names, and play no part.
 """
 
 from __future__ import annotations
@@ -48,7 +53,7 @@ STAGES = [
     ("pieces", encode),
 ]
 
-#: Compression, n-gram profiles and the lattice search are not SQL; tests/llm/test_pipeline.py has a brute-force version.
+#: Compression, n-gram profiles and the lattice search are not SQL; tests/llm/test_pipeline.py holds each stage's decisions against the operators' own plain versions.
 ORACLE_SQL = None
 
 
