@@ -159,3 +159,32 @@ def preview(documents: DataFrame, rules: list[Rule], key: str = "doc_id", exampl
         ((n > 500) | (share > 5)).alias("high_impact"),
         F.transform(F.slice("hits", 1, examples), lambda h: F.struct(h["before"].alias("before"), rewritten(h["before"], h["rule"], rules, True).alias("after"))).alias("examples"),
     )
+
+
+def migrate_simple_pattern(pattern: str | Column) -> Column:
+    """The pattern of a simple rule as it is written today: older ones stood between word edges or between runs of other characters."""
+    trimmed = F.trim(T.col(pattern))
+    edges, runs = F.regexp_extract(trimmed, r"^\\b(.+)\\b\z", 1), F.regexp_extract(trimmed, r"^\[\^\\w\]\*(.+)\[\^\\w\]\*\z", 1)
+    today = lambda old: F.coalesce(F.nullif(T.simple_word_pattern(F.regexp_replace(old, r"\\(.)", "$1")), F.lit("")), trimmed)
+    return F.when(edges != "", today(edges)).when(runs != "", today(runs)).otherwise(trimmed)
+
+
+def sanitized(raw: DataFrame) -> DataFrame:
+    """The rules of a store that can be used: (scope, pos, id, pattern, replacement, source, enabled, case_insensitive), at most 300 of each scope, the first by pos.
+
+    ``raw``: the same columns as they were stored; scope null is for all books, a blank one is none. A rule needs an id, texts within their lengths and both switches; an unknown source counts as ``regex``, simple patterns
+    are brought up to date. The cap is a top-k a scope, so tasks drop the rest before rows are exchanged.
+    """
+    from pyspark.sql import Window
+
+    source = F.when(F.col("source") == "simple", "simple").otherwise("regex")
+    pattern = F.when(F.col("source") == "simple", migrate_simple_pattern("pattern")).otherwise(F.col("pattern"))
+    at = raw.select("scope", "pos", "id", pattern.alias("pattern"), "replacement", source.alias("source"), "enabled", "case_insensitive")
+    good = (F.trim("id") != "") & (F.length("replacement") <= S.RULE_REPLACEMENT_CHARS) & (F.length("pattern") <= S.RULE_PATTERN_CHARS) & F.col("enabled").isNotNull() & F.col("case_insensitive").isNotNull()
+    kept = at.where(good & (F.col("scope").isNull() | (F.trim("scope") != "")))
+    return kept.withColumn("__n", F.row_number().over(Window.partitionBy("scope").orderBy("pos", "id"))).where(F.col("__n") <= S.RULES_PER_SCOPE).drop("__n")
+
+
+def without_scopes(rules: DataFrame, scopes: DataFrame) -> DataFrame:
+    """The rules without those of some books. ``scopes``: scope."""
+    return rules.join(scopes.select("scope"), "scope", "left_anti")

@@ -178,3 +178,29 @@ def unsafe_patterns(spark, sf_dir):
 @query(r"""SELECT c_custkey, '\b' || regexp_replace(regexp_replace(c_name, '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), '([.*+?^${}()|\[\]\\])', '\\\1', 'g') || '\b' AS pattern FROM customer""")
 def simple_word_patterns(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", T.simple_word_pattern("c_name").alias("pattern"))
+
+
+_RULES = r"""r AS (SELECT CASE WHEN o_custkey % 7 = 1 THEN ' ' WHEN o_custkey % 7 > 1 THEN 'b' || (o_custkey // 20) END AS scope, o_orderkey AS pos, CASE WHEN o_orderkey % 17 = 0 THEN ' ' ELSE 'o' || o_orderkey END AS id,
+  CASE o_orderkey % 5 WHEN 0 THEN '\b' || replace(o_orderpriority, '-', '\-') || '\b' WHEN 1 THEN ' [^\w]*' || replace(o_orderpriority, '-', '\-') || '[^\w]*' WHEN 2 THEN o_orderpriority WHEN 3 THEN repeat('x', 201) ELSE ' a.b ' END AS pattern,
+  CASE WHEN o_orderkey % 11 = 0 THEN repeat('y', 121) ELSE 'r' END AS replacement, CASE o_orderkey % 3 WHEN 0 THEN 'simple' WHEN 1 THEN 'regex' ELSE 'other' END AS source, CASE WHEN o_orderkey % 13 > 0 THEN true END AS enabled, o_orderkey % 2 = 0 AS case_insensitive FROM orders)"""
+
+
+@query(rf"""WITH {_RULES}, m AS (SELECT *, coalesce(nullif(regexp_extract(trim(pattern), '^\\b(.+)\\b$', 1), ''), nullif(regexp_extract(trim(pattern), '^\[\^\\w\]\*(.+)\[\^\\w\]\*$', 1), '')) AS old FROM r),
+w AS (SELECT *, regexp_replace(regexp_replace(old, '\\(.)', '\1', 'g'), '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS word FROM m),
+p AS (SELECT scope, pos, id, CASE WHEN source <> 'simple' THEN pattern WHEN old IS NULL THEN trim(pattern) ELSE '\b' || regexp_replace(word, '([.*+?^${{}}()|\[\]\\])', '\\\1', 'g') || '\b' END AS pattern, replacement, CASE WHEN source = 'simple' THEN source ELSE 'regex' END AS source, enabled, case_insensitive FROM w)
+SELECT * FROM p WHERE trim(id) <> '' AND length(replacement) <= 120 AND length(pattern) <= 200 AND enabled IS NOT NULL AND (scope IS NULL OR trim(scope) <> '') QUALIFY row_number() OVER (PARTITION BY scope ORDER BY pos, id) <= 300""")
+def sanitized_rules(spark, sf_dir):
+    """Stored rules made of orders; the first 300 of a book are a limit of the store."""
+    k, c, name = F.col("o_orderkey"), F.col("o_custkey"), F.replace("o_orderpriority", F.lit("-"), F.lit("\\-"))
+    pattern = F.when(k % 5 == 0, F.concat(F.lit("\\b"), name, F.lit("\\b"))).when(k % 5 == 1, F.concat(F.lit(" [^\\w]*"), name, F.lit("[^\\w]*"))).when(k % 5 == 2, F.col("o_orderpriority")).when(k % 5 == 3, F.lit("x" * 201)).otherwise(" a.b ")
+    raw = table(spark, sf_dir, "orders").select(
+        F.when(c % 7 == 1, " ").when(c % 7 > 1, F.concat(F.lit("b"), F.floor(c / 20).cast("string"))).alias("scope"),
+        k.alias("pos"),
+        F.when(k % 17 == 0, " ").otherwise(F.concat(F.lit("o"), k.cast("string"))).alias("id"),
+        pattern.alias("pattern"),
+        F.when(k % 11 == 0, F.lit("y" * 121)).otherwise("r").alias("replacement"),
+        F.when(k % 3 == 0, "simple").when(k % 3 == 1, "regex").otherwise("other").alias("source"),
+        F.when(k % 13 > 0, True).alias("enabled"),
+        (k % 2 == 0).alias("case_insensitive"),
+    )
+    return R.sanitized(raw)

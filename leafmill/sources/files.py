@@ -17,31 +17,44 @@ from leafmill.functions import text as T
 BOOK_TYPES = ("application/epub+zip", "application/pdf", "application/x-pdf")
 
 
+#: Rows that leave a task together.
+TOGETHER = 2048
+
+
 def flat_map(df: DataFrame, schema: str, rows: Callable[[dict], Iterable[dict]], error: Callable[[dict, Exception], dict] | None = None) -> DataFrame:
-    """Any number of rows for each row, one input row in memory at a time; a row that fails gives its error row, never a failed job."""
+    """Any number of rows for each row, one input row in memory at a time; a row that fails gives its error row, never a failed job. Rows leave in batches of about ``TOGETHER``."""
     kind = _parse_datatype_string(schema)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = to_arrow_schema(kind)
+        out, held = to_arrow_schema(kind), []
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 try:
-                    made = list(rows(row))
+                    held += list(rows(row))
                 except Exception as e:  # one bad book never fails a batch
                     if error is None:
                         raise
-                    made = [error(row, e)]
-                yield pa.RecordBatch.from_pylist(made, schema=out)
+                    held.append(error(row, e))
+                if len(held) >= TOGETHER:
+                    yield pa.RecordBatch.from_pylist(held, schema=out)
+                    held = []
+        yield pa.RecordBatch.from_pylist(held, schema=out)
 
     return df.mapInArrow(run, kind)
 
 
 def scan(spark: SparkSession, path: str, pattern: str = "*", limit: int | None = 1000) -> DataFrame:
-    """Files under a folder, recursively, in order of path: path, name, length, content. ``limit`` is a cap on one folder; None reads all."""
+    """Files under a folder, recursively: path, name, length, content. ``limit`` is a cap on one folder, the first by path; None reads all.
+
+    The paths are chosen from rows without contents, which are read for the chosen files only, each where its task is.
+    """
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     df = df.withColumn("name", T.path_basename("path")).where(supported(F.lit(None).cast("string"), F.col("name")))
-    return df.orderBy("path").limit(limit) if limit else df
+    if not limit:
+        return df
+    chosen = df.select("path").orderBy("path").limit(limit)  # so many names at most
+    return df.join(F.broadcast(chosen), "path", "left_semi")
 
 
 def supported(mime: Column, name: Column) -> Column:
