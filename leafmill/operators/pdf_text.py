@@ -30,6 +30,64 @@ def joined(texts: Column) -> Column:
     return F.aggregate(F.transform(texts, T.normalize_text), F.lit(""), step)
 
 
+_NUMBER = rf"(?:\p{{N}}{{1,3}}|[ivxlcdm]{{1,8}}|{'|'.join(T.NUMBER_WORDS)})"
+#: Headings that name a numbered part, the sections that stand alone, and those that do if they are set apart.
+NUMBERED_PART = rf"(?is)^(?:chapter|book|part|section)\s+{_NUMBER}(.*)\z"
+ALONE = r"(?is)^(?:prologue|epilogue|contents|acknowledge?ments?|preface(?:\s+and\s+acknowledge?ments?)?|foreword|afterword|appendix(?:\s+(?:\p{N}{1,3}|[a-z]|[ivxlcdm]{1,8}))?)(?:\s*[:.\-\x{2014}]\s*.*)?\z"
+SET_APART = r"(?i)^(?:introduction|prologue|epilogue|preface|foreword|afterword|appendix)(?![A-Za-z0-9_])"
+NUMBERED_TITLE = r"(?i)^(?:\p{N}{1,3}|[ivxlcdm]{1,8})[.)]?\s+[\p{Lu}\p{Ll}\p{Lt}]"
+
+
+def explicit_heading(text: Column, emphasized: Column) -> Column:
+    """Whether a line is a heading by what it says: a numbered part (with nothing or a mark behind it, or set apart), a section of its own, or a numbered title that is set apart."""
+    t = T.normalize_text(text)
+    rest = T.normalize_text(F.regexp_extract(t, NUMBERED_PART, 1))
+    numbered = rest.rlike(r"^[.)]?\z") | rest.rlike(r"^[:\-\x{2013}\x{2014}]\s*\S") | emphasized
+    return F.when(t.rlike(NUMBERED_PART), numbered).otherwise(t.rlike(ALONE) | (emphasized & (t.rlike(SET_APART) | t.rlike(NUMBERED_TITLE))))
+
+
+def bare_heading(text: Column) -> Column:
+    """Whether a text is a numbered part and nothing else."""
+    return T.normalize_text(text).rlike(rf"(?i)^(?:chapter|book|part|section)\s+{_NUMBER}[.)]?\z")
+
+
+def heading_kind(text: Column, x_min: Column, x_max: Column, font_size: Column, width: Column, body_size: Column) -> Column:
+    """``strong``, ``typographic`` or null: a line of at most 180 characters and 20 words without leaders that says so, is in capitals, or is larger than the body and short or in the middle of the page."""
+    words = T.count_words(text)
+    larger = font_size >= body_size * 1.17
+    centred = F.abs((x_min + x_max) / 2 - width / 2) <= width * 0.12
+    letters = F.filter(F.split(text, ""), lambda c: c.rlike(r"^\p{L}\z"))
+    capitals = F.size(F.filter(letters, lambda c: c == F.upper(c)))
+    caps = (F.size(letters) >= 3) & (capitals / F.greatest(F.size(letters), F.lit(1)) >= 0.9) & (words <= 12)
+    fit = (F.length(text) <= 180) & words.between(1, 20) & ~text.rlike(r"\.{3,}")
+    return F.when(fit, F.when(explicit_heading(text, larger), "strong").when(caps | (larger & (centred | (words <= 10))), "typographic"))
+
+
+def quality_diagnostics(paragraphs: DataFrame, pages: DataFrame) -> DataFrame:
+    """(book_id, bucket, code, severity, message) of printed books whose text cannot be read: too little of it, pages without, upright lines on their side, replaced characters.
+
+    ``paragraphs``: book_id, text; ``pages``: book_id, page, has_text, images (declared), items, vertical_items; a book without pages is not judged.
+    """
+    odd = F.length(F.regexp_replace("text", r"[^\x{FFFD}\x{E000}-\x{F8FF}]", ""))
+    texts = paragraphs.groupBy("book_id").agg(F.sum(T.count_words("text")).alias("words"), (F.sum(F.length(T.normalize_text("text")) + 1) - 1).alias("characters"), F.sum(odd).alias("odd"))
+    seen = pages.groupBy("book_id").agg(F.count("*").alias("pages"), F.count_if("has_text").alias("text_pages"), F.count_if(F.col("images") > 0).alias("image_pages"), F.sum("items").alias("items"), F.sum("vertical_items").alias("vertical"))
+    f = seen.join(texts, "book_id", "left").na.fill(0)
+    few = (F.col("words") < 20) | (F.col("characters") < 80)
+    sparse = ~few & (F.col("pages") >= 4) & (F.col("text_pages") / F.col("pages") < 0.25) & (F.col("words") / F.col("pages") < 20)
+    scanned = F.col("image_pages") / F.col("pages") >= 0.5
+    said = lambda cond, bucket, code, message: F.when(cond, F.struct(F.lit(bucket).alias("bucket"), F.lit(code).alias("code"), F.lit("failure").alias("severity"), (F.lit(message) if isinstance(message, str) else message).alias("message")))
+    text, other = "No / unusable text", "Other"
+    every = F.array_compact(
+        F.array(
+            said(few, text, "unusable_text", F.when(scanned, "PDF appears to be scanned or image-only; OCR is out of scope for this phase").otherwise("PDF does not contain enough usable selectable text for a book import")),
+            said(sparse, text, "picture_heavy", "Most PDF pages lack usable selectable text; the document likely requires OCR"),
+            said((F.col("items") >= 20) & (F.col("vertical") / F.greatest(F.col("items"), F.lit(1)) >= 0.25), other, "other_failure", "Vertical or heavily rotated text cannot yet be reconstructed reliably"),
+            said((F.col("odd") >= 10) & (F.col("odd") / F.greatest(F.col("characters"), F.lit(1)) > 0.02), text, "garbled_text", "Extracted PDF text contains too many replacement or private-use characters"),
+        )
+    )
+    return f.select("book_id", F.explode(every).alias("d")).select("book_id", "d.*")
+
+
 def merge_headings(paragraphs: DataFrame, gaps: DataFrame) -> DataFrame:
     """Neighbouring headings of a page as one, unless the second begins a heading of its own or stands apart.
 

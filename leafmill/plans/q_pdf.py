@@ -244,3 +244,40 @@ rs AS (SELECT z.book_id, z.para, 0 AS piece, z.heading, CASE WHEN ls.para IS NUL
 SELECT * FROM pc WHERE text <> '' UNION ALL SELECT * FROM rs WHERE text <> ''""")
 def embedded_headings(spark, sf_dir):
     return D.embedded_headings(_marked(spark, sf_dir))
+
+
+#: What stands before a paragraph, by turns, to make lines of all kinds.
+_PREFIX = ("", "Chapter 1", "Chapter II: ", "Part one ", "Prologue", "APPENDIX A - ", "12. ", "Section 3 – ", "Book xyz ", "iv) ", "Preface and Acknowledgements: ", "Introduction ")
+_NUM = "(?:\\p{N}{1,3}|[ivxlcdm]{1,8}|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve|thirteen|fourteen|fifteen|sixteen|seventeen|eighteen|nineteen|twenty)"
+
+
+@query(rf"""WITH {Q.PARAGRAPHS}, x AS (SELECT doc_id, paragraph_id, ([{', '.join(map(repr, _PREFIX))}])[paragraph_id % {len(_PREFIX)} + 1] || CASE WHEN paragraph_id % 5 = 0 THEN translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN paragraph_id % 5 = 1 AND paragraph_id % 12 > 0 THEN '' ELSE text END AS t, paragraph_id % 50 AS x0, paragraph_id % 50 + length(text) % 200 AS x1, 10.0 + paragraph_id % 3 * 2 AS font FROM p),
+y AS (SELECT *, {Q.norm('t')} AS n, font >= 11.7 AS e, len({Q.tokens('t')}) AS w, list_filter(string_split(t, ''), lambda c: regexp_matches(c, '\p{{L}}')) AS l FROM x), z AS (SELECT *, {Q.norm(f"regexp_extract(n, '(?is)^(?:chapter|book|part|section)[[:space:]]+{_NUM}(.*)$', 1)")} AS r FROM y)
+SELECT doc_id, paragraph_id, t AS text, CASE WHEN length(t) > 180 OR w NOT BETWEEN 1 AND 20 OR regexp_matches(t, '\.{{3,}}') THEN NULL
+  WHEN CASE WHEN regexp_matches(n, '(?is)^(?:chapter|book|part|section)\s+{_NUM}') THEN regexp_matches(r, '^[.)]?$') OR regexp_matches(r, '^[:\-\x{{2013}}\x{{2014}}]\s*\S') OR e
+    ELSE regexp_matches(n, '(?is)^(?:prologue|epilogue|contents|acknowledge?ments?|preface(?:\s+and\s+acknowledge?ments?)?|foreword|afterword|appendix(?:\s+(?:\p{{N}}{{1,3}}|[a-z]|[ivxlcdm]{{1,8}}))?)(?:\s*[:.\-\x{{2014}}]\s*.*)?$') OR (e AND (regexp_matches(n, '(?i)^(?:introduction|prologue|epilogue|preface|foreword|afterword|appendix)\b') OR regexp_matches(n, '(?i)^(?:\p{{N}}{{1,3}}|[ivxlcdm]{{1,8}})[.)]?\s+[\p{{Lu}}\p{{Ll}}\p{{Lt}}]'))) END THEN 'strong'
+  WHEN (len(l) >= 3 AND len(list_filter(l, lambda c: c = upper(c) AND c <> 'ß')) / len(l) >= 0.9 AND w <= 12) OR (e AND (abs((x0 + x1) / 2 - 100) <= 24 OR w <= 10)) THEN 'typographic' END AS heading FROM z""")
+def printed_heading_kinds(spark, sf_dir):
+    k = F.col("paragraph_id")
+    p = paras(spark, sf_dir)
+    before = F.element_at(F.array(*[F.lit(x) for x in _PREFIX]), (k % len(_PREFIX) + 1).cast("int"))
+    small = "abcdefghijklmnopqrstuvwxyz"
+    capitals = F.translate("text", small, small.upper())
+    text = F.concat(before, F.when(k % 5 == 0, capitals).when((k % 5 == 1) & (k % 12 > 0), "").otherwise(F.col("text")))
+    x0 = (k % 50).cast("double")
+    lines = p.select("doc_id", "paragraph_id", text.alias("t"), x0.alias("x0"), (x0 + F.length("text") % 200).alias("x1"), (k % 3 * 2 + 10.0).alias("font"))
+    return lines.select("doc_id", "paragraph_id", F.col("t").alias("text"), D.heading_kind(F.col("t"), F.col("x0"), F.col("x1"), F.col("font"), F.lit(200.0), F.lit(10.0)).alias("heading"))
+
+
+@query(rf"""WITH {Q.PARAGRAPHS}, t AS (SELECT doc_id AS book_id, sum(len({Q.tokens('text')})) AS words, sum(length(text) + 1) - 1 AS chars, sum(length(regexp_replace(text, '[^\x{{FFFD}}\x{{E000}}-\x{{F8FF}}]', '', 'g'))) AS odd FROM p GROUP BY doc_id),
+g AS (SELECT doc_id AS book_id, paragraph_id AS page, length(text) > 1500 AS has, length(text) % 3 AS images, length(text) AS items, CASE WHEN length(text) % 2 = 0 THEN length(text) ELSE 0 END AS vertical FROM p),
+s AS (SELECT book_id, count(*) AS pages, count(*) FILTER (has) AS tp, count(*) FILTER (images > 0) AS ip, sum(items) AS items, sum(vertical) AS vertical FROM g GROUP BY book_id), f AS (SELECT s.*, words, chars, odd, words < 20 OR chars < 80 AS few FROM s JOIN t USING (book_id))
+SELECT book_id, 'unusable_text' AS code, CASE WHEN ip / pages >= 0.5 THEN 'PDF appears to be scanned or image-only; OCR is out of scope for this phase' ELSE 'PDF does not contain enough usable selectable text for a book import' END AS message FROM f WHERE few
+UNION ALL SELECT book_id, 'picture_heavy', 'Most PDF pages lack usable selectable text; the document likely requires OCR' FROM f WHERE NOT few AND pages >= 4 AND tp / pages < 0.25 AND words / pages < 20
+UNION ALL SELECT book_id, 'other_failure', 'Vertical or heavily rotated text cannot yet be reconstructed reliably' FROM f WHERE items >= 20 AND vertical / items >= 0.25
+UNION ALL SELECT book_id, 'garbled_text', 'Extracted PDF text contains too many replacement or private-use characters' FROM f WHERE odd >= 10 AND odd / greatest(chars, 1) > 0.02""")
+def printed_quality(spark, sf_dir):
+    p = paras(spark, sf_dir).withColumnRenamed("doc_id", "book_id")
+    n = F.length("text")
+    pages = p.select("book_id", F.col("paragraph_id").alias("page"), (n > 1500).alias("has_text"), (n % 3).alias("images"), n.alias("items"), F.when(n % 2 == 0, n).otherwise(0).alias("vertical_items"))
+    return D.quality_diagnostics(p, pages).select("book_id", "code", "message")

@@ -122,3 +122,21 @@ def test_printed_chapters(spark):
     chapters, said = D.choose_chapters(books, outline, heads)
     assert sorted((r["book_id"], r["title"], r["start"]) for r in chapters.collect()) == [("good", "A", 1), ("good", "B", 50), ("none", "N", 1), ("weak", "Chapter 1", 20), ("weak", "Chapter 2", 40), ("weak", "Chapter 3", 60), ("weak", "Preface", 2)]
     assert sorted((r["book_id"], r["severity"], r["message"][:9]) for r in said.collect()) == [("none", "failure", "Long PDF "), ("none", "failure", "PDF has n"), ("weak", "warning", "Only 1 of"), ("weak", "warning", "Weak PDF ")]
+
+
+def test_heading_kinds(spark):
+    from pyspark.sql import functions as F
+
+    body, large = 10.0, 12.0
+    rows = [("Chapter 1", body, "strong"), ("chapter I summarize what came before", body, None), ("Chapter I: The Sea", body, "strong"), ("part two - on", body, "strong"), ("Prologue", body, "strong"), ("Introduction to it all", body, None), ("Introduction to it all", large, "strong"), ("12. the sea", large, "strong"), ("12. the sea", body, None), ("THE SEA", body, "typographic"), ("The sea", large, "typographic"), ("The sea", body, None), ("Contents ..... 4", large, None), ("", large, None), ("w " * 21, large, None), ("Appendix B", body, "strong"), ("ÜBER ALLES", body, "typographic")]
+    df = spark.createDataFrame(rows, "t string, size double, want string")
+    kind = D.heading_kind(F.col("t"), F.lit(0.0), F.lit(20.0), F.col("size"), F.lit(200.0), F.lit(body))
+    assert [tuple(r) for r in df.withColumn("got", kind).where(~F.col("got").eqNullSafe(F.col("want"))).collect()] == []
+    assert [r["b"] for r in spark.createDataFrame([("Chapter 1.",), ("chapter one",), ("Chapter 1: x",), ("Chapters",)], "t string").select(D.bare_heading(F.col("t")).alias("b")).collect()] == [True, True, False, False]
+
+
+def test_unreadable_books(spark):
+    pages = spark.createDataFrame([("scan", p, False, 1, 0, 0) for p in range(4)] + [("side", 1, True, 0, 100, 30)] + [("odd", 1, True, 0, 5, 0)] + [("thin", p, p == 1, 0, 5, 0) for p in range(1, 9)], "book_id string, page int, has_text boolean, images int, items int, vertical_items int")
+    texts = spark.createDataFrame([("side", PROSE * 9), ("odd", PROSE * 9 + "�" * 12), ("thin", PROSE * 3), ("none", "no pages")], "book_id string, text string")
+    got = sorted((r["book_id"], r["code"], r["message"][:12]) for r in D.quality_diagnostics(texts, pages).collect())
+    assert got == [("odd", "garbled_text", "Extracted PD"), ("scan", "unusable_text", "PDF appears "), ("side", "other_failure", "Vertical or "), ("thin", "picture_heavy", "Most PDF pag")]
