@@ -42,6 +42,12 @@ def renumbered_placements(placements: DataFrame) -> DataFrame:
     return placements.withColumn("ord", F.row_number().over(w) - 1)
 
 
+def sorted_tree(nodes: DataFrame) -> DataFrame:
+    """(parent_id, nth, id): the children of each folder, folders first, then by name as people read it. ``nodes``: id, parent_id, kind (folder or book), name."""
+    w = Window.partitionBy("parent_id").orderBy(F.when(F.col("kind") == "folder", 0).otherwise(1), F.collate("name", "UNICODE"), "id")
+    return nodes.select("parent_id", (F.row_number().over(w) - 1).alias("nth"), "id")
+
+
 def ancestors(folders: DataFrame) -> DataFrame:
     """(id, ancestor, distance) of every folder, itself at distance 0; a cycle ends where it meets itself.
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import text as T
+from leafmill.operators.chapters import title_key
 from leafmill.operators.geometry import alike
 
 LINE = "struct<text:string,col:int,baseline:double,font_size:double,x_min:double,x_max:double>"
@@ -387,10 +388,9 @@ def outline_starts(outline: DataFrame, headings: DataFrame, lines: DataFrame) ->
     ``lines``: book_id, page, paragraph_id, baseline. The nearest is looked up from both sides: lines and targets in one order, filled from above and from below.
     """
     page = ["book_id", "page"]
-    key = lambda c: F.trim(F.regexp_replace(F.regexp_replace(F.lower(T.normalize_text(c)), r"^(?:chapter|section)\s+", ""), r"[^\p{L}\p{N}]+", " "))
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    o = outline.withColumn("okey", key("title"))
-    h = headings.withColumn("hkey", key("title"))
+    o = outline.withColumn("okey", title_key("title"))
+    h = headings.withColumn("hkey", title_key("title"))
     same = o.join(h.groupBy(*page, F.col("hkey").alias("okey")).agg(F.min("paragraph_id").alias("by_key")), [*page, "okey"], "left").select("book_id", "ord", "by_key")
     like = alike(o.select("book_id", "page", "ord", words("okey").alias("otok")), h.select(*page, "paragraph_id", words("hkey").alias("htok")), page, "otok", "htok")
     like = like.groupBy("book_id", "ord").agg(F.min_by("paragraph_id", F.struct((-F.col("score")).alias("s"), "paragraph_id")).alias("by_words"))
@@ -437,7 +437,7 @@ def choose_chapters(books: DataFrame, outline: DataFrame, headings: DataFrame) -
     # beside a reliable numbering only marked headings and matter are chapters
     marked = F.col("family").isNotNull() | F.col("matter")
     kept = h.join(facts.select("book_id", "numbered"), "book_id").where(marked | (~F.col("numbered") & (F.col("prominence") >= 1.15)))
-    key = F.trim(F.regexp_replace(F.regexp_replace(F.lower(T.normalize_text("title")), r"^(?:chapter|section)\s+", ""), r"[^\p{L}\p{N}]+", " "))
+    key = title_key("title")
     k = kept.groupBy("book_id").agg(F.count("*").alias("k_n"), F.count_distinct(F.nullif(key, F.lit(""))).alias("k_titles"), F.count_distinct("start").alias("k_starts"), F.min("start").alias("k_low"), F.max("start").alias("k_high"))
     f = facts.join(o, "book_id", "left").join(k, "book_id", "left").na.fill(0, ["o_n", "o_matched", "o_artifacts", "o_starts", "k_n", "k_titles", "k_starts"])
     produced = (F.col("o_n") > 0) & (F.col("o_artifacts") >= F.col("o_n") / 2)

@@ -247,6 +247,30 @@ def book_search(books: DataFrame, text: str) -> DataFrame:
     return books.where(F.lower("title").contains(q) | F.coalesce(F.lower("author").contains(q), F.lit(False))) if q else books
 
 
+#: What readers are told of an import's phase.
+PHASES = {"queued": "Waiting in queue", "validating": "Processing", "extracting_metadata": "Extracting metadata", "extracting_text": "Extracting text", "building_chapters": "Building chapters", "completed": "Completed", "failed": "Failed", "canceled": "Canceled"}
+
+
+def phase_label(status: Column) -> Column:
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in PHASES.items() for x in kv]), status), F.lit("Processing"))
+
+
+def is_active(status: Column) -> Column:
+    """Whether an import still runs or waits."""
+    return F.coalesce(status.isin("queued", "validating", "extracting_metadata", "extracting_text", "building_chapters"), F.lit(False))
+
+
+def batch_progress(imports: DataFrame, key: str = "batch_id") -> DataFrame:
+    """(key, total, finished, active, remaining_ms): how far each batch is, and how long the rest will take at its pace so far (null while nothing has ended or nothing is left).
+
+    ``imports``: key, status, elapsed_ms (of the batch so far).
+    """
+    facts = imports.groupBy(key).agg(F.count("*").alias("total"), F.count_if(F.col("status").isin("completed", "failed", "canceled")).alias("finished"), F.count_if(is_active(F.col("status"))).alias("active"), F.max("elapsed_ms").alias("elapsed"))
+    left = F.col("total") - F.col("finished")
+    eta = F.when((F.col("finished") > 0) & (left > 0) & (F.col("elapsed") > 0), F.col("elapsed") / F.col("finished") * left)
+    return facts.select(key, "total", "finished", "active", eta.cast("double").alias("remaining_ms"))
+
+
 def batch_summary(tracked: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Counts of a batch: books without an outcome are canceled; those with issues are among the completed."""
     j = tracked.join(outcomes, "book_id", "left").withColumn("state", F.coalesce("status", F.lit("canceled")))

@@ -124,6 +124,34 @@ def import_snapshot(spark, sf_dir):
     return R.import_snapshot(books, outcomes)
 
 
+_STATES = ("queued", "validating", "extracting_metadata", "extracting_text", "building_chapters", "completed", "failed", "canceled", "unheard of")
+
+
+@query(f"""WITH i AS (SELECT o_orderkey, o_custkey AS batch_id, ([{', '.join(map(repr, _STATES))}])[o_orderkey % 9 + 1] AS status, o_custkey % 3 * 1000 AS elapsed FROM orders)
+SELECT batch_id, count(*) AS total, count(*) FILTER (status IN ('completed', 'failed', 'canceled')) AS finished, count(*) FILTER (status NOT IN ('completed', 'failed', 'canceled', 'unheard of')) AS active,
+  CASE WHEN count(*) FILTER (status IN ('completed', 'failed', 'canceled')) > 0 AND count(*) FILTER (status NOT IN ('completed', 'failed', 'canceled')) > 0 AND max(elapsed) > 0 THEN max(elapsed) / count(*) FILTER (status IN ('completed', 'failed', 'canceled')) * count(*) FILTER (status NOT IN ('completed', 'failed', 'canceled')) END::DOUBLE AS remaining_ms FROM i GROUP BY batch_id""")
+def batch_progress(spark, sf_dir):
+    return R.batch_progress(_imports(spark, sf_dir))
+
+
+def _imports(spark, sf_dir):
+    k = F.col("o_orderkey")
+    status = F.element_at(F.array(*[F.lit(x) for x in _STATES]), (k % 9 + 1).cast("int"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("batch_id"), status.alias("status"), (F.col("o_custkey") % 3 * 1000).alias("elapsed_ms"))
+
+
+@query("""SELECT o_orderkey, CASE o_orderkey % 9 WHEN 0 THEN 'Waiting in queue' WHEN 2 THEN 'Extracting metadata' WHEN 3 THEN 'Extracting text' WHEN 4 THEN 'Building chapters' WHEN 5 THEN 'Completed' WHEN 6 THEN 'Failed' WHEN 7 THEN 'Canceled' ELSE 'Processing' END AS label, o_orderkey % 9 < 5 AS active FROM orders""")
+def import_phases(spark, sf_dir):
+    status = F.col("status")
+    return _imports(spark, sf_dir).select("o_orderkey", R.phase_label(status).alias("label"), R.is_active(status).alias("active"))
+
+
+@query("""SELECT c_custkey // 40 AS parent_id, (row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_acctbal >= 0, c_name, c_custkey) - 1)::INTEGER AS nth, c_custkey AS id FROM customer""")
+def sorted_tree(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    return L.sorted_tree(c.select(F.col("c_custkey").alias("id"), F.floor(F.col("c_custkey") / 40).alias("parent_id"), F.when(F.col("c_acctbal") < 0, "folder").otherwise("book").alias("kind"), F.col("c_name").alias("name")))
+
+
 def _changes(spark, sf_dir):
     """One change a customer, to the first order or, for some, to one that does not exist."""
     jobs = _jobs(spark, sf_dir)

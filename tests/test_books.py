@@ -61,3 +61,14 @@ def test_top_failures(spark):
     d = spark.createDataFrame([(i, V.S.BUCKETS[b], s) for i, b, s in rows], "doc_id int, bucket string, severity string")
     got = [(r["rank"], r["bucket"], r["books"]) for r in E.top_failures(d).orderBy("rank").collect()]
     assert got == [(1, V.S.BUCKETS[1], 5), (2, V.S.BUCKETS[0], 2), (3, V.S.BUCKETS[4], 2)] and E.top_failures(d.where(F.lit(False))).count() == 0
+
+
+def test_trees_and_batches(spark):
+    from leafmill.operators import layout as L
+    from leafmill.operators import repository as R
+
+    nodes = spark.createDataFrame([("a", "p", "book", "alpha"), ("B", "p", "book", "Beta"), ("z", "p", "folder", "zeta"), ("c", "p", "book", "Alpha 2"), ("r", None, "folder", "root")], "id string, parent_id string, kind string, name string")
+    assert [r["id"] for r in L.sorted_tree(nodes).where("parent_id = 'p'").orderBy("nth").collect()] == ["z", "a", "c", "B"]
+    imports = spark.createDataFrame([(1, "completed", 600), (1, "failed", 600), (1, "queued", 600), (2, "queued", 600), (3, "canceled", 600), (4, "completed", 0), (4, "queued", 0)], "batch_id int, status string, elapsed_ms int")
+    got = {r["batch_id"]: (r["total"], r["finished"], r["active"], r["remaining_ms"]) for r in R.batch_progress(imports).collect()}
+    assert got == {1: (3, 2, 1, 300.0), 2: (1, 0, 1, None), 3: (1, 1, 0, None), 4: (2, 1, 1, None)}

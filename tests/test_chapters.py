@@ -67,3 +67,9 @@ def test_likeness(spark):
     df = spark.createDataFrame(rows, "i int, t array<string>").withColumn("g", F.lit(1))
     got = {(r["i"], r["j"]) for r in G.alike(df.select("g", "i", F.col("t").alias("a")), df.select("g", F.col("i").alias("j"), F.col("t").alias("b")), ["g"], "a", "b").collect()}
     assert got == {(i, j) for i, x in rows for j, y in rows if len(set(x) & set(y)) / len(set(x) | set(y)) >= 0.8}
+
+
+def test_title_keys(spark):
+    rows = [("Chapter  The ﬁrst Day", "the first day"), ("SECTION １２: Über—alles", "12 über alles"), ("chapters of it", "chapters of it"), ("...", ""), (None, None), ("日本 II", "日本 ii")]
+    got = spark.createDataFrame(rows, "t string, want string").withColumn("got", C.title_key("t")).where("NOT (got <=> want)").collect()
+    assert got == []
