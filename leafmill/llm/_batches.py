@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -39,6 +41,16 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def give_back() -> None:
+    """Return what a task has freed to the machine: Spark keeps a Python worker for later tasks, and freed memory would stay with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library has no such call, and needs none
+        pass
+
+
 def map_rows(df: DataFrame, column: str | tuple[str, ...], schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
     """Map ``df`` by Arrow batches of bounded size.
 
@@ -53,6 +65,8 @@ def map_rows(df: DataFrame, column: str | tuple[str, ...], schema: str | StructT
         for part in steps(batches, column):
             got = work(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
+        del work
+        give_back()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, kind)
@@ -86,6 +100,8 @@ def filter_rows(df: DataFrame, column: str, make: Callable[[], Callable[[list[by
         accept = make()
         for part in steps(batches, column):
             yield part.filter(pa.array(accept(part.column(column).cast(pa.binary()).to_pylist()), pa.bool_()))
+        del accept
+        give_back()
 
     bounded_batches(df.sparkSession)
     return df.mapInArrow(run, df.schema)
