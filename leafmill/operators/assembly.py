@@ -53,15 +53,17 @@ class Books:
     totals: DataFrame
 
 
-def renumbered(paragraphs: DataFrame, chapters: DataFrame, images: DataFrame, anchors: DataFrame, key: str = "book") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def renumbered(paragraphs: DataFrame, chapters: DataFrame, images: DataFrame, anchors: DataFrame, key: str = "book") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame, DataFrame]:
     """Paragraphs that hold text get the numbers 1..n in order of their places; what points at places follows in the same pass.
 
     Only (key, place, what) is ordered, not the texts. A chapter or an anchor goes to the first kept paragraph at or after its place, an image behind the
-    last one at or before it (0 before the first).
+    last one at or before it (0 before the first). Paragraphs get their ``words`` and whether a ``chapter`` starts at them; counts come from them as (key, paragraphs, words).
     """
     none = F.lit(None)
-    text = T.normalize_text("text")
-    kept = paragraphs.withColumn("text", text).where("text <> ''")
+    from leafmill.session import with_checkpoints
+
+    with_checkpoints(paragraphs.sparkSession)
+    kept = paragraphs.withColumn("text", T.normalize_text("text")).where("text <> ''").withColumn("words", T.count_words("text")).checkpoint()  # texts are looked into once
     rows = [
         kept.select(key, "place", F.lit(1).alias("what"), F.lit(0).cast("long").alias("ord"), none.cast("string").alias("path"), none.cast("string").alias("fragment")),
         chapters.select(key, "place", F.lit(0).alias("what"), F.col("ord").cast("long").alias("ord"), none.cast("string").alias("path"), none.cast("string").alias("fragment")),
@@ -69,13 +71,15 @@ def renumbered(paragraphs: DataFrame, chapters: DataFrame, images: DataFrame, an
         images.select(key, "place", F.lit(2).alias("what"), F.col("ord").cast("long").alias("ord"), none.cast("string").alias("path"), none.cast("string").alias("fragment")),
     ]
     marks = rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3]).withColumn("place", F.col("place").cast("long"))
-    at = running_sum(marks, key, "place", [F.col("what"), F.col("ord")], (F.col("what") == 1).cast("long"), "upto")
-    own = at.where("what = 1").select(key, "place", F.col("upto").alias("id"))
+    at = running_sum(marks, key, "place", [F.col("what"), F.col("ord")], (F.col("what") == 1).cast("long"), "upto").checkpoint()  # narrow, and read five times
+    begins = at.where("what = 0").select(key, (F.col("upto") + 1).alias("id")).distinct().withColumn("chapter", F.lit(True))
+    own = at.where("what = 1").select(key, "place", F.col("upto").alias("id")).join(begins, [key, "id"], "left")
     out = kept.join(own, [key, "place"])
     starts = at.where("what = 0").select(key, "ord", (F.col("upto") + 1).alias("start"))
     behind = at.where("what = 2").select(key, "ord", F.col("upto").alias("after"))
     targets = at.where("what = -1").select(key, "path", "fragment", "place", (F.col("upto") + 1).alias("id"))
-    return out, chapters.drop("place").join(starts, [key, "ord"]), images.drop("place").join(behind, [key, "ord"]), targets
+    counts = kept.groupBy(key).agg(F.count("*").alias("paragraphs"), F.sum("words").alias("words"))
+    return out, counts, chapters.drop("place").join(starts, [key, "ord"]), images.drop("place").join(behind, [key, "ord"]), targets
 
 
 def build_books(books: DataFrame, paragraphs: DataFrame, chapters: DataFrame, images: DataFrame, anchors: DataFrame, key: str = "book") -> Books:
@@ -86,11 +90,10 @@ def build_books(books: DataFrame, paragraphs: DataFrame, chapters: DataFrame, im
     Chapters are cleaned and ordered, an image stands behind one of 0..n paragraphs, an anchor at one of 1..n. A scene break
     stays except at the first paragraph and where a chapter starts.
     """
-    paras, at, pictures, targets = renumbered(paragraphs, chapters, images, anchors, key)
-    counts = books.select(key).join(paras.groupBy(key).agg(F.count("*").alias("paragraphs"), F.sum(T.count_words("text")).alias("words")), key, "left").na.fill(0)
-    begins = at.select(key, F.col("start").alias("id")).distinct().withColumn("chapter", F.lit(True))
+    paras, sizes, at, pictures, targets = renumbered(paragraphs, chapters, images, anchors, key)
+    counts = books.select(key).join(sizes, key, "left").na.fill(0).checkpoint()  # a row a book
     scene = F.when((F.col("id") > 1) & F.col("chapter").isNull(), F.col("scene"))
-    paras = paras.join(begins, [key, "id"], "left").select(key, "id", "text", scene.alias("scene"))
+    paras = paras.select(key, "id", "text", scene.alias("scene"))
     listed = M.dedup_chapters(at.select(key, F.col("ord").alias("pos"), "title", F.col("start").alias("start_paragraph_id")), counts, key)
     limit = counts.select(key, "paragraphs")
     pictures = pictures.join(limit, key).select(key, "ord", T.normalize_text("alt").alias("alt"), "src", F.least("paragraphs", "after").alias("after_paragraph_id"))
