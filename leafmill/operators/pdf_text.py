@@ -27,8 +27,11 @@ OWN_HEADING = r"(?i)^(?:chapter|book|part|section|prologue|epilogue|appendix)(?!
 
 def joined(texts: Column) -> Column:
     """Wrapped texts as one: a hyphen between a letter and a small letter is a word break and goes."""
-    step = lambda out, x: F.when(out == "", x).when(x == "", out).when(out.rlike(r"\p{L}[-\x{2010}]\z") & x.rlike(r"^\p{Ll}"), F.concat(F.substring(out, F.lit(1), F.length(out) - 1), x)).otherwise(F.concat(out, F.lit(" "), x))
-    return F.aggregate(F.transform(texts, T.normalize_text), F.lit(""), step)
+    parts = F.filter(F.transform(texts, T.normalize_text), lambda x: x != "")
+    breaks = lambda x, after: F.substring(x, -2, 2).rlike(r"\p{L}[-\x{2010}]\z") & F.substring(after, 1, 1).rlike(r"^\p{Ll}")
+    # what stands at a seam is told by the two texts beside it, so nothing grows and the work is linear
+    piece = lambda x, after: F.when(after.isNull(), x).when(breaks(x, after), F.substring(x, F.lit(1), F.length(x) - 1)).otherwise(F.concat(x, F.lit(" ")))
+    return F.get(F.transform(F.array(parts), lambda p: F.array_join(F.transform(p, lambda x, i: piece(x, F.get(p, i + 1))), "")), F.lit(0))
 
 
 _NUMBER = rf"(?:\p{{N}}{{1,3}}|[ivxlcdm]{{1,8}}|{'|'.join(T.NUMBER_WORDS)})"
@@ -144,7 +147,7 @@ def merge_pages(paragraphs: DataFrame) -> DataFrame:
 def ornament(c: Column) -> Column:
     """A line of ornaments only: one of the large ones, or three marks or more with nothing but separators between."""
     t = T.normalize_text(c)
-    return ~t.rlike(r"[\p{L}\p{N}]") & (t.rlike(LONE) | ((F.regexp_count(t, F.lit(MARKS)) >= 3) & (F.regexp_replace(t, SEPARATORS, "") == "")))
+    return ~T.col(c).rlike(r"[\p{L}\p{N}]") & (t.rlike(LONE) | ((F.regexp_count(t, F.lit(MARKS)) >= 3) & (F.regexp_replace(t, SEPARATORS, "") == "")))
 
 
 def typical_gaps(lines: DataFrame) -> DataFrame:
@@ -162,6 +165,9 @@ def scene_breaks(paragraphs: DataFrame) -> DataFrame:
     that ends the paragraph before, or is all of it, marks the next; so the state is in the row before and needs no fold. Gaps are held against the page's own typical gap. ``part``
     is 1 for what an ornament inside a paragraph splits off.
     """
+    from leafmill.session import with_checkpoints
+
+    with_checkpoints(paragraphs.sparkSession)
     texts = lambda lines: joined(F.transform(lines, lambda x: x["text"]))
     lines, n = F.col("lines"), F.size("lines")
     tail, front = F.slice("lines", F.lit(2), F.greatest(n - 1, F.lit(0))), F.slice("lines", F.lit(1), F.greatest(n - 1, F.lit(0)))
@@ -169,7 +175,7 @@ def scene_breaks(paragraphs: DataFrame) -> DataFrame:
         {
             "alone": ornament(F.col("text")),
             "by_line": F.transform(lines, lambda x: ornament(x["text"])),
-            "run": F.regexp_extract("text", rf"(?:\s*{MARKS}){{16,}}\s*", 0),
+            "run": F.regexp_extract("text", rf"(?![!-)+-~])(?:\s*{MARKS}){{16,}}\s*", 0),
         }
     )
     inside = (F.array_position("by_line", True) - 1).cast("int")  # the first ornament line, from 0
@@ -197,17 +203,22 @@ def scene_breaks(paragraphs: DataFrame) -> DataFrame:
     is_ = lambda k: F.col("kind") == k
     text = F.when(is_("first"), F.col("tail_text")).when(is_("last"), F.col("front_text")).when(is_("lines"), F.col("below_text")).when(is_("run"), F.col("run_below")).otherwise(F.col("text"))
     kept = F.when(is_("first"), F.col("tail")).when(is_("last"), F.col("front")).when(is_("lines"), F.col("below")).otherwise(lines)
-    at = at.withColumns({"out_text": text, "out_lines": kept})
+    split = F.col("kind").isin("lines", "run")
+    before = F.when(is_("lines"), F.col("above_text")).otherwise(F.col("run_above"))
+    at = at.withColumns({"out_text": text, "out_lines": kept, "opened": opened, "before": F.when(split, F.struct(before.alias("text"), F.when(is_("lines"), F.col("above")).otherwise(lines).alias("lines")))})
     # what the next paragraph needs of this one: narrow
     end, begin = F.element_at("out_lines", -1), F.get("lines", F.lit(0))
-    narrow = at.select(
-        "book_id", "id", "kind", "page", opened.alias("opened"), F.col("heading").isNull().alias("plain"),
-        end["col"].alias("end_col"), end["baseline"].alias("end_at"), begin["col"].alias("begin_col"), begin["baseline"].alias("begin_at"), begin["font_size"].alias("font"),
-        ((T.count_words("out_text") >= 8) & F.col("out_text").rlike(ENDS)).alias("closes"), ((T.count_words("text") >= 8) & F.col("text").rlike(BEGINS)).alias("starts"),
-    )
+    narrow = {
+        "plain": F.col("heading").isNull(), "end_col": end["col"], "end_at": end["baseline"], "begin_col": begin["col"], "begin_at": begin["baseline"], "font": begin["font_size"],
+        "closes": (T.count_words("out_text") >= 8) & F.substring("out_text", -1, 1).rlike(ENDS), "starts": (T.count_words("text") >= 8) & F.substring("text", 1, 1).rlike(BEGINS),
+        "steps": F.transform("lines", lambda x: F.struct(x["col"].alias("col"), x["baseline"].alias("baseline"), x["font_size"].alias("font_size"))),
+    }
+    kept = ["book_id", "id", "page", "kind", "opened", "before", "out_text", "out_lines", *narrow]
+    at = at.withColumns(narrow).select(kept).checkpoint()  # read three times; all that looks into texts is done
+    narrow = at.drop("before", "out_text", "out_lines", "steps")
     w = Window.partitionBy("book_id").orderBy("id")
     previous = narrow.withColumn("p", F.lag(F.struct("kind", "opened", "plain", "page", "end_col", "end_at", "closes")).over(w))
-    flat = at.select("book_id", "page", F.explode("lines").alias("l")).select("book_id", "page", "l.col", "l.baseline", "l.font_size")
+    flat = at.select("book_id", "page", F.explode("steps").alias("l")).select("book_id", "page", "l.col", "l.baseline", "l.font_size")
     previous = previous.join(typical_gaps(flat), ["book_id", "page"], "left")
     gap = F.col("begin_at") - F.col("p.end_at")
     wide = gap >= F.greatest(F.col("typical") * 2.2, F.col("typical") + F.greatest(F.lit(8.0), F.col("font") * 0.75))
@@ -217,11 +228,11 @@ def scene_breaks(paragraphs: DataFrame) -> DataFrame:
     flags = previous.select("book_id", "id", F.coalesce(pending, F.lit(False)).alias("pending"), F.coalesce(space, F.lit(False)).alias("space"))
     out = at.join(flags, ["book_id", "id"])
     marked = F.when(F.col("kind").isin("first", "lines", "run"), "text-ornament").when(is_("plain"), F.when(F.col("pending"), "text-ornament").when(F.col("space"), "whitespace"))
-    split = F.col("kind").isin("lines", "run")
-    second = out.where("kind <> 'ornament'").select("book_id", "id", F.when(split, 1).otherwise(0).alias("part"), F.col("out_text").alias("text"), F.col("out_lines").alias("lines"), marked.alias("scene"))
-    before = F.when(is_("lines"), F.col("above_text")).otherwise(F.col("run_above"))
-    first = out.where(split).select("book_id", "id", F.lit(0).alias("part"), before.alias("text"), F.when(is_("lines"), F.col("above")).otherwise(lines).alias("lines"), F.lit(None).cast("string").alias("scene"))
-    return second.unionByName(first)
+    split = F.col("before").isNotNull()
+    part = lambda n, text, lines, scene: F.struct(n.alias("part"), text.alias("text"), lines.alias("lines"), scene.alias("scene"))
+    second = part(F.when(split, 1).otherwise(0), F.col("out_text"), F.col("out_lines"), marked)
+    first = part(F.lit(0), F.col("before.text"), F.col("before.lines"), F.lit(None).cast("string"))
+    return out.where("kind <> 'ornament'").select("book_id", "id", F.explode(F.when(split, F.array(first, second)).otherwise(F.array(second))).alias("x")).select("book_id", "id", "x.*")
 
 
 def image_anchors(images: DataFrame, lines: DataFrame, bins: int = 40) -> DataFrame:
@@ -237,7 +248,7 @@ def image_anchors(images: DataFrame, lines: DataFrame, bins: int = 40) -> DataFr
     lane = lambda x: F.floor(x * bins / F.col("width")).cast("int")
     placed = images.withColumn("lane", lane(F.col("x")))
     # lines of pages that hold images only
-    at = lines.join(widths, page).withColumns({"left": F.col("x_min") - F.col("width") * 0.1, "right": F.col("x_max") + F.col("width") * 0.1})
+    at = lines.join(widths.hint("merge"), page).withColumns({"left": F.col("x_min") - F.col("width") * 0.1, "right": F.col("x_max") + F.col("width") * 0.1})
     at = at.withColumns({"first": lane(F.col("left")), "last": lane(F.col("right"))})
     whole = at.where("col = 0").select(*page, "paragraph_id", F.col("baseline").alias("y"), F.lit(None).cast("int").alias("lane"))
     spans = at.where("col <> 0 AND last - first >= 2").select(*page, "paragraph_id", F.col("baseline").alias("y"), F.explode(F.sequence(F.col("first") + 1, F.col("last") - 1)).alias("lane"))
@@ -247,12 +258,12 @@ def image_anchors(images: DataFrame, lines: DataFrame, bins: int = 40) -> DataFr
     w = Window.partitionBy(*page, "lane").orderBy("y", F.col("image_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     filled = both.withColumn("above", F.max("paragraph_id").over(w)).where("image_id IS NOT NULL").select("book_id", "image_id", "above")
     edges = at.where("col <> 0").select(*page, "paragraph_id", "baseline", "left", "right", F.explode(F.array_distinct(F.array("first", "last"))).alias("lane"))
-    beside = placed.join(edges, [*page, "lane"]).where("baseline <= y AND x >= left AND x <= right").select("book_id", "image_id", F.col("paragraph_id").alias("above"))
+    beside = placed.join(edges.hint("merge"), [*page, "lane"]).where("baseline <= y AND x >= left AND x <= right").select("book_id", "image_id", F.col("paragraph_id").alias("above"))
     found = filled.unionByName(beside).groupBy("book_id", "image_id").agg(F.max("above").alias("above"))
     pages = lines.groupBy(*page).agg(F.max("paragraph_id").alias("most")).unionByName(widths.select(*page, none.cast("long").alias("most"))).groupBy(*page).agg(F.max("most").alias("most"))
     earlier = F.max("most").over(Window.partitionBy("book_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1))
     before = pages.select(*page, earlier.alias("earlier"))
-    at_last = images.select(*page, "image_id").join(found, ["book_id", "image_id"], "left").join(before, page, "left")
+    at_last = images.select(*page, "image_id").join(found.hint("merge"), ["book_id", "image_id"], "left").join(before.hint("merge"), page, "left")
     return at_last.select("book_id", "image_id", F.coalesce("above", "earlier", F.lit(0)).cast("long").alias("after_paragraph_id"))
 
 
@@ -267,15 +278,20 @@ MARKER = rf"(?i)(?<![A-Za-z0-9_])chapter\s+(?:\p{{N}}{{1,3}}|[ivxlcdm]{{1,8}}|{'
 _LOOK = 12
 
 
-def chapter_markers(paragraphs: DataFrame) -> DataFrame:
-    """(book_id, para, heading, offset, end, ord): the places where a text says "chapter" and a number, from the book's first character on.
-
-    ``paragraphs``: book_id, para (from 1), heading, text; texts are joined by one line end, over which a marker may reach. Offsets are running sums in blocks.
-    """
+def paragraph_begins(paragraphs: DataFrame) -> DataFrame:
+    """(book_id, para, begin): the place of each paragraph's first character in its book, by running sums in blocks."""
     from leafmill.operators.prefix import running_sum
 
     sized = paragraphs.select("book_id", "para", (F.length("text") + 1).cast("long").alias("size"))
-    offsets = running_sum(sized, "book_id", "para", [], F.col("size"), "upto").select("book_id", "para", (F.col("upto") - F.col("size")).alias("begin"))
+    return running_sum(sized, "book_id", "para", [], F.col("size"), "upto").select("book_id", "para", (F.col("upto") - F.col("size")).alias("begin"))
+
+
+def chapter_markers(paragraphs: DataFrame, begins: DataFrame | None = None) -> DataFrame:
+    """(book_id, para, heading, offset, end, ord): the places where a text says "chapter" and a number, from the book's first character on.
+
+    ``paragraphs``: book_id, para (from 1), heading, text; texts are joined by one line end, over which a marker may reach. ``begins``: as ``paragraph_begins`` gives them.
+    """
+    offsets = paragraph_begins(paragraphs) if begins is None else begins
     # the head of the next paragraph, as a narrow row
     heads = paragraphs.select("book_id", (F.col("para") - 1).alias("para"), F.substring("text", 1, _LOOK).alias("head"))
     candidates = paragraphs.where(F.lower("text").contains("chapter")).join(heads, ["book_id", "para"], "left").join(offsets, ["book_id", "para"])
@@ -343,23 +359,21 @@ def embedded_headings(paragraphs: DataFrame) -> DataFrame:
     ``paragraphs``: book_id, para (from 1 without gaps), heading, text (normalised). Where a body run is found, the paragraph at each of its markers becomes up to three: what is before (without ornaments at its end),
     the heading with the title that the contents give where the text has it, and what follows; paragraphs of the contents keep what is before the word. Other books stay as they are.
     """
-    from leafmill.operators.prefix import running_sum
     from leafmill.session import with_checkpoints
 
     with_checkpoints(paragraphs.sparkSession)
-    markers = chapter_markers(paragraphs).checkpoint()  # narrow, and read four times
-    sized = paragraphs.select("book_id", "para", (F.length("text") + 1).cast("long").alias("size"))
-    begins = running_sum(sized, "book_id", "para", [], F.col("size"), "upto").select("book_id", "para", (F.col("upto") - F.col("size")).alias("begin"))
-    lengths = sized.groupBy("book_id").agg((F.sum("size") - 1).alias("length"), F.count("*").alias("paras")).where("paras >= 3")
+    paragraphs = paragraphs.select("book_id", "para", "heading", "text").checkpoint()  # read by every step
+    begins = paragraph_begins(paragraphs).checkpoint()
+    markers = chapter_markers(paragraphs, begins).checkpoint()  # narrow, and read four times
+    lengths = paragraphs.select("book_id", (F.length("text") + 1).cast("long").alias("size")).groupBy("book_id").agg((F.sum("size") - 1).alias("length"), F.count("*").alias("paras")).where("paras >= 3")
     body, contents = [df.checkpoint() for df in body_and_contents(chapter_sequences(markers), lengths)]
     titles = contents_titles(contents, markers, body, paragraphs, begins)
     ranges = body.select("book_id", F.explode("run").alias("m")).select("book_id", "m.para", "m.offset", "m.end", "m.ord").join(titles, ["book_id", "ord"], "left")
     listed = contents.select("book_id", F.explode("run").alias("m")).select("book_id", F.col("m.para").alias("para")).distinct().withColumn("listed", F.lit(True))
     following = lambda d, name: paragraphs.select("book_id", (F.col("para") - d).alias("para"), F.col("text").alias(name))
     # a heading may end in the next paragraph
-    at = paragraphs.join(ranges, ["book_id", "para"], "left").join(listed, ["book_id", "para"], "left").join(begins, ["book_id", "para"])
-    at = at.withColumn("local", (F.col("offset") - F.col("begin")).cast("int"))
-    hit = at.where("offset IS NOT NULL").join(following(1, "next"), ["book_id", "para"], "left")
+    hit = paragraphs.join(ranges, ["book_id", "para"]).join(begins, ["book_id", "para"]).join(following(1, "next"), ["book_id", "para"], "left")
+    hit = hit.withColumn("local", (F.col("offset") - F.col("begin")).cast("int"))
     full = F.concat_ws("\n", "text", "next")
     words = F.concat(F.lit(r"(?i)^\Q"), F.array_join(F.split(F.replace("title", F.lit("\\E"), F.lit(" ")), " "), r"\E\s+\Q"), F.lit(r"\E"))
     behind = F.substring(full, F.col("local") + 1, F.length(full))
@@ -371,9 +385,9 @@ def embedded_headings(paragraphs: DataFrame) -> DataFrame:
     suffix = T.normalize_text(F.substring("full", stop + 1, F.length("full")))
     own_suffix = F.when(stop > F.col("n") + 1, suffix).otherwise(T.normalize_text(F.substring("text", stop + 1, F.length("text"))))
     pieces = F.array(F.struct(F.lit(0).alias("piece"), F.col("heading").alias("heading"), prefix.alias("text")), F.struct(F.lit(1).alias("piece"), F.lit("strong").alias("heading"), T.normalize_text(F.substring("full", F.col("local") + 1, F.col("taken"))).alias("text")), F.struct(F.lit(2).alias("piece"), F.col("heading").alias("heading"), own_suffix.alias("text")))
-    split = hit.select("book_id", "para", (stop > F.col("n") + 1).alias("over"), F.explode(pieces).alias("x")).select("book_id", "para", "over", "x.*").where("text <> ''")
-    eaten = split.where("over").select("book_id", (F.col("para") + 1).alias("para")).distinct().withColumn("eaten", F.lit(True))
-    plain = at.where("offset IS NULL").join(eaten, ["book_id", "para"], "left").where("eaten IS NULL")
+    split = hit.select("book_id", "para", (stop > F.col("n") + 1).alias("over"), F.explode(pieces).alias("x")).select("book_id", "para", "over", "x.*").where("text <> ''").checkpoint()
+    gone = ranges.select("book_id", "para").unionByName(split.where("over").select("book_id", (F.col("para") + 1).alias("para"))).distinct()
+    plain = paragraphs.join(gone, ["book_id", "para"], "left_anti").join(listed, ["book_id", "para"], "left")
     word = F.regexp_instr("text", F.lit(r"(?i)(?<![A-Za-z0-9_])contents(?![A-Za-z0-9_])"))
     kept = F.when(F.col("listed"), F.when(word > 0, T.normalize_text(F.substring("text", F.lit(1), word - 1))).otherwise(F.lit(""))).otherwise(F.col("text"))
     rest = plain.select("book_id", "para", F.lit(0).alias("piece"), "heading", kept.alias("text")).where("text <> ''")
@@ -389,11 +403,16 @@ def outline_starts(outline: DataFrame, headings: DataFrame, lines: DataFrame) ->
     """
     page = ["book_id", "page"]
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
-    o = outline.withColumn("okey", title_key("title"))
-    h = headings.withColumn("hkey", title_key("title"))
-    same = o.join(h.groupBy(*page, F.col("hkey").alias("okey")).agg(F.min("paragraph_id").alias("by_key")), [*page, "okey"], "left").select("book_id", "ord", "by_key")
-    like = alike(o.select("book_id", "page", "ord", words("okey").alias("otok")), h.select(*page, "paragraph_id", words("hkey").alias("htok")), page, "otok", "htok")
-    like = like.groupBy("book_id", "ord").agg(F.min_by("paragraph_id", F.struct((-F.col("score")).alias("s"), "paragraph_id")).alias("by_words"))
+    from leafmill.session import with_checkpoints
+
+    with_checkpoints(outline.sparkSession)
+    o = outline.select(*page, "ord", title_key("title").alias("okey"))
+    h = headings.select(*page, "paragraph_id", title_key("title").alias("hkey")).groupBy(*page, F.col("hkey").alias("okey")).agg(F.min("paragraph_id").alias("by_key")).checkpoint()
+    keyed = o.join(h, [*page, "okey"], "left").checkpoint()
+    rest = keyed.where("by_key IS NULL").select(*page, "okey").distinct()
+    like = alike(rest.withColumn("otok", words("okey")), h.select(*page, F.col("by_key").alias("paragraph_id"), words("okey").alias("htok")), page, "otok", "htok")
+    like = like.groupBy(*page, "okey").agg(F.min_by("paragraph_id", F.struct((-F.col("score")).alias("s"), "paragraph_id")).alias("by_words"))
+    same = keyed.join(like, [*page, "okey"], "left").select("book_id", "ord", "by_key", "by_words")
     first = lines.groupBy(*page).agg(F.min("paragraph_id").alias("page_first"))
     rungs = lines.groupBy(*page, F.col("baseline").alias("y")).agg(F.min("paragraph_id").alias("paragraph_id"))
     none = F.lit(None)
@@ -405,7 +424,7 @@ def outline_starts(outline: DataFrame, headings: DataFrame, lines: DataFrame) ->
     up, down = F.col("y") - F.col("above.y"), F.col("below.y") - F.col("y")
     nearest = F.when(F.col("below").isNull() | (up < down), F.col("above.paragraph_id")).when(F.col("above").isNull() | (down < up), F.col("below.paragraph_id")).otherwise(F.least("above.paragraph_id", "below.paragraph_id"))
     near = sided.select("book_id", "ord", nearest.alias("near"))
-    at = outline.withColumn("ord", F.col("ord").cast("long")).join(same, ["book_id", "ord"]).join(like, ["book_id", "ord"], "left").join(near, ["book_id", "ord"], "left").join(first, page)
+    at = outline.withColumn("ord", F.col("ord").cast("long")).join(same, ["book_id", "ord"]).join(near, ["book_id", "ord"], "left").join(first, page)
     matched = F.coalesce("by_key", "by_words")
     return at.select("book_id", "ord", "title", F.coalesce(matched, F.when(F.col("y").isNotNull(), F.col("near")), F.col("page_first")).alias("start"), matched.isNotNull().alias("matched"))
 
