@@ -23,10 +23,10 @@ score and count are ordered by the phrase's UTF-8 bytes.
 from __future__ import annotations
 
 import struct
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import count, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -136,37 +136,56 @@ def encode_by_broadcast(documents: DataFrame, dictionary: DataFrame) -> DataFram
     return documents.mapInArrow(run, "ids binary")
 
 
-def encode_by_join(documents: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """The same by a join, for dictionaries too large to broadcast: texts become rows of words in groups of 1,000 places, a word is looked up
-    by (lang, word), and a group is put together again with the last three words of the group before in front."""
-    size, back = 1000, WORDS - 1
+def cut_to_places(documents: DataFrame, longest: int = 1 << 20) -> DataFrame:
+    """Texts a step at a time as rows (places, langs, words): the distinct words of the step, and for each place the number of its word in them (from 1; 0 is a
+    break). Of a text of more than ``longest`` words each stretch is a row of its own, with the last three words of the one before in front, and ``again`` is set."""
+    back = WORDS - 1
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def row(parts: list[tuple[str, list[bytes]]], again: bool) -> pa.RecordBatch:
+            number = count(1)
+            by_lang: dict[str, defaultdict[bytes, int]] = {}
+            every = [] if again else [np.zeros(1, np.int64)]
+            for lang, words in parts:
+                if lang not in by_lang:
+                    by_lang[lang] = defaultdict(number.__next__, {BREAK: 0})
+                every += [np.fromiter(map(by_lang[lang].__getitem__, words), np.int64, len(words)), np.zeros(1, np.int64)]
+            found = sorted((n, lang, w) for lang, own in by_lang.items() for w, n in own.items() if n)
+            columns = [pa.array([np.concatenate(every).astype("<u4").tobytes()], pa.binary()), pa.array([again]), pa.array([[x[1] for x in found]], pa.list_(pa.string())), pa.array([[x[2] for x in found]], pa.list_(pa.binary()))]
+            return pa.RecordBatch.from_arrays(columns, ["places", "again", "langs", "words"])
+
         for part in steps(batches, "text"):
-            for key, lang, text in zip(part.column("key").to_pylist(), part.column("lang").to_pylist(), part.column("text").to_pylist()):
+            held: list[tuple[str, list[bytes]]] = []
+            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
                 words = [w for w in cut(text) if w]
-                for at in range(0, len(words), size * 20):
-                    some = words[at : at + size * 20]
-                    yield pa.RecordBatch.from_arrays([pa.array([key] * len(some), pa.int64()), pa.array([lang] * len(some), pa.string()), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.binary())], ["key", "lang", "at", "word"])
-
-    keyed = documents.withColumn("key", F.monotonically_increasing_id()).checkpoint()
-    words = keyed.mapInArrow(run, "key long, lang string, at long, word binary")
-    found = words.join(dictionary.select("lang", "word", "id"), ["lang", "word"])
-    group = F.floor(F.col("at") / size)
-    both = F.array(group, F.when((F.col("at") % size) >= size - back, group + 1))
-    placed = found.select("key", F.explode(both).alias("group"), F.struct("at", "id").alias("w")).where("group IS NOT NULL")
-    groups = placed.groupBy("key", "group").agg(F.array_sort(F.collect_list("w")).alias("w")).select("group", "w")
+                if len(words) <= longest:
+                    held.append((lang, words))
+                    continue
+                for at in range(0, len(words), longest):
+                    yield row([(lang, words[max(0, at - back) : at + longest])], at > 0)
+            if held:
+                yield row(held, False)
+
+    return documents.mapInArrow(run, "places binary, again boolean, langs array<string>, words array<binary>")
+
+
+def encode_by_join(documents: DataFrame, dictionary: DataFrame, longest: int = 1 << 20) -> DataFrame:
+    """The same by a join, for dictionaries too large to broadcast. A word is looked up by (lang, word) once for each step of texts that has it, not at each of its places."""
+    cut = cut_to_places(documents, longest).withColumn("key", F.monotonically_increasing_id()).checkpoint()
+    words = cut.select("key", F.posexplode(F.arrays_zip("langs", "words")).alias("at", "w")).select("key", "at", F.col("w.langs").alias("lang"), F.col("w.words").alias("word"))
+    found = words.join(dictionary.select("lang", "word", "id"), ["lang", "word"]).groupBy("key").agg(F.collect_list(F.struct("at", "id")).alias("ids"))
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = []
-            for group, w in zip(batch.column("group").to_pylist(), batch.column("w").to_pylist()):
-                ids = np.zeros(size + back, np.int64)
-                ids[[x["at"] - group * size + back for x in w]] = [x["id"] for x in w]
-                blobs.append(struct.pack("<i", -1) + ids.astype("<u4").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["ids"])
-
-    return groups.mapInArrow(pack, "ids binary")
+            for i in range(batch.num_rows):
+                ids = np.zeros(batch.column("n")[i].as_py() + 1, np.int64)
+                pairs = batch.column("ids")[i].values
+                ids[pairs.field("at").to_numpy() + 1] = pairs.field("id").to_numpy()
+                placed = ids[np.frombuffer(batch.column("places")[i].as_buffer(), "<u4")]
+                blob = struct.pack("<i", -1) + placed.astype("<u4").tobytes() if batch.column("again")[i].as_py() else _blob(placed)
+                yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary())], ["ids"])
+
+    return cut.select("key", "places", "again", F.size("words").alias("n")).join(found, "key").select("places", "again", "n", "ids").mapInArrow(pack, "ids binary")
 
 
 def radix_order(high: np.ndarray, low: np.ndarray) -> np.ndarray:

@@ -88,3 +88,29 @@ def test_large_counts_do_not_overflow(spark):
     pair = spark.createDataFrame([(bytes([0, 0, 0, 1, 0, 0, 0, 2]) + bytes(8), big)], "key binary, f long")
     words = spark.createDataFrame([(bytes([0, 0, 0, i]) + bytes(12), 2 * big) for i in (1, 2)], "key binary, f long")
     assert [r["score"] for r in C.scored(pair, words, C.PhraseParams()).collect()] == [500_000]
+
+
+def test_a_word_is_joined_once_a_step(spark):
+    # 40 texts of 3,000 words, 30 distinct ones: the join takes a row for each distinct word of a step, not for each of 120,000 places
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(30)]
+    texts = [("en", " ".join(rng.choice(words) + rng.choice(["", "", "."]) for _ in range(3000)).encode()) for _ in range(40)]
+    docs = spark.createDataFrame(texts, "lang string, text binary").repartition(2)
+    dictionary = spark.createDataFrame([("en", w.encode(), i + 1, 7) for i, w in enumerate(words[:25])], "lang string, word binary, id long, n long")
+    C.with_checkpoints(spark)
+
+    def written() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    def pairs(encoded) -> Counter:
+        found = Counter()
+        for r in encoded.collect():
+            for high, low in C.phrase_keys(bytes(r["ids"]), (2, 3, 4), None, 0):
+                found.update(zip(high.tolist(), low.tolist()))
+        return found
+
+    want, before = pairs(C.encode_by_broadcast(docs, dictionary)), written()
+    assert pairs(C.encode_by_join(docs, dictionary)) == want
+    assert written() - before < 5_000
+    assert pairs(C.encode_by_join(docs, dictionary, longest=100)) == want
