@@ -3,8 +3,8 @@
 Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of their patterns that pass their test. Generators of high recall
 propose further candidates, which overlap base spans and each other: numbers of any grouping, and runs of letters and digits. Gradient-boosted
 trees judge a candidate by format (length, shares of digits, letters and capitals, variety, separators) and by context (a naming word,
-a quote or a sign of assignment before it). No row is labelled by hand: labelling functions mark candidates of a sample, by check sums,
-number ranges and naming words, or abstain; trees learn from the marked ones. Each kind gets the lowest threshold at which ``precision`` of
+a quote or a sign of assignment before it). No row is labelled by hand: labelling functions mark candidates by check sums,
+number ranges and naming words, or abstain; trees learn from the marked ones of all texts. Each kind gets the lowest threshold at which ``precision`` of
 the selected are right, by the scores that trees of the other folds give; a kind that reaches it nowhere selects nothing. What a labelling function rules out (a number with a wrong check sum, say) is never selected. Selected candidates that overlap no base span are
 redacted too: as ``secret``, which wins over ``number`` where they overlap.
 
@@ -55,10 +55,8 @@ FOLDS = 3
 
 @dataclass(frozen=True)
 class PiiParams:
-    """``sample_documents`` bounds the texts whose candidates are marked, ``sample_candidates`` the marked candidates; ``proof`` held-out ones prove a threshold."""
+    """The trees' number and depth; ``proof`` held-out candidates, ``precision`` of them right, prove a threshold."""
 
-    sample_documents: int = 20_000
-    sample_candidates: int = 40_000
     trees: int = 10
     depth: int = 4
     precision: float = 0.95
@@ -164,20 +162,12 @@ def marked(kind: str, c: Column) -> Column:
     )
 
 
-def draw(text: Column) -> Column:
-    return F.pmod(F.xxhash64(text, F.lit("draw")), F.lit(1 << 30))
-
-
-def sample_of(documents: DataFrame, params: PiiParams) -> DataFrame:
-    """kind, x, label and fold of the marked candidates of a bounded sample; the same on every run."""
-    below = int((1 << 30) * min(1.0, params.sample_documents / max(1, documents.count())))
-    some = documents.select(F.coalesce("text", F.lit("")).alias("text")).where(draw(F.col("text")) < below).distinct()
-    cands = with_candidates(some)
-    entry = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c["x"].alias("x"), marked(kind, c).alias("label"), c["s"].alias("s"))
+def marked_candidates(documents: DataFrame) -> DataFrame:
+    """kind, x, label, fold of the marked candidates of all texts, equal ones as one row with their number n; the same on every run."""
+    cands = with_candidates(documents.select(F.coalesce("text", F.lit("")).alias("text")))
+    entry = lambda kind: lambda c: F.struct(F.lit(kind).alias("kind"), c["x"].alias("x"), marked(kind, c).alias("label"), F.pmod(F.xxhash64(c["s"]), F.lit(FOLDS)).alias("fold"))
     each = F.concat(*[F.transform(kind, entry(kind)) for kind in GENERATORS])
-    rows = cands.select(F.explode(each).alias("c"), F.xxhash64("text").alias("t")).select("c.*", "t").where("label IS NOT NULL")
-    order = F.xxhash64("s", "t")
-    return rows.orderBy(order, "kind", "label", "x").limit(params.sample_candidates).select("kind", "x", "label", F.pmod(F.xxhash64("s"), F.lit(FOLDS)).alias("fold")).coalesce(1)
+    return cands.select(F.explode(each).alias("c")).select("c.*").where("label IS NOT NULL").groupBy("kind", "x", "label", "fold").agg(F.count("*").alias("n"))
 
 
 @dataclass(frozen=True)
@@ -220,20 +210,20 @@ def fit(documents: DataFrame, params: PiiParams = PiiParams()) -> Model:
     from pyspark.ml.functions import array_to_vector
 
     with_checkpoints(documents.sparkSession)
-    sample = sample_of(documents, params).checkpoint()
-    learner = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, seed=1, featuresCol="v", labelCol="label")
+    rows = marked_candidates(documents).checkpoint()
+    learner = GBTClassifier(maxIter=params.trees, maxDepth=params.depth, seed=1, featuresCol="v", labelCol="label", weightCol="n")
 
     def learned(rows: DataFrame) -> Model | None:
         if len(rows.select("label").distinct().collect()) < 2:
             return None
-        trees = learner.fit(rows.select(array_to_vector("x").alias("v"), "label"))
+        trees = learner.fit(rows.select(array_to_vector("x").alias("v"), "label", F.col("n").cast("double").alias("n")))
         return Model(tuple(tree_of(t.toDebugString) for t in trees.trees), tuple(trees.treeWeights))
 
-    model, scores = learned(sample), []
+    model, scores = learned(rows), []
     for fold in range(FOLDS):
-        if other := model and learned(sample.where(F.col("fold") != fold)):
-            bins = sample.where(F.col("fold") == fold).groupBy("kind", F.floor(probability(F.col("x"), other) * 200).alias("bin"))
-            scores += bins.agg(F.count("*").alias("n"), F.sum("label").alias("right")).collect()  # 201 rows a kind at most
+        if other := model and learned(rows.where(F.col("fold") != fold)):
+            bins = rows.where(F.col("fold") == fold).groupBy("kind", F.floor(probability(F.col("x"), other) * 200).alias("bin"))
+            scores += bins.agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()  # 201 rows a kind at most
     if not model:
         return Model()
     thresholds = []

@@ -122,3 +122,11 @@ def test_redact(spark, model):
     texts = ["😀 mail a.b@c.de, or 10.0.0.7!", "nothing here", "a@b.co", None, 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" end', "+1 (017) 555-7713, 10.0.0.1 +1 23 10.0.0.1"]
     got = {r["doc_id"]: r["text"] for r in P.redact(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()}
     assert got == {0: "😀 mail [email], or [ip]!", 1: "nothing here", 2: "[email]", 3: "", 4: 'token = "[secret]" end', 5: "[phone], [ip] +1 23 [ip]"}
+
+
+def test_trees_learn_from_all_texts(spark):
+    # 21,000 texts without candidates and a few with: a sample of 20,000 would hold only some of these
+    plain = spark.range(21_000).select(F.concat(F.lit("text "), F.col("id").cast("string").substr(1, 4)).alias("text"))
+    some = spark.range(600).select(F.concat(F.lit("token = \""), F.substring(F.sha1(F.col("id").cast("string").cast("binary")), 1, 40), F.lit("\" and the abcdefghijklmnopq")).alias("text"))
+    rows = P.marked_candidates(plain.unionAll(some)).groupBy("kind", "label").agg(F.sum("n").alias("n")).collect()
+    assert {(r["kind"], r["label"]): r["n"] for r in rows} == {("secret", 1.0): 600, ("secret", 0.0): 600}
