@@ -51,10 +51,10 @@ def give_back() -> None:
         pass
 
 
-def map_rows(df: DataFrame, column: str | tuple[str, ...], schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]]) -> DataFrame:
+def map_rows(df: DataFrame, column: str | tuple[str, ...], schema: str | StructType, make: Callable[[], Callable[[pa.RecordBatch], dict]], limit: int = STEP_BYTES) -> DataFrame:
     """Map ``df`` by Arrow batches of bounded size.
 
-    ``make`` runs once in each task and returns the function that turns a slice into columns
+    ``make`` runs once in each task and returns the function that turns a slice, of one row or of at most ``limit`` bytes of text, into columns
     (name to list or array) of the output schema.
     """
     kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
@@ -62,7 +62,7 @@ def map_rows(df: DataFrame, column: str | tuple[str, ...], schema: str | StructT
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(kind)
         work = make()
-        for part in steps(batches, column):
+        for part in steps(batches, column, limit):
             got = work(part)
             yield pa.RecordBatch.from_arrays([x if isinstance(x := got[f.name], pa.Array) else pa.array(x, f.type) for f in out], schema=out)
         del work

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from leafmill.llm._batches import crc32_mod, excerpt, map_rows, small_enough, with_checkpoints
 
 UNKNOWN = "und"
+#: Bytes of text whose n-grams one step of the fit holds at once, at some 100 bytes a byte.
+FIT_BYTES = 256 << 10
 #: Languages beyond which their counts are not broadcast.
 BROADCAST_LANGUAGES = 100_000
 
@@ -143,7 +145,7 @@ def fit(documents: DataFrame, params: LanguageParams = LanguageParams()) -> Lang
 
         return work
 
-    counted = map_rows(training_rows(documents, params=params), "text", "lang string, key long, n long", make).groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    counted = map_rows(training_rows(documents, params=params), "text", "lang string, key long, n long", make, FIT_BYTES).groupBy("lang", "key").agg(F.sum("n").alias("n"))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "key"))
     top = counted.withColumn("place", place).where(F.col("place") <= params.profile).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("place", "key"))).alias("profile"))
     by = {r["lang"]: tuple(x["key"] for x in r["profile"]) for r in sorted(top.collect(), key=lambda r: r["lang"])}

@@ -105,3 +105,14 @@ def test_broken_bitmaps_are_refused(which):
         except media.MediaError:
             continue
         assert isinstance(out, np.ndarray)
+
+
+def test_a_mapped_step_has_its_own_limit(spark):
+    from leafmill.llm._batches import map_rows
+
+    def make():
+        return lambda part: {"n": [part.num_rows], "size": [sum(len(t) for t in part.column("text").to_pylist())]}
+
+    texts = spark.createDataFrame([("x" * 400,) for _ in range(9)] + [("y" * 5000,)], "text string").coalesce(1)
+    rows = map_rows(texts, "text", "n int, size int", make, 1000).collect()
+    assert sum(r["n"] for r in rows) == 10 and all(r["size"] <= 1000 or r["n"] == 1 for r in rows)
