@@ -79,3 +79,22 @@ def test_books_are_built_from_texts_read_once(spark):
     assert made.totals.first().asDict() == {"book": 1, "paragraphs": 2, "words": 3, "chapters": 1, "images": 3, "scene_breaks": 0}
     # the text is normalised before the cut, so no plan behind it looks for white space
     assert "regexp_replace" not in made.paragraphs._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_even_texts_are_not_walked_by_the_pattern(spark):
+    # every white space of the class by itself and doubled, inside and at the ends, beside wide characters and without
+    spaces = [" ", "\t", "\x0b", "\x0c", "\r", " ", " ", *map(chr, range(0x2000, 0x200B)), " ", " ", " ", " ", "　", "﻿"]
+    texts = [f for s in spaces for f in (f"a{s}b", f"é{s}b\n{s}\nc{s}", f"{s}a{s}{s}b", f"a {s}b­ c")]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").select("text", M.paragraph_array("text"), F.filter(F.transform(F.split("text", "\n"), T.normalize_text), lambda x: x != "")).collect()
+    assert all(r[1] == r[2] for r in rows), [r for r in rows if r[1] != r[2]][:3]
+    big = spark.range(4000).select(F.repeat(F.concat(F.repeat(F.lit("plain words of a text "), 40), F.lit("wörd"), F.col("id").cast("string"), F.lit("\n")), 30).alias("text")).persist()
+    big.count()
+
+    def seconds(c) -> float:
+        began = time.perf_counter()
+        big.agg(F.sum(F.length(F.to_json(F.slice(c, 1, 1))))).first()
+        return time.perf_counter() - began
+
+    walked = F.filter(F.transform(F.split(F.regexp_replace(F.replace("text", F.lit("­"), F.lit("")), T._UNEVEN_IN_LINE, " "), "\n"), F.trim), lambda x: x != "")
+    assert min(seconds(T.normalized_lines("text")) for _ in range(2)) < 0.9 * min(seconds(walked) for _ in range(2))
+    big.unpersist()
