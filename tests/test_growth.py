@@ -98,3 +98,10 @@ def test_even_texts_are_not_walked_by_the_pattern(spark):
     walked = F.filter(F.transform(F.split(F.regexp_replace(F.replace("text", F.lit("­"), F.lit("")), T._UNEVEN_IN_LINE, " "), "\n"), F.trim), lambda x: x != "")
     assert min(seconds(T.normalized_lines("text")) for _ in range(2)) < 0.9 * min(seconds(walked) for _ in range(2))
     big.unpersist()
+
+
+def test_gap_clusters_without_python(spark):
+    gaps = spark.createDataFrame([(1, 0, float(g)) for g in (9, 1, 1.5, 5, 1.2, 5.4)] + [(2, 3, 7.0)], "book_id long, page long, gap double")
+    df = G.gap_clusters(gaps, 1)
+    assert sorted(map(tuple, df.collect())) == [(1, 0, 0, 3, 1.2), (1, 0, 1, 2, 5.2), (1, 0, 2, 1, 9.0), (2, 3, 0, 1, 7.0)]
+    assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
