@@ -105,3 +105,19 @@ def test_gap_clusters_without_python(spark):
     df = G.gap_clusters(gaps, 1)
     assert sorted(map(tuple, df.collect())) == [(1, 0, 0, 3, 1.2), (1, 0, 1, 2, 5.2), (1, 0, 2, 1, 9.0), (2, 3, 0, 1, 7.0)]
     assert "InArrow" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_schedule_shuffles_paragraphs_not_words(spark):
+    from leafmill.operators import schedule
+
+    paras = spark.range(1, 5).select(F.lit(1).alias("doc_id"), F.col("id").cast("int").alias("paragraph_id"), F.split(F.rtrim(F.repeat(F.lit("word, "), 5000)), " ").alias("tokens"))
+    of = paras.select("doc_id", "paragraph_id", F.lit(0).alias("chapter_index"), F.lit("chapter").alias("kind"), F.lit(False).alias("scene"))
+
+    def written() -> int:
+        stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = written()
+    rows = schedule.paragraph_schedule(paras, of).agg(F.count("*").alias("n"), F.max("word_seq").alias("last"), F.sum("delay_ms").alias("all"), F.max("at_ms").alias("at")).first()
+    assert (rows["n"], rows["last"]) == (20_000, 19_999) and rows["all"] == rows["at"]
+    assert written() - before < 100
