@@ -121,3 +121,30 @@ def test_a_schedule_shuffles_paragraphs_not_words(spark):
     rows = schedule.paragraph_schedule(paras, of).agg(F.count("*").alias("n"), F.max("word_seq").alias("last"), F.sum("delay_ms").alias("all"), F.max("at_ms").alias("at")).first()
     assert (rows["n"], rows["last"]) == (20_000, 19_999) and rows["all"] == rows["at"]
     assert written() - before < 100
+
+
+def shuffled_bytes(spark) -> int:
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def noise(spark, n: int):
+    """``n`` rows whose texts of 6,400 characters do not compress well."""
+    return spark.range(1, n + 1).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(100)), lambda i: F.sha2(F.concat_ws(" ", "id", i), 256)), "").alias("text"))
+
+
+def test_furniture_moves_no_texts(spark):
+    lines = noise(spark, 1000).select(F.lit("b").alias("book_id"), F.floor(F.col("id") / 10).cast("int").alias("page"), F.col("id").alias("line_order"), "text", (F.col("id") % 10 * 10).cast("double").alias("baseline"), F.lit(100.0).alias("height"))
+    before = shuffled_bytes(spark)
+    assert sorted(r["line_order"] for r in G.without_furniture(lines).select("line_order").collect()) == list(range(1, 1001))
+    whole, before = shuffled_bytes(spark) - before, shuffled_bytes(spark)
+    kept = G.drop_furniture(G.furniture_marks(lines).drop("text"))
+    assert kept.count() == 1000 and "text" not in kept.columns
+    assert shuffled_bytes(spark) - before < 300_000 < whole
+
+
+def test_long_edge_lines_have_signatures(spark):
+    # a line of more than 180 characters counts for no signature, but goes where shorter ones make it recur; a footer of legal matter is no edge line of another page
+    lines = [("b", p, f"page of the book {p}", 5.0) for p in range(1, 7)] + [("b", 7, f"page of the book {'7' * 200}", 5.0), ("b", 8, "8" * 200, 5.0), ("b", 8, "©", 90.0), ("b", 8, "gone", 95.0), ("b", 9, None, 5.0), ("b", 9, None, 50.0), ("b", 9, "x", None)]
+    df = spark.createDataFrame(lines, "book_id string, page int, text string, baseline double").withColumn("height", F.lit(100.0))
+    assert sorted(map(str, (tuple(r) for r in G.without_furniture(df).select("page", "baseline").collect()))) == sorted(map(str, [(8, 5.0), (9, 50.0), (9, None)]))
