@@ -65,12 +65,20 @@ def text_diagnostics(facts: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def chapter_diagnostics(chapters: DataFrame, books: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rules over chapter lists. ``chapters``: key, chapter_index, title, start_paragraph_id; ``books``: key, paragraphs."""
-    w = Window.partitionBy(key).orderBy("chapter_index")
-    at = chapters.join(books, key).withColumn("prev", F.lag("start_paragraph_id", 1, 0).over(w))
-    bad = (F.col("start_paragraph_id") < 1) | (F.col("start_paragraph_id") > F.col("paragraphs")) | (F.col("start_paragraph_id") < F.col("prev"))
-    facts = at.groupBy(key).agg(F.count_if(~T.sane_title("title")).alias("nonsense"), F.count_if(bad).alias("invalid"), F.count("*").alias("n"), F.count_distinct("start_paragraph_id").alias("starts"))
-    facts = books.select(key).join(facts, key, "left").na.fill(0)
+    """Rules over chapter lists. ``chapters``: key, chapter_index, title, start_paragraph_id; ``books``: key, paragraphs, one row a book."""
+    listed = chapters.where(F.col(key).isNotNull()).select(key, F.lit(True).alias("entry"), "chapter_index", (~T.sane_title("title")).alias("nonsense"), "start_paragraph_id")
+    return entry_diagnostics(listed.unionByName(books.select(key, F.lit(False).alias("entry"), "paragraphs"), allowMissingColumns=True), key)
+
+
+def entry_diagnostics(rows: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The same from narrow rows: an ``entry`` with chapter_index, nonsense (whether its title is no title) and start_paragraph_id, or a book with its number of paragraphs, which
+    entries may have as well; other entries are of no book and are left out."""
+    # a book's own row comes first, so that its number is known to all entries
+    w = Window.partitionBy(key).orderBy("entry", "chapter_index")
+    start, entry = F.col("start_paragraph_id"), F.col("entry")
+    at = rows.withColumns({"prev": F.lag(F.when(entry, start).otherwise(0), 1, 0).over(w), "of": F.max("paragraphs").over(w)})
+    bad = entry & ((start < 1) | (start > F.col("of")) | (start < F.col("prev")))
+    facts = at.groupBy(key).agg(F.count_if(entry & F.col("nonsense")).alias("nonsense"), F.count_if(bad).alias("invalid"), F.count_if(entry).alias("n"), F.count_distinct("start_paragraph_id").alias("starts"), F.bool_or(~entry | F.col("paragraphs").isNotNull()).alias("known")).where("known")
     fired = F.array(
         diagnostic(F.col("n") == 0, CHAPTERS, "failure", "weak_chapters", F.lit("No chapter/navigation entry was extracted.")),
         diagnostic((F.col("nonsense") > 0) | (F.col("invalid") > 0), CHAPTERS, "failure", "weak_chapters", say("Chapter list contains ", F.col("nonsense"), " nonsense titles and ", F.col("invalid"), " invalid starts.")),

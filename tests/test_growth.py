@@ -148,3 +148,29 @@ def test_long_edge_lines_have_signatures(spark):
     lines = [("b", p, f"page of the book {p}", 5.0) for p in range(1, 7)] + [("b", 7, f"page of the book {'7' * 200}", 5.0), ("b", 8, "8" * 200, 5.0), ("b", 8, "©", 90.0), ("b", 8, "gone", 95.0), ("b", 9, None, 5.0), ("b", 9, None, 50.0), ("b", 9, "x", None)]
     df = spark.createDataFrame(lines, "book_id string, page int, text string, baseline double").withColumn("height", F.lit(100.0))
     assert sorted(map(str, (tuple(r) for r in G.without_furniture(df).select("page", "baseline").collect()))) == sorted(map(str, [(8, 5.0), (9, 50.0), (9, None)]))
+
+
+def test_chapter_rules_move_no_titles(spark):
+    from leafmill.operators import validate as V
+
+    chapters = noise(spark, 1000).select(F.lit("b").alias("doc_id"), F.col("id").alias("chapter_index"), F.col("text").alias("title"), F.col("id").alias("start_paragraph_id"))
+    before = shuffled_bytes(spark)
+    got = V.chapter_diagnostics(chapters, spark.createDataFrame([("b", 999), ("none", 3)], "doc_id string, paragraphs long"))
+    assert sorted((r["doc_id"], r["message"][:44]) for r in got.collect()) == [("b", "Chapter list contains 1000 nonsense titles a"), ("none", "No chapter/navigation entry was extracted.")]
+    assert shuffled_bytes(spark) - before < 300_000
+
+
+def test_chapter_rules(spark):
+    from leafmill.operators import validate as V
+
+    # a first start below 1, one beyond the book, one that falls, one without; an unlisted book; four entries at one start
+    rows = [("a", 1, "A", 0), ("a", 2, " . ", 9), ("a", 3, "B", 8), ("a", 4, None, None), ("gone", 1, "A", 1), *(("c", i, "T", 1) for i in range(4))]
+    chapters = spark.createDataFrame(rows, "doc_id string, chapter_index int, title string, start_paragraph_id int")
+    got = V.chapter_diagnostics(chapters, spark.createDataFrame([("a", 8), ("c", 5), ("d", None)], "doc_id string, paragraphs long"))
+    assert sorted((r["doc_id"], r["message"]) for r in got.collect()) == [("a", "Chapter list contains 1 nonsense titles and 3 invalid starts."), ("c", "Chapter entries collapse to too few distinct paragraph starts."), ("d", "No chapter/navigation entry was extracted.")]
+
+
+def test_titles_are_normalised_once(spark):
+    texts = ["­", " \n ", "a" * 240, "a" * 241, f"\t{'a ' * 120}", f"{'a  ' * 120}b", " 9 ", "« »", None, "a ­ b" * 60]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.sane_title("t"), F.length(T.normalize_text("t")).between(1, 240) & T.normalize_text("t").rlike(r"[\p{L}\p{N}]"), T.with_normalized("t", lambda x: x), T.normalize_text("t")).collect()
+    assert all(r[0] == r[1] and r[2] == r[3] for r in rows) and [r[0] for r in rows][:4] == [False, False, True, False]
