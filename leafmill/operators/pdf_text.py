@@ -2,7 +2,7 @@
 
 Draft paragraphs are rows (book_id, page, para, heading, text, lines); ``lines`` are the printed lines, an array of
 (text, col, baseline, font_size, x_min, x_max), in order. ``heading`` is null, ``strong`` or ``typographic``. Windows over a whole book hold narrow rows
-of pages, markers or paragraph facts, never lines or texts.
+of pages, markers, titles or paragraph facts, never lines or texts.
 """
 
 from __future__ import annotations
@@ -438,35 +438,57 @@ def choose_chapters(books: DataFrame, outline: DataFrame, headings: DataFrame) -
     """(chapters, diagnostics) of PDF books: the outline, or visible headings where it cannot be relied on, or one chapter.
 
     ``books``: book_id, title, paragraphs, pages, items (of the outline as it was read); ``outline``: book_id, ord, title, start, matched; ``headings``: book_id, title, start, prominence, strong, without copies of
-    a table of contents (``heading_dedup``). All judgements are facts of one aggregate a book.
+    a table of contents (``heading_dedup``). All three go by book in one exchange and one order, by start, in which all judgements are running values and sums: a task holds one sort of its rows. Equal
+    starts or numbers stand side by side there, so distinct ones are counted where they change. A book with several rows is judged for each, as joins would have it.
     """
     from leafmill.operators.geometry import structural_marker
 
-    wide = lambda low, high: F.coalesce(high - low >= F.greatest(F.lit(20.0), F.col("paragraphs") * 0.2), F.lit(False))
-    artifact = F.lower(T.normalize_text("title")).rlike(ARTIFACT)
-    o = outline.groupBy("book_id").agg(F.count("*").alias("o_n"), F.count_if("matched").alias("o_matched"), F.count_if(artifact).alias("o_artifacts"), F.count_distinct("start").alias("o_starts"), F.min("start").alias("o_low"), F.max("start").alias("o_high"))
     family, order = structural_marker("title")
-    h = headings.withColumns({"family": family, "order": order, "matter": F.coalesce(T.normalize_text("title").rlike(MATTER), F.lit(False))})
+    matter = F.coalesce(T.normalize_text("title").rlike(MATTER), F.lit(False))
+    h = headings.where("book_id IS NOT NULL").withColumns({"family": family, "order": order, "matter": matter, "prominent": F.coalesce(F.col("prominence") >= 1.15, F.lit(False))})
+    h = h.withColumn("marked", F.col("family").isNotNull() | F.col("matter"))
+    rows = [
+        books.select("book_id", F.lit(0).alias("part"), "title", F.lit(1).alias("start"), "paragraphs", "pages", "items"),
+        outline.where("book_id IS NOT NULL").select("book_id", F.lit(1).alias("part"), "title", "start", "matched", F.lower(T.normalize_text("title")).rlike(ARTIFACT).alias("artifact")),
+        h.select("book_id", F.lit(2).alias("part"), "title", "start", "strong", F.when(F.col("family") == "chapter", F.col("order")).alias("number"), "marked", "prominent", F.nullif(title_key(F.when(F.col("marked") | F.col("prominent"), F.col("title"))), F.lit("")).alias("key")),
+    ]
+    at = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    in_order = Window.partitionBy("book_id").orderBy("part", "start", "number")
+    every, before = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), in_order.rowsBetween(Window.unboundedPreceding, -1)
+    part = F.col("part")
+    which = lambda cond, c: F.when(cond, F.col(c))
+    wide = lambda low, high: F.coalesce(high - low >= F.greatest(F.lit(20.0), F.col("paragraphs") * 0.2), F.lit(False))
+    at = at.withColumn("n_strong", F.count_if("strong").over(every))
     # numbered chapters among strong headings, where there are two of these, else among all
-    n_strong = headings.groupBy("book_id").agg(F.count_if("strong").alias("n_strong"))
-    numbered = h.join(n_strong, "book_id").where("(n_strong < 2 OR strong) AND family = 'chapter' AND order IS NOT NULL")
-    falls = F.col("order") < F.lag("order").over(Window.partitionBy("book_id").orderBy("start"))
-    runs = numbered.withColumn("falls", F.coalesce(falls, F.lit(False))).groupBy("book_id").agg(F.count_distinct("order").alias("r_n"), F.bool_or("falls").alias("r_falls"), F.min("start").alias("r_low"), F.max("start").alias("r_high"))
-    facts = books.join(runs, "book_id", "left").withColumn("numbered", F.coalesce((F.col("r_n") >= 3) & ~F.col("r_falls"), F.lit(False)) & wide(F.col("r_low"), F.col("r_high")))
-    # beside a reliable numbering only marked headings and matter are chapters
-    marked = F.col("family").isNotNull() | F.col("matter")
-    kept = h.join(facts.select("book_id", "numbered"), "book_id").where(marked | (~F.col("numbered") & (F.col("prominence") >= 1.15)))
-    key = title_key("title")
-    k = kept.groupBy("book_id").agg(F.count("*").alias("k_n"), F.count_distinct(F.nullif(key, F.lit(""))).alias("k_titles"), F.count_distinct("start").alias("k_starts"), F.min("start").alias("k_low"), F.max("start").alias("k_high"))
-    f = facts.join(o, "book_id", "left").join(k, "book_id", "left").na.fill(0, ["o_n", "o_matched", "o_artifacts", "o_starts", "k_n", "k_titles", "k_starts"])
+    at = at.withColumn("turn", which((F.col("n_strong") < 2) | F.col("strong"), "number"))
+    turn, last = F.col("turn"), F.col("last_turn")
+    at = at.withColumn("last_turn", F.last("turn", ignorenulls=True).over(before))
+    rises, falls = F.count_if(turn.isNotNull() & (last.isNull() | (turn > last))).over(every), F.count_if(turn < last).over(every)
+    at = at.withColumns({"rises": rises, "falls": falls, "r_low": F.min(which(turn.isNotNull(), "start")).over(every), "r_high": F.max(which(turn.isNotNull(), "start")).over(every)})
+    at = at.withColumn("numbered", (F.col("rises") >= 3) & (F.col("falls") == 0) & wide(F.col("r_low"), F.col("r_high")))
+    # beside a reliable numbering only marked headings and matter are chapters; a heading counts for each row of its book
+    at = at.withColumns({"n_books": F.count_if(part == 0).over(every), "n_loose": F.count_if((part == 0) & ~F.col("numbered")).over(every)})
+    at = at.withColumn("times", F.when(F.col("marked"), F.col("n_books")).when(F.col("prominent"), F.col("n_loose")).otherwise(0))
+    listed, kept = part == 1, F.col("times") > 0
+    at = at.withColumn("last_start", F.last(F.when(listed | kept, F.struct("part", "start")), ignorenulls=True).over(before))
+    new = F.col("start").isNotNull() & ~F.coalesce((F.col("last_start.part") == part) & (F.col("last_start.start") == F.col("start")), F.lit(False))
+    sums = {"o_n": F.count_if(listed), "o_matched": F.count_if("matched"), "o_artifacts": F.count_if("artifact"), "o_starts": F.count_if(listed & new), "k_n": F.sum("times"), "k_starts": F.count_if(kept & new)}
+    ends = {f"{x}_{n}": f(which(rows, c)) for x, rows, c in (("o", listed, "start"), ("k", kept, "start"), ("key", kept, "key")) for n, f in (("low", F.min), ("high", F.max))}
+    at = at.withColumns({name: c.over(every) for name, c in {**sums, **ends}.items()})
+    # three titles differ where one stands between the first and the last
+    between = kept & (F.col("key") > F.col("key_low")) & (F.col("key") < F.col("key_high"))
+    at = at.withColumn("k_differ", F.count_if(between).over(every) > 0)
     produced = (F.col("o_n") > 0) & (F.col("o_artifacts") >= F.col("o_n") / 2)
     trusted = (F.col("o_matched") >= 2) | ((F.col("o_n") >= 3) & ~produced & (F.col("o_starts") / F.greatest(F.col("o_n"), F.lit(1)) >= 0.6) & wide(F.col("o_low"), F.col("o_high")))
-    fallback = F.col("numbered") | ((F.col("k_n") >= 3) & (F.col("k_titles") >= 3) & (F.col("k_starts") / F.greatest(F.col("k_n"), F.lit(1)) >= 0.75) & wide(F.col("k_low"), F.col("k_high")))
+    fallback = F.col("numbered") | ((F.col("k_n") >= 3) & F.col("k_differ") & (F.col("k_starts") / F.greatest(F.col("k_n"), F.lit(1)) >= 0.75) & wide(F.col("k_low"), F.col("k_high")))
     replaced = (F.col("o_n") > 0) & ~trusted & (F.col("numbered") | (produced & fallback))
-    source = F.when((F.col("o_n") > 0) & ~replaced, "outline").when(F.col("k_n") > 0, "headings").when(F.col("paragraphs") > 0, "single").otherwise("none")
-    f = f.withColumns({"replaced": replaced, "source": source}).withColumn("chosen", F.when(F.col("source") == "outline", F.col("o_n")).when(F.col("source") == "headings", F.col("k_n")).when(F.col("source") == "single", 1).otherwise(0))
-    row = lambda df, name: df.join(f.where(F.col("source") == name).select("book_id"), "book_id").select("book_id", F.lit(name).alias("source"), "title", F.col("start").cast("long").alias("start"))
-    chapters = row(outline, "outline").unionByName(row(kept, "headings")).unionByName(row(books.withColumn("start", F.lit(1)), "single"))
+    source = F.when((F.col("o_n") > 0) & ~F.col("replaced"), "outline").when(F.col("k_n") > 0, "headings").when(F.col("paragraphs") > 0, "single").otherwise("none")
+    at = at.withColumn("replaced", replaced).withColumn("source", source)
+    of = lambda name: F.count_if((part == 0) & (F.col("source") == name)).over(every)
+    n = F.when(part == 0, (F.col("source") == "single").cast("long")).when(listed, of("outline")).otherwise(F.col("times") * of("headings"))
+    chapters = at.withColumn("n", n).where("book_id IS NOT NULL AND n > 0").withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
+    chapters = chapters.select("book_id", F.when(part == 0, "single").when(listed, "outline").otherwise("headings").alias("source"), "title", F.col("start").cast("long").alias("start"))
+    f = at.where(part == 0).withColumn("chosen", F.when(F.col("source") == "outline", F.col("o_n")).when(F.col("source") == "headings", F.col("k_n")).when(F.col("source") == "single", 1).otherwise(0))
     few = (F.col("items") > 0) & (F.col("o_n") / F.greatest(F.col("items"), F.lit(1)) < 0.4)
     said = lambda cond, severity, message: F.when(cond, F.struct(severity.alias("severity"), message.alias("message")))
     every = F.array_compact(

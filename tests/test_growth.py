@@ -174,3 +174,17 @@ def test_titles_are_normalised_once(spark):
     texts = ["­", " \n ", "a" * 240, "a" * 241, f"\t{'a ' * 120}", f"{'a  ' * 120}b", " 9 ", "« »", None, "a ­ b" * 60]
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select(T.sane_title("t"), F.length(T.normalize_text("t")).between(1, 240) & T.normalize_text("t").rlike(r"[\p{L}\p{N}]"), T.with_normalized("t", lambda x: x), T.normalize_text("t")).collect()
     assert all(r[0] == r[1] and r[2] == r[3] for r in rows) and [r[0] for r in rows][:4] == [False, False, True, False]
+
+
+def test_printed_chapters_hold_one_sort(spark):
+    books = spark.createDataFrame([("weak", "W", 100, 5, 9), ("weak", "W2", 10, 20, 9), ("twice", "T", 30, 1, 2), ("twice", "T", 30, 1, 2), (None, "N", 3, 1, 0), ("empty", "E", 0, 1, 0)], "book_id string, title string, paragraphs int, pages int, items int")
+    # at start 7 two numbers; two distinct titles of three headings are too few to replace the outline of a typesetter
+    outline = spark.createDataFrame([("weak", 1, "Cover Front", 1, False), ("twice", 1, "A", 1, True), ("twice", 2, None, None, True), (None, 1, "x", 1, True), ("gone", 1, "x", 1, True)], "book_id string, ord int, title string, start int, matched boolean")
+    heads = spark.createDataFrame([("weak", t, s, 1.2, None) for t, s in (("One", 1), ("one!", 30), ("Two", 60), ("", 61))] + [("twice", "Chapter 1", 5, 1.0, True), ("gone", "Preface", 1, 1.0, True)], "book_id string, title string, start int, prominence double, strong boolean")
+    chapters, said = D.choose_chapters(books, outline, heads)
+    rows = lambda df, *names: sorted(map(str, (tuple(r) for r in df.select(*names).collect())))
+    assert rows(chapters, "book_id", "title", "start") == sorted(map(str, [("weak", "Cover Front", 1)] * 2 + [("twice", "A", 1), ("twice", None, None)] * 2))
+    assert rows(said.groupBy("book_id").count(), "book_id", "count") == sorted(map(str, [("weak", 3), (None, 1)]))
+    # each sort, window buffer and aggregate of a stage holds memory of its own: one order serves all judgements
+    plan = chapters._jdf.queryExecution().executedPlan().toString()
+    assert (plan.count("Exchange hashpartitioning"), plan.count("Sort ["), plan.count("Join"), plan.count("HashAggregate")) == (1, 1, 0, 0)
