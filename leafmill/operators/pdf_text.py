@@ -7,11 +7,14 @@ of pages, markers, titles or paragraph facts, never lines or texts.
 
 from __future__ import annotations
 
+import bisect
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
 from leafmill.functions import text as T
-from leafmill.operators.chapters import title_key
+from leafmill.operators.chapters import title_key, title_key_of
 from leafmill.operators.geometry import alike
 
 LINE = "struct<text:string,col:int,baseline:double,font_size:double,x_min:double,x_max:double>"
@@ -399,8 +402,54 @@ def outline_starts(outline: DataFrame, headings: DataFrame, lines: DataFrame) ->
 
     A heading of the page with the item's title (the same key, or four fifths of the words); else the paragraph whose line lies nearest to the target, the earlier one of equals;
     else, without a target, the page's first. Items of pages without text are left out. ``outline``: book_id, ord, title, page, y; ``headings``: book_id, page, paragraph_id, title;
-    ``lines``: book_id, page, paragraph_id, baseline. The nearest is looked up from both sides: lines and targets in one order, filled from above and from below.
+    ``lines``: book_id, page, paragraph_id, baseline. All three go by page in one exchange, to the task that holds the page; pages too large for that
+    (``grouped.MOST_ROWS``) are judged by joins.
     """
+    from leafmill.operators import grouped
+
+    page = ["book_id", "page"]
+    (o, h, ln), large = grouped.split_groups([(outline, "title"), (headings, "title"), (lines, None)], page)
+    rows = [
+        o.select(*page, F.lit(0).alias("part"), F.col("ord").cast("long").alias("ord"), F.lit(None).alias("paragraph_id"), "title", F.col("y").cast("double").alias("y")),
+        h.select(*page, F.lit(1).alias("part"), "paragraph_id", "title"),
+        ln.select(*page, F.lit(2).alias("part"), "paragraph_id", F.col("baseline").cast("double").alias("y")),
+    ]
+    kind = StructType([StructField(name, t) for name, t in (("book_id", outline.schema["book_id"].dataType), ("ord", LongType()), ("title", StringType()), ("start", lines.schema["paragraph_id"].dataType), ("matched", BooleanType()))])
+    both = rows[0].unionByName(rows[1], allowMissingColumns=True).unionByName(rows[2], allowMissingColumns=True)
+    got = grouped.map_groups(both, page, kind, _starts_of_page)
+    return got if large is None else got.unionByName(outline_starts_by_joins(*large))
+
+
+def _starts_of_page(at: tuple, rows: list[tuple]) -> list[tuple]:
+    """``outline_starts`` of one page. ``rows``: (part, ord, paragraph_id, title, y), part 0 of items, 1 of headings, 2 of lines."""
+    from leafmill.operators.grouped import Titles
+
+    lines = [(y, i) for part, _, i, _, y in rows if part == 2]
+    if not lines or None in at:
+        return []
+    titles = Titles((i, title_key_of(title)) for part, _, i, title, _ in rows if part == 1)
+    first = min((i for _, i in lines if i is not None), default=None)
+    rungs: dict[float, object] = {}
+    for y, i in lines:
+        if y is not None and i is not None:
+            rungs[y] = min(i, rungs.get(y, i))
+    heights = sorted(rungs)
+
+    def near(y: float):
+        k = bisect.bisect_right(heights, y)
+        sides = [(abs(v - y), rungs[v]) for v in heights[max(0, k - 1) : k + 1]]
+        return min(sides)[1] if sides else first
+
+    out = []
+    for part, n, _, title, y in rows:
+        if part == 0:
+            hit = titles.look(title_key_of(title))
+            out.append((at[0], n, title, hit if hit is not None else first if y is None else near(y), hit is not None))
+    return out
+
+
+def outline_starts_by_joins(outline: DataFrame, headings: DataFrame, lines: DataFrame) -> DataFrame:
+    """``outline_starts`` for pages of any size. The nearest line is looked up from both sides: lines and targets in one order, filled from above and from below."""
     page = ["book_id", "page"]
     words = lambda c: F.array_distinct(F.filter(F.split(c, " "), lambda w: w != ""))
     from leafmill.session import with_checkpoints

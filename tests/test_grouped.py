@@ -6,6 +6,7 @@ import pytest
 
 from leafmill.operators import geometry as G
 from leafmill.operators import grouped
+from leafmill.operators import pdf_text as D
 
 WORDS = "sea land wind rain long way home again my friend night Chapter 12 İstanbul ﬁre Straße".split()
 
@@ -44,6 +45,16 @@ def test_outline_headings_go_by_book_once(books, monkeypatch, most):
         assert exchanges(got) == 1
 
 
+@pytest.mark.parametrize("most", [10_000, 150, 0])
+def test_outline_starts_go_by_page_once(books, monkeypatch, most):
+    want = rows(D.outline_starts_by_joins(*books))
+    monkeypatch.setattr(grouped, "MOST_ROWS", most)
+    got = D.outline_starts(*books)
+    assert rows(got) == want and len(want) > 100
+    if most == 10_000:
+        assert exchanges(got) == 1
+
+
 def test_a_group_is_given_whole(spark, monkeypatch):
     monkeypatch.setattr(grouped, "STEP_ROWS", 3)
     df = spark.createDataFrame([(i % 3 if i % 3 else None, i) for i in range(60)], "k long, v long")
