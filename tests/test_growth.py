@@ -188,3 +188,19 @@ def test_printed_chapters_hold_one_sort(spark):
     # each sort, window buffer and aggregate of a stage holds memory of its own: one order serves all judgements
     plan = chapters._jdf.queryExecution().executedPlan().toString()
     assert (plan.count("Exchange hashpartitioning"), plan.count("Sort ["), plan.count("Join"), plan.count("HashAggregate")) == (1, 1, 0, 0)
+
+
+def test_spoken_ranges_of_a_long_paragraph_are_linear(spark):
+    from leafmill.operators import speech
+
+    words = [("wörd", "a", "longer")[i % 3] + str(i % 7) for i in range(200_000)]
+    paras = spark.createDataFrame([(1, 1, " ".join(words), 5)], "doc_id long, paragraph_id int, text string, pause_ms int")
+    starts = spark.createDataFrame([(1, 1, 3)], "doc_id long, paragraph_id int, word_index int")
+    began = time.perf_counter()
+    got = speech.spoken_plan(paras, starts, 300).orderBy("chunk").collect()
+    assert time.perf_counter() - began < 30
+    assert [r["start_word"] for r in got[:2]] == [3, 3 + got[0]["n_words"]] and sum(r["n_words"] for r in got) == 200_000 - 3
+    assert " ".join(r["text"] for r in got) == " ".join(words[3:])
+    assert all(r["text"][x["start"] : x["end"]] == words[x["word_index"]] for r in got[::50] for x in r["ranges"])
+    # the next word had no place
+    assert all(len(r["text"]) <= 300 < len(r["text"]) + 1 + len(after["text"].split()[0]) for r, after in zip(got, got[1:]))
