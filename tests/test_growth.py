@@ -204,3 +204,20 @@ def test_spoken_ranges_of_a_long_paragraph_are_linear(spark):
     assert all(r["text"][x["start"] : x["end"]] == words[x["word_index"]] for r in got[::50] for x in r["ranges"])
     # the next word had no place
     assert all(len(r["text"]) <= 300 < len(r["text"]) + 1 + len(after["text"].split()[0]) for r, after in zip(got, got[1:]))
+
+
+def test_words_at_characters_are_looked_up_in_the_row(spark, tmp_path):
+    from leafmill.operators import speech
+    from leafmill.plans.catalog import QUERIES
+
+    lines = ["'ab'  cd wörds and more 𝒳 x " + "w " * 200_000, "\"\"", "one", "tokens of ten, to thirty-seven characters, and then more than a hundred of them, so that all are found in here"]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = QUERIES["char_to_word"](spark, str(tmp_path))
+    began = time.perf_counter()
+    got = sorted(map(tuple, df.collect()))
+    assert time.perf_counter() - began < 20
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    p = M.paragraphs(spark.createDataFrame([(1, "\n".join(x[:300] for x in lines))], "doc_id long, text string"))
+    asked = p.where(F.size(T.tokenize("text")) > 0).select("doc_id", "paragraph_id", F.explode(F.array(*[F.lit(x) for x in (0, 10, 37, 100)])).alias("offset"))
+    assert got == sorted(map(tuple, speech.char_to_word(speech.speech_words(p, 1 << 30), asked, ["doc_id", "paragraph_id"]).collect()))
+    assert spark.range(1).select(speech.word_at(F.lit("ab cd"), F.lit(-3)), speech.word_at(F.lit("ab cd"), F.lit(99))).first()[:] == (0, 1)
