@@ -238,13 +238,37 @@ def scene_breaks(paragraphs: DataFrame) -> DataFrame:
     return out.where("kind <> 'ornament'").select("book_id", "id", F.explode(F.when(split, F.array(first, second)).otherwise(F.array(second))).alias("x")).select("book_id", "id", "x.*")
 
 
-def image_anchors(images: DataFrame, lines: DataFrame, bins: int = 40) -> DataFrame:
+def image_anchors(images: DataFrame, lines: DataFrame) -> DataFrame:
     """(book_id, image_id, after_paragraph_id): the last paragraph with a line above an image's middle in its column, else the last of earlier pages, else 0.
 
     ``images``: book_id, page, image_id, x, y (the middle), width (of the page); ``lines``: book_id, page, paragraph_id, col, baseline, x_min, x_max. A line of column 0
-    stands above all that is below it; others reach over their width and a tenth of the page at both sides. The page is cut into upright lanes: a line that
-    covers a lane whole is filled downwards there by a running maximum; where it ends inside a lane, the images of that lane are compared one by one. Earlier
-    pages are a running maximum over a row a page.
+    stands above all that is below it; others reach over their width and a tenth of the page at both sides. Images and lines go by book in one exchange, and each image is held against its
+    book's lines there; books that are too large for that (``grouped.MOST_ROWS``) are judged by joins.
+    """
+    from leafmill.operators import grouped
+
+    (im, ln), large = grouped.split_groups([(images, None), (lines, None)], ["book_id"])
+    image, line = ["page", "image_id", "x", "y", "width"], ["page", "paragraph_id", "col", "baseline", "x_min", "x_max"]
+    placed = im.where("book_id IS NOT NULL").select("book_id", F.struct(*image).alias("i"))
+    both = placed.unionByName(ln.where("book_id IS NOT NULL").select("book_id", F.struct(*line).alias("l")), allowMissingColumns=True)
+    books = both.repartition("book_id").groupBy("book_id").agg(F.collect_list("i").alias("images"), F.collect_list("l").alias("lines")).where(F.size("images") > 0)
+    last = lambda cond: F.array_max(F.transform(F.filter("lines", cond), lambda m: m["paragraph_id"]))
+
+    def anchor(i: Column, tenth: Column) -> Column:
+        beside = lambda m: (i["x"] >= m["x_min"] - tenth) & (i["x"] <= m["x_max"] + tenth)
+        above = last(lambda m: (m["page"] == i["page"]) & (m["baseline"] <= i["y"]) & ((m["col"] == 0) | beside(m)))
+        return F.struct(i["image_id"].alias("image_id"), F.coalesce(above, last(lambda m: m["page"] < i["page"]), F.lit(0)).cast("long").alias("after_paragraph_id"))
+
+    width = lambda i: F.array_max(F.transform(F.filter("images", lambda o: o["page"] == i["page"]), lambda o: o["width"]))
+    got = books.select("book_id", F.explode(F.transform("images", lambda i: F.get(F.transform(F.array(width(i) * 0.1), lambda tenth: anchor(i, tenth)), F.lit(0)))).alias("a")).select("book_id", "a.*")
+    unknown = im.where("book_id IS NULL").select("book_id", "image_id", F.lit(0).cast("long").alias("after_paragraph_id"))
+    got = got.unionByName(unknown)
+    return got if large is None else got.unionByName(image_anchors_by_joins(*large))
+
+
+def image_anchors_by_joins(images: DataFrame, lines: DataFrame, bins: int = 40) -> DataFrame:
+    """``image_anchors`` for books of any size. The page is cut into upright lanes: a line that covers a lane whole is filled downwards there by a running maximum; where it ends inside a lane, the
+    images of that lane are compared one by one. Earlier pages are a running maximum over a row a page.
     """
     page = ["book_id", "page"]
     widths = images.groupBy(*page).agg(F.max("width").alias("width"))

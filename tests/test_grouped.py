@@ -61,3 +61,19 @@ def test_a_group_is_given_whole(spark, monkeypatch):
     sizes = grouped.map_groups(df, ["k"], df.schema, lambda at, held: [(at[0], len(held))] * 4).collect()
     assert sorted(r["v"] for r in sizes if r["k"] is not None) == [20] * 8
     assert sum(r["v"] for r in sizes if r["k"] is None) == 80
+
+
+@pytest.mark.parametrize("most", [10_000, 30, 0])
+def test_images_are_anchored_by_book_once(spark, monkeypatch, most):
+    rnd = random.Random(5)
+    place = lambda: (rnd.choice([1, 1, 2, 3, None]), rnd.choice([0, 1, 2]))
+    images = [(*(at := place()), i, rnd.uniform(0, 500), rnd.uniform(0, 100), 500.0 - 50 * at[1]) for i in range(60)] + [(1, None, 60, 1.0, 99.0, 500.0), (9, 1, 61, 1.0, 1.0, 500.0)]
+    lines = [(*place(), i, rnd.choice([0, 1, 2]), rnd.uniform(0, 100), x := rnd.uniform(0, 400), x + rnd.uniform(0, 200)) for i in range(60)]
+    im = spark.createDataFrame(images, "book_id long, page long, image_id long, x double, y double, width double")
+    ln = spark.createDataFrame(lines, "book_id long, page long, paragraph_id long, col int, baseline double, x_min double, x_max double")
+    want = rows(D.image_anchors_by_joins(im, ln))
+    monkeypatch.setattr(grouped, "MOST_ROWS", most)
+    got = D.image_anchors(im, ln)
+    assert rows(got) == want and len(want) == 62
+    if most == 10_000:
+        assert exchanges(got) == 2  # an exchange and the aggregate behind it
