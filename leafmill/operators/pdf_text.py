@@ -319,15 +319,20 @@ def chapter_markers(paragraphs: DataFrame, begins: DataFrame | None = None) -> D
     ``paragraphs``: book_id, para (from 1), heading, text; texts are joined by one line end, over which a marker may reach. ``begins``: as ``paragraph_begins`` gives them.
     """
     offsets = paragraph_begins(paragraphs) if begins is None else begins
-    # the head of the next paragraph, as a narrow row
+    said = paragraphs.where(F.lower("text").contains("chapter")).select("book_id", "para", "heading", "text", F.length("text").alias("n"))
+    # a text's own markers; only places and words leave its row
+    between = F.transform(F.split("text", MARKER, -1), F.length)
+    each = said.select("book_id", "para", "heading", F.arrays_zip(F.regexp_extract_all("text", F.lit(MARKER), F.lit(0)).alias("s"), between.alias("skip")).alias("m"))
+    each = each.select("book_id", "para", "heading", F.posexplode("m").alias("k", "m")).select("book_id", "para", "heading", "k", "m.s", "m.skip").where("s IS NOT NULL")
+    ahead = F.sum(F.col("skip") + F.length("s")).over(Window.partitionBy("book_id", "para").orderBy("k")) - F.length("s")
+    own = each.withColumn("local", ahead).select("book_id", "para", "heading", "s", "local")
+    # a text that ends with the word: the number may be the head of the next paragraph
+    tail = F.regexp_extract("text", r"(?i)(?<![A-Za-z0-9_])chapter\s*\z", 0)
+    open_ = said.select("book_id", "para", "heading", "n", tail.alias("tail")).where("tail <> ''")
     heads = paragraphs.select("book_id", (F.col("para") - 1).alias("para"), F.substring("text", 1, _LOOK).alias("head"))
-    candidates = paragraphs.where(F.lower("text").contains("chapter")).join(heads, ["book_id", "para"], "left").join(offsets, ["book_id", "para"])
-    full = F.concat("text", F.lit("\n"), F.coalesce("head", F.lit("")))
-    at = candidates.withColumn("full", full).withColumns({"found": F.regexp_extract_all("full", F.lit(MARKER), F.lit(0)), "between": F.split("full", MARKER, -1)})
-    each = at.select("book_id", "para", "heading", "begin", F.length("text").alias("n"), "between", "found", F.posexplode("found").alias("k", "s"))
-    step = F.length(F.get("between", F.col("k"))) + F.length("s")
-    ahead = F.sum(step).over(Window.partitionBy("book_id", "para").orderBy("k")) - F.length("s")
-    local = each.withColumn("local", ahead).where(F.col("local") < F.col("n"))
+    seam = open_.join(heads, ["book_id", "para"]).withColumn("s", F.regexp_extract(F.concat("tail", F.lit("\n"), "head"), rf"\A{MARKER}", 0)).where("s <> ''")
+    seam = seam.select("book_id", "para", "heading", "s", (F.col("n") - F.length("tail")).cast("long").alias("local"))
+    local = own.unionByName(seam).join(offsets, ["book_id", "para"])
     token = F.regexp_replace(F.regexp_replace(F.lower("s"), r"^chapter\s+", ""), r"[.)]\z", "")
     return local.select("book_id", "para", "heading", (F.col("begin") + F.col("local")).alias("offset"), (F.col("begin") + F.col("local") + F.length("s")).alias("end"), T.ordinal_parse(token).alias("ord")).where("ord IS NOT NULL")
 
@@ -371,8 +376,11 @@ def contents_titles(contents: DataFrame, markers: DataFrame, body: DataFrame, pa
     ahead = markers.select("book_id", "offset", F.lead("offset").over(Window.partitionBy("book_id").orderBy("offset")).alias("any_next"))
     stop = F.least(F.coalesce("next", "any_next", "begin_body"), F.col("end") + 160)
     m = m.join(ahead, ["book_id", "offset"]).join(body.select("book_id", F.col("first").alias("begin_body")), "book_id").withColumn("stop", stop)
-    piece = lambda d, name: paragraphs.select("book_id", (F.col("para") - d).alias("para"), (F.substring("text", 1, 200) if d else F.col("text")).alias(name))
-    m = m.join(piece(0, "t0"), ["book_id", "para"]).join(piece(1, "t1"), ["book_id", "para"], "left").join(piece(2, "t2"), ["book_id", "para"], "left").join(begins, ["book_id", "para"])
+    m = m.join(begins, ["book_id", "para"]).groupBy("book_id", "para").agg(F.collect_list(F.struct("ord", "offset", "end", "stop", "begin")).alias("info"))
+    near = _with_info(paragraphs, m, ahead=2).withColumn("head", F.substring("text", 1, 200))
+    behind = lambda d: F.when(F.lead("para", d).over(_in_block()) == F.col("para") + d, F.lead("head", d).over(_in_block()))
+    near = near.withColumns({"t1": behind(1), "t2": behind(2)}).where("own AND info IS NOT NULL")
+    m = near.select("book_id", F.col("text").alias("t0"), "t1", "t2", F.explode("info").alias("m")).select("book_id", "t0", "t1", "t2", "m.*")
     full = F.concat_ws("\n", "t0", "t1", "t2")
     cut = lambda a, b: T.normalize_text(F.substring(full, (a - F.col("begin") + 1).cast("int"), (b - a).cast("int")))
     m = m.withColumns({"suffix": cut(F.col("end"), F.col("stop")), "label": cut(F.col("offset"), F.col("end"))})
@@ -397,28 +405,52 @@ def embedded_headings(paragraphs: DataFrame) -> DataFrame:
     titles = contents_titles(contents, markers, body, paragraphs, begins)
     ranges = body.select("book_id", F.explode("run").alias("m")).select("book_id", "m.para", "m.offset", "m.end", "m.ord").join(titles, ["book_id", "ord"], "left")
     listed = contents.select("book_id", F.explode("run").alias("m")).select("book_id", F.col("m.para").alias("para")).distinct().withColumn("listed", F.lit(True))
-    following = lambda d, name: paragraphs.select("book_id", (F.col("para") - d).alias("para"), F.col("text").alias(name))
-    # a heading may end in the next paragraph
-    hit = paragraphs.join(ranges, ["book_id", "para"]).join(begins, ["book_id", "para"]).join(following(1, "next"), ["book_id", "para"], "left")
-    hit = hit.withColumn("local", (F.col("offset") - F.col("begin")).cast("int"))
+    # texts are exchanged once, each beside what is known of its place and the next one, in which a heading may end
+    at = ranges.join(begins, ["book_id", "para"]).select("book_id", "para", F.struct((F.col("offset") - F.col("begin")).cast("int").alias("local"), (F.col("end") - F.col("offset")).cast("int").alias("long"), "title").alias("r"))
+    known = at.unionByName(listed, allowMissingColumns=True).groupBy("book_id", "para").agg(F.first("r", ignorenulls=True).alias("r"), F.max("listed").alias("listed")).select("book_id", "para", F.struct("r", "listed").alias("info"))
+    hit = _with_info(paragraphs, known, ahead=1, behind=1)
+    hit = hit.withColumn("next", F.when(F.lead("para").over(_in_block()) == F.col("para") + 1, F.lead("text").over(_in_block()))).select("book_id", "block", "own", "para", "heading", "text", "next", "info.r.local", "info.r.long", "info.r.title", F.coalesce("info.listed", F.lit(False)).alias("listed"))
     full = F.concat_ws("\n", "text", "next")
     words = F.concat(F.lit(r"(?i)^\Q"), F.array_join(F.split(F.replace("title", F.lit("\\E"), F.lit(" ")), " "), r"\E\s+\Q"), F.lit(r"\E"))
     behind = F.substring(full, F.col("local") + 1, F.length(full))
     hit = hit.withColumns({"behind": behind, "words": words})
     by_title = F.when(F.col("title").isNotNull(), F.length(F.expr("regexp_extract(behind, words, 0)"))).otherwise(0)  # a pattern of each row's own
-    hit = hit.withColumn("taken", F.when(by_title > 0, by_title).otherwise((F.col("end") - F.col("offset")).cast("int"))).withColumns({"full": full, "n": F.length("text")})
+    hit = hit.withColumn("taken", F.when(by_title > 0, by_title).otherwise(F.col("long"))).withColumns({"full": full, "n": F.length("text")})
     stop = F.col("local") + F.col("taken")
     prefix = F.trim(F.regexp_replace(T.normalize_text(F.substring("text", F.lit(1), F.col("local"))), r"(?:\s*\*){3,}\s*\z", ""))
     suffix = T.normalize_text(F.substring("full", stop + 1, F.length("full")))
     own_suffix = F.when(stop > F.col("n") + 1, suffix).otherwise(T.normalize_text(F.substring("text", stop + 1, F.length("text"))))
     pieces = F.array(F.struct(F.lit(0).alias("piece"), F.col("heading").alias("heading"), prefix.alias("text")), F.struct(F.lit(1).alias("piece"), F.lit("strong").alias("heading"), T.normalize_text(F.substring("full", F.col("local") + 1, F.col("taken"))).alias("text")), F.struct(F.lit(2).alias("piece"), F.col("heading").alias("heading"), own_suffix.alias("text")))
-    split = hit.select("book_id", "para", (stop > F.col("n") + 1).alias("over"), F.explode(pieces).alias("x")).select("book_id", "para", "over", "x.*").where("text <> ''").checkpoint()
-    gone = ranges.select("book_id", "para").unionByName(split.where("over").select("book_id", (F.col("para") + 1).alias("para"))).distinct()
-    plain = paragraphs.join(gone, ["book_id", "para"], "left_anti").join(listed, ["book_id", "para"], "left")
     word = F.regexp_instr("text", F.lit(r"(?i)(?<![A-Za-z0-9_])contents(?![A-Za-z0-9_])"))
     kept = F.when(F.col("listed"), F.when(word > 0, T.normalize_text(F.substring("text", F.lit(1), word - 1))).otherwise(F.lit(""))).otherwise(F.col("text"))
-    rest = plain.select("book_id", "para", F.lit(0).alias("piece"), "heading", kept.alias("text")).where("text <> ''")
-    return rest.unionByName(split.drop("over"))
+    rest = F.array(F.struct(F.lit(0).alias("piece"), F.col("heading").alias("heading"), kept.alias("text")))
+    hit = hit.withColumn("over", F.coalesce(stop > F.col("n") + 1, F.lit(False)))
+    # what a heading has taken of the next paragraph is not there twice
+    gone = F.coalesce(F.lag("over").over(_in_block()) & (F.lag("para").over(_in_block()) == F.col("para") - 1), F.lit(False))
+    out = hit.withColumn("gone", gone).where("own AND (local IS NOT NULL OR NOT gone)")
+    return out.select("book_id", "para", F.explode(F.when(F.col("local").isNotNull(), pieces).otherwise(rest)).alias("x")).select("book_id", "para", "x.piece", "x.heading", "x.text").where("text <> ''")
+
+
+#: Paragraphs of a book that one task looks at together; those at the edges are in two blocks.
+_BLOCK = 256
+
+
+def _in_block():
+    return Window.partitionBy("book_id", "block").orderBy("para")
+
+
+def _with_info(paragraphs: DataFrame, info: DataFrame, ahead: int, behind: int = 0) -> DataFrame:
+    """Paragraphs with ``block``, ``own`` and what ``info`` (book_id, para, info; one row a place) says of their place, if it does; one exchange, by blocks of a book.
+
+    A block has its own paragraphs, ``ahead`` of the next block's and ``behind`` of the last one's, so that windows over it see what is beside each of its own.
+    """
+    block, at = F.floor(F.col("para") / _BLOCK), F.pmod(F.col("para"), F.lit(_BLOCK))
+    blocks = F.array_compact(F.array(block, F.when(at < ahead, block - 1), F.when(at >= _BLOCK - behind, block + 1)))
+    rows = paragraphs.select("book_id", "para", F.lit(1).alias("kind"), "heading", "text").unionByName(info.select("book_id", "para", F.lit(0).alias("kind"), "info"), allowMissingColumns=True)
+    rows = rows.withColumn("block", F.explode(blocks)).withColumn("own", F.col("block") == block)
+    before = Window.partitionBy("book_id", "block").orderBy("para", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    said = F.last(F.when(F.col("kind") == 0, F.struct("para", "info")), ignorenulls=True).over(before)
+    return rows.withColumn("said", said).where("kind = 1").select("book_id", "block", "own", "para", "heading", "text", F.when(F.col("said.para") == F.col("para"), F.col("said.info")).alias("info"))
 
 
 def outline_starts(outline: DataFrame, headings: DataFrame, lines: DataFrame) -> DataFrame:

@@ -77,3 +77,51 @@ def test_images_are_anchored_by_book_once(spark, monkeypatch, most):
     assert rows(got) == want and len(want) == 62
     if most == 10_000:
         assert exchanges(got) == 2  # an exchange and the aggregate behind it
+
+
+def marked(n: int) -> list[tuple]:
+    """A book with contents over several paragraphs, numbered paragraphs, a number behind a paragraph's end and a title that runs into the next paragraph."""
+    told = [f"Chapter {i}. The part {chr(96 + i)} of it" for i in range(1, 7)]
+    texts = ["Before Contents", *told, *(f"{'x' * 90} {i}" for i in range(n))]
+    at = len(told) + 3
+    for i, t in enumerate(told, 1):
+        texts[at + 3 * i] = f"so it ends * * * {t} and goes on"
+    texts[at + 6] = "so it ends * * * Chapter"
+    texts[at + 7] = "2. The part b of it and goes on"
+    texts[at + 9] = "so it ends * * * Chapter 3. The part"
+    texts[at + 10] = "c of it, over the edge"
+    return [(1, i + 1, None, t) for i, t in enumerate(texts)] + [(2, 1, "strong", "Chapter 1"), (2, 2, None, "prose"), (2, 3, None, "ends with chapter")]
+
+
+@pytest.mark.parametrize("block", [256, 3, 2])
+def test_headings_inside_prose_are_found_in_blocks(spark, monkeypatch, block):
+    monkeypatch.setattr(D, "_BLOCK", block)
+    df = spark.createDataFrame(marked(40), "book_id long, para int, heading string, text string")
+    got = {(r["book_id"], r["para"], r["piece"]): (r["heading"], r["text"]) for r in D.embedded_headings(df).collect()}
+    assert [v for k, v in sorted(got.items()) if v[0] == "strong" and k[0] == 1] == [("strong", f"Chapter {i}. The part {chr(96 + i)} of it") for i in range(1, 6)] + [("strong", "Chapter 6.")]
+    assert got[1, 16, 0] == (None, "so it ends") and got[1, 16, 2] == (None, "and goes on") and (1, 17, 0) not in got
+    assert got[1, 19, 2] == (None, ", over the edge") and (1, 20, 0) not in got
+    assert got[1, 1, 0] == (None, "Before Contents") and not any((1, p, 0) in got for p in range(2, 8))
+    assert len([k for k in got if k[0] == 2]) == 3 and len([k for k in got if k[0] == 1]) == 47 - 6 - 2 + 12
+
+
+def test_headings_inside_prose_exchange_texts_twice(spark):
+    import hashlib
+
+    def written():
+        store = spark.sparkContext._jsc.sc().statusStore()
+        stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+    noise = lambda *x: "".join(hashlib.sha256(repr((x, k)).encode()).hexdigest() for k in range(16))
+    rows = [(b, p, None, (f"Chapter {p // 2}. " if p % 2 else "") + noise(b, p)) for b in range(20) for p in range(1, 40)]
+    df = spark.createDataFrame(rows, "book_id long, para int, heading string, text string").persist()
+    size = sum(len(r[3]) for r in rows)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = written()
+        assert D.embedded_headings(df).count() > len(rows)
+        assert written() - before < 2.5 * size
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
