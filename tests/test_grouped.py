@@ -125,3 +125,24 @@ def test_headings_inside_prose_exchange_texts_twice(spark):
         assert written() - before < 2.5 * size
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+
+
+def test_places_of_files_are_asked_for_pairs_only(spark):
+    rnd = random.Random(6)
+    text = lambda: " ".join(rnd.choices(["sea", "land", "wind"], k=rnd.choice([1, 2, 3])))
+    paras = spark.createDataFrame([(b, i, text(), f"f{i % 3}", i % 3, 30) for b in (1, 2) for i in range(1, 31)], "book_id long, paragraph_id int, text string, file string, spine int, total long")
+    toc = spark.createDataFrame([(b, i, text(), f"f{i % 4}", "chapter") for b in (1, 2) for i in range(30)], "book_id long, ord int, title string, file string, kind string")
+    files = paras.select("book_id", "file", "spine", "total").distinct()
+    want = rows(G.toc_scored_match(toc, paras))
+    assert rows(G.toc_scored_match(toc, paras.drop("spine", "total"), files)) == want and len(want) > 40
+
+
+def test_texts_of_implicit_headings_are_joined_with_their_book_only(spark):
+    from leafmill.operators import recovery as R
+
+    p = spark.createDataFrame([(1, 1, "Chapter 1. One", "a"), (1, 2, "prose", "a"), (1, 4, "Chapter 2. Two", "a"), (1, 6, "The  End", "b"), (2, 1, "Chapter 9", "a")], "book_id long, paragraph_id int, text string, file string")
+    books = spark.createDataFrame([(1, "The Sea"), (2, None)], "book_id long, title string")
+    entry = "book_id long, ord int, title string, file string, depth int, category string, kind string, norm string, fragment boolean"
+    got = R.implicit_headings(p, spark.createDataFrame([(1, 7, "The end", "B", 2, "main", "other", "the end", False)], entry), books)
+    assert sorted((r["book_id"], r["start"], r["title"], r["depth"], r["ord"]) for r in got.collect()) == [(1, 1, "Chapter 1. One", 1, R.LAST), (1, 6, "The end", 2, 7)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
